@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("url_filters", "packing", "binary_output")
+_MODULES = ("url_filters", "packing", "binary_output", "language_id")
 
 
 def queries() -> dict:
