@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("url_filters", "packing", "binary_output", "language_id", "neighbours", "decontamination")
+_MODULES = ("url_filters", "packing", "binary_output", "language_id", "neighbours", "decontamination", "pii")
 
 
 def queries() -> dict:

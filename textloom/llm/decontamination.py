@@ -110,7 +110,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    split = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '')"
+    split = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
     longest = max(m[-1] for m in MASKS)
     at = lambda m: "concat_ws(chr(31), " + ", ".join(f"w[i + {k + 1}]" for k in m) + ")"
     own, all_ = [], []
@@ -118,7 +118,7 @@ def _sql() -> str:
         due = f"n > {longest}" if k < len(MASKS) else f"n <= {longest} AND n = {len(m)}"
         own.append(f"SELECT item_id, w, n, i, {k} AS mask, {at(m)} AS s FROM ip WHERE i + {m[-1]} < n AND {due}")
         all_.append(f"SELECT k, w, n, i, {k} AS mask, {at(m)} AS s FROM dp WHERE i + {m[-1]} < n")
-    same = f"list_transform(range({1 - WINDOW}, {WINDOW}), d -> CASE WHEN di + d >= 0 AND di + d < dn AND bi + d >= 0 AND bi + d < bn AND dw[di + d + 1] = bw[bi + d + 1] THEN 1 ELSE 0 END)"
+    same = f"list_transform(range({1 - WINDOW}, {WINDOW}), lambda d: CASE WHEN di + d >= 0 AND di + d < dn AND bi + d >= 0 AND bi + d < bn AND dw[di + d + 1] = bw[bi + d + 1] THEN 1 ELSE 0 END)"
     return f"""
     WITH d AS (SELECT row_number() OVER () AS k, doc_id, {split} AS w FROM documents), b AS (SELECT DISTINCT item_id, {split} AS w FROM benchmark),
     ip AS (SELECT item_id, w, len(w) AS n, unnest(range(0, len(w) - {SHORTEST} + 1)) AS i FROM b WHERE len(w) >= {SHORTEST}),
@@ -126,7 +126,7 @@ def _sql() -> str:
     bs AS ({" UNION ALL ".join(own)}), ds AS ({" UNION ALL ".join(f"({x} AND {at(_masks()[j])} IN (SELECT s FROM bs WHERE mask = {j}))" for j, x in enumerate(all_))}),
     hit AS (SELECT DISTINCT ds.k, bs.item_id, ds.w AS dw, ds.n AS dn, ds.i AS di, bs.w AS bw, bs.n AS bn, bs.i AS bi FROM ds JOIN bs USING (mask, s)),
     eq AS (SELECT k, item_id, least({WINDOW}, bn) AS span, {same} AS e FROM hit),
-    ok AS (SELECT DISTINCT k, item_id FROM eq WHERE len(list_filter(range({WINDOW} - span + 1, {WINDOW} + 1), s -> list_sum(e[s:s + span - 1]) >= ceil(span * {SIMILARITY} - 1e-9))) > 0),
+    ok AS (SELECT DISTINCT k, item_id FROM eq WHERE len(list_filter(range({WINDOW} - span + 1, {WINDOW} + 1), lambda s: list_sum(e[s:s + span - 1]) >= ceil(span * {SIMILARITY} - 1e-9))) > 0),
     g AS (SELECT k, count(*) AS n_items, list_sort(list(item_id)) AS item_ids FROM ok GROUP BY k)
     SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, []) AS item_ids FROM d LEFT JOIN g USING (k)"""
 
