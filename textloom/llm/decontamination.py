@@ -70,7 +70,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
     least `similarity` of them. Null and empty texts are clean; items under SHORTEST words or null are not looked for;
     null item ids count but are not listed; repeated rows are judged alike; other columns are not looked at.
     """
-    spark = docs.sparkSession
+    found = _found(docs, benchmark, window, similarity, id_col, text_col, item_col, item_text)
+    kind = dict(benchmark.dtypes)[item_col]
+    return docs.select(F.col(id_col), _key(id_col, text_col).alias("key")).join(found, "key", "left").select(
+        F.col(id_col), F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("item_ids", F.array().cast(f"array<{kind}>")).alias("item_ids")
+    )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark item."""
+    found = _found(docs, benchmark, window, similarity, "doc_id", "text", "item_id", "text").select("key")
+    name = "__key"
+    return docs.withColumn(name, _key("doc_id", "text")).join(found.withColumnRenamed("key", name), name, "left_anti").drop(name)
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, similarity: float, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """(key, n_items, item_ids) of the documents in which an item is found."""
     item = benchmark.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") >= SHORTEST).distinct()
     pairs = item.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: _pair(F.col("w"), i))).alias("slot")).distinct()
     slots = bytearray(PAIR_SLOTS)
@@ -83,7 +102,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
     if seed.count() <= BROADCAST_SEEDS:
         seed = F.broadcast(seed)
 
-    key = F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("key")
+    key = _key(id_col, text_col).alias("key")
 
     def spots(w: Column) -> Column:
         sifted = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - SHORTEST, F.lit(0))), lambda i: F.substring(known, _pair(w, i) + 1, F.lit(1)) == F.lit(b"\x01"))
@@ -98,11 +117,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
     need = F.ceil(span * F.lit(similarity) - F.lit(1e-9))
     fits = F.exists(F.sequence(F.lit(window) - span + 1, F.lit(window)), lambda s: F.aggregate(F.slice("equal", s, F.col("span")), F.lit(0), lambda a, b: a + b) >= F.col("need"))
     found = hit.select("key", "item", equal.alias("equal"), span.alias("span"), need.alias("need")).where(fits)
-    found = found.select("key", "item").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item")).alias("item_ids"))
-    kind = dict(item.dtypes)["item"]
-    return docs.select(F.col(id_col), key).join(found, "key", "left").select(
-        F.col(id_col), F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("item_ids", F.array().cast(f"array<{kind}>")).alias("item_ids")
-    )
+    return found.select("key", "item").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item")).alias("item_ids"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -331,6 +331,15 @@ def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all their columns, less all but the smallest doc_id of each linked group.
+
+    Repeated rows of one doc_id and text stay once. Documents without an id stay unless linked to one with an id.
+    """
+    low = near_components(docs, k, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(low, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 

@@ -227,6 +227,23 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return src.mapInPandas(run, f"id {kind}, lang_pred string, score double, positions long, agree double").withColumnRenamed("id", id_col)
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.35) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a letter and a best language of at least `least`.
+
+    With a model that knows no language, every text with a letter stays.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = b["text"].tolist()
+            for lo, hi in slices([len(t or "") for t in texts], 4_000_000):
+                keep = np.ones(hi - lo, bool) if not model.langs else pooled(model, texts[lo:hi])[0].max(1) >= least
+                yield b.iloc[lo:hi][keep]
+
+    lettered = docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
+    return lettered.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
+
+
 def fit(docs: DataFrame) -> Model:
     """Learns from the labelled documents whose crc32(doc_id) mod 5 is not 0."""
     return train(training_windows(docs.where(fold() != 0)))
