@@ -1 +1,21 @@
+"""The registry of this library's queries and of the SQL they are checked against."""
 
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("textloom.operators.signals",)
+
+
+def queries() -> dict:
+    out: dict = {}
+    for m in MODULES:
+        out |= importlib.import_module(m).QUERIES
+    return out
+
+
+def oracle_sql() -> dict[str, str]:
+    out: dict = {}
+    for m in MODULES:
+        out |= importlib.import_module(m).ORACLES
+    return out
