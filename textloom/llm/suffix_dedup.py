@@ -30,7 +30,7 @@ from .shared import materialize, mix, slices, span_hashes, table
 LENGTH = 200
 #: A perfect difference set, every residue modulo 133 is a difference of two members.
 COVER_MOD, COVER = 133, (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
-BUCKET_BYTES, GROUP_BYTES = 24_000_000, 8_000_000
+BUCKET_BYTES, GROUP_BYTES = 16_000_000, 8_000_000
 #: Bits of the fixed-size filter that says which texts may need another look (false positives only cost time).
 SIFT_BITS = 1 << 23
 _COVER = np.array(COVER)
