@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("textloom.operators.signals",)
+MODULES = ("textloom.operators.signals", "textloom.operators.condense", "textloom.operators.records")
 
 
 def queries() -> dict:
