@@ -26,6 +26,8 @@ SHINGLE, PERCENT = 5, 80
 #: Text bytes for each bucket of shingles, rows for each group of documents, sets in one block of a large component.
 BUCKET_BYTES, GROUP_SETS, BLOCK_SETS = 8_000_000, 4_000, 1_024
 FAN = 8
+#: Distinct tokens of a tree up to which each has a bit of its own; beyond, tokens share bits and leaves are verified.
+OWN_BITS = 1 << 15
 _LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -213,53 +215,64 @@ class Linked:
 
 
 def tree_links(sets: list[np.ndarray], n: np.ndarray, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that span the components of `100 * |x & y| >= percent * |x | y|` among sets (sorted arrays; n: whole sizes).
+    """Links that span the components of `100 * |x & y| >= percent * |x | y|` among non-empty sets (n: whole sizes).
 
     side: only sets on different sides are compared. Level by level from the root, pairs of nodes survive if their size
     ranges allow the threshold and popcount(or & or) plus the tokens that share bits leaves enough overlap.
     """
     order = np.lexsort((np.array([int(s[0]) if len(s) else 0 for s in sets]), n))
-    width = 1 << max(9, min(17, int(4 * max(1, max(len(s) for s in sets)) - 1).bit_length()))
+    length = np.array([len(sets[i]) for i in order])
+    token = np.concatenate([sets[i] for i in order])
+    names, place = np.unique(token, return_inverse=True)
+    exact = len(names) <= OWN_BITS  # then each token has a bit of its own, and leaves need no second look
+    width = -(-max(1, len(names)) // 64) * 64 if exact else 1 << max(9, min(17, int(4 * length.max() - 1).bit_length()))
+    if not exact:
+        place = (mix(token.astype(np.uint64)) % np.uint64(width)).astype(np.int64)
     bits = np.zeros((len(sets), width // 64), np.uint64)
-    for r, i in enumerate(order):
-        place = mix(sets[i].astype(np.uint64)) % np.uint64(width)
-        np.bitwise_or.at(bits[r], (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    row = np.repeat(np.arange(len(sets)), length)
+    np.bitwise_or.at(bits, (row, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
     size = np.asarray(n)[order]
-    extra = np.array([len(sets[i]) for i in order]) - np.bitwise_count(bits).sum(1).astype(np.int64)
+    extra = length - np.bitwise_count(bits).sum(1).astype(np.int64)
     levels = [(bits, size, size, extra)]
     while len(levels[-1][0]) > 1:
         b, lo, hi, ex = levels[-1]
         at = np.arange(0, len(b), FAN)
         levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(ex, at)))
     linked, out = Linked(len(sets)), []
+    sides = None if side is None else side[order]
+
+    def overlap(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        bit, ex = levels[level][0], levels[level][3]
+        top = np.zeros(len(a), np.int64)
+        step = max(64, (1 << 19) // bit.shape[1])
+        for s in range(0, len(a), step):
+            top[s : s + step] = np.bitwise_count(bit[a[s : s + step]] & bit[b[s : s + step]]).sum(1)
+        return top + np.minimum(ex[a], ex[b])
 
     def possible(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        bit, lo, hi, ex = levels[level]
+        _, lo, hi, _ = levels[level]
         ok = (100 * hi[a] >= percent * lo[b]) & (100 * hi[b] >= percent * lo[a])
-        a_, b_ = a[ok], b[ok]
-        top = np.zeros(len(a_), np.int64)
-        for s in range(0, len(a_), 4096):
-            top[s : s + 4096] = np.bitwise_count(bit[a_[s : s + 4096]] & bit[b_[s : s + 4096]]).sum(1)
-        need = -(-percent * (lo[a_] + lo[b_]) // (100 + percent))
-        ok[ok] = top + np.minimum(ex[a_], ex[b_]) >= need
+        ok[ok] = overlap(level, a[ok], b[ok]) >= -(-percent * (lo[a[ok]] + lo[b[ok]]) // (100 + percent))
         return ok
 
-    def verify(a: np.ndarray, b: np.ndarray) -> None:
-        if side is not None:
-            cross = side[order[a]] != side[order[b]]
-            a, b = a[cross], b[cross]
-        for s in range(0, len(a), 2048):
-            x, y = a[s : s + 2048], b[s : s + 2048]
-            root = linked.roots()
-            apart = root[x] != root[y]
-            for i, j in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
-                if linked.find(i) == linked.find(j):
-                    continue
-                p, q = int(order[i]), int(order[j])
+    def leaves(a: np.ndarray, b: np.ndarray) -> None:
+        """Links among pairs of sets; pairs whose sets are linked already are not looked at."""
+        root = linked.roots()
+        open_ = root[a] != root[b]
+        if sides is not None:
+            open_ &= sides[a] != sides[b]
+        a, b = a[open_], b[open_]
+        ok = possible(0, a, b)
+        for i, j in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+            if linked.find(i) == linked.find(j):
+                continue
+            p, q = int(order[i]), int(order[j])
+            if not exact:
                 both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-                if 100 * both >= percent * (n[p] + n[q] - both):
-                    linked.join(i, j)
-                    out.append((p, q))
+                if 100 * both < percent * (n[p] + n[q] - both):
+                    continue
+            linked.join(i, j)
+            out.append((p, q))
 
     stack = [(len(levels) - 1, np.array([0]), np.array([0]))]
     while stack:
@@ -267,13 +280,14 @@ def tree_links(sets: list[np.ndarray], n: np.ndarray, percent: int, side: np.nda
         if len(a) > 20_000 and level:  # bounded frontier: the rest waits
             stack.append((level, a[20_000:], b[20_000:]))
             a, b = a[:20_000], b[:20_000]
+        if not level:
+            for at in range(0, len(a), 20_000):
+                leaves(a[at : at + 20_000], b[at : at + 20_000])
+            continue
         ok = possible(level, a, b)
         a, b = a[ok], b[ok]
         if not len(a):
             continue
-        if not level:
-            verify(a, b)
-            continue
         below = len(levels[level - 1][0])
         ka = (a[:, None] * FAN + np.arange(FAN))[:, :, None].repeat(FAN, 2).reshape(len(a), -1)
         kb = (b[:, None] * FAN + np.arange(FAN))[:, None, :].repeat(FAN, 1).reshape(len(a), -1)
