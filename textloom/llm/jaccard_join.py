@@ -1,11 +1,11 @@
 """N-gram Jaccard join by signature trees, as linked components.
 
 1. Every document becomes a set of hashed word shingles; equal sets are one node (a 64-bit key of the whole set).
-2. Shingles are dealt to buckets by hash, packed. A bucket counts in how many sets each shingle lies and tells each set how
-   many of its shingles are its own alone. A set whose shared shingles cannot reach the threshold links with nothing; on
-   ordinary text that settles almost all sets, without looking at a pair.
+2. The first shingles of each set, by hash, are dealt to buckets, packed. A bucket counts in how many sets each lies and
+   tells each set which of its own are shared. A set that shares too few of them links with nothing; on ordinary text that
+   settles almost all sets, without looking at a pair.
 3. The rest are grouped by their rarest shingles (any two sets over the threshold share one of these) into candidate
-   components, whose sets are compared by signature trees: nodes hold OR-combined bitmaps and size ranges, and a dual
+   components, whose whole sets are compared by signature trees: nodes hold OR-combined bitmaps and size ranges, and a dual
    traversal drops node pairs whose greatest possible overlap is too small. Sets already linked are not compared again.
    Large candidate components are cut into blocks and compared block against block.
 4. Links become components by iterated grouped minima. All pairs of copies are never listed; no group meets in one task.
@@ -20,15 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, materialize, mix, slices, span_hashes, table, text_bytes, words_of
+from .shared import components, in_sift, materialize, mix, sift_of, slices, span_hashes, table, text_bytes, words_of
 
 SHINGLE, PERCENT = 5, 80
 #: Text bytes for each bucket of shingles, rows for each group of documents, sets in one block of a large component.
-BUCKET_BYTES, GROUP_SETS, BLOCK_SETS = 8_000_000, 4_000, 1_024
+BUCKET_BYTES, GROUP_SETS, BLOCK_SETS = 24_000_000, 4_000, 1_024
 FAN = 8
 #: Distinct tokens of a tree up to which each has a bit of its own; beyond, tokens share bits and leaves are verified.
 OWN_BITS = 1 << 15
-_LOW40 = np.uint64((1 << 40) - 1)
 
 
 def shingle_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,105 +83,137 @@ def document_sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFr
     return src.mapInPandas(run, f"id {dict(src.dtypes)['id']}, n_shingles long, key long")
 
 
-def _pack(key: np.ndarray, count: np.ndarray, h: np.ndarray) -> bytes:
-    return b"".join((np.uint32(len(key)).tobytes(), key.tobytes(), count.astype("<u4").tobytes(), (h & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (h >> np.uint64(32)).astype(np.uint8).tobytes()))
+def _pack(key: np.ndarray, size: np.ndarray, count: np.ndarray, h: np.ndarray) -> bytes:
+    parts = (np.uint32(len(key)), key, size.astype("<u4"), count.astype("<u4"), (h & np.uint64(0xFFFFFFFF)).astype("<u4"), (h >> np.uint64(32)).astype(np.uint8))
+    return b"".join(p.tobytes() for p in parts)
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, set sizes, shingles dealt of each, their 40-bit hashes)."""
     n = int(np.frombuffer(raw, "<u4", 1)[0])
-    key = np.frombuffer(raw, "<u8", n, 4)
-    count = np.frombuffer(raw, "<u4", n, 4 + 8 * n)
-    m = int(count.sum())
-    low = np.frombuffer(raw, "<u4", m, 4 + 12 * n)
-    return key, count, low.astype(np.uint64) | np.frombuffer(raw, np.uint8, m, 4 + 12 * n + 4 * m).astype(np.uint64) << np.uint64(32)
+    key, size, count = np.frombuffer(raw, "<u8", n, 4), np.frombuffer(raw, "<u4", n, 4 + 8 * n), np.frombuffer(raw, "<u4", n, 4 + 12 * n)
+    m, at = int(count.sum()), 4 + 16 * n
+    return key, size, count, np.frombuffer(raw, "<u4", m, at).astype(np.uint64) | np.frombuffer(raw, np.uint8, m, at + 4 * m).astype(np.uint64) << np.uint64(32)
+
+
+def least_overlap(n, percent: int):
+    """Fewest elements that a set of n shares with any partner over the threshold."""
+    return -(-percent * n // 100)
+
+
+def prefix(n, percent: int):
+    """Of n elements in any global order, how many must be looked at to meet every partner once; twice that is dealt, and
+    what goes beyond (`spare`) raises by as much how many of them a partner shares."""
+    one = n - least_overlap(n, percent) + 1
+    dealt = np.minimum(n, 2 * one)
+    least = least_overlap(n, percent)
+    other = np.minimum(least, 2 * (least - least_overlap(least, percent) + 1)) - (least - least_overlap(least, percent) + 1)
+    return dealt, np.maximum(0, np.minimum(dealt - one, other))  # the smallest partner has the fewest spare
 
 
 def candidates(docs: DataFrame, k: int, percent: int, text_col: str) -> DataFrame:
-    """key, n, ids (shared shingles, rarest first, 8 bytes each), cells (those of them any partner must share one of),
-    for the sets that may reach the threshold with another set."""
+    """key, n, cells: the sets that may have a partner over the threshold, and the shingles one of which it shares.
+
+    Each set deals its first shingles by hash. Bucket by bucket these are counted; a set that shares too few of them with
+    anyone has no partner. The cells are the rarest of the rest.
+    """
     total = text_bytes(docs, text_col)
     buckets = max(1, -(-total // BUCKET_BYTES))
+    groups = max(1, -(-total // (GROUP_SETS * 2_000)))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["text"].tolist()
             for lo, hi in slices([len(t or "") for t in texts], 4_000_000):
-                at, h, _, key = shingle_sets(texts[lo:hi], k)
+                at, h, size, key = shingle_sets(texts[lo:hi], k)
                 once = np.zeros(len(key), bool)  # copies within the slice are dealt once
                 once[np.unique(key, return_index=True)[1]] = True
-                at, h = at[once[at]], h[once[at]]
-                bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+                first = once[at] & (nth < prefix(size, percent)[0][at])
+                at, h = at[first], h[first]
+                bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                at, h, bucket = at[order], h[order] & _LOW40, bucket[order]
+                at, h, bucket = at[order], mix(h[order]) >> np.uint64(24), bucket[order]
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
                 rows = []
                 for i in range(buckets):
                     s, e = cut[i], cut[i + 1]
                     if s < e:
                         own, count = np.unique(at[s:e], return_counts=True)
-                        rows.append((i, _pack(key[own], count, h[s:e])))
+                        rows.append((i, _pack(key[own], size[own], count, h[s:e])))
                 yield pd.DataFrame(rows, columns=["bucket", "packed"])
 
-    groups = max(1, -(-total // (GROUP_SETS * 2_000)))
-
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        """In one bucket: sets by shingle, and back to packed rows by group of sets."""
+        """In one bucket: sets by shingle; the shared ones go back, packed by group of sets."""
         bucket = int(rows["bucket"].iat[0])
         parts = [_unpack(r) for r in rows["packed"]]
-        key = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        h = np.concatenate([p[2] for p in parts])
+        key = np.concatenate([np.repeat(p[0], p[2]) for p in parts])
+        n = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
+        h = np.concatenate([p[3] for p in parts])
         order = np.lexsort((key, h))
-        key, h = key[order], h[order]
+        key, n, h = key[order], n[order], h[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])  # copies of a set count once
-        key, h = key[new], h[new]
+        key, n, h = key[new], n[new], h[new]
         start = np.ones(len(h), bool)
         start[1:] = h[1:] != h[:-1]
         run = np.cumsum(start) - 1
         df = np.bincount(run)[run]
-        order = np.lexsort((h, key))
-        key, h, df = key[order], h[order], df[order]
-        own, first, size = np.unique(key, return_index=True, return_counts=True)
         shared = df > 1
-        n_shared = np.add.reduceat(shared, first, dtype=np.int64)
-        code = np.minimum(255, np.ceil(8 * np.log2(df[shared]))).astype(np.uint8)
-        ids = (h[shared] << np.uint64(20)) | np.uint64(bucket & 0xFFFFF)
-        group = (own % np.uint64(groups)).astype(np.int64)
-        begin = np.cumsum(n_shared) - n_shared
+        key, n, h, df = key[shared], n[shared], h[shared], df[shared]
+        group = (key % np.uint64(groups)).astype(np.int64)
+        order = np.lexsort((h, key, group))
+        key, n, h, df, group = key[order], n[order], h[order], df[order], group[order]
+        code = np.minimum(255, np.ceil(8 * np.log2(df))).astype(np.uint8)
+        ids = (h << np.uint64(20)) | np.uint64(bucket & 0xFFFFF)
+        cut = np.searchsorted(group, np.arange(groups + 1))
         out = []
-        for g in np.unique(group):
-            pick = np.flatnonzero(group == g)
-            take = np.concatenate([np.arange(begin[i], begin[i] + n_shared[i]) for i in pick])
-            out.append((int(g), own[pick].tobytes(), size[pick].astype("<u4").tobytes(), n_shared[pick].astype("<u4").tobytes(), ids[take].tobytes(), code[take].tobytes()))
+        for g in range(groups):
+            s, e = cut[g], cut[g + 1]
+            if s < e:
+                own, first, size = np.unique(key[s:e], return_index=True, return_counts=True)
+                out.append((g, own.tobytes(), n[s:e][first].astype("<u4").tobytes(), size.astype("<u4").tobytes(), ids[s:e].tobytes(), code[s:e].tobytes()))
         return pd.DataFrame(out, columns=["grp", "keys", "sizes", "shared", "ids", "codes"])
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        """For one group of sets: whole sizes and shared shingles; those that can't reach the threshold go."""
+        """For one group of sets: those that share enough of what they dealt, and their cells."""
         get = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in rows[c]])
         key, size, shared = get("keys", "<u8"), get("sizes", "<u4").astype(np.int64), get("shared", "<u4").astype(np.int64)
         ids, code = get("ids", "<u8"), get("codes", np.uint8)
-        own, inv = np.unique(key, return_inverse=True)
-        n = np.bincount(inv, size, len(own)).astype(np.int64)
-        s = np.bincount(inv, shared, len(own)).astype(np.int64)
-        least = -(-percent * n // 100)
+        own, first, inv = np.unique(key, return_index=True, return_inverse=True)
+        n, s = size[first], np.bincount(inv, shared, len(own)).astype(np.int64)
+        dealt, spare = prefix(n, percent)
+        may = s > spare
         of = np.repeat(inv, shared)
-        may = s >= least
-        pick = may[of]
-        of, ids, code = of[pick], ids[pick], code[pick]
         order = np.lexsort((ids, code, of))
         of, ids = of[order], ids[order]
         cut = np.searchsorted(of, np.arange(len(own) + 1))
-        out = []
-        for i in np.flatnonzero(may):
-            mine = ids[cut[i] : cut[i + 1]]
-            reach = int(n[i] - least[i] + 1 - (n[i] - s[i]))  # of the first n - least + 1 shingles, its own alone come first
-            out.append((int(key_signed(own[i])), int(n[i]), mine.tobytes(), mine[:reach].view(np.int64).tolist()))
-        return pd.DataFrame(out, columns=["key", "n", "ids", "cells"])
+        reach = s - spare  # rarest first, those alone in a set come before the shared ones
+        out = [(int(key_signed(own[i])), int(n[i]), ids[cut[i] : cut[i] + reach[i]].view(np.int64).tolist()) for i in np.flatnonzero(may)]
+        return pd.DataFrame(out, columns=["key", "n", "cells"])
 
     src = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     packed = src.mapInPandas(deal, "bucket int, packed binary")
     counted = packed.groupBy("bucket").applyInPandas(count, "grp int, keys binary, sizes binary, shared binary, ids binary, codes binary")
-    return counted.groupBy("grp").applyInPandas(gather, "key long, n long, ids binary, cells array<long>")
+    return counted.groupBy("grp").applyInPandas(gather, "key long, n long, cells array<long>")
+
+
+def candidate_sets(docs: DataFrame, cand: DataFrame, k: int, text_col: str) -> DataFrame:
+    """key, ids (all shingles, 8 bytes each) of the candidates, from their texts; a fixed-size filter spares the others."""
+    sift = sift_of(cand)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = b["text"].tolist()
+            for lo, hi in slices([len(t or "") for t in texts], 4_000_000):
+                at, h, size, key = shingle_sets(texts[lo:hi], k)
+                cut = np.append(0, np.cumsum(size))
+                pick = np.flatnonzero(in_sift(sift, key) & (size > 0))
+                pick = pick[np.unique(key[pick], return_index=True)[1]]
+                yield pd.DataFrame({"key": key[pick].view(np.int64), "ids": [h[cut[i] : cut[i + 1]].tobytes() for i in pick]})
+
+    src = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    return src.mapInPandas(run, "key long, ids binary").dropDuplicates(["key"])
 
 
 def key_signed(u: np.uint64) -> np.int64:
@@ -297,8 +328,8 @@ def tree_links(sets: list[np.ndarray], n: np.ndarray, percent: int, side: np.nda
     return out
 
 
-def links(cand: DataFrame, percent: int) -> DataFrame:
-    """(a, b) keys of true links that span the components of the candidate sets."""
+def links(cand: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) keys of true links that span the components of the candidates; sets: their key and ids."""
     spark = cand.sparkSession
     cell = cand.select("key", F.explode("cells").alias("cell"))
     low = cell.groupBy("cell").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cell", "low")
@@ -307,7 +338,7 @@ def links(cand: DataFrame, percent: int) -> DataFrame:
     part = part.unionByName(part.select(F.col("component").alias("node"), "component").distinct())
     big = part.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     part = part.join(big, "component").select(F.col("node").alias("key"), "component", F.ceil(F.col("members") / BLOCK_SETS).cast("int").alias("blocks"))
-    part = cand.drop("cells").join(part, "key").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("key"), F.col("blocks"))).otherwise(0).cast("int"))
+    part = sets.join(cand.drop("cells").join(part, "key"), "key").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("key"), F.col("blocks"))).otherwise(0).cast("int"))
     part = materialize(part, "parts")
     tasks = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     small = part.where("blocks = 1").select("key", "n", "ids", "component", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("cell"))
@@ -336,7 +367,7 @@ def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     """
     sets = materialize(document_sets(docs, k, id_col, text_col), "sets")
     cand = materialize(candidates(docs, k, percent, text_col), "candidates")
-    joined = components(links(cand, percent))
+    joined = components(links(cand, candidate_sets(docs, cand, k, text_col), percent))
     keys = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("low"))
     keys = keys.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     lows = keys.groupBy("component").agg(F.min("low").alias("component_id"))

@@ -110,6 +110,27 @@ def slices(lengths: list[int], most: int):
         yield begin, len(lengths)
 
 
+# --- a fixed-size filter over keys ------------------------------------------------------------------------------------
+
+#: Bits of the filter that says which texts may need another look (false positives only cost time; 1 MB at any size).
+SIFT_BITS = 1 << 23
+
+
+def sift_of(keys: DataFrame) -> np.ndarray:
+    """Fixed-size bit filter over a column `key`; SIFT_BITS / 32 rows reach the driver at most."""
+    slot = F.pmod(F.col("key"), F.lit(SIFT_BITS))
+    words = keys.select(F.shiftright(slot, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(key, {SIFT_BITS}) % 32 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(SIFT_BITS // 32, np.uint32)
+    for r in words.collect():
+        out[r["w"]] = r["b"]
+    return out
+
+
+def in_sift(sift: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys % np.uint64(SIFT_BITS)
+    return (sift[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+
+
 # --- connected components -------------------------------------------------------------------------------------------
 
 

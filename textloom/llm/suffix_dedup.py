@@ -25,14 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, mix, slices, span_hashes, table
+from .shared import in_sift, materialize, mix, sift_of, slices, span_hashes, table
 
 LENGTH = 200
 #: A perfect difference set, every residue modulo 133 is a difference of two members.
 COVER_MOD, COVER = 133, (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 BUCKET_BYTES, GROUP_BYTES = 16_000_000, 8_000_000
-#: Bits of the fixed-size filter that says which texts may need another look (false positives only cost time).
-SIFT_BITS = 1 << 23
 _COVER = np.array(COVER)
 _IN_COVER = np.isin(np.arange(COVER_MOD), _COVER)
 
@@ -166,21 +164,6 @@ def removed_runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, brk + 1)].tolist(), (starts[np.append(brk, len(starts) - 1)] + length).tolist(), strict=True))
 
 
-def sift_of(keys: DataFrame) -> np.ndarray:
-    """Fixed-size bit filter over a column `key`; SIFT_BITS / 32 rows reach the driver at most."""
-    slot = F.pmod(F.col("key"), F.lit(SIFT_BITS))
-    words = keys.select(F.shiftright(slot, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(key, {SIFT_BITS}) % 32 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(SIFT_BITS // 32, np.uint32)
-    for r in words.collect():
-        out[r["w"]] = r["b"]
-    return out
-
-
-def in_sift(sift: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys % np.uint64(SIFT_BITS)
-    return (sift[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of (start, end) bytes).
 
