@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("textloom.operators.signals", "textloom.operators.condense", "textloom.operators.records", "textloom.operators.relevance", "textloom.operators.accounting", "textloom.operators.conversation")
+MODULES = ("textloom.operators.signals", "textloom.operators.condense", "textloom.operators.records", "textloom.operators.relevance", "textloom.operators.accounting", "textloom.operators.conversation", "textloom.streaming.sse", "textloom.streaming.ledger")
 
 
 def queries() -> dict:
