@@ -208,10 +208,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             texts = b["text"].tolist()
             for lo, hi in slices([len(t or "") for t in texts], 4_000_000):
                 own = texts[lo:hi]
-                prob, wins = pooled(model, own)
+                prob, wins = pooled(model, own) if model.langs else (None, np.zeros((len(own), 1), np.int64))
                 rows = []
                 for i, t in enumerate(own):
-                    n = int(wins[i].sum()) if model.langs else 0
+                    n = int(wins[i].sum())
                     if not model.langs or not t or not b["letters"].iat[lo + i]:
                         rows.append((UNDETERMINED, 0.0, n, 0.0))
                     else:
