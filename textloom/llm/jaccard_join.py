@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, in_sift, materialize, mix, sift_of, slices, span_hashes, table, text_bytes, words_of
+from .shared import SLICE, components, in_sift, materialize, mix, sift_of, slices, span_hashes, table, text_bytes, words_of
 
 SHINGLE, PERCENT = 5, 80
 #: Text bytes for each bucket of shingles, rows for each group of documents, sets in one block of a large component.
@@ -72,7 +72,7 @@ def document_sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["text"].tolist()
-            for lo, hi in slices([len(t or "") for t in texts], 4_000_000):
+            for lo, hi in slices([len(t or "") for t in texts], SLICE):
                 _, _, size, key = shingle_sets(texts[lo:hi], k)
                 out = pd.DataFrame({"n_shingles": size.astype(np.int64), "key": pd.array(key.view(np.int64), "Int64")})
                 out.loc[size == 0, "key"] = pd.NA
@@ -124,7 +124,7 @@ def candidates(docs: DataFrame, k: int, percent: int, text_col: str) -> DataFram
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["text"].tolist()
-            for lo, hi in slices([len(t or "") for t in texts], 4_000_000):
+            for lo, hi in slices([len(t or "") for t in texts], SLICE):
                 at, h, size, key = shingle_sets(texts[lo:hi], k)
                 once = np.zeros(len(key), bool)  # copies within the slice are dealt once
                 once[np.unique(key, return_index=True)[1]] = True
@@ -205,7 +205,7 @@ def candidate_sets(docs: DataFrame, cand: DataFrame, k: int, text_col: str) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["text"].tolist()
-            for lo, hi in slices([len(t or "") for t in texts], 4_000_000):
+            for lo, hi in slices([len(t or "") for t in texts], SLICE):
                 at, h, size, key = shingle_sets(texts[lo:hi], k)
                 cut = np.append(0, np.cumsum(size))
                 pick = np.flatnonzero(in_sift(sift, key) & (size > 0))

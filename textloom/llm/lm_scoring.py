@@ -13,12 +13,16 @@ the weights.
 from __future__ import annotations
 
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import FOLDS, fold, materialize, mix, slices, span_hashes, table, text_bytes, words_of
+from .shared import SLICE, FOLDS, fold, materialize, mix, slices, span_hashes, table, text_bytes, words_of
 
 BATCH_BYTES, BUCKET_BYTES = 8_000_000, 8_000_000
 #: Every DELETED-th training document (by hash) is held out for the weights.
@@ -53,7 +57,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _wanted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of a batch (words and bigrams, bigrams marked by their top bit) with local counts."""
     parts = []
-    for s, e in slices([len(t or "") for t in texts], 4_000_000):
+    for s, e in slices([len(t or "") for t in texts], SLICE):
         tok, pair, _ = grams(texts[s:e])
         parts.append(np.unique(np.concatenate([tok & _WORD, pair | _PAIR]), return_counts=True))
     h = np.concatenate([p[0] for p in parts])
@@ -61,12 +65,31 @@ def _wanted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return own, np.bincount(inv, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
 
+#: Names within a bucket are 47 bits and a mark for bigrams; with the bucket's own bits that is about 54 for this input.
 _PAIR = np.uint64(1 << 63)
 _WORD = np.uint64((1 << 63) - 1)
+_NAME = np.uint64((1 << 47) - 1)
 
 
 def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(12)) % np.uint64(buckets)).astype(np.int64)
+    return (mix(h & _WORD) % np.uint64(buckets)).astype(np.int64)
+
+
+def _names(h: np.ndarray) -> np.ndarray:
+    """48-bit names, ascending order of words before bigrams kept by sorting."""
+    return (h & _NAME) | ((h & _PAIR) >> np.uint64(16))
+
+
+def _pack_names(sorted_names: np.ndarray) -> bytes:
+    """Ascending names as differences: 32 low bits, then the 16 high ones, which are small and compress."""
+    d = np.diff(sorted_names, prepend=np.uint64(0))
+    return (d & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (d >> np.uint64(32)).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def _unpack_names(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    high = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 2 * n, 4 * n).reshape(2, n).T).view("<u2").ravel()
+    return np.cumsum(np.frombuffer(raw, "<u4", n).astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
 
 
 def _varint(x: np.ndarray) -> bytes:
@@ -79,7 +102,7 @@ def _unvarint(raw: bytes) -> np.ndarray:
 
 
 def batched(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """docs with columns id, text, part and batch (equal rows may share a batch; a batch has one part)."""
+    """docs as packed rows of batch, part and blob (ids and texts, compressed); a batch has one part."""
     n = max(1, -(-text_bytes(docs, text_col) // BATCH_BYTES))
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     u = F.xxhash64("id", "text", F.lit(3))
@@ -87,28 +110,45 @@ def batched(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     part = F.when(held_out, OUT).when(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(DELETED)) == 0, HELD).otherwise(MAIN)
     share = F.when(F.col("part") == OUT, max(1, n // FOLDS)).when(F.col("part") == HELD, max(1, n // DELETED)).otherwise(n)
     src = src.withColumn("part", part)
-    return src.withColumn("batch", (F.pmod(u, share) * 3 + F.col("part")).cast("long")), n
+    src = src.withColumn("batch", (F.pmod(u, share) * 3 + F.col("part")).cast("long"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, p, zstandard.compress(pickle.dumps((own["id"].tolist(), own["text"].tolist())), 3)) for (k, p), own in b.groupby(["batch", "part"])]
+            yield pd.DataFrame(rows, columns=["batch", "part", "blob"])
+
+    return src.mapInPandas(pack, "batch long, part int, blob binary"), n
+
+
+def unpacked(rows: pd.DataFrame) -> tuple[list, list[str]]:
+    """(ids, texts) of a batch's packed rows."""
+    ids, texts = [], []
+    for blob in rows["blob"]:
+        i, t = pickle.loads(zstandard.decompress(blob))
+        ids += i
+        texts += t
+    return ids, texts
 
 
 def answers(src: DataFrame, buckets: int) -> DataFrame:
     """For each batch and bucket: main and held-out counts of the batch's distinct hashes of that bucket, in order."""
 
     def ask(rows: pd.DataFrame) -> pd.DataFrame:
-        own, count = _wanted(rows["text"].tolist())
+        own, count = _wanted(unpacked(rows)[1])
         bucket = _bucket_of(own, buckets)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((_names(own), bucket))
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         batch, part = int(rows["batch"].iat[0]), int(rows["part"].iat[0])
-        out = [(i, batch, part, own[o].astype("<u8").tobytes(), _varint(count[o])) for i in range(buckets) if len(o := order[cut[i] : cut[i + 1]])]
+        out = [(i, batch, part, _pack_names(_names(own[o])), _varint(count[o])) for i in range(buckets) if len(o := order[cut[i] : cut[i + 1]])]
         return pd.DataFrame(out, columns=["bucket", "batch", "part", "hashes", "counts"])
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(x, "<u8") for x in rows["hashes"]]
+        parts = [_unpack_names(x) for x in rows["hashes"]]
         kind = np.repeat(rows["part"].to_numpy(), [len(p) for p in parts])
         count = np.concatenate([_unvarint(x) for x in rows["counts"]])
         own, inv = np.unique(np.concatenate(parts), return_inverse=True)
         main, held = (np.bincount(inv, np.where(kind == k, count, 0), len(own)).astype(np.int64) for k in (MAIN, HELD))
-        word = own < _PAIR
+        word = own <= _NAME
         sums = [int((main + held)[word].sum()), int(((main + held)[word] > 0).sum()), int(main[word].sum())]
         at = np.cumsum([0, *map(len, parts)])
         out = [(b, int(rows["bucket"].iat[0]), _varint(main[i]), _varint(held[i]), sums if k == 0 else [0, 0, 0]) for k, b in enumerate(rows["batch"]) for i in [inv[at[k] : at[k + 1]]]]
@@ -123,8 +163,7 @@ class Counts:
 
     def __init__(self, texts: list[str], answer: pd.DataFrame, buckets: int):
         own, self.local = _wanted(texts)
-        bucket = _bucket_of(own, buckets)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((_names(own), _bucket_of(own, buckets)))
         answer = answer.sort_values("bucket")
         self.own = own
         self.main, self.held = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
@@ -171,7 +210,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     src, n = batched(docs, id_col, text_col)
     buckets = max(1, n)
-    kind = dict(src.dtypes)["id"]
+    kind = dict(docs.dtypes)[id_col]
     told = materialize(answers(src, buckets), "answers")
     sums = told.agg(*[F.sum(F.col("sums")[i]) for i in range(3)]).first()
     total, vocab, main_total = (int(x or 0) for x in sums)
@@ -179,10 +218,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def cells(key, rows: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         """Held-out occurrences by context bucket and binned main-part estimates."""
-        texts = rows["text"].tolist()
+        texts = unpacked(rows)[1]
         c = Counts(texts, answer, buckets)
         out = []
-        for s, e in slices([len(t) for t in texts], 4_000_000):
+        for s, e in slices([len(t) for t in texts], SLICE):
             tok, pair, _ = grams(texts[s:e])
             one, two = c.main[c.at(tok & _WORD)], c.main[c.at(pair | _PAIR)]
             context = np.append(c.main[c.at(np.array([_END & _WORD]))], one[:-1])
@@ -201,13 +240,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = expectation_maximisation(np.array(sorted(map(tuple, table_)), float).reshape(-1, 4), log_uniform)
 
     def score(key, rows: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
-        texts = rows["text"].tolist()
+        ids, texts = unpacked(rows)
         if not texts:
             return pd.DataFrame(columns=["id", "n_tokens", "n_known", "base_score", "score"])
         c = Counts(texts, answer, buckets)
         both = c.main + c.held
         out = []
-        for s, e in slices([len(t) for t in texts], 4_000_000):
+        for s, e in slices([len(t) for t in texts], SLICE):
             tok, pair, doc = grams(texts[s:e])
             one, two = both[c.at(tok & _WORD)], both[c.at(pair | _PAIR)]
             context = np.append(both[c.at(np.array([_END & _WORD]))], one[:-1])
@@ -218,7 +257,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             m = e - s
             out.append(pd.DataFrame({"n_tokens": np.bincount(doc, minlength=m), "n_known": np.bincount(doc, one > 0, m).astype(np.int64), "base_score": np.bincount(doc, base, m), "score": np.bincount(doc, np.log10(p), m)}))
         frame = pd.concat(out, ignore_index=True)
-        frame.insert(0, "id", rows["id"].array)
+        frame.insert(0, "id", pd.Series(ids, dtype="Int64") if kind in ("bigint", "int") else ids)
         return frame
 
     scored = src.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(score, f"id {kind}, n_tokens long, n_known long, base_score double, score double")

@@ -53,7 +53,7 @@ _POW: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64, kept between batches of one task."""
     if len(_POW.get("p", ())) <= n:
-        size = 1 << max(16, int(n + 1).bit_length())
+        size = n + n // 4 + 1
         for key, m in (("p", _MULT), ("q", _MULT_INV)):
             full = np.full(size, np.uint64(m), np.uint64)
             full[0] = 1
@@ -98,6 +98,10 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return buf, starts, ends, np.searchsorted(text_ends, starts, side="right")
 
 
+#: Characters of text that a task hashes at a time; about 50 bytes of arrays each.
+SLICE = 1_500_000
+
+
 def slices(lengths: list[int], most: int):
     """Cut a run of items into slices of at most `most` units (a larger item stands alone)."""
     begin, total = 0, 0

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import in_sift, materialize, mix, sift_of, slices, span_hashes, table
+from .shared import SLICE, in_sift, materialize, mix, sift_of, slices, span_hashes, table
 
 LENGTH = 200
 #: A perfect difference set, every residue modulo 133 is a difference of two members.
@@ -181,13 +181,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             raws = [raw_of(t) for t in b["text"].tolist()]
-            yield pd.DataFrame({"id": b["id"].array, "key": np.concatenate([text_keys(raws[s:e]).view(np.int64) for s, e in slices([len(r) for r in raws], 4_000_000)]), "n_bytes": [len(r) for r in raws], "sha": [hashlib.sha256(r).hexdigest() for r in raws]}) if len(b) else pd.DataFrame(columns=["id", "key", "n_bytes", "sha"])
+            yield pd.DataFrame({"id": b["id"].array, "key": np.concatenate([text_keys(raws[s:e]).view(np.int64) for s, e in slices([len(r) for r in raws], SLICE)]), "n_bytes": [len(r) for r in raws], "sha": [hashlib.sha256(r).hexdigest() for r in raws]}) if len(b) else pd.DataFrame(columns=["id", "key", "n_bytes", "sha"])
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = len(COVER)
         for b in batches:
             raws = [r for r in map(raw_of, b["text"].tolist()) if len(r) >= length]
-            for s, e in slices([len(r) for r in raws], 4_000_000):
+            for s, e in slices([len(r) for r in raws], SLICE):
                 own = raws[s:e]
                 keys = text_keys(own)
                 once = np.unique(keys, return_index=True)[1]
@@ -211,7 +211,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             raws = [raw_of(t) for t in b["text"].tolist()]
-            keys = np.concatenate([text_keys(raws[s:e]) for s, e in slices([len(r) for r in raws], 4_000_000)]) if raws else np.zeros(0, np.uint64)
+            keys = np.concatenate([text_keys(raws[s:e]) for s, e in slices([len(r) for r in raws], SLICE)]) if raws else np.zeros(0, np.uint64)
             keep = in_sift(sift, keys)
             yield pd.DataFrame({"key": keys[keep].view(np.int64), "raw": [r for r, k in zip(raws, keep, strict=True) if k]})
 
@@ -220,7 +220,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for s, e in slices([len(r) for r in b["raw"]], 4_000_000):
+            for s, e in slices([len(r) for r in b["raw"]], SLICE):
                 keys, places, hashes = [], [], []
                 for r in b.iloc[s:e].itertuples():
                     at = starts_of(r.lo, r.hi, len(r.raw), length)
@@ -239,7 +239,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def original(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             raws = [raw_of(t) for t in b["text"].tolist()]
-            keys = np.concatenate([text_keys(raws[s:e]) for s, e in slices([len(r) for r in raws], 4_000_000)]) if raws else np.zeros(0, np.uint64)
+            keys = np.concatenate([text_keys(raws[s:e]) for s, e in slices([len(r) for r in raws], SLICE)]) if raws else np.zeros(0, np.uint64)
             keep = in_sift(sift, keys)
             yield pd.DataFrame({"id": b["id"].array, "key": keys.view(np.int64), "n_bytes": [len(r) for r in raws], "sha": [hashlib.sha256(r).hexdigest() for r in raws], "raw": [r if k and len(r) >= length else None for r, k in zip(raws, keep, strict=True)]})
 
