@@ -49,7 +49,7 @@ def estimated_tokens(c: Column) -> Column:
     count = lambda p: F.regexp_count(c, F.lit(p))
     word = count("[A-Za-z]") - dense
     total = F.ceil(2 * word / 7) + F.ceil(count("[0-9]") / 2) + F.ceil(2 * dense / 3) + count(r"[\x00-\x08\x0E-\x1F!-/:-@\[-`{-\x7F]") + 2 * count(rf"[^\x00-\x7F{WS}]") + space
-    return F.when(c == "", F.lit(0)).otherwise(F.greatest(F.lit(1), total)).cast("long")
+    return F.when(c.isNull(), F.lit(None)).when(c == "", F.lit(0)).otherwise(F.greatest(F.lit(1), total)).cast("long")
 
 
 def template(line: Column) -> Column:
