@@ -227,11 +227,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return src.mapInPandas(run, f"id {kind}, lang_pred string, score double, positions long, agree double").withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.35) -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a letter and a best language of at least `least`.
+def keep_identified(docs: DataFrame, model: Model, least: float | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a letter and a best language of at least `least` (by
+    default 1.2 times the probability of a guess).
 
     With a model that knows no language, every text with a letter stays.
     """
+    least = 1.2 / max(2, len(model.langs)) if least is None else least
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
