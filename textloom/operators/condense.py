@@ -43,8 +43,8 @@ def log_digest(ln: DataFrame) -> DataFrame:
 
 
 def parse_hits(ln: DataFrame) -> DataFrame:
-    """doc_id, line_no, path, number, hit of lines shaped path:line:text."""
-    p = r"^([^:]+):([0-9]+):(.*)$"
+    """doc_id, line_no, path, number, hit of lines shaped path:line:text or path:line:column:text."""
+    p = r"^([^:]*[/.\\][^:]*):([0-9]+):(?:[0-9]+:)?(.*)$"
     return ln.where(F.regexp_like("line", F.lit(p))).select("doc_id", "line_no", F.regexp_extract("line", p, 1).alias("path"), F.regexp_extract("line", p, 2).cast("long").alias("number"), F.regexp_extract("line", p, 3).alias("hit"))
 
 
@@ -153,7 +153,7 @@ _TPL = f"{LOG_SQL}, tp AS (SELECT doc_id, {_TEMPLATE} AS template, count(*) AS n
 _LOGD = f"""{_TPL}, bd AS (SELECT doc_id, sum(n)::BIGINT AS lines, count(*) AS patterns, string_agg('x' || n || ' ' || template || CASE WHEN example <> template THEN chr(10) || '     e.g. ' || example ELSE '' END, chr(10) ORDER BY first_line) AS body FROM tp GROUP BY 1),
  sv AS (SELECT doc_id, count(*) AS k, string_agg('  ' || line, chr(10) ORDER BY line_no) AS severe FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM log_lines WHERE {_WORDS('|'.join(T.SEVERITIES))}) WHERE r <= {MAX_SEVERITY} GROUP BY 1),
  logd AS (SELECT doc_id, CASE WHEN lines >= {MIN_LOG_LINES} AND patterns < lines THEN '[' || lines || ' lines, ' || patterns || ' patterns]' || chr(10) || body || CASE WHEN k > 0 THEN chr(10) || chr(10) || 'errors and warnings (' || k || '):' || chr(10) || severe ELSE '' END END AS digest FROM bd LEFT JOIN sv USING (doc_id))"""
-_SEAD = rf"""{SEARCH_SQL}, h AS (SELECT doc_id, line_no, regexp_extract(line, '^([^:]+):([0-9]+):(.*)$', 1) AS path, regexp_extract(line, '^([^:]+):([0-9]+):(.*)$', 2)::BIGINT AS number, regexp_extract(line, '^([^:]+):([0-9]+):(.*)$', 3) AS hit FROM search_lines WHERE regexp_matches(line, '^([^:]+):([0-9]+):(.*)$')),
+_SEAD = rf"""{SEARCH_SQL}, h AS (SELECT doc_id, line_no, regexp_extract(line, '^([^:]*[/.\\][^:]*):([0-9]+):(?:[0-9]+:)?(.*)$', 1) AS path, regexp_extract(line, '^([^:]*[/.\\][^:]*):([0-9]+):(?:[0-9]+:)?(.*)$', 2)::BIGINT AS number, regexp_extract(line, '^([^:]*[/.\\][^:]*):([0-9]+):(?:[0-9]+:)?(.*)$', 3) AS hit FROM search_lines WHERE regexp_matches(line, '^([^:]*[/.\\][^:]*):([0-9]+):(?:[0-9]+:)?(.*)$')),
  f0 AS (SELECT doc_id, path, count(*) AS n, min(line_no) AS first_line FROM h GROUP BY 1, 2), f1 AS (SELECT *, row_number() OVER w AS pos, sum(least(n, {PER_FILE})) OVER w - least(n, {PER_FILE}) AS before FROM f0 WINDOW w AS (PARTITION BY doc_id ORDER BY first_line)),
  f AS (SELECT *, greatest(0, least(least(n, {PER_FILE}), {TOTAL_HITS} - before))::BIGINT AS shown FROM f1 WHERE pos <= {MAX_FILES}), hr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, path ORDER BY line_no) AS r FROM h),
  tx AS (SELECT hr.doc_id, hr.path, string_agg('  ' || number || ':' || hit, chr(10) ORDER BY line_no) AS rows_ FROM hr JOIN f USING (doc_id, path) WHERE r <= shown GROUP BY 1, 2),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("textloom.operators.signals", "textloom.operators.condense", "textloom.operators.records", "textloom.operators.relevance", "textloom.operators.accounting", "textloom.operators.conversation", "textloom.operators.bodies", "textloom.operators.diffs", "textloom.streaming.sse", "textloom.streaming.ledger", "textloom.streaming.usage")
+MODULES = ("textloom.operators.signals", "textloom.operators.condense", "textloom.operators.records", "textloom.operators.relevance", "textloom.operators.accounting", "textloom.operators.conversation", "textloom.operators.bodies", "textloom.operators.diffs", "textloom.streaming.sse", "textloom.streaming.ledger", "textloom.streaming.usage", "textloom.plans.requests")
 
 
 def queries() -> dict:
