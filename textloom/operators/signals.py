@@ -19,26 +19,27 @@ def detect(b: DataFrame) -> DataFrame:
 
     Ratios over a block's lines are compared by whole numbers. JSON is what parses as an object or array.
     """
-    ln = block_lines(b).withColumn("blank", T.strip(F.col("line")) == "")
+    ln = block_lines(b.select("block_id", T.strip(F.col("content")).alias("content"))).withColumn("blank", T.strip(F.col("line")) == "")
     head = F.regexp_like(F.col("line"), F.lit("^--- "))
     ln = ln.withColumn("nxt", F.lead("line").over(Window.partitionBy("block_id").orderBy("line_no")))
+    hunk = F.startswith("line", F.lit("@@")) & F.regexp_like(F.col("line"), F.lit(rf"@@[{T.WS}]*$"))
     one = lambda c: F.sum(F.when(c & ~F.col("blank"), 1).otherwise(0))
     stamp = F.regexp_like(F.col("line"), F.lit(rf"^[{T.WS}]*[\[(]*([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}})"))
     stat = ln.groupBy("block_id").agg(
         one(F.lit(True)).alias("n"), one(F.regexp_like(F.col("line"), F.lit(r"^[^:]*[/.\\][^:]*:[0-9]+(:|$)"))).alias("hits"), one(stamp).alias("stamps"), one(T.has_word(F.col("line"), *T.LOG_LEVELS)).alias("levels"),
-        one(F.regexp_like(F.col("line"), F.lit(f"^[{T.WS}]"))).alias("indented"),
-        F.max((head & F.startswith("nxt", F.lit("+++ "))) | F.startswith("line", F.lit("diff --git "))).alias("diff_mark"), F.max(F.regexp_like(F.col("line"), F.lit("^@@.*@@"))).alias("hunk"),
+        one(F.regexp_like(F.col("line"), F.lit("^(  |\t)"))).alias("indented"),
+        F.max((head & F.startswith("nxt", F.lit("+++ "))) | F.startswith("line", F.lit("diff --git "))).alias("diff_mark"), F.max(hunk).alias("hunk"),
+        F.max(~head & ~hunk & F.regexp_like(F.col("line"), F.lit("^[-+].")) & ~F.startswith("line", F.lit("diff --git "))).alias("change"),
     )
     t = F.col("content")
     joined = b.join(stat, "block_id", "left")
     trimmed = T.strip(t)
     is_json = F.regexp_like(trimmed, F.lit(r"(?s)^(\{.*\}|\[.*\])\z")) & F.get_json_object(trimmed, "$").isNotNull()
     words = sum((F.contains(t, F.lit(w)).cast("int") for w in T.CODE_WORDS), F.lit(0))
-    brackets = F.regexp_count(t, F.lit(r"[{}();]")) * 100 >= 2 * F.octet_length(t)
-    indent = F.col("indented") * 10 >= 3 * F.col("n")
-    n = F.col("n")
-    code = F.when((words >= 4) & brackets & indent, 0.95).when((words >= 3) & (brackets | indent), 0.85).when((words >= 2) & brackets & indent, 0.75)
-    diff = F.when(F.col("diff_mark") & F.col("hunk"), 1.0).when(F.col("diff_mark"), 0.85)
+    marks = 100 * F.regexp_count(trimmed, F.lit(r"[{}()\[\];]"))
+    size, n = F.octet_length(trimmed), F.col("n")
+    code = F.when((words >= 3) & (marks >= 2 * size), 0.95).when((words >= 2) & (marks >= 3 * size), 0.85).when(words >= 3, 0.75).when((words >= 1) & (marks >= 5 * size) & (10 * F.col("indented") >= 3 * n), 0.7)
+    diff = F.when(F.col("diff_mark") & F.col("hunk"), 1.0).when(F.col("diff_mark") & F.col("change"), 0.85).when(F.col("hunk") & F.col("change"), 0.8)
     search = F.when((n >= 2) & (5 * F.col("hits") >= 4 * n), 0.9).when((n >= 2) & (5 * F.col("hits") >= 3 * n), 0.7)
     log = F.when(n < 2, None).when(5 * F.col("stamps") >= 4 * n, 0.95).when((2 * F.col("stamps") >= n) | (5 * F.col("levels") >= 4 * n), 0.8).when(2 * F.col("levels") >= n, 0.65)
     found = F.when(F.coalesce(trimmed, F.lit("")) == "", F.struct(F.lit("unknown").alias("t"), F.lit(1.0).alias("c")))
@@ -135,14 +136,15 @@ _SCORE = "(" + " + ".join([f"3 * {_WORD(_LOW, w)}::INT" for w in T.ERROR_WORDS]
 _STRIP = lambda c: rf"regexp_replace({c}, '^[{_W}]+|[{_W}]+$', '', 'g')"
 _LN = f"ln AS (SELECT block_id, unnest(range(0, len(a)))::INT AS line_no, unnest(a) AS line FROM (SELECT block_id, {LINES_SQL} AS a FROM blocks))"
 _CODE = " + ".join(f"contains(content, '{w}')::INT" for w in T.CODE_WORDS)
-DETECT_SQL = rf"""{_LN}, l2 AS (SELECT *, {_STRIP("line")} = '' AS blank, lead(line) OVER (PARTITION BY block_id ORDER BY line_no) AS nxt FROM ln),
+DETECT_SQL = rf"""{_LN.replace("AS a FROM blocks", "AS a FROM (SELECT block_id, " + _STRIP("content") + " AS content FROM blocks)")}, l2 AS (SELECT *, {_STRIP("line")} = '' AS blank, lead(line) OVER (PARTITION BY block_id ORDER BY line_no) AS nxt FROM ln),
  st AS (SELECT block_id, count(*) FILTER (NOT blank) AS n, count(*) FILTER (NOT blank AND regexp_matches(line, '^[^:]*[/.\\][^:]*:[0-9]+(:|$)')) AS hits,
   count(*) FILTER (NOT blank AND regexp_matches(line, '^[{_W}]*[\[(]*([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}})')) AS stamps, count(*) FILTER (NOT blank AND {_WORD("line", "|".join(T.LOG_LEVELS))}) AS levels,
-  count(*) FILTER (NOT blank AND regexp_matches(line, '^[{_W}]')) AS indented, bool_or((starts_with(line, '--- ') AND coalesce(starts_with(nxt, '+++ '), false)) OR starts_with(line, 'diff --git ')) AS dm, bool_or(regexp_matches(line, '^@@.*@@')) AS hk FROM l2 GROUP BY 1),
- j AS (SELECT b.*, st.* EXCLUDE (block_id), {_CODE} AS words, 100 * {_COUNT("[{}();]")} >= 2 * strlen(content) AS br, 10 * indented >= 3 * n AS ind, {_STRIP("content")} AS tr FROM blocks b LEFT JOIN st USING (block_id)),
- det AS (SELECT block_id, kind, content, CASE WHEN coalesce(tr, '') = '' THEN ['unknown', '1'] WHEN left(tr, 1) IN ('{{', '[') AND json_valid(tr) THEN ['json', '1'] WHEN dm AND hk THEN ['diff', '1'] WHEN dm THEN ['diff', '0.85']
+  count(*) FILTER (NOT blank AND regexp_matches(line, '^(  |\t)')) AS indented, bool_or((starts_with(line, '--- ') AND coalesce(starts_with(nxt, '+++ '), false)) OR starts_with(line, 'diff --git ')) AS dm, bool_or(starts_with(line, '@@') AND regexp_matches(line, '@@[{_W}]*$')) AS hk,
+  bool_or(NOT starts_with(line, '--- ') AND NOT (starts_with(line, '@@') AND regexp_matches(line, '@@[{_W}]*$')) AND NOT starts_with(line, 'diff --git ') AND regexp_matches(line, '^[-+].')) AS ch FROM l2 GROUP BY 1),
+ j AS (SELECT b.*, st.* EXCLUDE (block_id), {_CODE} AS words, {_STRIP("content")} AS tr, 100 * len(regexp_extract_all({_STRIP("content")}, '[{{}}()\[\];]')) AS mk, strlen({_STRIP("content")}) AS sz FROM blocks b LEFT JOIN st USING (block_id)),
+ det AS (SELECT block_id, kind, content, CASE WHEN coalesce(tr, '') = '' THEN ['unknown', '1'] WHEN left(tr, 1) IN ('{{', '[') AND json_valid(tr) THEN ['json', '1'] WHEN dm AND hk THEN ['diff', '1'] WHEN dm AND ch THEN ['diff', '0.85'] WHEN hk AND ch THEN ['diff', '0.8']
   WHEN n >= 2 AND 5 * hits >= 4 * n THEN ['search', '0.9'] WHEN n >= 2 AND 5 * hits >= 3 * n THEN ['search', '0.7'] WHEN n >= 2 AND 5 * stamps >= 4 * n THEN ['log', '0.95'] WHEN n >= 2 AND (2 * stamps >= n OR 5 * levels >= 4 * n) THEN ['log', '0.8'] WHEN n >= 2 AND 2 * levels >= n THEN ['log', '0.65']
-  WHEN words >= 4 AND br AND ind THEN ['code', '0.95'] WHEN words >= 3 AND (br OR ind) THEN ['code', '0.85'] WHEN words >= 2 AND br AND ind THEN ['code', '0.75'] ELSE ['prose', '0.4'] END AS f FROM j)"""
+  WHEN words >= 3 AND mk >= 2 * sz THEN ['code', '0.95'] WHEN words >= 2 AND mk >= 3 * sz THEN ['code', '0.85'] WHEN words >= 3 THEN ['code', '0.75'] WHEN words >= 1 AND mk >= 5 * sz AND 10 * indented >= 3 * n THEN ['code', '0.7'] ELSE ['prose', '0.4'] END AS f FROM j)"""
 _GATE = " ".join(f"WHEN '{k}' THEN {v}" for k, v in THRESHOLDS.items())
 _LNSQL = f"WITH {BLOCKS_SQL}, {_LN}"
 
