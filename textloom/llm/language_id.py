@@ -25,8 +25,9 @@ HIDDEN = 8
 CORE, CONTEXT = 448, 24
 BATCH_WINDOWS = 1024
 PAD = 256
-#: Bound of the training sample: documents of each language, windows of a document, characters of a window.
-DOCS_PER_LANG, WINDOWS_PER_DOC, WINDOW_CHARS = 300, 3, 64
+#: Bound of the training sample: documents of each language, windows of a document, characters of a window, languages
+#: (those with most documents; ties by name).
+DOCS_PER_LANG, WINDOWS_PER_DOC, WINDOW_CHARS, MAX_LANGS = 300, 3, 64, 200
 STEPS, BATCH, RATE = 220, 128, 0.02
 UNDETERMINED = "und"
 
@@ -185,7 +186,7 @@ def pooled(m: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def training_windows(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> list[tuple[str, bytes]]:
     """A bounded sample: at most docs_per_lang documents of each language by hash order, WINDOWS_PER_DOC windows of each."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    share = known.groupBy("lang").agg((F.lit(2.0 * docs_per_lang) / F.count(F.lit(1))).alias("share"))
+    share = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).select("lang", (F.lit(2.0 * docs_per_lang) / F.col("n")).alias("share"))
     u = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / (1 << 20)).alias("u")
     near = known.select("doc_id", "lang", "text", u).join(F.broadcast(share), "lang").where("u < share")
     parts = [F.expr(f"substring(text, 1 + cast(pmod(xxhash64(doc_id, {i}), greatest(1, length(text) - {WINDOW_CHARS})) as int), {WINDOW_CHARS})") for i in range(WINDOWS_PER_DOC)]
