@@ -144,22 +144,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     Alternates large-star and small-star steps; each step is a grouped minimum, and every round is a written table.
     A node's neighbours are never gathered in one task: only minima are.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = materialize(e, "edges")
-    for _ in range(rounds):
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        t = materialize(df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+        return t, tuple(t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+    e, before = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")))
+    for _ in range(rounds if before[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = large.join(small_low, "u").select("u", F.col("m").alias("v")).unionByName(small)
-        nxt = nxt.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-        nxt = materialize(nxt, "edges")
-        # stars only: no node is both a child and a parent, and each child has one parent
-        stuck = nxt.select("v").distinct().join(nxt.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count() == 0
-        e = nxt
-        if stuck and e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() == 0:
+        step = large.join(small_low, "u")
+        e, now = written(step.select("u", F.col("m").alias("v")).unionByName(step.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))))
+        if now == before:  # nothing moves: every node hangs on its component's smallest
             break
+        before = now
     else:
-        raise RuntimeError("components did not converge")
+        if before[0]:
+            raise RuntimeError("components did not converge")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
