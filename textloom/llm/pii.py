@@ -23,8 +23,8 @@ from .shared import fold, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("out", *KINDS)
-#: Bound of the training sample, in documents that hold a candidate token.
-SAMPLE_DOCS = 3000
+#: Bound of the training sample: documents that hold a candidate token, and characters of each from its start.
+SAMPLE_DOCS, SAMPLE_CHARS = 1500, 4_000
 ROUNDS, ACCEPT = 6, 0.8
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -285,9 +285,9 @@ def show(spans: list[tuple[int, int, int]]) -> str:
 
 
 def sample_texts(docs: DataFrame, most: int = SAMPLE_DOCS) -> list[str]:
-    """At most `most` texts that hold a candidate, by hash order of their ids; the first 20,000 characters of each."""
+    """At most `most` texts that hold a candidate, by hash order of their ids; the first SAMPLE_CHARS characters of each."""
     marked = docs.where("text IS NOT NULL").where(F.regexp_like("text", F.lit("[0-9]{4}|@")))
-    rows = marked.select(F.xxhash64("doc_id", F.lit(5)).alias("u"), F.substring("text", 1, 20_000).alias("t")).orderBy("u", "t").limit(most).collect()
+    rows = marked.select(F.xxhash64("doc_id", F.lit(5)).alias("u"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).orderBy("u", "t").limit(most).collect()
     return [r["t"] for r in rows]
 
 
