@@ -47,6 +47,7 @@ def test_late_rows_are_dropped(spark, tmp_path):
     row = lambda t: (1, t, 1, "view", 2.5, "{}")
     add([row("2026-01-01 00:10:00"), row("2026-01-01 00:20:00")])
     add([row("2026-01-01 06:00:00")])
+    add([row("2026-01-01 06:10:00")])  # rows are compared with the watermark of the batch before
     add([row("2026-01-01 00:30:00"), row("2026-01-01 06:30:00")])
     schema = spark.read.parquet(str(tmp_path / "in")).schema
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
