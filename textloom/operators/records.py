@@ -94,6 +94,26 @@ def plan(r: DataFrame) -> DataFrame:
     return j.select("doc_id", "records", F.when(ok, F.col("shown")).alias("shown"), F.when(ok, F.col("records") - F.col("shown")).alias("elided"), F.when(ok, F.col("constants")).alias("constants"))
 
 
+def record_digest(r: DataFrame) -> DataFrame:
+    """doc_id, digest: counts, then fields that are constant or of few values in every record, then the anchors as JSON.
+
+    Null where a digest would not pay.
+    """
+    from .condense import in_order
+
+    stats = field_stats(r).where("present = records AND kind IN ('constant', 'low_cardinality')")
+    first = r.groupBy("doc_id", "field", "value").agg(F.min("rec_idx").alias("at"))
+    values = first.groupBy("doc_id", "field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda v: v["value"]), " | ").alias("values"))
+    line = F.when(F.col("kind") == "constant", F.concat(F.lit("all: "), "field", F.lit("="), "values")).otherwise(F.concat("field", F.lit(" one of: "), "values"))
+    fields = stats.join(values, ["doc_id", "field"]).groupBy("doc_id").agg(in_order(line, F.col("field_ord")).alias("fields"))
+    member = F.concat(F.lit('"'), "field", F.lit('":'), "value")
+    json = r.groupBy("doc_id", "rec_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("field_ord", member.alias("m")))), lambda v: v["m"]), ",").alias("j"))
+    shown = json.join(anchors(r), ["doc_id", "rec_idx"]).groupBy("doc_id").agg(in_order(F.concat(F.col("rec_idx").cast("string"), F.lit(": {"), "j", F.lit("}")), F.col("rec_idx")).alias("rows"))
+    p = plan(r).join(fields, "doc_id", "left").join(shown, "doc_id")
+    head = F.concat(F.lit("["), F.col("records").cast("string"), F.lit(" records, "), F.col("shown").cast("string"), F.lit(" shown, "), F.col("elided").cast("string"), F.lit(" elided]\n"))
+    return p.select("doc_id", F.concat(head, F.coalesce(F.concat("fields", F.lit("\n")), F.lit("")), "rows").alias("digest"))
+
+
 _R = """o AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS rec_idx, * FROM orders),
  r AS (SELECT *, try_cast(value AS DOUBLE) AS num FROM (SELECT doc_id, rec_idx, 0 AS field_ord, 'order_id' AS field, o_orderkey::VARCHAR AS value FROM o UNION ALL SELECT doc_id, rec_idx, 1, 'status', '"' || o_orderstatus || '"' FROM o UNION ALL SELECT doc_id, rec_idx, 2, 'priority', '"' || o_orderpriority || '"' FROM o
  UNION ALL SELECT doc_id, rec_idx, 3, 'total', floor(o_totalprice)::BIGINT::VARCHAR FROM o UNION ALL SELECT doc_id, rec_idx, 4, 'error', '"limit"' FROM o WHERE o_totalprice > 300000 UNION ALL SELECT doc_id, rec_idx, 5, 'kind', '"order"' FROM o)),
@@ -135,13 +155,22 @@ def q_record_plan(spark: SparkSession, d: str) -> DataFrame:
     return plan(order_records(spark, d))
 
 
-QUERIES = {"field_stats": q_field_stats, "field_roles": q_field_roles, "record_outliers": q_record_outliers, "record_anchors": q_record_anchors, "record_plan": q_record_plan}
+def q_record_digest(spark: SparkSession, d: str) -> DataFrame:
+    return record_digest(order_records(spark, d))
+
+
+_PLAN = """c AS (SELECT doc_id, array_to_string(list_sort(list(field || '=' || first_value)), ',') AS constants FROM fs WHERE kind = 'constant' AND present = records GROUP BY 1),
+ j AS (SELECT * FROM n JOIN (SELECT doc_id, count(*) AS shown FROM an GROUP BY 1) USING (doc_id) LEFT JOIN c USING (doc_id)), k AS (SELECT *, records >= 5 AND shown < records AND (constants IS NOT NULL OR 2 * shown < records) AS ok FROM j)"""
+QUERIES = {"record_digest": q_record_digest, "field_stats": q_field_stats, "field_roles": q_field_roles, "record_outliers": q_record_outliers, "record_anchors": q_record_anchors, "record_plan": q_record_plan}
 ORACLES = {
     "field_stats": f"WITH {_R} SELECT doc_id, field, n_distinct, present, records, kind FROM fs",
     "field_roles": f"WITH {_R}, {_ROLE} SELECT * FROM ro",
     "record_outliers": f"WITH {_R}, {_OUT} SELECT * FROM ou",
     "record_anchors": f"WITH {_R}, {_ROLE}, {_OUT}, {_ANC} SELECT * FROM an",
-    "record_plan": f"""WITH {_R}, {_ROLE}, {_OUT}, {_ANC}, c AS (SELECT doc_id, array_to_string(list_sort(list(field || '=' || first_value)), ',') AS constants FROM fs WHERE kind = 'constant' AND present = records GROUP BY 1),
- j AS (SELECT * FROM n JOIN (SELECT doc_id, count(*) AS shown FROM an GROUP BY 1) USING (doc_id) LEFT JOIN c USING (doc_id)), k AS (SELECT *, records >= 5 AND shown < records AND (constants IS NOT NULL OR 2 * shown < records) AS ok FROM j)
+    "record_digest": f"""WITH {_R}, {_ROLE}, {_OUT}, {_ANC}, {_PLAN}, v AS (SELECT doc_id, field, string_agg(value, ' | ' ORDER BY fst) AS vals FROM (SELECT doc_id, field, value, min(rec_idx) AS fst FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ fl AS (SELECT doc_id, string_agg(CASE fs.kind WHEN 'constant' THEN 'all: ' || field || '=' || vals ELSE field || ' one of: ' || vals END, chr(10) ORDER BY field_ord) AS fields FROM fs JOIN v USING (doc_id, field) WHERE present = records AND fs.kind IN ('constant', 'low_cardinality') GROUP BY 1),
+ js AS (SELECT doc_id, rec_idx, string_agg('"' || field || '":' || value, ',' ORDER BY field_ord) AS j FROM r GROUP BY 1, 2), sh AS (SELECT doc_id, string_agg(rec_idx || ': {{' || j || '}}', chr(10) ORDER BY rec_idx) AS rows_ FROM js JOIN an USING (doc_id, rec_idx) GROUP BY 1)
+ SELECT doc_id, CASE WHEN ok THEN '[' || records || ' records, ' || shown || ' shown, ' || (records - shown) || ' elided]' || chr(10) || coalesce(fields || chr(10), '') || rows_ END AS digest FROM k LEFT JOIN fl USING (doc_id) JOIN sh USING (doc_id)""",
+    "record_plan": f"""WITH {_R}, {_ROLE}, {_OUT}, {_ANC}, {_PLAN}
  SELECT doc_id, records, CASE WHEN ok THEN shown END AS shown, CASE WHEN ok THEN records - shown END AS elided, CASE WHEN ok THEN constants END AS constants FROM k""",
 }
