@@ -74,9 +74,10 @@ def template(line: Column) -> Column:
 
 
 def keyword_score(line: Column) -> Column:
-    low = ascii_lower(line)
-    hit = lambda w: has_word(low, w).cast("int")
-    return sum((3 * hit(w) for w in ERROR_WORDS), F.lit(0)) + sum((hit(w) for w in WARNING_WORDS), F.lit(0))
+    """3 for each error word and 1 for each warning word that a line holds as a whole word."""
+    words = F.split(ascii_lower(line), "[^0-9a-z_]+")
+    held = lambda names: F.size(F.array_intersect(words, F.array(*[F.lit(n) for n in names])))
+    return 3 * held(ERROR_WORDS) + held(WARNING_WORDS)
 
 
 def importance(line: Column) -> Column:
