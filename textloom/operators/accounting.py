@@ -104,7 +104,7 @@ def q_content_store(spark: SparkSession, d: str) -> DataFrame:
 
 def q_retrieve(spark: SparkSession, d: str) -> DataFrame:
     puts = _puts(spark, d)
-    asks = read(spark, d, "events").where("event_id % 5 = 0").select(F.col("event_id").alias("ask_id"), F.when(F.col("event_id") % 15 == 0, F.upper(T.content_hash(F.col("props")))).when(F.col("event_id") % 10 == 0, T.marker(F.col("event_type"))).otherwise(T.marker(F.col("props"))).alias("name"))
+    asks = read(spark, d, "events").select(F.col("event_id").alias("ask_id"), F.when(F.col("event_id") % 15 == 0, F.upper(T.content_hash(F.col("props")))).when(F.col("event_id") % 10 == 0, T.marker(F.col("event_type"))).otherwise(T.marker(F.col("props"))).alias("name"))
     now = puts.agg(F.max("stored_at").alias("m")).first()["m"]
     return retrieve(asks, store(puts), F.lit(now))
 

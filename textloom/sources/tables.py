@@ -44,7 +44,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("block_id"), F.lit("text").alias("kind"), F.col("text").alias("content"))
     page = read(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")), F.lit("tool_result"), "html")
     joined = lambda df, name: df.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("content")).select(F.concat(F.lit(f"{name}-"), F.col("doc_id").cast("string")), F.lit("tool_result"), "content")
-    o = read(spark, sf_dir, "orders").where("o_custkey % 20 = 0")
+    o = read(spark, sf_dir, "orders")
     item = F.concat(F.lit('{"id":'), F.col("o_orderkey").cast("string"), F.lit(',"status":"'), "o_orderstatus", F.lit('","priority":"'), "o_orderpriority", F.lit('"}'))
     rec = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("j")))), lambda s: s["j"]), ",").alias("j"))
     json = rec.select(F.concat(F.lit("json-"), F.col("o_custkey").cast("string")), F.lit("tool_result"), F.concat(F.lit("["), "j", F.lit("]")))
