@@ -4,19 +4,28 @@ import pytest
 
 from tests.compare import same
 from textloom import plans
+from textloom.sources.tables import LINES_SQL, SEARCH_SQL
 
-CUTS = {
-    "token_estimate": [(" WHERE o_custkey % 20 = 0", "")], "detect_content": [(" WHERE o_custkey % 20 = 0", "")], "content_markers": [(" WHERE o_custkey % 20 = 0", "")],
-    "retrieve": [(" WHERE event_id % 5 = 0", "")], "diff_digest": [(" WHERE l_orderkey % 3 = 0", "")],
-}
+_LINES = LINES_SQL.replace("content", "text")
+_HITS = rf"""search_lines AS (SELECT doc_id % 12 AS doc_id, (row_number() OVER (PARTITION BY doc_id % 12 ORDER BY doc_id, pos) - 1)::INT AS line_no,
+ 'src/' || lang || '/' || source || '.txt:' || (doc_id + 1) || ':' || regexp_replace(hit, '[\n\r:]', ' ', 'g') AS line
+ FROM (SELECT *, unnest(range(0, len(a))) AS pos, unnest(a) AS hit FROM (SELECT *, {_LINES} AS a FROM documents)))"""
+CUTS = [
+    (" WHERE o_custkey % 20 = 0", ""), (" WHERE event_id % 5 = 0", ""), (" WHERE l_orderkey % 3 = 0", ""),
+    ("substr(text, 1, 12)", "text"), ("substr(text, 1, 20)", "text"), (SEARCH_SQL, _HITS),
+]
+QUERIES = ["token_estimate", "detect_content", "content_markers", "retrieve", "diff_digest", "memories", "recall", "jsonl_memories", "search_digest"]
 
 
-@pytest.mark.parametrize("name", sorted(CUTS))
+def whole(sql):
+    for cut, without in CUTS:
+        sql = sql.replace(cut, without)
+    return sql
+
+
+@pytest.mark.parametrize("name", QUERIES)
 def test_matches_sql_without_cut(spark, duck, sf_dir, name):
-    sql = plans.oracle_sql()[name]
-    for cut, whole in CUTS[name]:
-        sql = sql.replace(cut, whole)
-    same(plans.queries()[name](spark, sf_dir), duck.execute(sql).fetchdf())
+    same(plans.queries()[name](spark, sf_dir), duck.execute(whole(plans.oracle_sql()[name])).fetchdf())
 
 
 def test_every_customer_has_a_block(spark, duck, sf_dir):

@@ -239,7 +239,7 @@ def q_pooled_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_jsonl_memories(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.when(F.col("turn") % 5 == 4, F.lit("not json")).otherwise(F.to_json(F.struct(F.substring("text", 1, 20).alias("content"), F.when(F.col("turn") % 2 == 0, F.col("role")).alias("source"), (F.col("conv_id") % 7 == 0).alias("sensitive")))).alias("line"))
+    c = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.when(F.col("turn") % 5 == 4, F.lit("not json")).otherwise(F.to_json(F.struct(F.col("text").alias("content"), F.when(F.col("turn") % 2 == 0, F.col("role")).alias("source"), (F.col("conv_id") % 7 == 0).alias("sensitive")))).alias("line"))
     return memories_from_jsonl(c)
 
 

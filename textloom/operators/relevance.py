@@ -71,7 +71,7 @@ def recall(memories: DataFrame, k: int = 8) -> DataFrame:
 
 def _message_memories(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.substring("text", 1, 12).alias("content"), "role").withColumnRenamed("role", "source")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("text").alias("content"), "role").withColumnRenamed("role", "source")
 
 
 def q_bm25_top(spark: SparkSession, d: str) -> DataFrame:

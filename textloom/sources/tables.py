@@ -27,12 +27,14 @@ LOG_SQL = """log_lines AS (SELECT user_id % 40 AS doc_id, (row_number() OVER (PA
 
 
 def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line_no, line: search hits `path:line:text` over the words of documents' sources."""
-    d = read(spark, sf_dir, "documents")
-    w = F.regexp_replace(F.substring("text", 1, 40), r"[\n\r:]", " ")
+    """doc_id, line_no, line: search hits `path:line:text`, one for each line of the documents of a source."""
+    from ..functions.text import lines
+
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(lines(F.col("text"))).alias("pos", "hit"))
+    w = F.regexp_replace("hit", r"[\n\r:]", " ")
     line = F.concat(F.lit("src/"), "lang", F.lit("/"), "source", F.lit(".txt:"), (F.col("doc_id") + 1).cast("string"), F.lit(":"), w)
-    no = F.row_number().over(Window.partitionBy("q").orderBy("doc_id")) - 1
-    return d.select((F.col("doc_id") % 12).alias("q"), "doc_id", line.alias("line")).select(F.col("q").alias("doc_id"), no.alias("line_no"), "line")
+    no = F.row_number().over(Window.partitionBy("q").orderBy("doc_id", "pos")) - 1
+    return d.select((F.col("doc_id") % 12).alias("q"), "doc_id", "pos", line.alias("line")).select(F.col("q").alias("doc_id"), no.alias("line_no"), "line")
 
 
 SEARCH_SQL = r"""search_lines AS (SELECT doc_id % 12 AS doc_id, (row_number() OVER (PARTITION BY doc_id % 12 ORDER BY doc_id) - 1)::INT AS line_no,
