@@ -13,8 +13,9 @@ _HITS = rf"""search_lines AS (SELECT doc_id % 12 AS doc_id, (row_number() OVER (
 CUTS = [
     (" WHERE o_custkey % 20 = 0", ""), (" WHERE event_id % 5 = 0", ""), (" WHERE l_orderkey % 3 = 0", ""),
     ("substr(text, 1, 12)", "text"), ("substr(text, 1, 20)", "text"), (SEARCH_SQL, _HITS),
+    (" WHERE block_id LIKE 'log-%' OR block_id LIKE 'search-%'", ""), (" WHERE block_id LIKE 'doc-%' OR block_id LIKE 'log-%'", ""), (" WHERE block_id LIKE 'json-%' OR block_id LIKE 'doc-%'", ""),
 ]
-QUERIES = ["token_estimate", "detect_content", "content_markers", "retrieve", "diff_digest", "memories", "recall", "jsonl_memories", "search_digest"]
+QUERIES = ["token_estimate", "detect_content", "content_markers", "retrieve", "diff_digest", "memories", "recall", "jsonl_memories", "search_digest", "digest_outcomes", "prose_summary", "json_minify"]
 
 
 def whole(sql):
@@ -33,3 +34,23 @@ def test_every_customer_has_a_block(spark, duck, sf_dir):
 
     n = duck.execute("SELECT count(DISTINCT o_custkey) FROM orders").fetchone()[0]
     assert blocks(spark, sf_dir).where("block_id LIKE 'json-%'").count() == n
+
+
+def test_hazards_of_contents(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from textloom.operators.signals import MAX_DEPTH, hazard
+    from textloom.sources.tables import blocks
+
+    got = {r["block_id"]: r["hazard"] for r in plans.queries()["safety_hazards"](spark, sf_dir).collect()}
+    assert got == {r["block_id"]: "none" for r in blocks(spark, sf_dir).select("block_id").collect()}  # no text of these tables is deep, long or large
+    deep = lambda n: "[" * n + '"]["' + "]" * n
+    b = spark.createDataFrame([(0, deep(MAX_DEPTH)), (1, deep(MAX_DEPTH + 1)), (2, "a\n" * 200_001), (3, "x" * ((1 << 20) + 1))], "id int, c string")
+    assert [r[0] for r in b.orderBy("id").select(hazard(F.col("c"))).collect()] == [None, "too_deep", "too_many_lines", "line_too_long"]
+
+
+def test_structure_hash_of_every_block(spark, sf_dir):
+    from textloom.sources.tables import blocks
+
+    shapes = plans.queries()["structure_hash"](spark, sf_dir)
+    assert shapes.where("shape IS NOT NULL").count() == blocks(spark, sf_dir).count()

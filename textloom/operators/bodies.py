@@ -212,7 +212,7 @@ def _spaced(c: Column) -> Column:
 
 
 def q_json_minify(spark: SparkSession, d: str) -> DataFrame:
-    b = blocks(spark, d).where("block_id LIKE 'json-%' OR block_id LIKE 'doc-%'")
+    b = blocks(spark, d)
     return b.select("block_id", F.sha2(minify_json(_spaced(F.col("content"))).cast("binary"), 256).alias("sha"))
 
 
@@ -244,7 +244,7 @@ def q_jsonl_memories(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_structure_hash(spark: SparkSession, d: str) -> DataFrame:
-    b = blocks(spark, d).where("block_id LIKE 'json-%' OR block_id LIKE 'log-%'").withColumn("ct", F.regexp_extract("block_id", "^([a-z]+)", 1))
+    b = blocks(spark, d).withColumn("ct", F.regexp_extract("block_id", "^([a-z]+)", 1))
     return b.select("block_id", structure_hashes(b, "content", "ct").alias("shape"))
 
 

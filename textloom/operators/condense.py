@@ -123,7 +123,7 @@ def q_search_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_prose_summary(spark: SparkSession, d: str) -> DataFrame:
-    return summarise(block_lines(blocks(spark, d).where("block_id LIKE 'doc-%' OR block_id LIKE 'log-%'")), budget=12, min_lines=15)
+    return summarise(block_lines(blocks(spark, d)), budget=12, min_lines=15)
 
 
 def q_tidy_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +136,7 @@ def q_content_markers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_digest_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    b = blocks(spark, d).where("block_id LIKE 'log-%' OR block_id LIKE 'search-%'").select("block_id", "content")
+    b = blocks(spark, d).select("block_id", "content")
     name = lambda df, k: df.select(F.concat(F.lit(k), F.col("doc_id").cast("string")).alias("block_id"), "digest")
     return keep_if_smaller(b, name(log_digest(log_lines(spark, d)), "log-").union(name(search_digest(search_lines(spark, d)), "search-")))
 

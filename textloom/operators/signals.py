@@ -111,9 +111,7 @@ def q_protected_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_hazards(spark: SparkSession, d: str) -> DataFrame:
-    b = blocks(spark, d)
-    deep = b.select("block_id", F.concat(F.repeat(F.lit("["), F.pmod(F.length("content"), F.lit(130)).cast("int")), F.lit('"]["'), F.repeat(F.lit("]"), F.pmod(F.length("content"), F.lit(130)).cast("int"))).alias("content"))
-    return deep.select("block_id", F.coalesce(hazard(F.col("content")), F.lit("none")).alias("hazard"))
+    return blocks(spark, d).select("block_id", F.coalesce(hazard(F.col("content")), F.lit("none")).alias("hazard"))
 
 
 def q_volatile_tokens(spark: SparkSession, d: str) -> DataFrame:
