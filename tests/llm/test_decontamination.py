@@ -38,3 +38,19 @@ def test_edges(spark, edge_docs, no_docs):
 
 def test_query(spark, duck, sf_dir):
     same(D.op6_decontamination(spark, sf_dir), duck.execute(D.ORACLES["op6_decontamination"]).fetchdf())
+
+
+def test_tolerated_substitutions_in_short_items(spark):
+    from itertools import combinations
+    from math import ceil
+
+    want, docs, items = {}, [], []
+    for n in range(3, 14):
+        w = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(w)))
+        free = n - ceil(0.8 * n - 1e-9)
+        for k in range(free + 2):
+            for gone in combinations(range(n), k):
+                docs.append((len(docs), " ".join(["before", *("changed" if i in gone else x for i, x in enumerate(w)), "after"])))
+                want[len(docs) - 1] = [n] if k <= free else []
+    assert found(spark, spark.createDataFrame(docs, "doc_id long, text string"), items) == want

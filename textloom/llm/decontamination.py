@@ -5,11 +5,14 @@ substituted word in an ignored place does not hide a hit. Benchmark seeds and do
 each hit the words are compared place by place, and a window of `window` words with at least `similarity` equal confirms.
 
 Every mask selects its first two words. Document places are therefore first sifted by their word pair against a fixed-size
-bit table of benchmark pairs (false positives only cost time), so that most places never leave the scan.
+bit table of benchmark pairs (false positives only cost time), so that most places never leave the scan. Items of 10 words or less are also cut into
+contiguous pieces, of which a tolerated number of substitutions leaves one whole.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ MASKS = ((0, 1, 3, 4, 6), (0, 1, 2, 5, 7), (0, 1, 4, 6, 8), (0, 1, 3, 5, 8))
 WINDOW, SIMILARITY = 13, 0.8
 #: Shortest benchmark item (in words) that is looked for; items shorter than a mask use a contiguous one of their length.
 SHORTEST = 3
+#: Items of up to so many words are seeded by pieces: the spaced masks alone miss some with a tolerated substitution.
+PIECED = 10
 #: Slots of the pair table, one byte each.
 PAIR_SLOTS = 1 << 16
 #: Benchmark seeds up to which they are broadcast (each with its words around it: about 300 bytes); beyond, a shuffle join.
@@ -46,16 +51,43 @@ def _masks() -> tuple[tuple[int, ...], ...]:
     return MASKS + tuple(tuple(range(n)) for n in range(SHORTEST, longest))
 
 
-def _seeds(w: Column, i: Column, n_item: Column | None) -> Column:
-    """Array of (mask, hash) at place i. For an item only the masks due to its length; for a document all that fit."""
-    out = []
-    for k, mask in enumerate(_masks()):
-        fits = i + mask[-1] < F.size(w)
-        if n_item is not None:
-            long_item = n_item > max(m[-1] for m in MASKS)
-            fits = fits & (long_item if k < len(MASKS) else ~long_item & (n_item == len(mask)))
-        out.append(F.when(fits, F.struct(F.lit(k).alias("mask"), F.xxhash64(*[F.get(w, i + m) for m in mask]).alias("hash"))))
-    return F.filter(F.array(*out), lambda s: s.isNotNull())
+def _every() -> tuple[tuple[int, ...], ...]:
+    """All masks: those above, then the contiguous mask of two words, which only pieces of short items use."""
+    return (*_masks(), (0, 1))
+
+
+def _due(n: int, window: int, similarity: float) -> list[tuple[int, int | None]]:
+    """(mask, place, or None for every place) of the seeds of an item of n words.
+
+    An item the spaced masks don't cover is cut into one piece more than the words it may differ by, so that one piece is
+    untouched (pieces hold two words or more: as many as that allows).
+    """
+    every = _every()
+    spaced = [(k, None) for k in range(len(MASKS))] if n > max(m[-1] for m in MASKS) else []
+    if n > PIECED:
+        return spaced
+    span = min(window, n)
+    free = span - math.ceil(span * similarity - 1e-9)
+    parts = max(1, min(free + 1, n // 2))
+    cuts = [n * j // parts for j in range(parts + 1)]
+    if any(tuple(range(v - u)) not in every for u, v in pairwise(cuts)):
+        return spaced
+    return spaced + [(every.index(tuple(range(v - u))), u) for u, v in pairwise(cuts)]
+
+
+def _item_seeds(w: Column, i: Column, n_item: Column, window: int, similarity: float) -> Column:
+    """Array of (mask, hash) at place i of an item: only the masks due to its length."""
+    due: dict[int, Column] = {}
+    for n in range(SHORTEST, PIECED + 2):  # the last stands for all longer items
+        for k, at in _due(n, window, similarity):
+            here = (n_item == n if n <= PIECED else n_item > PIECED) & (F.lit(True) if at is None else i == at)
+            due[k] = due[k] | here if k in due else here
+    return _hashes(w, i, due)
+
+
+def _hashes(w: Column, i: Column, due: dict[int, Column]) -> Column:
+    every = _every()
+    return F.filter(F.array(*[F.when((i + every[k][-1] < F.size(w)) & c, F.struct(F.lit(k).alias("mask"), F.xxhash64(*[F.get(w, i + m) for m in every[k]]).alias("hash"))) for k, c in due.items()]), lambda s: s.isNotNull())
 
 
 def _around(w: Column, i: Column, window: int) -> Column:
@@ -97,16 +129,17 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, similarity: float
         slots[r["slot"]] = 1
     known = F.lit(bytes(slots))
 
-    seed = item.select("item", "w", F.size("w").alias("n"), F.explode(F.sequence(F.lit(0), F.size("w") - SHORTEST)).alias("i"))
-    seed = seed.select("item", "n", _around(F.col("w"), F.col("i"), window).alias("theirs"), F.explode(_seeds(F.col("w"), F.col("i"), F.col("n"))).alias("s")).select("item", "n", "theirs", "s.mask", "s.hash")
-    if seed.count() <= BROADCAST_SEEDS:
+    seed = item.select("item", "w", F.size("w").alias("n"), F.explode(F.sequence(F.lit(0), F.size("w") - 2)).alias("i"))
+    seed = seed.select("item", "n", _around(F.col("w"), F.col("i"), window).alias("theirs"), F.explode(_item_seeds(F.col("w"), F.col("i"), F.col("n"), window, similarity)).alias("s")).select("item", "n", "theirs", "s.mask", "s.hash")
+    used = {r["mask"]: r["n"] for r in seed.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a mask
+    if sum(used.values()) <= BROADCAST_SEEDS:
         seed = F.broadcast(seed)
 
     key = _key(id_col, text_col).alias("key")
 
     def spots(w: Column) -> Column:
-        sifted = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - SHORTEST, F.lit(0))), lambda i: F.substring(known, _pair(w, i) + 1, F.lit(1)) == F.lit(b"\x01"))
-        return F.transform(sifted, lambda i: F.struct(_seeds(w, i, None).alias("seeds"), _around(w, i, window).alias("ours")))
+        sifted = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.substring(known, _pair(w, i) + 1, F.lit(1)) == F.lit(b"\x01"))
+        return F.transform(sifted, lambda i: F.struct(_hashes(w, i, {k: F.lit(True) for k in sorted(used) or [0]}).alias("seeds"), _around(w, i, window).alias("ours")))
 
     # one expression from text to spots, so that a text is split once and only sifted places become rows
     spot = docs.select(key, F.explode(_let(words(F.col(text_col)), spots)).alias("x"))
