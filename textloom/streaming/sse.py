@@ -77,7 +77,7 @@ def q_sse_frames_streamed(spark: SparkSession, d: str) -> DataFrame:
     from .base import new_folder
 
     path = f"{new_folder(spark)}/chunks"
-    conversation_chunks(spark, d).repartition(1, "stream_id").sortWithinPartitions("stream_id", "chunk_no").write.parquet(path)
+    conversation_chunks(spark, d).repartition("stream_id").sortWithinPartitions("stream_id", "chunk_no").write.parquet(path)
     source = spark.readStream.schema("stream_id long, chunk_no int, chunk string").parquet(path)
     return run_to_table(frames_stream(source))
 
