@@ -15,7 +15,7 @@ CUTS = [
     ("substr(text, 1, 12)", "text"), ("substr(text, 1, 20)", "text"), (SEARCH_SQL, _HITS),
     (" WHERE block_id LIKE 'log-%' OR block_id LIKE 'search-%'", ""), (" WHERE block_id LIKE 'doc-%' OR block_id LIKE 'log-%'", ""), (" WHERE block_id LIKE 'json-%' OR block_id LIKE 'doc-%'", ""),
 ]
-QUERIES = ["token_estimate", "detect_content", "content_markers", "retrieve", "diff_digest", "memories", "recall", "jsonl_memories", "search_digest", "digest_outcomes", "prose_summary", "json_minify"]
+QUERIES = ["token_estimate", "detect_content", "route_blocks", "line_importance", "line_anchors", "tidy_lines", "content_markers", "retrieve", "diff_digest", "memories", "recall", "jsonl_memories", "search_digest", "digest_outcomes", "prose_summary", "json_minify"]
 
 
 def whole(sql):
