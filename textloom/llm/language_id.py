@@ -16,14 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import fold, slices, table
+from .shared import as_sent, fold, hash_sample, sent_type, slices, table
 
 HIDDEN = 8
 CORE, CONTEXT = 448, 24
-BATCH_WINDOWS = 1024
+#: Windows labelled at a time: as many as keep their probabilities at BATCH_CELLS numbers a byte position.
+BATCH_CELLS = 4096
 PAD = 256
 #: Bound of the training sample: documents of each language, windows of a document, characters of a window, languages
 #: (those with most documents; ties by name).
@@ -166,8 +168,9 @@ def pooled(m: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sums, wins = np.zeros((len(raw), len(m.langs))), np.zeros((len(raw), len(m.langs)), np.int64)
     cuts = [(i, s, max(0, s - CONTEXT), min(len(r), s + CORE + CONTEXT)) for i, r in enumerate(raw) for s in range(0, len(r), CORE)]
     cuts.sort(key=lambda c: c[3] - c[2])
-    for at in range(0, len(cuts), BATCH_WINDOWS):
-        own = cuts[at : at + BATCH_WINDOWS]
+    batch = max(16, min(1024, BATCH_CELLS // max(1, len(m.langs))))
+    for at in range(0, len(cuts), batch):
+        own = cuts[at : at + batch]
         length = max(b - a for _, _, a, b in own)
         x = np.full((len(own), length), PAD, np.intp)
         lab = np.zeros((len(own), length), bool)
@@ -190,8 +193,8 @@ def training_windows(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> lis
     u = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / (1 << 20)).alias("u")
     near = known.select("doc_id", "lang", "text", u).join(F.broadcast(share), "lang").where("u < share")
     parts = [F.expr(f"substring(text, 1 + cast(pmod(xxhash64(doc_id, {i}), greatest(1, length(text) - {WINDOW_CHARS})) as int), {WINDOW_CHARS})") for i in range(WINDOWS_PER_DOC)]
-    near = near.select("doc_id", "lang", "u", F.array_distinct(F.array(*parts)).alias("parts"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))
+    near = near.select("doc_id", "lang", "u", F.xxhash64("text").alias("t"), F.array_distinct(F.array(*parts)).alias("parts"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", "t"))
     rows = near.withColumn("r", rank).where(F.col("r") <= docs_per_lang).orderBy("lang", "r").collect()
     return [(r["lang"], w.encode()) for r in rows for w in r["parts"] if w]
 
@@ -224,27 +227,42 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     src = src.withColumn("letters", F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)))
-    kind = dict(src.dtypes)["id"]
-    return src.mapInPandas(run, f"id {kind}, lang_pred string, score double, positions long, agree double").withColumnRenamed("id", id_col)
+    out = as_sent(src).mapInPandas(run, f"id {sent_type(src, 'id')}, lang_pred string, score double, positions long, agree double")
+    return out.withColumn("id", F.col("id").cast(dict(src.dtypes)["id"])).withColumnRenamed("id", id_col)
+
+
+#: Sample that `least_score` reads (documents, and characters of the longest of them), its quantile and share.
+SCORED_DOCS, SCORED_CHARS, LOW_QUANTILE, LOW_SHARE = 1_000, 4_000, 0.005, 0.75
+
+
+def least_score(docs: DataFrame, model: Model) -> float:
+    """Score under which a text counts as in no language: LOW_SHARE of the LOW_QUANTILE of the scores of labelled documents
+    that the model has not learned from. It follows the data, not the number of languages; without such documents it is
+    the probability of a guess."""
+    if not model.langs:
+        return 0.0
+    held = docs.where(fold() == 0).where("lang IS NOT NULL").where(F.regexp_like("text", F.lit(r"\p{L}")) & (F.length("text") <= SCORED_CHARS))
+    texts = [r["text"] for r in hash_sample(held.select("doc_id", "text"), SCORED_DOCS, "doc_id", "text").collect()]
+    guess = 1 / len(model.langs)
+    return max(guess, LOW_SHARE * float(np.quantile(pooled(model, texts)[0].max(1), LOW_QUANTILE))) if texts else guess
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float | None = None) -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a letter and a best language of at least `least` (by
-    default 1.2 times the probability of a guess).
+    """The rows of docs, with all their columns untouched, whose text has a letter and a best language with a score of at
+    least `least` (by default `least_score`).
 
-    With a model that knows no language, every text with a letter stays.
+    Null and empty texts go. With a model that knows no language, every text with a letter stays. Repeated rows are judged
+    alike; null ids stay null; an empty table gives no rows.
     """
-    least = 1.2 / max(2, len(model.langs)) if least is None else least
+    bound = least_score(docs, model) if least is None else least
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b["text"].tolist()
-            for lo, hi in slices([len(t or "") for t in texts], 4_000_000):
-                keep = np.ones(hi - lo, bool) if not model.langs else pooled(model, texts[lo:hi])[0].max(1) >= least
-                yield b.iloc[lo:hi][keep]
+            texts = b.column("text").to_pylist()
+            keep = [np.ones(hi - lo, bool) if not model.langs else pooled(model, texts[lo:hi])[0].max(1) >= bound for lo, hi in slices([len(t) for t in texts], 4_000_000)]
+            yield b.filter(pa.array(np.concatenate(keep))) if keep else b
 
-    lettered = docs.where(F.regexp_like("text", F.lit(r"\p{L}")))
-    return lettered.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
+    return docs.where(F.regexp_like("text", F.lit(r"\p{L}"))).mapInArrow(run, docs.schema)
 
 
 def fit(docs: DataFrame) -> Model:
