@@ -102,7 +102,7 @@ def packed_matrices(docs: DataFrame, seq_len: int = SEQ_LEN, vocab: str = "byte_
         for b in batches:
             for doc_id, text in zip(b["doc_id"].tolist(), b["text"].tolist(), strict=True):
                 ids = encode(text, vocab).astype(dtype)
-                held.append((None if pd.isna(doc_id) else int(doc_id), ids))
+                held.append((None if doc_id is None else int(doc_id), ids))
                 total += len(ids)
                 if total >= block_tokens:
                     yield emit(shard, block, held)
@@ -110,7 +110,8 @@ def packed_matrices(docs: DataFrame, seq_len: int = SEQ_LEN, vocab: str = "byte_
         if held:
             yield emit(shard, block, held)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, ROWS)
+    # ids travel as text: pandas would turn whole numbers beside a null into doubles
+    return docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).mapInPandas(run, ROWS)
 
 
 def write_matrices(packed: DataFrame, path: str) -> None:

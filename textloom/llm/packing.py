@@ -25,7 +25,11 @@ BROADCAST_INTERVALS = 200_000
 
 
 def pieces(docs: DataFrame, max_len: int = MAX_LEN, vocab: str = "byte_bpe_50k") -> DataFrame:
-    """One row per piece of at most max_len ids; every id, with the closing one, lies in exactly one piece."""
+    """One row per piece of at most max_len ids; every id, with the closing one, lies in exactly one piece.
+
+    Null and empty texts are their closing id alone; null ids stay null; repeated rows are cut each; other columns are not
+    looked at; an empty table gives no rows.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -33,12 +37,11 @@ def pieces(docs: DataFrame, max_len: int = MAX_LEN, vocab: str = "byte_bpe_50k")
             for doc_id, text in zip(b["doc_id"].tolist(), b["text"].tolist(), strict=True):
                 ids = encode(text, vocab)
                 n = len(ids)
-                rows += [(None if pd.isna(doc_id) else int(doc_id), s, min(max_len, n - s), zlib.crc32(ids[s : s + max_len]), n) for s in range(0, n, max_len)]
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                rows += [(doc_id, s, min(max_len, n - s), zlib.crc32(ids[s : s + max_len]), n) for s in range(0, n, max_len)]
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, PIECES)
+    cut_up = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInPandas(cut, PIECES.replace("doc_id long", "doc_id string"))
+    return cut_up.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def shortest_pack_first(histogram: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[int, tuple[int, ...]]]:
