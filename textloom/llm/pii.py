@@ -10,32 +10,33 @@ regression, transitions and skip agreement from smoothed counts.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fold, slices, table
+from .shared import as_sent, fold, hash_sample, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("out", *KINDS)
-#: Bound of the training sample: documents that hold a candidate token, and characters of each from its start.
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 4_000
+#: Bound of the training sample: documents that hold a candidate token, whole, of so many characters at most.
+SAMPLE_DOCS, SAMPLE_CHARS = 1000, 20_000
 ROUNDS, ACCEPT = 6, 0.8
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # a match starts a run of digits: each is scanned once
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _TOKEN_END = re.compile(r"[^\s]*")
-_EDGE = re.compile(r"^[^A-Za-z0-9+(@]+|[^A-Za-z0-9)]+$")
+_LEAD = re.compile(r"[^A-Za-z0-9+(@]++")
+_INNER = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789)")
 
 
 def luhn(digits: str) -> bool:
@@ -58,7 +59,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         else:
             at = text.find("@", at + 1)
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_byte(p) for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if 14 <= m.end() - m.start() and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
                 out.append((m.start(), 2, m.end()))
@@ -67,6 +68,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _byte(digits: str) -> bool:
+    """At most 255, for any number of digits."""
+    short = digits.lstrip("0")
+    return len(short) < 3 or len(short) == 3 and short <= "255"
+
+
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
 
@@ -89,10 +96,11 @@ def tokens(text: str) -> list[tuple[int, int]]:
             s -= 1
         e = _TOKEN_END.match(text, m.start()).end()
         pos = e
-        raw = text[s:e]
-        lead = _EDGE.match(raw)
-        tail = re.search(r"[^A-Za-z0-9)]+$", raw)
-        a, b = s + (lead.end() if lead and lead.start() == 0 and lead.end() < len(raw) else 0), e - (len(tail[0]) if tail and len(tail[0]) < len(raw) else 0)
+        lead = _LEAD.match(text, s, e)
+        a, b = lead.end() if lead and lead.end() < e else s, e
+        while b > s and text[b - 1] not in _INNER:
+            b -= 1
+        b = b if b > s else e
         if a < b:
             out.append((a, b))
     return out
@@ -192,15 +200,22 @@ def marginals(field: Field, g: Graph, fixed: np.ndarray, rounds: int = ROUNDS) -
     return p / p.sum(1, keepdims=True)
 
 
-def pattern_labels(texts: list[str], g: Graph) -> np.ndarray:
-    """Label of each node by the base spans it overlaps; -1 where none."""
-    spans = {d: base_spans(texts[d]) for d in {n[0] for n in g.nodes}}
+def pattern_labels(g: Graph, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
+    """Label of each node: that of the first of its document's base spans (sorted) that it overlaps; -1 where none.
+
+    Nodes of a document are disjoint and ascending, so one pass over its spans is enough.
+    """
     out = np.full(len(g.nodes), -1)
+    doc, at, live = -1, 0, []
     for v, (d, s, e) in enumerate(g.nodes):
-        for a, k, b in spans[d]:
-            if a < e and s < b:
-                out[v] = k + 1
-                break
+        if d != doc:
+            doc, at, live = d, 0, []
+        while at < len(spans[d]) and spans[d][at][0] < e:
+            live.append(spans[d][at])
+            at += 1
+        live = [x for x in live if x[2] > s]
+        if live:
+            out[v] = live[0][1] + 1
     return out
 
 
@@ -212,7 +227,8 @@ def train(texts: list[str], steps: int = 150) -> Field:
     w[0, 0] = 2.0
     if not g.nodes:
         return Field(w, np.zeros((k, k)), 2.0)
-    y = np.maximum(0, pattern_labels(texts, g))
+    labels = np.maximum(0, pattern_labels(g, [base_spans(t) for t in texts]))
+    y = labels
     x = np.zeros((len(y), N_FEATURES))
     for i, f in enumerate(g.feats):
         x[i, f] = 1
@@ -226,7 +242,6 @@ def train(texts: list[str], steps: int = 150) -> Field:
         grad = x.T @ (p * weight[:, None]) + 1e-4 * w
         seen += grad**2
         w -= 0.5 * grad / (np.sqrt(seen) + 1e-9)
-    labels = np.maximum(0, pattern_labels(texts, g))
     joint, single = np.ones((k, k)), np.ones(k)
     np.add.at(single, labels, 1)
     for a, b in g.chain:
@@ -256,26 +271,28 @@ def added_spans(texts: list[str], field: Field, base: list[list[tuple[int, int,
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if not g.nodes or not g.skip:
         return out
-    fixed = np.full(len(g.nodes), -1)
-    for v, (d, s, e) in enumerate(g.nodes):
-        fixed[v] = next((k + 1 for a, k, b in base[d] if a < e and s < b), -1)
-    linked: dict[int, set[int]] = defaultdict(set)
-    for a, b in g.skip:
-        linked[a].add(b)
-        linked[b].add(a)
-    if not any(fixed[v] < 0 for v in linked):
+    fixed = pattern_labels(g, base)
+    linked = sorted({v for edge in g.skip for v in edge})
+    if not (fixed[linked] < 0).any():
         return out
+    # evidence for a kind: a pattern's label somewhere along the skip edges
+    root = list(range(len(g.nodes)))
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for a, b in g.skip:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    known = {(find(v), int(fixed[v])) for v in linked if fixed[v] > 0}
     prob = marginals(field, g, fixed)
     for v in linked:
         kind = int(prob[v].argmax())
-        if fixed[v] >= 0 or not kind or prob[v, kind] < accept:
-            continue
-        todo, reach = [v], {v}  # evidence: a pattern's label somewhere along the skip edges
-        while todo and not any(fixed[u] == kind for u in reach):
-            todo = [u for t in todo for u in linked[t] if u not in reach]
-            reach.update(todo)
         d, s, e = g.nodes[v]
-        if any(fixed[u] == kind for u in reach) and _plausible(kind - 1, texts[d][s:e]):
+        if fixed[v] < 0 and kind and prob[v, kind] >= accept and (find(v), kind) in known and _plausible(kind - 1, texts[d][s:e]):
             out[d].append((s, kind - 1, e))
     return out
 
@@ -285,10 +302,9 @@ def show(spans: list[tuple[int, int, int]]) -> str:
 
 
 def sample_texts(docs: DataFrame, most: int = SAMPLE_DOCS) -> list[str]:
-    """At most `most` texts that hold a candidate, by hash order of their ids; the first SAMPLE_CHARS characters of each."""
-    marked = docs.where("text IS NOT NULL").where(F.regexp_like("text", F.lit("[0-9]{4}|@")))
-    rows = marked.select(F.xxhash64("doc_id", F.lit(5)).alias("u"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).orderBy("u", "t").limit(most).collect()
-    return [r["t"] for r in rows]
+    """At most `most` whole texts of at most SAMPLE_CHARS characters that hold a candidate, by hash of their ids."""
+    marked = docs.where((F.length("text") <= SAMPLE_CHARS) & F.regexp_like("text", F.lit("[0-9]{4}|@")))
+    return [r["text"] for r in hash_sample(marked.select("doc_id", "text"), most, "doc_id", "text").collect()]
 
 
 def fit(docs: DataFrame) -> Field:
@@ -318,8 +334,11 @@ def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
                 yield out
 
     src = docs.select(id_col, *keep, F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in src.dtypes if c != "__text")
-    return src.mapInPandas(run, f"{schema}, {RESULT}")
+    kinds = dict(src.dtypes)
+    for c in (id_col, *keep):
+        src = as_sent(src, c)
+    found = src.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in src.dtypes if c != "__text") + f", {RESULT}")
+    return found.select(*[F.col(c).cast(kinds[c]) for c in (id_col, *keep)], "spans")
 
 
 def redact(text: str, spans) -> str:
@@ -333,22 +352,29 @@ def redact(text: str, spans) -> str:
 
 
 def redact_texts(docs: DataFrame, field: Field) -> DataFrame:
-    """The columns of docs, with personal data in text replaced; n_chars follows the new text. Null texts stay null."""
+    """The columns of docs, with personal data in text replaced; n_chars, where there is one, follows the new text.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Null texts stay null, with their n_chars; all other columns and repeated rows stay as they are; an empty table gives no
+    rows.
+    """
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["text"].tolist()]
+            held = b.column(at).to_pylist()
+            texts = [t or "" for t in held]
             new: list[str] = []
             for lo, hi in slices([len(t) for t in texts], 4_000_000):
                 own = texts[lo:hi]
                 base = [base_spans(t) for t in own]
                 more = added_spans(own, field, base)
                 new += [redact(t, [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(p + q)]) if p or q else t for t, p, q in zip(own, base, more, strict=True)]
-            b["text"] = [n if isinstance(t, str) else None for n, t in zip(new, b["text"].tolist(), strict=True)]
-            yield b
+            yield b.set_column(at, b.schema.field(at), pa.array([None if t is None else n for n, t in zip(new, held, strict=True)], b.schema.field(at).type))
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInPandas(run, schema).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    out = docs.mapInArrow(run, docs.schema)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
