@@ -24,7 +24,7 @@ def test_base_and_model(spark, sf_dir):
 
 
 def test_expectation_maximisation_finds_the_better_estimate():
-    cells = np.array([[3, 10, 60, 100.0], [3, 20, 60, 50.0], [5, -1, 20, 80.0], [0, -1, -1, 5.0]])
+    cells = np.array([[3, 0.3, 1e-3, 100.0], [3, 0.1, 1e-3, 50.0], [5, 0, 0.1, 80.0], [0, 0, 0, 5.0]])
     w = M.expectation_maximisation(cells, -5.0)
     assert np.allclose(w.sum(1), 1) and w[3, 0] > 0.9 and w[5, 1] > 0.9 and w[0, 2] > 0.9
 

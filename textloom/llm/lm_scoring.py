@@ -12,7 +12,6 @@ the weights.
 
 from __future__ import annotations
 
-
 import pickle
 from collections.abc import Iterator
 
@@ -22,18 +21,21 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SLICE, FOLDS, fold, materialize, mix, slices, span_hashes, table, text_bytes, words_of
+from .shared import SLICE, FOLDS, cuts, fold, materialize, mix, slices, table, text_bytes, word_hashes
 
-BATCH_BYTES, BUCKET_BYTES = 8_000_000, 8_000_000
+#: Text bytes of a batch; there are as many buckets as batches.
+BATCH_BYTES = 5_000_000
 #: Every DELETED-th training document (by hash) is held out for the weights.
 DELETED = 10
 #: Context-frequency buckets: floor(log2(count)), 0 for unseen, up to CONTEXT_BUCKETS - 1.
 CONTEXT_BUCKETS = 24
-#: Bins of log10 probabilities in the table that EM reads: BINS for each decade, DECADES decades.
+#: Bins of log10 probabilities in the table that EM reads: BINS for each decade, DECADES decades. A cell of the table stands
+#: for the mean of its own estimates, so that EM sees more than the bins.
 BINS, DECADES = 20, 12
 EM_ROUNDS = 60
 #: A batch's part: main training, held-out training, not for training.
 MAIN, HELD, OUT = 0, 1, 2
+CELLS = ["b", "f2", "f1", "n", "s2", "s1"]
 _END = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,8 +44,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     The token before a text's first is its end token.
     """
-    buf, starts, ends, doc = words_of(texts)
-    h = span_hashes(buf, starts, ends)
+    h, doc = word_hashes(texts)
     h[h == _END] ^= np.uint64(1)
     last = np.searchsorted(doc, np.arange(len(texts)), side="right")
     tok = np.insert(h, last, _END)
@@ -104,7 +105,7 @@ def _unvarint(raw: bytes) -> np.ndarray:
 def batched(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """docs as packed rows of batch, part and blob (ids and texts, compressed); a batch has one part."""
     n = max(1, -(-text_bytes(docs, text_col) // BATCH_BYTES))
-    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    src = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     u = F.xxhash64("id", "text", F.lit(3))
     held_out = fold("id") == 1
     part = F.when(held_out, OUT).when(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(DELETED)) == 0, HELD).otherwise(MAIN)
@@ -137,9 +138,8 @@ def answers(src: DataFrame, buckets: int) -> DataFrame:
         own, count = _wanted(unpacked(rows)[1])
         bucket = _bucket_of(own, buckets)
         order = np.lexsort((_names(own), bucket))
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         batch, part = int(rows["batch"].iat[0]), int(rows["part"].iat[0])
-        out = [(i, batch, part, _pack_names(_names(own[o])), _varint(count[o])) for i in range(buckets) if len(o := order[cut[i] : cut[i + 1]])]
+        out = [(i, batch, part, _pack_names(_names(own[o])), _varint(count[o])) for i, lo, hi in cuts(bucket[order]) for o in [order[lo:hi]]]
         return pd.DataFrame(out, columns=["bucket", "batch", "part", "hashes", "counts"])
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
@@ -181,7 +181,7 @@ def context_bucket(c: np.ndarray) -> np.ndarray:
 def expectation_maximisation(cells: np.ndarray, log_uniform: float, rounds: int = EM_ROUNDS) -> np.ndarray:
     """(CONTEXT_BUCKETS, 3) weights of the bigram, unigram and uniform estimates.
 
-    cells: rows (context bucket, bin of bigram estimate, bin of unigram estimate, held-out count); bin -1: estimate 0.
+    cells: rows (context bucket, bigram estimate, unigram estimate, held-out count).
     A bucket without held-out counts keeps equal weights, and none for the bigram where the context is unseen.
     """
     w = np.full((CONTEXT_BUCKETS, 3), 1 / 3)
@@ -189,7 +189,7 @@ def expectation_maximisation(cells: np.ndarray, log_uniform: float, rounds: int
     if not len(cells):
         return w
     b = cells[:, 0].astype(int)
-    p = np.stack([np.where(cells[:, 1] < 0, 0.0, 10.0 ** (-cells[:, 1] / BINS)), np.where(cells[:, 2] < 0, 0.0, 10.0 ** (-cells[:, 2] / BINS)), np.full(len(cells), 10.0**log_uniform)], 1)
+    p = np.column_stack([cells[:, 1], cells[:, 2], np.full(len(cells), 10.0**log_uniform)])
     for _ in range(rounds):
         post = w[b] * p
         post *= (cells[:, 3] / np.maximum(post.sum(1), 1e-300))[:, None]
@@ -217,7 +217,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     log_uniform = -np.log10(vocab + 1)
 
     def cells(key, rows: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
-        """Held-out occurrences by context bucket and binned main-part estimates."""
+        """Held-out occurrences by context bucket and bins of the main part's estimates, with sums of these estimates'
+        negative log10 in millionths (whole numbers: the sums don't depend on their order). Bin -1: estimate 0."""
         texts = unpacked(rows)[1]
         c = Counts(texts, answer, buckets)
         out = []
@@ -226,18 +227,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             one, two = c.main[c.at(tok & _WORD)], c.main[c.at(pair | _PAIR)]
             context = np.append(c.main[c.at(np.array([_END & _WORD]))], one[:-1])
             with np.errstate(divide="ignore"):
-                f2 = np.where(two > 0, np.rint(-BINS * np.log10(two / np.maximum(context, 1))), -1)
-                f1 = np.where(one > 0, np.rint(-BINS * np.log10(one / max(main_total, 1))), -1)
-            cell = np.column_stack([context_bucket(context), np.minimum(f2, BINS * DECADES), np.minimum(f1, BINS * DECADES)]).astype(np.int64)
-            own, k = np.unique(cell, axis=0, return_counts=True)
-            out.append(np.column_stack([own, k]))
-        return pd.DataFrame(np.concatenate(out), columns=["b", "f2", "f1", "n"])
+                fine = [np.where(k > 0, np.rint(-1e6 * np.log10(k / np.maximum(of, 1))), -1e6).astype(np.int64) for k, of in ((two, context), (one, main_total))]
+            cell = np.column_stack([context_bucket(context), *[np.minimum(np.where(f < 0, -1, f * BINS // 10**6), BINS * DECADES) for f in fine]])
+            own, inv, k = np.unique(cell, axis=0, return_inverse=True, return_counts=True)
+            out.append(np.column_stack([own, k, *[np.bincount(inv.ravel(), f, len(own)).astype(np.int64) for f in fine]]))
+        return pd.DataFrame(np.concatenate(out), columns=CELLS)
 
     held = src.where(F.col("part") == HELD)
     batches = told.where(F.col("batch") % 3 == HELD)
-    binned = held.groupBy("batch").cogroup(batches.groupBy("batch")).applyInPandas(lambda key, a, b: cells(key, a, b) if len(a) else pd.DataFrame(columns=["b", "f2", "f1", "n"]), "b long, f2 long, f1 long, n long")
-    table_ = binned.groupBy("b", "f2", "f1").agg(F.sum("n").alias("n")).collect()  # at most CONTEXT_BUCKETS * (BINS * DECADES + 2)^2 rows
-    weights = expectation_maximisation(np.array(sorted(map(tuple, table_)), float).reshape(-1, 4), log_uniform)
+    binned = held.groupBy("batch").cogroup(batches.groupBy("batch")).applyInPandas(lambda key, a, b: cells(key, a, b) if len(a) else pd.DataFrame(columns=CELLS), ", ".join(f"{c} long" for c in CELLS))
+    summed = binned.groupBy(*CELLS[:3]).agg(*[F.sum(c).alias(c) for c in CELLS[3:]]).collect()  # at most CONTEXT_BUCKETS * (BINS * DECADES + 2)^2 rows
+    mean = lambda bin_, total_, n: 0.0 if bin_ < 0 else 10.0 ** (-1e-6 * total_ / n)
+    table_ = [(r["b"], mean(r["f2"], r["s2"], r["n"]), mean(r["f1"], r["s1"], r["n"]), r["n"]) for r in sorted(summed)]
+    weights = expectation_maximisation(np.array(table_, float).reshape(-1, 4), log_uniform)
 
     def score(key, rows: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         ids, texts = unpacked(rows)
@@ -257,11 +259,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             m = e - s
             out.append(pd.DataFrame({"n_tokens": np.bincount(doc, minlength=m), "n_known": np.bincount(doc, one > 0, m).astype(np.int64), "base_score": np.bincount(doc, base, m), "score": np.bincount(doc, np.log10(p), m)}))
         frame = pd.concat(out, ignore_index=True)
-        frame.insert(0, "id", pd.Series(ids, dtype="Int64") if kind in ("bigint", "int") else ids)
+        frame.insert(0, "id", ids)
         return frame
 
-    scored = src.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(score, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
-    return scored.select(F.col("id").alias(id_col), (fold("id") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = src.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(score, "id string, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(F.col("id").cast(kind).alias(id_col), (fold("id") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
