@@ -1,30 +1,34 @@
 """N-gram Jaccard join by signature trees, as linked components.
 
 1. Every document becomes a set of hashed word shingles; equal sets are one node (a 64-bit key of the whole set).
-2. The first shingles of each set, by hash, are dealt to buckets, packed. A bucket counts in how many sets each lies and
-   tells each set which of its own are shared. A set that shares too few of them links with nothing; on ordinary text that
-   settles almost all sets, without looking at a pair.
-3. The rest are grouped by their rarest shingles (any two sets over the threshold share one of these) into candidate
-   components, whose whole sets are compared by signature trees: nodes hold OR-combined bitmaps and size ranges, and a dual
+2. A filter deals the sets to the trees: the first shingles of each set, by hash, go to buckets, packed. A bucket counts in
+   how many sets each lies and tells each set which of its own are shared. A set that shares too few of them links with
+   nothing. The rest are grouped by their rarest shingles (any two sets over the threshold share one of these).
+3. Within a group the whole sets are compared by signature trees: nodes hold OR-combined bitmaps and size ranges, and a dual
    traversal drops node pairs whose greatest possible overlap is too small. Sets already linked are not compared again.
-   Large candidate components are cut into blocks and compared block against block.
+   The top of the tree of a large group lies in Spark: bands of size, of which only neighbouring ones can hold a link, cut
+   into blocks. Blocks are compared within themselves, then a few sets of each linked part with each other, and at last the
+   sets outside a group's largest part with all blocks of neighbouring bands.
 4. Links become components by iterated grouped minima. All pairs of copies are never listed; no group meets in one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import SLICE, components, in_sift, materialize, mix, sift_of, slices, span_hashes, table, text_bytes, words_of
+from .shared import SLICE, as_sent, components, cuts, in_sift, join_counted, materialize, mix, sent_type, sift_of, slices, table, text_bytes, word_hashes
 
 SHINGLE, PERCENT = 5, 80
-#: Text bytes for each bucket of shingles, rows for each group of documents, sets in one block of a large component.
-BUCKET_BYTES, GROUP_SETS, BLOCK_SETS = 24_000_000, 4_000, 1_024
+#: Text bytes for each bucket of shingles and for each group of sets, shingles that a task gathers before it deals them.
+BUCKET_BYTES, GROUP_BYTES, DEAL_SHINGLES = 6_000_000, 6_000_000, 400_000
+#: Sets in one block of a large group, sets of a linked part that stand for it in the second round, bytes of sets in a task.
+BLOCK_SETS, PIVOTS, CELL_BYTES = 1_024, 16, 8_000_000
 FAN = 8
 #: Distinct tokens of a tree up to which each has a bit of its own; beyond, tokens share bits and leaves are verified.
 OWN_BITS = 1 << 15
@@ -35,9 +39,8 @@ def shingle_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.n
 
     Texts with fewer than k words have their whole sequence as one shingle; without words the set is empty and its key 0.
     """
-    buf, starts, ends, doc = words_of(texts)
+    h, doc = word_hashes(texts)
     n_words = np.bincount(doc, minlength=len(texts))
-    h = span_hashes(buf, starts, ends)
     first = np.cumsum(n_words) - n_words
     if len(h) >= k:
         acc = np.zeros(len(h) - k + 1, np.uint64)
@@ -67,7 +70,7 @@ def shingle_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def document_sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, key of every document; key null for empty sets."""
+    """id, n_shingles, key and text (hash) of every document; key null for empty sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -77,10 +80,19 @@ def document_sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFr
                 out = pd.DataFrame({"n_shingles": size.astype(np.int64), "key": pd.array(key.view(np.int64), "Int64")})
                 out.loc[size == 0, "key"] = pd.NA
                 out.insert(0, "id", b["id"].iloc[lo:hi].array)
+                out["name"] = b["name"].iloc[lo:hi].array
                 yield out
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInPandas(run, f"id {dict(src.dtypes)['id']}, n_shingles long, key long")
+    kind = dict(src.dtypes)["id"]
+    named = as_sent(src).withColumn("name", row_name(F.col("id"), F.col("text")))
+    return named.mapInPandas(run, f"id {sent_type(src, 'id')}, n_shingles long, key long, name string").withColumn("id", F.col("id").cast(kind))
+
+
+def row_name(id_: Column, text: Column) -> Column:
+    """128 bits that tell rows of another id or text apart."""
+    id_, text = id_.cast("string"), text.cast("string")
+    return F.concat_ws(":", F.hex(F.xxhash64(id_, text)), F.hex(F.xxhash64(text, F.lit(7), id_)))
 
 
 def _pack(key: np.ndarray, size: np.ndarray, count: np.ndarray, h: np.ndarray) -> bytes:
@@ -119,29 +131,36 @@ def candidates(docs: DataFrame, k: int, percent: int, text_col: str) -> DataFram
     """
     total = text_bytes(docs, text_col)
     buckets = max(1, -(-total // BUCKET_BYTES))
-    groups = max(1, -(-total // (GROUP_SETS * 2_000)))
+    groups = max(1, -(-total // GROUP_BYTES))
+
+    def dealt(key: np.ndarray, size: np.ndarray, h: np.ndarray) -> pd.DataFrame:
+        """Packed rows of (set, its size, shingle), one for each bucket that occurs; copies of a set are dealt once."""
+        bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((h, key, bucket))
+        key, size, h, bucket = key[order], size[order], h[order], bucket[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
+        key, size, h, bucket = key[new], size[new], mix(h[new]) >> np.uint64(24), bucket[new]
+        rows = []
+        for i, s, e in cuts(bucket):
+            at = np.flatnonzero(np.append(True, key[s + 1 : e] != key[s : e - 1])) + s
+            rows.append((i, _pack(key[at], size[at], np.diff(np.append(at, e)), h[s:e])))
+        return pd.DataFrame(rows, columns=["bucket", "packed"])
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             texts = b["text"].tolist()
             for lo, hi in slices([len(t or "") for t in texts], SLICE):
                 at, h, size, key = shingle_sets(texts[lo:hi], k)
-                once = np.zeros(len(key), bool)  # copies within the slice are dealt once
-                once[np.unique(key, return_index=True)[1]] = True
                 nth = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-                first = once[at] & (nth < prefix(size, percent)[0][at])
-                at, h = at[first], h[first]
-                bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                at, h, bucket = at[order], mix(h[order]) >> np.uint64(24), bucket[order]
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                rows = []
-                for i in range(buckets):
-                    s, e = cut[i], cut[i + 1]
-                    if s < e:
-                        own, count = np.unique(at[s:e], return_counts=True)
-                        rows.append((i, _pack(key[own], size[own], count, h[s:e])))
-                yield pd.DataFrame(rows, columns=["bucket", "packed"])
+                first = nth < prefix(size, percent)[0][at]
+                held.append((key[at[first]], size[at[first]].astype(np.uint32), h[first]))
+                if sum(len(x[0]) for x in held) >= DEAL_SHINGLES:
+                    yield dealt(*map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+        if held:
+            yield dealt(*map(np.concatenate, zip(*held, strict=True)))
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         """In one bucket: sets by shingle; the shared ones go back, packed by group of sets."""
@@ -166,13 +185,10 @@ def candidates(docs: DataFrame, k: int, percent: int, text_col: str) -> DataFram
         key, n, h, df, group = key[order], n[order], h[order], df[order], group[order]
         code = np.minimum(255, np.ceil(8 * np.log2(df))).astype(np.uint8)
         ids = (h << np.uint64(20)) | np.uint64(bucket & 0xFFFFF)
-        cut = np.searchsorted(group, np.arange(groups + 1))
         out = []
-        for g in range(groups):
-            s, e = cut[g], cut[g + 1]
-            if s < e:
-                own, first, size = np.unique(key[s:e], return_index=True, return_counts=True)
-                out.append((g, own.tobytes(), n[s:e][first].astype("<u4").tobytes(), size.astype("<u4").tobytes(), ids[s:e].tobytes(), code[s:e].tobytes()))
+        for g, s, e in cuts(group):
+            own, first, size = np.unique(key[s:e], return_index=True, return_counts=True)
+            out.append((g, own.tobytes(), n[s:e][first].astype("<u4").tobytes(), size.astype("<u4").tobytes(), ids[s:e].tobytes(), code[s:e].tobytes()))
         return pd.DataFrame(out, columns=["grp", "keys", "sizes", "shared", "ids", "codes"])
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
@@ -328,34 +344,72 @@ def tree_links(sets: list[np.ndarray], n: np.ndarray, percent: int, side: np.nda
     return out
 
 
-def links(cand: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) keys of true links that span the components of the candidates; sets: their key and ids."""
-    spark = cand.sparkSession
-    cell = cand.select("key", F.explode("cells").alias("cell"))
-    low = cell.groupBy("cell").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cell", "low")
-    star = cell.join(low, "cell").where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b"))
-    part = components(star)  # candidate components: every true pair lies within one
-    part = part.unionByName(part.select(F.col("component").alias("node"), "component").distinct())
-    big = part.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    part = part.join(big, "component").select(F.col("node").alias("key"), "component", F.ceil(F.col("members") / BLOCK_SETS).cast("int").alias("blocks"))
-    part = sets.join(cand.drop("cells").join(part, "key"), "key").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("key"), F.col("blocks"))).otherwise(0).cast("int"))
-    part = materialize(part, "parts")
-    tasks = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    small = part.where("blocks = 1").select("key", "n", "ids", "component", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("cell"))
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
-    large = part.where("blocks > 1").select("key", "n", "ids", "component", "block", pairs.alias("p"))
-    large = large.select("key", "n", "ids", "component", "p.i", "p.j", F.col("block").alias("side"), F.xxhash64("component", "p.i", "p.j").alias("cell"))
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+def _compare(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links in each group of one cell; rows of side 0 and side 1 (visitors) are only compared with each other."""
         out = []
-        for (_, i, j), own in rows.groupby(["component", "i", "j"], sort=False):
+        for _, own in rows.groupby(["component", "band", "block"], sort=False):
             sets = [np.sort(np.frombuffer(x, "<u8")) for x in own["ids"]]
-            keys = own["key"].to_numpy()
-            side = own["side"].to_numpy() if i != j else None
-            out += [(keys[p], keys[q]) for p, q in tree_links(sets, own["n"].to_numpy(), percent, side)]
+            keys, side = own["key"].to_numpy(), own["side"].to_numpy()
+            out += [(keys[p], keys[q]) for p, q in tree_links(sets, own["n"].to_numpy(), percent, side if side.any() else None)]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return small.unionByName(large).groupBy("cell").applyInPandas(compare, "a long, b long")
+    return run
+
+
+def links(cand: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) keys of true links that span the components of the candidates; sets: their key and ids."""
+    cell = cand.select("key", F.explode("cells").alias("cell"))
+    low = cell.groupBy("cell").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    star = join_counted(cell, low, "cell", cand.agg(F.sum(F.size("cells"))).first()[0] or 0).where("key <> low")
+    part = components(star.select(F.col("key").alias("a"), F.col("low").alias("b")))  # every true pair lies within one
+    part = part.unionByName(part.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "key")
+    # two sets over the threshold lie in the same band of size or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
+    part = materialize(sets.join(cand.drop("cells").join(part, "key"), "key").withColumn("band", band), "parts")
+    groups = part.groupBy("component", "band").agg(F.count(F.lit(1)).alias("members"))
+    whole = groups.groupBy("component").agg(F.sum("members").alias("all"))
+    blocks = groups.join(whole.where(F.col("all") > BLOCK_SETS), "component").select("component", "band", F.ceil(F.col("members") / BLOCK_SETS).cast("int").alias("blocks"))
+    blocks = materialize(blocks, "blocks")  # a row for each band of a large group
+    tasks = max(1, (part.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // CELL_BYTES)
+
+    def found(rows: DataFrame, cell: Column) -> DataFrame:
+        own = rows.withColumn("cell", cell).select("key", "n", "ids", "component", "band", "block", "side", "cell")
+        return materialize(own.groupBy("cell").applyInPandas(_compare(percent), "a long, b long"), "links")
+
+    home = part.join(F.broadcast(blocks), ["component", "band"], "left") if blocks.count() <= 100_000 else part.join(blocks, ["component", "band"], "left")
+    home = home.withColumn("side", F.lit(0)).withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("key"), F.col("blocks"))).otherwise(0).cast("int"))
+    small = home.where("blocks IS NULL").withColumn("band", F.lit(0))
+    large = home.where("blocks IS NOT NULL")
+    cell = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("component"), F.lit(tasks))).otherwise(F.xxhash64("component", "band", "block"))
+    links_ = found(small.unionByName(large), cell)
+    if not blocks.count():
+        return links_
+
+    def parts_of(links_: DataFrame) -> DataFrame:
+        """(key, component, n, linked): the linked part of each set of a large group."""
+        known = components(links_)
+        known = known.unionByName(known.select(F.col("component").alias("node"), "component").distinct()).select(F.col("node").alias("key"), F.col("component").alias("linked"))
+        return large.select("key", "component").join(known, "key", "left").withColumn("linked", F.coalesce("linked", "key"))
+
+    # a few sets of each linked part, blocks of all of a group's
+    nth = F.row_number().over(Window.partitionBy("component", "linked", "salt").orderBy("key"))
+    pivot = parts_of(links_).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(PIVOTS))).withColumn("nth", nth).where("nth = 1").select("key", "component", "linked")
+    many = pivot.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    pivot = pivot.join(many, "component").select("key", F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(F.col("m") / BLOCK_SETS)).cast("int").alias("block"))
+    second = large.drop("block").join(pivot, "key").withColumn("band", F.lit(0))
+    links_ = materialize(links_.unionByName(found(second, F.xxhash64("component", "block"))), "links")
+
+    # the sets outside the largest part of their group visit all blocks of their own band and its neighbours
+    now = materialize(parts_of(links_), "linked")
+    sizes = now.groupBy("component", "linked").agg(F.count(F.lit(1)).alias("m"))
+    main = sizes.groupBy("component").agg(F.max_by("linked", F.struct("m", "linked")).alias("main"))
+    minor = large.drop("blocks", "block").join(now.join(main, "component").where("linked <> main").select("key"), "key")
+    there = blocks.select("component", F.col("band").alias("to"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    visit = minor.withColumn("to", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(there, ["component", "to"])
+    visit = visit.select("key", "n", "ids", "component", F.col("to").alias("band"), "block", F.lit(1).alias("side"))
+    visited = large.select("key", "n", "ids", "component", "band", "block", "side").join(visit.select("component", "band", "block").distinct(), ["component", "band", "block"])
+    return links_.unionByName(found(visited.unionByName(visit), F.xxhash64("component", "band", "block")))
 
 
 def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,24 +419,46 @@ def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     such documents link like others, and have a null component_id only if no linked document has an id. Other columns are
     not looked at. Long texts are read whole.
     """
+    out = _linked(docs, k, percent, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """id, n_shingles, key, name, component (null for empty sets) and component_id of every document."""
     sets = materialize(document_sets(docs, k, id_col, text_col), "sets")
     cand = materialize(candidates(docs, k, percent, text_col), "candidates")
     joined = components(links(cand, candidate_sets(docs, cand, k, text_col), percent))
-    keys = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("low"))
+    keys = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
     keys = keys.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     lows = keys.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = keys.join(lows, "component").select("key", "component_id")
-    out = sets.join(named, "key", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = keys.join(lows, "component").select("key", "component", "component_id", "n")
+    empty = sets.where("key IS NULL").select("id", "n_shingles", "key", "name", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id"))
+    full = join_counted(sets.where("key IS NOT NULL"), named, "key", sets.count())
+    return full.select(*empty.columns).unionByName(empty)
+
+
+#: Names of rows to drop up to which they are broadcast (some 40 bytes each); beyond, a shuffle join.
+BROADCAST_NAMES = 500_000
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, with all their columns, less all but the smallest doc_id of each linked group.
+    """The rows of docs, with all their columns, less all but one of each linked group: the row of the smallest doc_id (a
+    null counts as the largest), of several by a hash of the text.
 
-    Repeated rows of one doc_id and text stay once. Documents without an id stay unless linked to one with an id.
+    A repeated row (the same doc_id and text) stays once. Null, empty and wordless texts are linked with nothing and stay,
+    repeated ones once. Other columns are not looked at; an empty table gives no rows.
     """
-    low = near_components(docs, k, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(low, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    rows = materialize(_linked(docs, k, percent, "doc_id", "text").select("id", "name", "component"), "named")
+    first = rows.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "name")).alias("x"))
+    kept = first.select("x.name").unionByName(rows.where("component IS NULL").select("name"))
+    counts = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    # one table of the names that go (false) or stay once (true); all others stay as they are
+    marked = materialize(counts.join(kept.distinct().withColumn("stays", F.lit(True)), "name", "left").select("name", F.coalesce("stays", F.lit(False)).alias("stays"), "n").where("n > 1 OR NOT stays").drop("n"), "marked")
+    if marked.count() <= BROADCAST_NAMES:
+        marked = F.broadcast(marked)
+    seen = docs.withColumn("__name", row_name(F.col("doc_id"), F.col("text"))).join(marked.withColumnsRenamed({"name": "__name", "stays": "__stays"}), "__name", "left")
+    once = seen.where("__stays").dropDuplicates(["__name"])
+    return seen.where("__stays IS NULL").unionByName(once).select(*docs.columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
