@@ -17,7 +17,7 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import materialize, table
 
 MASKS = ((0, 1, 3, 4, 6), (0, 1, 2, 5, 7), (0, 1, 4, 6, 8), (0, 1, 3, 5, 8))
 WINDOW, SIMILARITY = 13, 0.8
@@ -25,10 +25,12 @@ WINDOW, SIMILARITY = 13, 0.8
 SHORTEST = 3
 #: Items of up to so many words are seeded by pieces: the spaced masks alone miss some with a tolerated substitution.
 PIECED = 10
-#: Slots of the pair table, one byte each.
-PAIR_SLOTS = 1 << 16
+#: Slots of the pair table, one byte each: 32 for each word pair of the benchmark, in a power of two between these bounds.
+SLOTS_LEAST, SLOTS_MOST = 1 << 16, 1 << 20
 #: Benchmark seeds up to which they are broadcast (each with its words around it: about 300 bytes); beyond, a shuffle join.
 BROADCAST_SEEDS = 200_000
+#: Keys of contaminated documents (8 bytes each) up to which they are broadcast; beyond, a shuffle join.
+BROADCAST_KEYS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -41,8 +43,8 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _pair(w: Column, i: Column) -> Column:
-    return F.pmod(F.xxhash64(F.get(w, i), F.get(w, i + 1)), F.lit(PAIR_SLOTS)).cast("int")
+def _pair(w: Column, i: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(F.get(w, i), F.get(w, i + 1)), F.lit(slots)).cast("int")
 
 
 def _masks() -> tuple[tuple[int, ...], ...]:
@@ -110,8 +112,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, si
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark item."""
-    found = _found(docs, benchmark, window, similarity, "doc_id", "text", "item_id", "text").select("key")
+    """The rows of docs, with all their columns, that hold no benchmark item.
+
+    Null and empty texts stay; repeated rows are judged alike; null ids are judged by their texts; an empty table or
+    benchmark drops nothing.
+    """
+    found = materialize(_found(docs, benchmark, window, similarity, "doc_id", "text", "item_id", "text").select("key"), "found")
+    if found.count() <= BROADCAST_KEYS:
+        found = F.broadcast(found)
     name = "__key"
     return docs.withColumn(name, _key("doc_id", "text")).join(found.withColumnRenamed("key", name), name, "left_anti").drop(name)
 
@@ -123,9 +131,11 @@ def _key(id_col: str, text_col: str) -> Column:
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, similarity: float, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
     """(key, n_items, item_ids) of the documents in which an item is found."""
     item = benchmark.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") >= SHORTEST).distinct()
-    pairs = item.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: _pair(F.col("w"), i))).alias("slot")).distinct()
-    slots = bytearray(PAIR_SLOTS)
-    for r in pairs.toLocalIterator():  # at most PAIR_SLOTS numbers
+    n_pairs = item.agg(F.sum(F.size("w") - 1)).first()[0] or 0
+    size = min(SLOTS_MOST, max(SLOTS_LEAST, 1 << (32 * n_pairs).bit_length()))
+    pairs = item.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: _pair(F.col("w"), i, size))).alias("slot")).distinct()
+    slots = bytearray(size)
+    for r in pairs.toLocalIterator():  # at most `size` numbers
         slots[r["slot"]] = 1
     known = F.lit(bytes(slots))
 
@@ -138,7 +148,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, similarity: float
     key = _key(id_col, text_col).alias("key")
 
     def spots(w: Column) -> Column:
-        sifted = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.substring(known, _pair(w, i) + 1, F.lit(1)) == F.lit(b"\x01"))
+        sifted = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.substring(known, _pair(w, i, size) + 1, F.lit(1)) == F.lit(b"\x01"))
         return F.transform(sifted, lambda i: F.struct(_hashes(w, i, {k: F.lit(True) for k in sorted(used) or [0]}).alias("seeds"), _around(w, i, window).alias("ours")))
 
     # one expression from text to spots, so that a text is split once and only sifted places become rows
