@@ -29,6 +29,34 @@ def test_recall_and_scores(spark, sf_dir):
             assert abs(s - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-12
 
 
+def clustered(n, dims=24, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, dims))
+    return [(i, (centres[rng.integers(40)] + 0.4 * rng.normal(size=dims)).tolist()) for i in range(n)]
+
+
+def test_recall_over_many_leaves_and_rounds(spark, monkeypatch):
+    """Leaves of 16 in parts of 8: the queries need several rounds, and leave leaves out."""
+    monkeypatch.setattr(N, "PART_ROWS", 8)
+    vecs = clustered(4000)
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    want = brute(vecs, 5)
+    got = {}
+    for r in N.nearest(df, lambda i: i % 50 == 0, leaf_rows=16).collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert all(len(got[q]) == 5 for q in want)
+    recall = np.mean([len({i for i, _ in got[q]} & {i for _, i in want[q]}) / 5 for q in want])
+    assert recall >= 0.9
+
+
+def test_whole_numbers_beyond_doubles_and_repeated_ids(spark):
+    big = 2**53 + 1
+    rows = [(0, [1.0, 0.0]), (big, [1.0, 0.1]), (big, [1.0, 0.01]), (None, [1.0, 0.0]), (7, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = sorted((r["rank"], r["vec_id"], round(r["score"], 6)) for r in N.nearest(df, lambda i: i % 50 == 0).collect())
+    assert out == [(1, big, 0.99995), (2, 7, 0.0)]
+
+
 def test_chi_square():
     assert abs(N.chi_square_cdf(np.array([7.344]), 8)[0] - 0.5) < 1e-3 and abs(N.chi_square_cdf(np.array([15.507]), 8)[0] - 0.95) < 1e-3
 

@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by low-dimensional stable projections and a kd-tree.
 
-Vectors are projected by a fixed Gaussian (2-stable) matrix; a kd-tree over the projections hands out leaves in order of
-their distance from a query's projection, and every vector of a leaf is verified with its true cosine. For a vector at
-true distance d, (projected distance / d)^2 is chi-square distributed, so a query stops once a vector at the distance of
-its current k-th neighbour would, with probability 1 - MISS, already have been seen.
-
-Distinct vectors are dealt out in blocks, queries in chunks; every (block, chunk) cell is one task's work, and only k rows
-for each query leave it. All candidates are indexed and all queries meet all blocks.
+Unit vectors are projected by a fixed Gaussian (2-stable) matrix. One kd-tree over the projections, cut from a bounded
+sample, gives every vector its leaf; the leaves' boxes are then taken from all vectors. A query visits the leaves in order
+of their distance from its projection, a round of leaves at a time, and every vector of a visited leaf is verified with its
+true cosine. For a vector at true distance d, (projected distance / d)^2 is chi-square distributed, so a query leaves out a
+leaf, and stops, once a vector at the distance of its present k-th neighbour would lie nearer than that leaf with
+probability 1 - MISS.
+
+Vectors are shuffled once to find equal ones and once a round to their leaves; queries travel to the leaves they visit. A
+leaf's vectors are held in parts of bounded size while queries stream past them. All vectors are indexed.
 """
 
 from __future__ import annotations
@@ -18,10 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import materialize, table
 
-K, DIMS, MISS, LEAF = 5, 8, 0.02, 64
-BLOCK, CHUNK = 16_384, 512
+K, DIMS, MISS = 5, 8, 0.02
+#: Vectors of a leaf that the tree aims at, of a part of a leaf at most, greatest depth, rows of the sample it is cut from.
+LEAF_ROWS, PART_ROWS, DEPTH, SAMPLE_ROWS = 2_048, 16_384, 12, 16_384
+#: Leaves that a query visits in the first round, and how many times as many in each further one.
+FIRST, MORE = 4, 8
 
 
 def chi_square_cdf(x: np.ndarray, dims: int) -> np.ndarray:
@@ -34,57 +39,37 @@ def chi_square_cdf(x: np.ndarray, dims: int) -> np.ndarray:
     return 1 - np.exp(-half) * total
 
 
-def kd_leaves(points: np.ndarray, leaf: int = LEAF) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Leaves of a kd-tree cut at medians of the widest dimension: (row numbers of each, lower and upper box corners)."""
-    stack, leaves = [np.arange(len(points))], []
-    while stack:
-        rows = stack.pop()
-        own = points[rows]
-        spread = own.max(0) - own.min(0)
-        if len(rows) <= leaf or not spread.any():
-            leaves += [rows[i : i + leaf] for i in range(0, len(rows), leaf)]
-            continue
-        half = len(rows) // 2
-        order = np.argpartition(own[:, int(spread.argmax())], half)
-        stack += [rows[order[half:]], rows[order[:half]]]
-    return leaves, np.stack([points[r].min(0) for r in leaves]), np.stack([points[r].max(0) for r in leaves])
-
-
-def search(base: np.ndarray, queries: np.ndarray, k: int, dims: int = DIMS, miss: float = MISS) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in base, cosines) of up to k near rows for each query, nearest first; -1 and -inf fill up."""
-    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
-    asked = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    stable = np.random.default_rng(20).normal(size=(base.shape[1], dims))
-    leaves, low, high = kd_leaves(unit @ stable)
-    members = np.full((len(leaves), max(len(r) for r in leaves)), -1)
-    for i, r in enumerate(leaves):
-        members[i, : len(r)] = r
-    proj = asked @ stable
-    bound = np.zeros((len(asked), len(leaves)))
-    for d in range(dims):
-        gap = np.maximum(low[None, :, d] - proj[:, d, None], proj[:, d, None] - high[None, :, d])
-        bound += np.square(np.maximum(gap, 0))
-    order = np.argsort(bound, axis=1, kind="stable")
-    best = np.full((len(asked), k), -np.inf)
-    where = np.full((len(asked), k), -1)
-    live = np.arange(len(asked))
-    for step in range(len(leaves)):
-        at = order[live, step]
-        far = np.maximum(2 - 2 * best[live, -1], 0)  # squared distance of the k-th so far; inf while there are fewer
-        reach = bound[live, at]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = np.where(np.isinf(far), 0.0, np.where(far > 0, chi_square_cdf(reach / far, dims), (reach > 0) * 1.0))
-        live, at = live[seen < 1 - miss], at[seen < 1 - miss]
-        if not len(live):
-            break
-        rows = members[at]
-        cos = np.einsum("qd,qld->ql", asked[live], unit[rows])
-        cos[rows < 0] = -np.inf
-        both, ids = np.concatenate([best[live], cos], 1), np.concatenate([where[live], rows], 1)
-        top = np.lexsort((ids, -both))[:, :k] if len(live) else np.zeros((0, k), int)
-        best[live], where[live] = np.take_along_axis(both, top, 1), np.take_along_axis(ids, top, 1)
-    where[np.isinf(best)] = -1
-    return where, best
+def units(vectors) -> np.ndarray:
+    v = np.stack(vectors)
+    v = v / np.abs(v).max(1, keepdims=True)  # squares of very large or small components stay finite
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def project(unit: np.ndarray, dims: int = DIMS) -> np.ndarray:
+    """The same stable projection for all vectors of one length."""
+    return unit @ np.random.default_rng((20, unit.shape[1])).normal(size=(unit.shape[1], dims))
+
+
+class Tree:
+    """kd-tree of 2**depth leaves, cut at medians of the widest dimension of a sample's points."""
+
+    def __init__(self, points: np.ndarray, depth: int):
+        self.depth = depth
+        self.dim, self.value = np.zeros(2**depth - 1, int), np.zeros(2**depth - 1)
+        own = {0: points}
+        for node in range(2**depth - 1):
+            p = own.pop(node)
+            if len(p):
+                d = int((p.max(0) - p.min(0)).argmax())
+                self.dim[node], self.value[node] = d, np.median(p[:, d])
+            right = p[:, self.dim[node]] > self.value[node]
+            own[2 * node + 1], own[2 * node + 2] = p[~right], p[right]
+
+    def leaf(self, points: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(points), int)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (points[np.arange(len(points)), self.dim[node]] > self.value[node])
+        return node - (2**self.depth - 1)
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -94,41 +79,170 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & fine & F.exists(v, lambda x: x != 0))
 
 
-def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, block: int = BLOCK, chunk: int = CHUNK, miss: float = MISS) -> DataFrame:
+def by_length(frame: pd.DataFrame):
+    """(length, rows) of the vectors of each length; only these are compared."""
+    return frame.groupby(frame["v"].map(len), sort=True)
+
+
+def indexed(rows: DataFrame, k: int, leaf_rows: int) -> DataFrame:
+    """A written table of the distinct vectors: h, v, ids (the k + 1 smallest of theirs), dim, leaf, p (projection)."""
+    # a frequent vector's ids are ranked and cut in each task before they meet
+    names = rows.select("h", "g", "vec_id").distinct()
+    first = names.withColumn("r", F.row_number().over(Window.partitionBy("h", "g").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    ids = first.groupBy("h", "g").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    held = rows.groupBy("h", "g").agg(F.first("v").alias("v")).join(ids, ["h", "g"]).select("h", "v", "ids")
+    n = rows.count()
+    near = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 30)) < min(1 << 30, 2 * SAMPLE_ROWS * (1 << 30) // max(1, n) + 1)
+    sample = rows.where(near).select("h", "v").orderBy("h").limit(SAMPLE_ROWS).toPandas()
+    points = np.concatenate([project(units(own["v"])) for _, own in by_length(sample)]) if len(sample) else np.zeros((0, DIMS))
+    tree = Tree(np.unique(points, axis=0), min(DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / leaf_rows))))))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for dim, own in by_length(b):
+                p = project(units(own["v"]))
+                yield own.assign(dim=dim, leaf=tree.leaf(p), p=list(p))
+
+    return materialize(held.mapInPandas(place, "h long, v array<double>, ids array<long>, dim int, leaf int, p array<double>"), "index")
+
+
+class Boxes:
+    """Leaves of one vector length: their numbers, box corners and numbers of parts."""
+
+    def __init__(self, rows: list):
+        self.leaf = np.array([r["leaf"] for r in rows])
+        self.parts = np.array([-(-r["n"] // PART_ROWS) for r in rows])
+        self.low, self.high = (np.array([[r[f"{c}{i}"] for i in range(DIMS)] for r in rows]) for c in ("a", "b"))
+
+    def reach(self, points: np.ndarray) -> np.ndarray:
+        """(points, leaves) squared distances of the boxes from the points."""
+        out = np.zeros((len(points), len(self.leaf)))
+        for d in range(DIMS):
+            out += np.square(np.maximum(0, np.maximum(self.low[None, :, d] - points[:, d, None], points[:, d, None] - self.high[None, :, d])))
+        return out
+
+
+def boxes_of(index: DataFrame) -> dict[int, Boxes]:
+    """From all vectors: at most 2**DEPTH rows for each vector length reach the driver."""
+    corner = [f(F.col("p")[i]).alias(f"{c}{i}") for c, f in (("a", F.min), ("b", F.max)) for i in range(DIMS)]
+    rows = index.groupBy("dim", "leaf").agg(F.count(F.lit(1)).alias("n"), *corner).orderBy("dim", "leaf").collect()
+    return {dim: Boxes([r for r in rows if r["dim"] == dim]) for dim in {r["dim"] for r in rows}}
+
+
+def visits(boxes: dict[int, Boxes], since: int, until: int, miss: float):
+    """Rows that send each query to the leaves from its `since`-th to its `until`-th nearest that the test leaves in."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for dim, own in by_length(b):
+                box = boxes[dim]
+                for at in range(0, len(own), 512):
+                    part = own.iloc[at : at + 512]
+                    reach = box.reach(project(units(part["v"])))
+                    order = np.argsort(reach, axis=1, kind="stable")[:, since:until]
+                    reach = np.take_along_axis(reach, order, 1)
+                    far = np.maximum(0, 2 - 2 * part["kth"].to_numpy(float))[:, None]  # squared distance of the k-th; nan while there are fewer
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        seen = np.where(far > 0, chi_square_cdf(reach / far, DIMS), (reach > 0) * 1.0)
+                    q, nth = np.nonzero(np.isnan(far) | (seen < 1 - miss))
+                    leaf = order[q, nth]
+                    times = box.parts[leaf]
+                    q, leaf = np.repeat(q, times), np.repeat(leaf, times)
+                    piece = np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)
+                    yield pd.DataFrame({"dim": np.int32(dim), "leaf": box.leaf[leaf].astype(np.int32), "part": piece.astype(np.int32), "query_id": part["query_id"].to_numpy()[q], "h": part["h"].to_numpy()[q], "v": part["v"].to_numpy()[q], "ids": None})
+
+    return run
+
+
+CELL = "dim int, leaf int, part int, query_id long, h long, v array<double>, ids array<long>"
+
+
+def verified(k: int):
+    """Streams cells sorted so that vectors (with ids) come before queries: the k nearest of a cell for each of its queries."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, held, base, ids = None, [], None, []
+        for b in batches:
+            for key, own in b.groupby(["dim", "leaf", "part"], sort=False):
+                if key != cell:
+                    cell, held, base = key, [], None
+                query = own["ids"].isna()
+                if not query.all():
+                    held.append(own.loc[~query, ["v", "ids"]])
+                asked = own[query]
+                if not len(asked) or not held:
+                    continue
+                if base is None:
+                    rows = pd.concat(held)
+                    base, ids = units(rows["v"]), rows["ids"].tolist()
+                for at in range(0, len(asked), 256):
+                    yield nearest_of(base, ids, asked.iloc[at : at + 256], k)
+
+    return run
+
+
+def nearest_of(base: np.ndarray, ids: list, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """k nearest ids of base for each query, not its own; ties to the smaller id."""
+    unit, out = units(asked["v"]), []
+    rough = unit @ base.T
+    least = np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)] if len(base) > k + 1 else np.full(len(unit), -2.0)
+    for q, qid, h in zip(range(len(unit)), asked["query_id"].tolist(), asked["h"].tolist(), strict=True):
+        near = np.flatnonzero(rough[q] >= least[q] - 1e-9)
+        score = np.einsum("d,ld->l", unit[q], base[near])  # the same sum for equal vectors, wherever they stand
+        found = sorted((-s, int(i)) for p, s in zip(near.tolist(), score.tolist(), strict=True) for i in ids[p] if i != qid)
+        out += [(qid, h, i, -s) for s, i in found[:k]]
+    return pd.DataFrame(out, columns=["query_id", "h", "vec_id", "score"])
+
+
+def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, leaf_rows: int = LEAF_ROWS, miss: float = MISS) -> DataFrame:
     """For each query row, its k nearest other rows by cosine: query_id, rank, vec_id, score; ties to the smaller id.
 
     is_query: Column -> Column over the id. Unusable vectors (see `usable`) and null ids take no part; only vectors of
-    equal length are compared; equal vectors are indexed once with the k + 1 smallest of their ids, which loses nothing;
-    repeated rows of one id count once. Fewer than k candidates: all of them. Other columns are not looked at.
+    equal length are compared; equal vectors are indexed once with the k + 1 smallest of their ids, which loses nothing.
+    Repeated rows count once; an id with several vectors is found, and asks, with the best score of any of them. Fewer
+    than k candidates: all of them. Other columns are not looked at; an empty table gives no rows.
     """
-    rows = usable(df, id_col, vec_col).dropDuplicates(["vec_id", "v"])
-    # k + 1 smallest ids of each distinct vector, in two steps so that a frequent vector is never in one task
-    rows = rows.withColumn("h", F.xxhash64("v")).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(4096)))
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("h", "v", "salt").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    held = first.groupBy("h", "v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    asked = rows.where(is_query(F.col("vec_id"))).select("vec_id", "h", "v")
-    n = df.count()
-    blocks, chunks = max(1, -(-n // block)), max(1, -(-asked.count() // chunk))
-    cand = held.select(F.lit(-1).cast("long").alias("vec_id"), "v", "ids", F.size("v").alias("dim"), F.pmod("h", F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    query = asked.select("vec_id", "v", F.array().cast("array<long>").alias("ids"), F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"))
-
-    def cell(rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.array([], "int64"), "vec_id": np.array([], "int64"), "score": np.array([], "float64")})
-        asks = rows["ids"].map(len) == 0  # candidates carry ids, queries none
-        base, q = rows[~asks], rows[asks]
-        if not len(base) or not len(q):
-            return empty
-        base = base.sort_values("ids", key=lambda s: s.map(lambda x: x[0]))  # positions follow the smallest id: ties
-        found, cos = search(np.stack(base["v"]), np.stack(q["v"]), k + 1, miss=miss)
-        out, ids = [], base["ids"].tolist()
-        for qid, own, score in zip(q["vec_id"].tolist(), found, cos, strict=True):
-            near = [(-s, int(i), qid) for p, s in zip(own.tolist(), score.tolist(), strict=True) if p >= 0 for i in ids[p] if i != qid]
-            out += [(qid, i, -s) for s, i, qid in sorted(near)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
-
-    hits = cand.unionByName(query).groupBy("block", "chunk", "dim").applyInPandas(cell, "query_id long, vec_id long, score double")
+    rows = usable(df, id_col, vec_col).withColumns({"h": F.xxhash64("v"), "g": F.xxhash64("v", F.lit(7))})
+    index = indexed(rows, k, leaf_rows)
+    boxes = boxes_of(index)
+    asked = materialize(rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "h", "v").dropDuplicates(["query_id", "h"]), "asked")
+    parts = {(dim, leaf): n for dim, box in boxes.items() for leaf, n in zip(box.leaf.tolist(), box.parts.tolist(), strict=True)}
+    cells = max(1, sum(parts.values()))
+    split = [(d, x, n) for (d, x), n in parts.items() if n > 1]
+    vectors = index.withColumn("parts", F.lit(1))
+    if split:  # at most one row for each leaf
+        vectors = index.join(F.broadcast(df.sparkSession.createDataFrame(split, "dim int, leaf int, parts int")), ["dim", "leaf"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    vectors = vectors.select("dim", "leaf", F.pmod(F.xxhash64("h", F.lit(2)), F.col("parts")).cast("int").alias("part"), F.lit(None).cast("long").alias("query_id"), "h", "v", "ids")
+    best = None
+    since, until = 0, FIRST
+    most = max((len(box.leaf) for box in boxes.values()), default=0)
+    while since < most:
+        live = asked.withColumn("kth", F.lit(None).cast("double"))
+        if best is not None:
+            kth = best.groupBy("query_id", "h").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
+            live = asked.join(kth, ["query_id", "h"], "left")
+        sent = live.mapInPandas(visits(boxes, since, until, miss), CELL)
+        if best is not None:
+            sent = materialize(sent, "visits")
+            if sent.isEmpty():
+                break
+            used = sent.select("dim", "leaf").distinct()  # at most one row for each leaf
+            vectors_now = vectors.join(F.broadcast(used), ["dim", "leaf"], "left_semi")
+        else:
+            vectors_now = vectors
+        order = [F.col("dim"), F.col("leaf"), F.col("part"), F.col("ids").isNull()]
+        met = vectors_now.unionByName(sent).repartition(min(cells, 100_000), "dim", "leaf", "part").sortWithinPartitions(*order)
+        hits = met.mapInPandas(verified(k), "query_id long, h long, vec_id long, score double")
+        if best is not None:
+            hits = hits.unionByName(best)
+        hits = hits.groupBy("query_id", "h", "vec_id").agg(F.max("score").alias("score"))  # an id with several vectors
+        rank = F.row_number().over(Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id"))
+        best = materialize(hits.withColumn("r", rank).where(F.col("r") <= k).drop("r"), "best")
+        since, until = until, until + (until - since) * MORE
+    if best is None:
+        best = asked.select("query_id", "h", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("double").alias("score")).where("1 = 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
