@@ -44,6 +44,56 @@ def test_matches_brute_force(spark):
     assert rows(S.repeated_spans(df)) == want
 
 
+def test_suffixes_are_sorted_and_ties_resolved():
+    rng = random.Random(1)
+    for trial in range(40):
+        base = ["".join(rng.choice("ab" if trial % 2 else "abcdef") for _ in range(rng.randrange(60, 300))) for _ in range(3)]
+        texts, depth = [], 40
+        for _ in range(rng.choice([1, 5, 60, 300])):
+            b = rng.choice(base)
+            k = rng.randrange(len(b) - 45)
+            t = list(b[k : k + rng.randrange(40, 90)])
+            t[rng.randrange(len(t))] = rng.choice("abz")
+            if len(t) >= depth:
+                texts.append("".join(t).encode())
+        if not texts:
+            continue
+        counts = [len(t) - depth + 1 for t in texts]
+        seen = collections.Counter(t[i : i + depth] for t, m in zip(texts, counts, strict=True) for i in range(m))
+        for t, m, found in zip(texts, counts, S.repeated_starts(texts, counts, depth), strict=True):
+            assert found.tolist() == [seen[t[i : i + depth]] > 1 for i in range(m)]
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        order, _ = S.sorted_starts(buf, np.arange(len(buf) - depth), depth)
+        strings = [buf[i : i + depth].tobytes() for i in order.tolist()]
+        assert strings == sorted(strings)
+
+
+def test_pieces_and_anchors(monkeypatch):
+    """Every start of a text is in exactly one window, with its anchor in reach, however the text is cut."""
+    rng = random.Random(2)
+    raws = [bytes(rng.choice(b"abcd ") for _ in range(n)) for n in (0, 199, 200, 201, 950, 3000)] + [b" " * 1500]
+    for slice_ in (350, 10**6):
+        monkeypatch.setattr(S, "SLICE", slice_)
+        starts = collections.Counter()
+        for text, base, parts in S.pieces(raws, 200):
+            buf, piece, lo, hi, anchor = S.anchored(parts, 200)
+            off = np.cumsum([0, *map(len, parts[:-1])])
+            for p, a, b, x in zip(piece, lo, hi, anchor, strict=True):
+                assert a <= b <= x <= a + 132
+                starts.update((text[p], int(i - off[p] + base[p])) for i in range(a, b + 1))
+        assert starts == {(t, i): 1 for t, r in enumerate(raws) for i in range(len(r) - 199)}
+
+
+def test_long_texts(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(4000)]
+    text = " ".join(rng.choice(words) for _ in range(60_000))
+    passage = text[200_000:230_000]
+    docs = [(2**53 + 1, text), (None, " " * 300_000), (3, "x" + passage + "y" * 150), (4, text[:150] + "!" + text[399_900:400_500])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    assert rows(S.repeated_spans(df)) == sorted(((d, *x) for (d, _), x in zip(docs, brute([t for _, t in docs]), strict=True)), key=str)
+
+
 def test_edges(spark, edge_docs, no_docs, edge_rows):
     want = sorted(((r[0], *x) for r, x in zip(edge_rows, brute([r[1] for r in edge_rows]), strict=True)), key=str)
     assert rows(S.repeated_spans(edge_docs)) == want
