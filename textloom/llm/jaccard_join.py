@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import SLICE, as_sent, components, cuts, in_sift, join_counted, materialize, mix, sent_type, sift_of, slices, table, text_bytes, word_hashes
+from .shared import SLICE, as_sent, components, cuts, in_sift, join_counted, materialize, mix, sent_type, sift_of, slices, small_batches, table, text_bytes, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 #: Text bytes for each bucket of shingles and for each group of sets, shingles that a task gathers before it deals them.
@@ -425,6 +425,7 @@ def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
 
 def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """id, n_shingles, key, name, component (null for empty sets) and component_id of every document."""
+    small_batches(docs)
     sets = materialize(document_sets(docs, k, id_col, text_col), "sets")
     cand = materialize(candidates(docs, k, percent, text_col), "candidates")
     joined = components(links(cand, candidate_sets(docs, cand, k, text_col), percent))

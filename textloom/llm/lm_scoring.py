@@ -21,10 +21,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SLICE, FOLDS, cuts, fold, materialize, mix, slices, table, text_bytes, word_hashes
+from .shared import SLICE, FOLDS, cuts, fold, materialize, mix, slices, small_batches, table, text_bytes, word_hashes
 
 #: Text bytes of a batch; there are as many buckets as batches.
 BATCH_BYTES = 5_000_000
+#: Characters of text that a task gathers before it deals them to their batches.
+GATHERED = 12_000_000
 #: Every DELETED-th training document (by hash) is held out for the weights.
 DELETED = 10
 #: Context-frequency buckets: floor(log2(count)), 0 for unseen, up to CONTEXT_BUCKETS - 1.
@@ -104,7 +106,7 @@ def _unvarint(raw: bytes) -> np.ndarray:
 
 def batched(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """docs as packed rows of batch, part and blob (ids and texts, compressed); a batch has one part."""
-    n = max(1, -(-text_bytes(docs, text_col) // BATCH_BYTES))
+    n = max(1, -(-text_bytes(small_batches(docs), text_col) // BATCH_BYTES))
     src = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     u = F.xxhash64("id", "text", F.lit(3))
     held_out = fold("id") == 1
@@ -114,9 +116,19 @@ def batched(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     src = src.withColumn("batch", (F.pmod(u, share) * 3 + F.col("part")).cast("long"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def blobs(held: pd.DataFrame) -> pd.DataFrame:
+            rows = [(k, p, zstandard.compress(pickle.dumps((own["id"].tolist(), own["text"].tolist())), 3)) for (k, p), own in held.groupby(["batch", "part"])]
+            return pd.DataFrame(rows, columns=["batch", "part", "blob"])
+
+        held, waiting = [], 0
         for b in batches:
-            rows = [(k, p, zstandard.compress(pickle.dumps((own["id"].tolist(), own["text"].tolist())), 3)) for (k, p), own in b.groupby(["batch", "part"])]
-            yield pd.DataFrame(rows, columns=["batch", "part", "blob"])
+            held.append(b)
+            waiting += int(b["text"].str.len().sum())
+            if waiting >= GATHERED:
+                yield blobs(pd.concat(held))
+                held, waiting = [], 0
+        if held:
+            yield blobs(pd.concat(held))
 
     return src.mapInPandas(pack, "batch long, part int, blob binary"), n
 

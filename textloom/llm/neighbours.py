@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import materialize, small_batches, table
 
 K, DIMS, MISS = 5, 8, 0.02
 #: Vectors of a leaf that the tree aims at, of a part of a leaf at most, greatest depth, rows of the sample it is cut from.
@@ -202,7 +202,7 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "emb
     Repeated rows count once; an id with several vectors is found, and asks, with the best score of any of them. Fewer
     than k candidates: all of them. Other columns are not looked at; an empty table gives no rows.
     """
-    rows = usable(df, id_col, vec_col).withColumns({"h": F.xxhash64("v"), "g": F.xxhash64("v", F.lit(7))})
+    rows = usable(small_batches(df), id_col, vec_col).withColumns({"h": F.xxhash64("v"), "g": F.xxhash64("v", F.lit(7))})
     index = indexed(rows, k, leaf_rows)
     boxes = boxes_of(index)
     asked = materialize(rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "h", "v").dropDuplicates(["query_id", "h"]), "asked")

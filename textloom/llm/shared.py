@@ -17,6 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of an Arrow batch. At Spark's own 10,000 rows a batch of texts takes some 35 MB, several times over in a
+#: worker, and workers keep what they once took.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of bounded size in its session where that still has Spark's defaults."""
+    conf = df.sparkSession.conf
+    for key, default, own in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", f"{64 << 20}b", BATCH_BYTES)):
+        if conf.get(f"spark.sql.execution.arrow.{key}", None) == default:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(own))
+    return df
+
+
 def fold(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import HOT_ROWS, SLICE, as_sent, cuts, in_sift, join_counted, materialize, mix, sent_type, sift_of, slices, span_hashes, table
+from .shared import HOT_ROWS, SLICE, as_sent, cuts, in_sift, join_counted, materialize, mix, sent_type, sift_of, slices, small_batches, span_hashes, table
 
 LENGTH, NAME = 200, 68
 #: A perfect difference set, every residue modulo 31 is a difference of two members.
@@ -400,7 +400,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if length < NAME + 8:
         raise ValueError("length is too short for its anchors")
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind, sent = dict(src.dtypes)["id"], sent_type(src, "id")
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
