@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode white space as a regular-expression class body, understood alike by Java and RE2.
+#: Unicode white space as a regular-expression class body, understood alike by Java and RE2; then the same without the line
+#: feed, for patterns that look at one line of a text.
 WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WS_IN_LINE = WS.replace(r"\t-\r", r"\t\x0B-\r")
 
 # The word lists that line signals and detection look for.
 LOG_LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "WARNING", "ERROR", "FATAL")
@@ -38,18 +40,48 @@ def has_word(c: Column, *words: str) -> Column:
     return F.regexp_like(c, F.lit(f"(^|[^0-9A-Za-z_])({'|'.join(words)})($|[^0-9A-Za-z_])"))
 
 
+def is_json(c: Column) -> Column:
+    """The whole text, less white space at its ends, is one JSON object or array; false for null.
+
+    Wrapped in an array and in an object it must stay one element and one member, which rules out anything behind it; what
+    stands outside strings must be JSON's own characters, which rules out the reader's leniencies.
+    """
+    t = strip(c)
+    bare = F.regexp_replace(t, r'"(?:\\.|[^"\\\x00-\x1F])*"', "")
+    one = (F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1) & (F.size(F.json_object_keys(F.concat(F.lit('{"a":'), t, F.lit("}")))) == 1)
+    strict = F.regexp_like(bare, F.lit(r"^[\[\]{},:0-9eE+\-.aflnrstu \t\r\n]*\z"))
+    return F.when(F.regexp_like(t, F.lit(r"(?s)^(\{.*\}|\[.*\])\z")), F.coalesce(one & strict, F.lit(False))).otherwise(F.lit(False))
+
+
 def estimated_tokens(c: Column) -> Column:
-    """Estimate of a text's model tokens by character class; null for null, 0 for empty, else at least 1."""
-    runs = F.regexp_extract_all(c, F.lit(f"([{WS}]+)"))
-    changes = lambda r: F.size(F.filter(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(1)) != F.substring(r, i + 1, F.lit(1))))
-    longer = F.filter(runs, lambda r: F.length(r) > 1)
-    space = F.size(runs) + F.aggregate(longer, F.lit(0), lambda a, r: a + F.floor(F.length(r) / 8).cast("int") + F.ceil(changes(r) / 2).cast("int"))
-    letters = F.transform(F.split(c, f"[{WS}0-9]+"), lambda s: F.length(F.regexp_replace(s, "[^A-Za-z]", "")))
-    dense = F.aggregate(F.filter(letters, lambda n: n > 12), F.lit(0), lambda a, n: a + n)
-    count = lambda p: F.regexp_count(c, F.lit(p))
-    word = count("[A-Za-z]") - dense
-    total = F.ceil(2 * word / 7) + F.ceil(count("[0-9]") / 2) + F.ceil(2 * dense / 3) + count(r"[\x00-\x08\x0E-\x1F!-/:-@\[-`{-\x7F]") + 2 * count(rf"[^\x00-\x7F{WS}]") + space
-    return F.when(c.isNull(), F.lit(None)).when(c == "", F.lit(0)).otherwise(F.greatest(F.lit(1), total)).cast("long")
+    """Estimate of a text's model tokens by character class; null for null, 0 for empty, else at least 1.
+
+    Classes are measured by what is left of the text once each is taken out; only runs of white space and of letters that
+    are long enough to count otherwise become arrays.
+    """
+    without = lambda text, chars: F.regexp_replace(text, f"[{chars}]+", "")
+    spaced = F.regexp_replace(c, f"[{WS}]+", " ")
+    dark = F.replace(spaced, F.lit(" "), F.lit(""))
+    plain = without(dark, "A-Za-z")
+    signs = without(plain, "0-9")
+    foreign = without(signs, r"\x00-\x7F")
+    letters, digits = F.length(dark) - F.length(plain), F.length(plain) - F.length(signs)
+    wide = F.length(foreign)
+    punct = F.length(signs) - wide
+
+    def changes(run: Column) -> Column:
+        differ = lambda i: F.substring(run, i, F.lit(1)) != F.substring(run, i + 1, F.lit(1))
+        return F.size(F.filter(F.sequence(F.lit(1), F.length(run) - 1), differ))
+
+    of_run = lambda a, r: a + F.floor(F.length(r) / 8).cast("int") + F.ceil(changes(r) / 2).cast("int")
+    space = F.length(spaced) - F.length(dark) + F.aggregate(F.regexp_extract_all(c, F.lit(f"([{WS}]{{2,}})")), F.lit(0), of_run)
+    of_letters = lambda a, s: a + F.when(F.length(without(s, "^A-Za-z")) > 12, F.length(without(s, "^A-Za-z"))).otherwise(0)
+    dense = F.aggregate(F.regexp_extract_all(c, F.lit(f"([^{WS}0-9]{{13,}})")), F.lit(0), of_letters)
+
+    total = lambda x: F.ceil(2 * (x["letters"] - x["dense"]) / 7) + F.ceil(x["digits"] / 2) + F.ceil(2 * x["dense"] / 3) + x["punct"] + 2 * x["wide"] + x["space"]
+    parts = F.struct(*[v.alias(k) for k, v in (("letters", letters), ("digits", digits), ("punct", punct), ("wide", wide), ("space", space), ("dense", dense))])
+    summed = F.element_at(F.transform(F.array(parts), total), 1)  # dense is worked out once
+    return F.when(c.isNull(), F.lit(None)).when(c == "", F.lit(0)).otherwise(F.greatest(F.lit(1), summed)).cast("long")
 
 
 def template(line: Column) -> Column:
@@ -75,14 +107,17 @@ def template(line: Column) -> Column:
 
 def keyword_score(line: Column) -> Column:
     """3 for each error word and 1 for each warning word that a line holds as a whole word."""
-    words = F.split(ascii_lower(line), "[^0-9a-z_]+")
+    low = ascii_lower(line)
+    words = F.split(low, "[^0-9a-z_]+")
     held = lambda names: F.size(F.array_intersect(words, F.array(*[F.lit(n) for n in names])))
-    return 3 * held(ERROR_WORDS) + held(WARNING_WORDS)
+    any_word = F.regexp_like(low, F.lit("|".join(("err", "fail", "fatal", "panic", "exception", "traceback", "assert", "refused", "denied", "time", "unreach", "corrupt", "invalid", "unauth", "forbid", "warn", "deprec", "retry", "slow"))))
+    return F.when(any_word, 3 * held(ERROR_WORDS) + held(WARNING_WORDS)).when(line.isNotNull(), F.lit(0))
 
 
-def importance(line: Column) -> Column:
-    """critical, notable or routine."""
-    t, score = strip(line), keyword_score(line)
+def importance(line: Column, score: Column | None = None) -> Column:
+    """critical, notable or routine; score: the line's keyword score, where a column already holds it."""
+    t = strip(line)
+    score = keyword_score(line) if score is None else score
     notable = (score > 0) | F.regexp_like(t, F.lit("^(#|==|--)|:$")) | F.regexp_like(ascii_lower(t), F.lit(f"^({'|'.join(SUMMARY_STARTS)})"))
     return F.when(score >= 3, "critical").when((t != "") & notable, "notable").otherwise("routine")
 

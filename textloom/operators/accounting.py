@@ -149,7 +149,7 @@ ORACLES = {
     "audit": f"WITH {_O} SELECT mode || '|' || family || '|' || content_type AS key, samples, declines FROM ob WHERE samples >= {MIN_SAMPLES} AND declines > 0 ORDER BY declines DESC, key",
     "rate_limit": f"WITH {_O} SELECT event_id, row_number() OVER (PARTITION BY mode, floor(epoch(ts) / 3600) ORDER BY ts, event_id) <= 1 AS allowed FROM o",
     "content_store": f"WITH {_ST} SELECT * FROM st",
-    "retrieve": f"""WITH {_ST}, a AS (SELECT event_id AS ask_id, CASE WHEN event_id % 15 = 0 THEN upper(left(sha256(props), 32)) WHEN event_id % 10 = 0 THEN left(sha256(event_type), 32) ELSE left(sha256(props), 32) END AS hash FROM events WHERE event_id % 5 = 0),
+    "retrieve": f"""WITH {_ST}, a AS (SELECT event_id AS ask_id, CASE WHEN event_id % 15 = 0 THEN upper(left(sha256(props), 32)) WHEN event_id % 10 = 0 THEN left(sha256(event_type), 32) ELSE left(sha256(props), 32) END AS hash FROM events),
  j AS (SELECT ask_id, content, CASE WHEN NOT regexp_matches(a.hash, '^[0-9a-f]{{32}}$') THEN 'malformed' WHEN expires_at IS NULL THEN 'missing' WHEN expires_at <= (SELECT max(ts) FROM events) THEN 'expired' ELSE 'found' END AS status FROM a LEFT JOIN st USING (hash))
  SELECT ask_id, status, CASE WHEN status = 'found' THEN content END AS content FROM j""",
     "routed_by_recommendation": f"WITH {_O} SELECT o.mode, CASE WHEN coalesce(ratio > {WORTH_RATIO} AND 2 * declines < samples, true) THEN 'compress' ELSE 'measured_useless' END AS reason, count(*) AS n FROM o LEFT JOIN re USING (mode, family, content_type) GROUP BY 1, 2",

@@ -152,7 +152,7 @@ def exact_tokens(vocab: str = "byte_bpe_50k"):
 
 def minify_json(c: Column) -> Column:
     """White space outside strings dropped, for text that parses as JSON; other text as it is."""
-    return F.when(F.get_json_object(c, "$").isNotNull(), F.regexp_replace(c, r'("(?:\\.|[^"\\])*")|[ \t\r\n]+', "$1")).otherwise(c)
+    return F.when(T.is_json(c), F.regexp_replace(c, r'("(?:\\.|[^"\\])*")|[ \t\r\n]+', "$1")).otherwise(c)
 
 
 def auth_mode(headers: Column) -> Column:
@@ -268,12 +268,12 @@ QUERIES = {
     "structure_hash": q_structure_hash, "sorted_keys": q_sorted_keys, "cache_key_member": q_cache_key_member, "exact_tokens": q_exact_tokens,
 }
 ORACLES = {
-    "json_minify": f"""WITH {BLOCKS_SQL}, s AS (SELECT block_id, replace(replace(content, ',', ' , '), ':', ': ') AS c FROM blocks WHERE block_id LIKE 'json-%' OR block_id LIKE 'doc-%')
+    "json_minify": f"""WITH {BLOCKS_SQL}, s AS (SELECT block_id, replace(replace(content, ',', ' , '), ':', ': ') AS c FROM blocks)
  SELECT block_id, sha256(CASE WHEN json_valid(c) THEN regexp_replace(c, '("(?:\\\\.|[^"\\\\])*")|[ \\t\\r\\n]+', '\\1', 'g') ELSE c END) AS sha FROM s""",
     "request_blocks": f"WITH {_RB} SELECT * FROM rb",
     "compressible_blocks": f"WITH {_RB}, k(kind, compressible, tool_output) AS (VALUES {_KIND_ROWS}) SELECT kind, compressible, tool_output, count(*) AS n, sum(strlen(content))::BIGINT AS bytes FROM rb JOIN k USING (kind) GROUP BY 1, 2, 3",
     "auth_mode": """SELECT c_custkey, ['oauth', 'payg', 'oauth', 'subscription'][c_custkey % 4 + 1] AS mode, ['accept,x-api-key', 'accept,x-api-key', 'accept,authorization', 'accept'][c_custkey % 4 + 1] AS forwarded, ['sk-ant-oat01...', 'sk-live-y...', 'Bearer ya29....', ''][c_custkey % 4 + 1] AS shown FROM customer""",
     "pooled_embeddings": """WITH e AS (SELECT label, unnest(range(0, len(embedding)))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, dim, avg(x) AS m FROM e GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) AS norm FROM m GROUP BY 1)
  SELECT label, dim, round(CASE WHEN norm > 0 THEN m / norm ELSE m END, 6) AS value FROM m JOIN n USING (label)""",
-    "jsonl_memories": "SELECT conv_id * 1000 + turn AS ord, substr(text, 1, 20) AS content, CASE WHEN turn % 2 = 0 THEN role ELSE 'unknown' END AS source, 'unknown' AS context FROM conversations WHERE turn % 5 <> 4 AND conv_id % 7 <> 0",
+    "jsonl_memories": "SELECT conv_id * 1000 + turn AS ord, text AS content, CASE WHEN turn % 2 = 0 THEN role ELSE 'unknown' END AS source, 'unknown' AS context FROM conversations WHERE turn % 5 <> 4 AND conv_id % 7 <> 0",
 }

@@ -6,20 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.tables import BLOCKS_SQL, LINES_SQL, LOG_SQL, SEARCH_SQL, block_lines, blocks, log_lines, search_lines
-from .signals import _LOW, _SCORE, _STRIP, anchor
+from ..sources.tables import BLOCKS_SQL, LOG_SQL, SEARCH_SQL, block_lines, blocks, in_order, log_lines, search_lines
+from .signals import _EST, _LEVEL, _LN, _SCORE, _STRIP, _TAGS, ANCHOR_SQL, TOKENS_SQL, anchor, is_boundary
 
 # Budgets of the digests.
 MIN_LOG_LINES, MAX_SEVERITY = 8, 50
 MAX_FILES, PER_FILE, TOTAL_HITS, MIN_HITS = 40, 5, 40, 6
 
 
-def in_order(value: Column, *order: Column) -> Column:
-    """Values of a group joined by line feeds, in a total order."""
-    key = F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], value.alias("v"))
-    return F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda s: s["v"]), "\n")
-
-
 def log_templates(ln: DataFrame) -> DataFrame:
     """doc_id, template, n, first_line, example: groups of non-blank log lines alike but for their variable tokens."""
     t = ln.where(T.strip(F.col("line")) != "").withColumn("template", T.template(F.col("line")))
@@ -77,13 +71,12 @@ def summarise(ln: DataFrame, budget: int = 60, min_lines: int = 60) -> DataFrame
     """block_id, digest: the most important lines of a text with gaps counted between them.
 
     Anchors and lines with markup are always kept, even beyond the budget; others by importance, then place. Null where
-    the text has at most min_lines lines.
+    the text has at most min_lines lines. ln: as block_lines gives them.
     """
     whole = Window.partitionBy("block_id")
-    ln = ln.withColumn("n", F.count(F.lit(1)).over(whole)).where(F.col("n") > min_lines)
-    required = anchor(F.col("line"), (F.col("line_no") == 0) | (F.col("line_no") == F.col("n") - 1)).isNotNull() | (F.size(T.tags(F.col("line"))) > 0)
-    level = F.when(T.importance(F.col("line")) == "critical", 2).when(T.importance(F.col("line")) == "notable", 1).otherwise(0)
-    ln = ln.withColumn("required", required).withColumn("level", level)
+    required = anchor(F.col("line"), is_boundary()).isNotNull() | (F.size(T.tags(F.col("line"))) > 0)
+    ln = ln.where(F.col("n") > min_lines).withColumn("required", required).withColumn("level", T.importance(F.col("line")))
+    ln = ln.withColumn("level", F.when(F.col("level") == "critical", 2).when(F.col("level") == "notable", 1).otherwise(0))
     ln = ln.withColumn("must", F.sum(F.col("required").cast("int")).over(whole)).withColumn("r", F.row_number().over(whole.orderBy(F.desc("required"), F.desc("level"), "line_no")))
     kept = ln.where(F.col("r") <= F.greatest(F.lit(budget), F.col("must"))).withColumn("before", F.lag("line_no").over(whole.orderBy("line_no")))
     gap = F.col("line_no") - F.col("before") - 1
@@ -160,19 +153,15 @@ _SEAD = rf"""{SEARCH_SQL}, h AS (SELECT doc_id, line_no, regexp_extract(line, '^
  pt AS (SELECT f.doc_id, first_line, shown, f.path || coalesce(chr(10) || rows_, '') || CASE WHEN n > shown THEN chr(10) || '  ... ' || (n - shown) || ' more in this file' ELSE '' END AS part FROM f LEFT JOIN tx USING (doc_id, path)),
  sb AS (SELECT doc_id, string_agg(part, chr(10) ORDER BY first_line) AS body, count(*) AS listed, sum(shown)::BIGINT AS shown FROM pt GROUP BY 1), tt AS (SELECT doc_id, count(*) AS hits, count(DISTINCT path) AS files FROM h GROUP BY 1),
  sead AS (SELECT doc_id, CASE WHEN hits >= {MIN_HITS} AND files < hits THEN '[' || hits || ' matches in ' || files || ' files]' || chr(10) || body || CASE WHEN files > listed THEN chr(10) || '... ' || (files - listed) || ' more files not shown' ELSE '' END || CASE WHEN hits > shown THEN chr(10) || (hits - shown) || ' matches elided' ELSE '' END END AS digest FROM tt JOIN sb USING (doc_id))"""
-_LNS = f"ln AS (SELECT block_id, unnest(range(0, len(a)))::INT AS line_no, unnest(a) AS line FROM (SELECT block_id, {LINES_SQL} AS a FROM blocks WHERE block_id LIKE 'doc-%' OR block_id LIKE 'log-%'))"
-_ANCHOR = r"""(starts_with(line, '@@') OR starts_with(t, '```') OR regexp_matches(t, '^(#+ .+|={3,}|-{3,})$') OR starts_with(t, 'at ') OR starts_with(t, 'File "') OR regexp_matches(t, '[A-Za-z0-9_]\.[A-Za-z]+:[0-9]+') OR regexp_matches(t, '[\[{(]$') OR line_no IN (0, n - 1))"""
 _TIDY = r"regexp_replace(regexp_replace(content, '[ \t\r]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
 
 
-def _outcome_sql() -> str:
-    from .signals import _EST, TOKENS_SQL
-
-    after = TOKENS_SQL.replace("measured AS", "after AS").replace("FROM blocks", "FROM dg")
-    return f"""WITH {BLOCKS_SQL.replace('WITH ', '')}, {_LOGD.replace(LOG_SQL + ', ', '')}, {_SEAD.replace(SEARCH_SQL + ', ', '')},
- dg AS (SELECT 'log-' || doc_id AS block_id, digest AS content FROM logd UNION ALL SELECT 'search-' || doc_id, digest FROM sead), {TOKENS_SQL.replace('FROM blocks', "FROM blocks WHERE block_id LIKE 'log-%' OR block_id LIKE 'search-%'")}, {after},
+_AFTER = TOKENS_SQL.replace("measured AS", "after AS").replace("FROM blocks", "FROM dg")
+_OUTCOMES = f"""WITH {BLOCKS_SQL}, {_LOGD.replace(LOG_SQL + ', ', '')}, {_SEAD.replace(SEARCH_SQL + ', ', '')},
+ dg AS (SELECT 'log-' || doc_id AS block_id, digest AS content FROM logd UNION ALL SELECT 'search-' || doc_id, digest FROM sead), {TOKENS_SQL}, {_AFTER},
  b AS (SELECT block_id, {_EST} AS tokens_before FROM measured), a AS (SELECT block_id, {_EST} AS a FROM after WHERE content IS NOT NULL)
- SELECT block_id, CASE WHEN a IS NULL THEN 'declined' WHEN a < tokens_before THEN 'compressed' ELSE 'not_smaller' END AS outcome, tokens_before, CASE WHEN a < tokens_before THEN a ELSE tokens_before END AS tokens_after FROM b LEFT JOIN a USING (block_id)"""
+ SELECT block_id, CASE WHEN a IS NULL THEN 'declined' WHEN a < tokens_before THEN 'compressed' ELSE 'not_smaller' END AS outcome, tokens_before,
+ CASE WHEN a < tokens_before THEN a ELSE tokens_before END AS tokens_after FROM b LEFT JOIN a USING (block_id)"""
 
 
 QUERIES = {"log_templates": q_log_templates, "log_digest": q_log_digest, "search_digest": q_search_digest, "prose_summary": q_prose_summary, "tidy_lines": q_tidy_lines, "content_markers": q_content_markers, "digest_outcomes": q_digest_outcomes}
@@ -180,13 +169,12 @@ ORACLES = {
     "log_templates": f"WITH {_TPL} SELECT * FROM tp",
     "log_digest": f"WITH {_LOGD} SELECT * FROM logd",
     "search_digest": f"WITH {_SEAD} SELECT * FROM sead",
-    "prose_summary": rf"""WITH {BLOCKS_SQL}, {_LNS}, l1 AS (SELECT *, count(*) OVER (PARTITION BY block_id) AS n, {_STRIP("line")} AS t, {_SCORE} AS score FROM ln),
- l2 AS (SELECT *, {_ANCHOR} OR len(list_filter(regexp_extract_all(line, '<([^>]*)>', 1), lambda x: NOT ends_with(x, '/') AND regexp_matches(x, '^/?[A-Za-z][A-Za-z0-9_-]*([{T.WS}]|$)'))) > 0 AS req,
-  CASE WHEN score >= 3 THEN 2 WHEN t <> '' AND (score > 0 OR regexp_matches(t, '^(#|==|--)|:$') OR regexp_matches({_LOW.replace("(line", "(t")}, '^({"|".join(T.SUMMARY_STARTS)})')) THEN 1 ELSE 0 END AS lv FROM l1 WHERE n > 15),
+    "prose_summary": rf"""WITH {BLOCKS_SQL}, {_LN}, l1 AS (SELECT *, {_STRIP("line")} AS t, {_SCORE} AS score FROM ln),
+ l2 AS (SELECT *, ({ANCHOR_SQL}) IS NOT NULL OR {_TAGS} > 0 AS req, CASE {_LEVEL} WHEN 'critical' THEN 2 WHEN 'notable' THEN 1 ELSE 0 END AS lv FROM l1 WHERE n > 15),
  l3 AS (SELECT *, sum(req::INT) OVER (PARTITION BY block_id) AS must, row_number() OVER (PARTITION BY block_id ORDER BY req DESC, lv DESC, line_no) AS r FROM l2),
  l4 AS (SELECT *, line_no - lag(line_no) OVER (PARTITION BY block_id ORDER BY line_no) - 1 AS gap FROM l3 WHERE r <= greatest(12, must))
  SELECT block_id, '[' || max(n) || ' lines, ' || count(*) || ' shown]' || chr(10) || string_agg(CASE WHEN gap > 0 THEN '... ' || gap || ' lines ...' || chr(10) ELSE '' END || line, chr(10) ORDER BY line_no) AS digest FROM l4 GROUP BY 1""",
     "tidy_lines": rf"WITH {BLOCKS_SQL} SELECT block_id, strlen({_TIDY})::BIGINT AS bytes_after, sha256({_TIDY}) AS sha FROM blocks",
     "content_markers": f"WITH {BLOCKS_SQL} SELECT block_id, left(sha256(content), 32) AS hash, '<<ccr:' || left(sha256(content), 32) || '>>' AS marker FROM blocks",
-    "digest_outcomes": _outcome_sql(),
+    "digest_outcomes": _OUTCOMES,
 }

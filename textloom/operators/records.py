@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import read
+from ..sources.tables import in_order, read
 
 # Scales and cuts of the ranking, and field-name hints.
 SCALE, MAD_CUT, SIZE_CUT, LOW_CARDINALITY, MIN_RECORDS = 1000, 3.5, 3, 8, 5
@@ -99,8 +99,6 @@ def record_digest(r: DataFrame) -> DataFrame:
 
     Null where a digest would not pay.
     """
-    from .condense import in_order
-
     stats = field_stats(r).where("present = records AND kind IN ('constant', 'low_cardinality')")
     first = r.groupBy("doc_id", "field", "value").agg(F.min("rec_idx").alias("at"))
     values = first.groupBy("doc_id", "field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda v: v["value"]), " | ").alias("values"))

@@ -101,7 +101,7 @@ _BM = r"""it AS (SELECT doc_id AS item_id, list_filter(regexp_split_to_array(low
  q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
  sc AS (SELECT query_id, item_id, sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS score FROM tf JOIN dfr USING (term) JOIN q USING (term), tot GROUP BY 1, 2),
  rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM sc WHERE score >= 0.5)"""
-_MEM = """m AS (SELECT sha256(trim(regexp_replace(substr(text, 1, 12), '[ \\t\\r\\n]+', ' ', 'g')))[:32] AS key, min_by(substr(text, 1, 12), conv_id * 1000 + turn) AS content, count(*) AS occurrences, list_sort(list(DISTINCT role)) AS s FROM conversations GROUP BY 1)"""
+_MEM = """m AS (SELECT sha256(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')))[:32] AS key, min_by(text, conv_id * 1000 + turn) AS content, count(*) AS occurrences, list_sort(list(DISTINCT role)) AS s FROM conversations GROUP BY 1)"""
 QUERIES = {"bm25_top": q_bm25_top, "rank_fusion": q_rank_fusion, "memories": q_memories, "recall": q_recall}
 ORACLES = {
     "bm25_top": f"WITH {_BM} SELECT query_id, item_id, rank::INT AS rank, round(score, 6) AS score FROM rk WHERE rank <= 5",

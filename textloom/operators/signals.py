@@ -1,73 +1,180 @@
-"""Detection, safety, routing and line signals over blocks and lines."""
+"""Detection, safety, routing and line signals over blocks and lines.
+
+A block is one row: what its lines tell is counted by patterns over the whole text, in the scan, without a row for each line.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import BLOCKS_SQL, LINES_SQL, block_lines, blocks, read
 
-# Size gates in bytes and policy by authentication mode.
+# Size gates in bytes, and what each authentication mode allows.
 THRESHOLDS = {"code": 2048, "json": 1024, "log": 500, "diff": 500, "search": 500, "prose": 5120}
-POLICIES = {"payg": (True, True), "oauth": (False, True), "subscription": (False, False)}
-MAX_BYTES, MAX_LINE, MAX_LINES, MAX_DEPTH = 8 << 20, 1 << 20, 200_000, 64
+POLICY_COLUMNS = ("lossy", "lossless", "auto_cache_control", "auto_prompt_cache_key", "forwarded_headers", "may_strip_accept_encoding")
+POLICIES = {
+    "payg": (True, True, True, True, True, True),
+    "oauth": (False, True, False, False, True, True),
+    "subscription": (False, False, False, False, False, False),
+}
+#: The transform of each content type, and those that only tool output gets.
+TRANSFORMS = {"json": "record_set", "log": "log_digest", "search": "search_digest", "diff": "diff_digest", "code": "code_digest", "prose": "prose_summary"}
+TOOL_OUTPUT_ONLY = ("prose",)
+# Names that tell a counter.
+COUNTER_NAMES = ("count", "seq", "index", "number", "iteration", "turn", "nonce")
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Beyond these a text is left alone."""
+
+    max_bytes: int = 8 << 20
+    max_line: int = 1 << 20
+    max_lines: int = 200_000
+    max_depth: int = 64
+
+
+_WS, _SP = T.WS, T.WS_IN_LINE
+_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}:[0-9]{2}:[0-9]{2}"
+#: What detection counts or looks for, line by line of the stripped text ((?md): only a line feed ends a line).
+LINE_PATTERNS = {
+    "n": rf"(?md)^[{_SP}]*[^{_WS}]",
+    "hits": r"(?md)^[^:\n]*[/.\\][^:\n]*:[0-9]+(:|\r?$)",
+    "stamps": rf"(?md)^[{_SP}]*[\[(]*({_DATE})",
+    "levels": rf"(?md)^(?:.*[^0-9A-Za-z_\n])?(?:{'|'.join(T.LOG_LEVELS)})(?![0-9A-Za-z_]).*$",
+    "indented": rf"(?md)^(?:  |\t)[{_SP}]*[^{_WS}]",
+}
+DIFF_PATTERNS = {
+    "diff_mark": r"(?md)^--- .*\n\+\+\+ |^diff --git ",
+    "hunk": rf"(?md)^@@(?:.*@@)?[{_SP}]*$",
+    "change": r"(?md)^(?!--- )[-+](?!\r?$).",
+}
 
 
 def detect(b: DataFrame) -> DataFrame:
-    """block_id, content_type, confidence: JSON, diff, search hits, log, code, else prose; blank is unknown.
+    """The columns of b with content_type and confidence: JSON, diff, search hits, log, code, else prose; blank is unknown.
 
-    Ratios over a block's lines are compared by whole numbers. JSON is what parses as an object or array.
+    Null contents are unknown. Ratios over a block's lines are compared by whole numbers. JSON is what parses as an object or
+    array to its end. Other columns stay; every row is judged by itself, so repeated rows are judged alike.
     """
-    ln = block_lines(b.select("block_id", T.strip(F.col("content")).alias("content"))).withColumn("blank", T.strip(F.col("line")) == "")
-    head = F.regexp_like(F.col("line"), F.lit("^--- "))
-    ln = ln.withColumn("nxt", F.lead("line").over(Window.partitionBy("block_id").orderBy("line_no")))
-    hunk = F.startswith("line", F.lit("@@")) & F.regexp_like(F.col("line"), F.lit(rf"@@[{T.WS}]*$"))
-    one = lambda c: F.sum(F.when(c & ~F.col("blank"), 1).otherwise(0))
-    stamp = F.regexp_like(F.col("line"), F.lit(rf"^[{T.WS}]*[\[(]*([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}})"))
-    stat = ln.groupBy("block_id").agg(
-        one(F.lit(True)).alias("n"), one(F.regexp_like(F.col("line"), F.lit(r"^[^:]*[/.\\][^:]*:[0-9]+(:|$)"))).alias("hits"), one(stamp).alias("stamps"), one(T.has_word(F.col("line"), *T.LOG_LEVELS)).alias("levels"),
-        one(F.regexp_like(F.col("line"), F.lit("^(  |\t)"))).alias("indented"),
-        F.max((head & F.startswith("nxt", F.lit("+++ "))) | F.startswith("line", F.lit("diff --git "))).alias("diff_mark"), F.max(hunk).alias("hunk"),
-        F.max(~head & ~hunk & F.regexp_like(F.col("line"), F.lit("^[-+].")) & ~F.startswith("line", F.lit("diff --git "))).alias("change"),
-    )
-    t = F.col("content")
-    joined = b.join(stat, "block_id", "left")
-    trimmed = T.strip(t)
-    is_json = F.regexp_like(trimmed, F.lit(r"(?s)^(\{.*\}|\[.*\])\z")) & F.get_json_object(trimmed, "$").isNotNull()
+    t = F.col("__t")
+    counts = [F.regexp_count(t, F.lit(p)).alias(f"__{k}") for k, p in LINE_PATTERNS.items()]
+    marks = [F.regexp_like(t, F.lit(p)).alias(f"__{k}") for k, p in DIFF_PATTERNS.items()]
+    signs = F.regexp_replace(t, r"[{}()\[\];]+", "")
     words = sum((F.contains(t, F.lit(w)).cast("int") for w in T.CODE_WORDS), F.lit(0))
-    marks = 100 * F.regexp_count(trimmed, F.lit(r"[{}()\[\];]"))
-    size, n = F.octet_length(trimmed), F.col("n")
-    code = F.when((words >= 3) & (marks >= 2 * size), 0.95).when((words >= 2) & (marks >= 3 * size), 0.85).when(words >= 3, 0.75).when((words >= 1) & (marks >= 5 * size) & (10 * F.col("indented") >= 3 * n), 0.7)
-    diff = F.when(F.col("diff_mark") & F.col("hunk"), 1.0).when(F.col("diff_mark") & F.col("change"), 0.85).when(F.col("hunk") & F.col("change"), 0.8)
-    search = F.when((n >= 2) & (5 * F.col("hits") >= 4 * n), 0.9).when((n >= 2) & (5 * F.col("hits") >= 3 * n), 0.7)
-    log = F.when(n < 2, None).when(5 * F.col("stamps") >= 4 * n, 0.95).when((2 * F.col("stamps") >= n) | (5 * F.col("levels") >= 4 * n), 0.8).when(2 * F.col("levels") >= n, 0.65)
-    found = F.when(F.coalesce(trimmed, F.lit("")) == "", F.struct(F.lit("unknown").alias("t"), F.lit(1.0).alias("c")))
-    for name, score in (("json", F.when(is_json, F.lit(1.0))), ("diff", diff), ("search", search), ("log", log), ("code", code)):
-        found = found.when(score.isNotNull(), F.struct(F.lit(name).alias("t"), score.cast("double").alias("c")))
-    found = found.otherwise(F.struct(F.lit("prose").alias("t"), F.lit(0.4).alias("c")))
-    return joined.select("block_id", found.alias("f")).select("block_id", F.col("f.t").alias("content_type"), F.col("f.c").alias("confidence"))
-
-
-def hazard(c: Column) -> Column:
+    s = b.withColumn("__t", T.strip(F.coalesce("content", F.lit(""))))
+    s = s.select(*b.columns, "__t", *counts, *marks, words.alias("__words"), (100 * (F.length(t) - F.length(signs))).alias("__marks"), F.octet_length(t).alias("__size"))
+
+    n, hits, stamps, levels, indented, words, marks_, size = (F.col(f"__{c}") for c in ("n", "hits", "stamps", "levels", "indented", "words", "marks", "size"))
+    dense = lambda per_cent: marks_ >= per_cent * size
+    scores = {
+        "json": F.when(T.is_json(t), 1.0),
+        "diff": F.when(F.col("__diff_mark") & F.col("__hunk"), 1.0).when(F.col("__diff_mark") & F.col("__change"), 0.85).when(F.col("__hunk") & F.col("__change"), 0.8),
+        "search": F.when((n >= 2) & (5 * hits >= 4 * n), 0.9).when((n >= 2) & (5 * hits >= 3 * n), 0.7),
+        "log": F.when(n < 2, None).when(5 * stamps >= 4 * n, 0.95).when((2 * stamps >= n) | (5 * levels >= 4 * n), 0.8).when(2 * levels >= n, 0.65),
+        "code": F.when((words >= 3) & dense(2), 0.95).when((words >= 2) & dense(3), 0.85).when(words >= 3, 0.75).when((words >= 1) & dense(5) & (10 * indented >= 3 * n), 0.7),
+    }
+    kind = lambda name, score: F.struct(F.lit(name).alias("t"), score.cast("double").alias("c"))
+    found = F.when(t == "", kind("unknown", F.lit(1.0)))
+    for name, score in scores.items():
+        found = found.when(score.isNotNull(), kind(name, score))
+    s = s.withColumn("__f", found.otherwise(kind("prose", F.lit(0.4))))
+    return s.select(*b.columns, F.col("__f.t").alias("content_type"), F.col("__f.c").alias("confidence"))
+
+
+def bracket_depth(c: Column) -> Column:
+    """Greatest depth of [ and { outside strings."""
+    plain = F.regexp_replace(F.regexp_replace(c, r'"(?:\\.|[^"\\])*"', ""), r"[^\[\]{}]+", "")
+    step = lambda x: F.when(x.isin("[", "{"), 1).when(x.isin("]", "}"), -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    walked = F.aggregate(F.split(plain, ""), start, lambda a, x: F.struct((a["now"] + step(x)).alias("now"), F.greatest(a["most"], a["now"] + step(x)).alias("most")))
+    return walked["most"]
+
+
+def hazard(c: Column, limits: Limits = Limits()) -> Column:
     """First of too_large, line_too_long, too_many_lines, too_deep that holds for a text; null if none."""
     rows = F.split(c, "\n")
-    plain = F.regexp_replace(F.regexp_replace(c, r'"(?:\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
-    deep = F.aggregate(F.split(plain, ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), lambda a, x: F.struct((a["d"] + F.when(x.isin("[", "{"), 1).when(x.isin("]", "}"), -1).otherwise(0)).alias("d"), F.greatest(a["m"], a["d"] + F.when(x.isin("[", "{"), 1).otherwise(0)).alias("m")))["m"]
-    return F.when(F.octet_length(c) > MAX_BYTES, "too_large").when(F.exists(rows, lambda r: F.octet_length(r) > MAX_LINE), "line_too_long").when(F.size(rows) > MAX_LINES, "too_many_lines").when(F.regexp_like(c, F.lit(rf"^[{T.WS}]*[\[{{]")) & (deep > MAX_DEPTH), "too_deep")
+    deep = F.regexp_like(c, F.lit(rf"^[{_WS}]*[\[{{]")) & (bracket_depth(c) > limits.max_depth)
+    return (
+        F.when(F.octet_length(c) > limits.max_bytes, "too_large").when(F.exists(rows, lambda r: F.octet_length(r) > limits.max_line), "line_too_long")
+        .when(F.size(rows) > limits.max_lines, "too_many_lines").when(deep, "too_deep")
+    )
+
+
+def policies(spark: SparkSession) -> DataFrame:
+    """mode and what it allows: a fixed table of three rows."""
+    return spark.createDataFrame([(m, *p) for m, p in POLICIES.items()], "mode string, " + ", ".join(f"{c} boolean" for c in POLICY_COLUMNS))
 
 
-def route(b: DataFrame, mode: Column) -> DataFrame:
-    """block_id, content_type, reason: unsafe (or policy_forbids), policy_forbids, no_compressor, below_size, compress."""
-    lossy = F.coalesce(*[F.when(mode == m, F.lit(p[0])) for m, p in POLICIES.items()], F.lit(False))
-    lossless = F.coalesce(*[F.when(mode == m, F.lit(p[1])) for m, p in POLICIES.items()], F.lit(False))
-    gate = F.coalesce(*[F.when(F.col("content_type") == k, F.lit(v)) for k, v in THRESHOLDS.items()])
-    routed = b.join(detect(b), "block_id")
+def route(b: DataFrame, recommended: DataFrame | None = None, limits: Limits = Limits()) -> DataFrame:
+    """The columns of b with content_type, confidence, transform and reason.
+
+    b: content, kind and mode; an unknown mode allows nothing. Reasons, the first that holds: unsafe, lossless or
+    policy_forbids where the mode allows no loss, no_compressor (also prose that is no tool output), below_size,
+    measured_useless, compress. transform is null unless the reason is lossless (reformat) or compress.
+    recommended: content_type, worth; a type without a row is worth trying.
+    """
+    routed = detect(b).join(F.broadcast(policies(b.sparkSession).select("mode", "lossy", "lossless")), "mode", "left")
+    worth = F.lit(True)
+    if recommended is not None:  # at most a row for each content type
+        routed = routed.join(F.broadcast(recommended.select("content_type", "worth")), "content_type", "left")
+        worth = F.coalesce("worth", F.lit(True))
+    kind = F.col("content_type")
+    choose = lambda values: F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in values.items()])
+    unfit = choose(TRANSFORMS).isNull() | (kind.isin(*TOOL_OUTPUT_ONLY) & (F.col("kind") == "text"))
+    lossy, lossless = F.coalesce("lossy", F.lit(False)), F.coalesce("lossless", F.lit(False))
     reason = (
-        F.when(hazard(F.col("content")).isNotNull(), "unsafe").when(~lossy & lossless, "lossless").when(~lossy, "policy_forbids")
-        .when(gate.isNull() | ((F.col("content_type") == "prose") & (F.col("kind") != "tool_result")), "no_compressor").when(F.octet_length("content") <= gate, "below_size").otherwise("compress")
+        F.when(hazard(F.col("content"), limits).isNotNull(), "unsafe").when(~lossy & lossless, "lossless").when(~lossy, "policy_forbids")
+        .when(unfit, "no_compressor").when(F.octet_length("content") <= choose(THRESHOLDS), "below_size").when(~worth, "measured_useless").otherwise("compress")
     )
-    return routed.select("block_id", "content_type", reason.alias("reason"))
+    routed = routed.withColumn("reason", reason)
+    transform = F.when(F.col("reason") == "compress", choose(TRANSFORMS)).when(F.col("reason") == "lossless", "reformat")
+    return routed.withColumn("transform", transform).select(*b.columns, "content_type", "confidence", "transform", "reason")
+
+
+def anchor(line: Column, first_or_last: Column) -> Column:
+    """Why a line holds a text together: hunk_header, fence, heading, stack_frame, structure_open or boundary; else null."""
+    t = T.strip(line)
+    frame = F.regexp_like(t, F.lit(r"""^(at |File ")|[A-Za-z0-9_]\.[A-Za-z]+:[0-9]+"""))
+    return (
+        F.when(F.startswith(line, F.lit("@@")), "hunk_header").when(F.startswith(t, F.lit("```")), "fence").when(F.regexp_like(t, F.lit(r"^(#+ .+|={3,}|-{3,})$")), "heading")
+        .when(frame, "stack_frame").when(F.regexp_like(t, F.lit(r"[\[{(]$")), "structure_open").when(first_or_last, "boundary")
+    )
+
+
+def is_boundary() -> Column:
+    """The first or last line of a block, of the rows block_lines gives."""
+    return (F.col("line_no") == 0) | (F.col("line_no") == F.col("n") - 1)
+
+
+def line_flags(line: Column, first_or_last: Column) -> dict[str, Column]:
+    """Public predicates of a line: breaks_markup (removing it would split a tag pair), removable (no anchor), is_error."""
+    return {"breaks_markup": F.size(T.tags(line)) > 0, "removable": anchor(line, first_or_last).isNull(), "is_error": T.keyword_score(line) >= 3}
+
+
+def volatile_kind(t: Column) -> Column:
+    """uuid, timestamp, hex or null of a token of at least 8 bytes."""
+    return (
+        F.when(F.regexp_like(t, F.lit("^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")), "uuid").when(F.regexp_like(t, F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}")), "timestamp")
+        .when(F.regexp_like(t, F.lit("^[0-9A-Fa-f]{16,}$")), "hex")
+    )
+
+
+def volatile_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, kind, sample: distinct values that change from call to call (UUIDs, timestamps, long hex strings) of each text."""
+    tok = df.select(key, F.explode(F.split(text, rf'[{_WS},;"]+')).alias("t")).select(key, F.regexp_replace("t", r"^[()\[\].]+|[()\[\].]+$", "").alias("t")).where(F.octet_length("t") >= 8)
+    shown = F.when(F.length("t") > 24, F.concat(F.substring("t", 1, 24), F.lit("…"))).otherwise(F.col("t"))
+    return tok.select(key, volatile_kind(F.col("t")).alias("kind"), shown.alias("sample")).where("kind IS NOT NULL").distinct()
+
+
+def names_a_counter(name: Column, value: Column) -> Column:
+    """A member whose name tells a counter and whose literal is a whole number that an unsigned 64-bit word holds."""
+    whole = F.expr("try_cast(value AS decimal(20, 0))") if isinstance(value, str) else F.when(F.regexp_like(value, F.lit("^[0-9]{1,20}$")), value.cast("decimal(20,0)"))
+    return F.coalesce(F.regexp_like(F.lower(name), F.lit("|".join(COUNTER_NAMES))) & (whole <= F.lit("18446744073709551615").cast("decimal(20,0)")), F.lit(False))
 
 
 def _mode() -> Column:
@@ -79,93 +186,125 @@ def q_token_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_detect(spark: SparkSession, d: str) -> DataFrame:
-    return detect(blocks(spark, d))
+    return detect(blocks(spark, d)).select("block_id", "content_type", "confidence")
 
 
 def q_route(spark: SparkSession, d: str) -> DataFrame:
-    return route(blocks(spark, d), _mode())
+    """Blocks under all three modes, with tight limits that some blocks break and a recommendation against search hits."""
+    advice = spark.createDataFrame([("search", False), ("json", True)], "content_type string, worth boolean")
+    b = blocks(spark, d).withColumn("mode", _mode())
+    return route(b, advice, Limits(max_bytes=60_000, max_lines=400)).select("block_id", "content_type", "transform", "reason")
 
 
 def q_line_importance(spark: SparkSession, d: str) -> DataFrame:
-    return block_lines(blocks(spark, d)).groupBy("block_id", T.importance(F.col("line")).alias("importance")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(T.keyword_score(F.col("line"))).alias("score"))
-
-
-def anchor(line: Column, first_or_last: Column) -> Column:
-    t = T.strip(line)
-    return (
-        F.when(F.startswith(line, F.lit("@@")), "hunk_header").when(F.startswith(t, F.lit("```")), "fence").when(F.regexp_like(t, F.lit(r"^(#+ .+|={3,}|-{3,})$")), "heading")
-        .when(F.regexp_like(t, F.lit(r"""^(at |File ")""")) | F.regexp_like(t, F.lit(r"[A-Za-z0-9_]\.[A-Za-z]+:[0-9]+")), "stack_frame").when(F.regexp_like(t, F.lit(r"[\[{(]$")), "structure_open").when(first_or_last, "boundary")
-    )
+    ln = block_lines(blocks(spark, d)).withColumn("score", T.keyword_score(F.col("line")))
+    return ln.groupBy("block_id", T.importance(F.col("line"), F.col("score")).alias("importance")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum("score").alias("score"))
 
 
 def q_line_anchors(spark: SparkSession, d: str) -> DataFrame:
-    ln = block_lines(blocks(spark, d)).withColumn("last", F.max("line_no").over(Window.partitionBy("block_id")))
-    a = ln.withColumn("anchor", anchor(F.col("line"), (F.col("line_no") == 0) | (F.col("line_no") == F.col("last")))).where("anchor IS NOT NULL")
+    a = block_lines(blocks(spark, d)).withColumn("anchor", anchor(F.col("line"), is_boundary())).where("anchor IS NOT NULL")
     return a.groupBy("block_id", "anchor").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").cast("long").alias("first_line"))
 
 
+def q_line_flags(spark: SparkSession, d: str) -> DataFrame:
+    flags = line_flags(F.col("line"), is_boundary())
+    return block_lines(blocks(spark, d)).groupBy("block_id").agg(*[F.count_if(c).alias(k) for k, c in flags.items()])
+
+
 def q_protected_lines(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "pages").select("page_id", F.posexplode(F.split(F.regexp_replace("html", "<", "\n<"), "\n")).alias("line_no", "line"))
     t = p.select("page_id", T.tags(F.col("line")).alias("tags"))
     return t.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum((F.size("tags") > 0).cast("long")).alias("n_protected"), F.sum(F.size("tags")).alias("n_tags"))
 
 
+#: Limits that blocks of the driver tables break.
+TIGHT = Limits(max_bytes=30_000, max_line=3_000, max_lines=150, max_depth=1)
+
+
 def q_hazards(spark: SparkSession, d: str) -> DataFrame:
-    return blocks(spark, d).select("block_id", F.coalesce(hazard(F.col("content")), F.lit("none")).alias("hazard"))
+    return blocks(spark, d).select("block_id", F.coalesce(hazard(F.col("content"), TIGHT), F.lit("none")).alias("hazard"))
 
 
 def q_volatile_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Values that change from call to call: UUIDs, timestamps and long hex strings in texts."""
-    tok = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", rf'[{T.WS},;"]+')).alias("t")).select("doc_id", F.regexp_replace("t", r"^[()\[\].]+|[()\[\].]+$", "").alias("t")).where(F.octet_length("t") >= 8)
-    kind = F.when(F.regexp_like("t", F.lit("^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")), "uuid").when(F.regexp_like("t", F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}")), "timestamp").when(F.regexp_like("t", F.lit("^[0-9A-Fa-f]{16,}$")), "hex")
-    shown = F.when(F.length("t") > 24, F.concat(F.substring("t", 1, 24), F.lit("…"))).otherwise(F.col("t"))
-    return tok.select("doc_id", kind.alias("kind"), shown.alias("sample")).where("kind IS NOT NULL").distinct()
+    return volatile_tokens(read(spark, d, "documents"), "doc_id", "text")
+
+
+def q_policies(spark: SparkSession, d: str) -> DataFrame:
+    return policies(spark)
+
+
+def q_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Members of the events' properties and of invented ones, and whether they name a counter."""
+    e = read(spark, d, "events").select("event_id", F.explode(F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("turn_no"), F.col("event_id").cast("string"), F.lit("Sequence"), F.col("event_type")))).alias("name", "value"))
+    return e.select("event_id", "name", names_a_counter(F.col("name"), F.col("value")).alias("counter"))
+
 
+# --- the same in DuckDB -----------------------------------------------------------------------------------------------
 
-_W = T.WS
-_EST = rf"""CASE WHEN content = '' THEN 0 ELSE greatest(1, ceil(2 * (w - dense) / 7.0) + ceil(d / 2.0) + ceil(2 * dense / 3.0) + punct + 2 * wide + len(runs) + coalesce(list_sum(list_transform(list_filter(runs, lambda r: length(r) > 1),
+_EST = rf"""CASE WHEN content = '' THEN 0 ELSE greatest(1, ceil(2 * (w - dense) / 7.0) + ceil(d / 2.0) + ceil(2 * dense / 3.0) + punct + 2 * wide + len(runs)
+ + coalesce(list_sum(list_transform(list_filter(runs, lambda r: length(r) > 1),
  lambda r: length(r) // 8 + ceil(len(list_filter(range(1, length(r)), lambda i: substr(r, i, 1) <> substr(r, i + 1, 1))) / 2.0))), 0)) END::BIGINT"""
 _COUNT = lambda p: f"len(regexp_extract_all(content, '{p}'))"
-TOKENS_SQL = rf"""measured AS (SELECT *, {_COUNT("[A-Za-z]")} AS w, {_COUNT("[0-9]")} AS d, {_COUNT(r"[\x00-\x08\x0E-\x1F!-/:-@\[-`{-\x7F]")} AS punct, {_COUNT(rf"[^\x00-\x7F{_W}]")} AS wide, regexp_extract_all(content, '[{_W}]+') AS runs,
- coalesce(list_sum(list_filter(list_transform(regexp_split_to_array(content, '[{_W}0-9]+'), lambda s: length(regexp_replace(s, '[^A-Za-z]', '', 'g'))), lambda n: n > 12)), 0) AS dense FROM blocks)"""
+TOKENS_SQL = rf"""measured AS (SELECT *, {_COUNT("[A-Za-z]")} AS w, {_COUNT("[0-9]")} AS d, {_COUNT(r"[\x00-\x08\x0E-\x1F!-/:-@\[-`{-\x7F]")} AS punct,
+ {_COUNT(rf"[^\x00-\x7F{_WS}]")} AS wide, regexp_extract_all(content, '[{_WS}]+') AS runs,
+ coalesce(list_sum(list_filter(list_transform(regexp_split_to_array(content, '[{_WS}0-9]+'), lambda s: length(regexp_replace(s, '[^A-Za-z]', '', 'g'))), lambda n: n > 12)), 0) AS dense FROM blocks)"""
 _LOW = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = lambda c, w: f"regexp_matches({c}, '(^|[^0-9A-Za-z_])({w})($|[^0-9A-Za-z_])')"
 _SCORE = "(" + " + ".join([f"3 * {_WORD(_LOW, w)}::INT" for w in T.ERROR_WORDS] + [f"{_WORD(_LOW, w)}::INT" for w in T.WARNING_WORDS]) + ")"
-_STRIP = lambda c: rf"regexp_replace({c}, '^[{_W}]+|[{_W}]+$', '', 'g')"
-_LN = f"ln AS (SELECT block_id, unnest(range(0, len(a)))::INT AS line_no, unnest(a) AS line FROM (SELECT block_id, {LINES_SQL} AS a FROM blocks))"
+_STRIP = lambda c: rf"regexp_replace({c}, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
+_LN = f"ln AS (SELECT block_id, len(a) AS n, unnest(range(0, len(a)))::INT AS line_no, unnest(a) AS line FROM (SELECT block_id, {LINES_SQL} AS a FROM blocks))"
+_TAGS = rf"len(list_filter(regexp_extract_all(line, '<([^>]*)>', 1), lambda x: NOT ends_with(x, '/') AND regexp_matches(x, '^/?[A-Za-z][A-Za-z0-9_-]*([{_WS}]|$)')))"
 _CODE = " + ".join(f"contains(content, '{w}')::INT" for w in T.CODE_WORDS)
-DETECT_SQL = rf"""{_LN.replace("AS a FROM blocks", "AS a FROM (SELECT block_id, " + _STRIP("content") + " AS content FROM blocks)")}, l2 AS (SELECT *, {_STRIP("line")} = '' AS blank, lead(line) OVER (PARTITION BY block_id ORDER BY line_no) AS nxt FROM ln),
+_HUNK = rf"(starts_with(line, '@@') AND regexp_matches(line, '@@[{_WS}]*$'))"
+DETECT_SQL = rf"""{_LN.replace("AS a FROM blocks", "AS a FROM (SELECT block_id, " + _STRIP("content") + " AS content FROM blocks)")},
+ l2 AS (SELECT *, {_STRIP("line")} = '' AS blank, lead(line) OVER (PARTITION BY block_id ORDER BY line_no) AS nxt FROM ln),
  st AS (SELECT block_id, count(*) FILTER (NOT blank) AS n, count(*) FILTER (NOT blank AND regexp_matches(line, '^[^:]*[/.\\][^:]*:[0-9]+(:|$)')) AS hits,
-  count(*) FILTER (NOT blank AND regexp_matches(line, '^[{_W}]*[\[(]*([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}})')) AS stamps, count(*) FILTER (NOT blank AND {_WORD("line", "|".join(T.LOG_LEVELS))}) AS levels,
-  count(*) FILTER (NOT blank AND regexp_matches(line, '^(  |\t)')) AS indented, bool_or((starts_with(line, '--- ') AND coalesce(starts_with(nxt, '+++ '), false)) OR starts_with(line, 'diff --git ')) AS dm, bool_or(starts_with(line, '@@') AND regexp_matches(line, '@@[{_W}]*$')) AS hk,
-  bool_or(NOT starts_with(line, '--- ') AND NOT (starts_with(line, '@@') AND regexp_matches(line, '@@[{_W}]*$')) AND NOT starts_with(line, 'diff --git ') AND regexp_matches(line, '^[-+].')) AS ch FROM l2 GROUP BY 1),
- j AS (SELECT b.*, st.* EXCLUDE (block_id), {_CODE} AS words, {_STRIP("content")} AS tr, 100 * len(regexp_extract_all({_STRIP("content")}, '[{{}}()\[\];]')) AS mk, strlen({_STRIP("content")}) AS sz FROM blocks b LEFT JOIN st USING (block_id)),
- det AS (SELECT block_id, kind, content, CASE WHEN coalesce(tr, '') = '' THEN ['unknown', '1'] WHEN left(tr, 1) IN ('{{', '[') AND json_valid(tr) THEN ['json', '1'] WHEN dm AND hk THEN ['diff', '1'] WHEN dm AND ch THEN ['diff', '0.85'] WHEN hk AND ch THEN ['diff', '0.8']
-  WHEN n >= 2 AND 5 * hits >= 4 * n THEN ['search', '0.9'] WHEN n >= 2 AND 5 * hits >= 3 * n THEN ['search', '0.7'] WHEN n >= 2 AND 5 * stamps >= 4 * n THEN ['log', '0.95'] WHEN n >= 2 AND (2 * stamps >= n OR 5 * levels >= 4 * n) THEN ['log', '0.8'] WHEN n >= 2 AND 2 * levels >= n THEN ['log', '0.65']
-  WHEN words >= 3 AND mk >= 2 * sz THEN ['code', '0.95'] WHEN words >= 2 AND mk >= 3 * sz THEN ['code', '0.85'] WHEN words >= 3 THEN ['code', '0.75'] WHEN words >= 1 AND mk >= 5 * sz AND 10 * indented >= 3 * n THEN ['code', '0.7'] ELSE ['prose', '0.4'] END AS f FROM j)"""
-_GATE = " ".join(f"WHEN '{k}' THEN {v}" for k, v in THRESHOLDS.items())
+  count(*) FILTER (NOT blank AND regexp_matches(line, '^[{_WS}]*[\[(]*([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}})')) AS stamps,
+  count(*) FILTER (NOT blank AND {_WORD("line", "|".join(T.LOG_LEVELS))}) AS levels, count(*) FILTER (NOT blank AND regexp_matches(line, '^(  |\t)')) AS indented,
+  bool_or((starts_with(line, '--- ') AND coalesce(starts_with(nxt, '+++ '), false)) OR starts_with(line, 'diff --git ')) AS dm, bool_or({_HUNK}) AS hk,
+  bool_or(NOT starts_with(line, '--- ') AND NOT {_HUNK} AND NOT starts_with(line, 'diff --git ') AND regexp_matches(line, '^[-+].')) AS ch FROM l2 GROUP BY 1),
+ j AS (SELECT b.*, st.* EXCLUDE (block_id), {_CODE} AS words, {_STRIP("content")} AS tr, 100 * len(regexp_extract_all({_STRIP("content")}, '[{{}}()\[\];]')) AS mk, strlen({_STRIP("content")}) AS sz
+  FROM blocks b LEFT JOIN st USING (block_id)),
+ det AS (SELECT block_id, kind, content, CASE WHEN coalesce(tr, '') = '' THEN ['unknown', '1'] WHEN left(tr, 1) IN ('{{', '[') AND json_valid(tr) THEN ['json', '1']
+  WHEN dm AND hk THEN ['diff', '1'] WHEN dm AND ch THEN ['diff', '0.85'] WHEN hk AND ch THEN ['diff', '0.8']
+  WHEN n >= 2 AND 5 * hits >= 4 * n THEN ['search', '0.9'] WHEN n >= 2 AND 5 * hits >= 3 * n THEN ['search', '0.7']
+  WHEN n >= 2 AND 5 * stamps >= 4 * n THEN ['log', '0.95'] WHEN n >= 2 AND (2 * stamps >= n OR 5 * levels >= 4 * n) THEN ['log', '0.8'] WHEN n >= 2 AND 2 * levels >= n THEN ['log', '0.65']
+  WHEN words >= 3 AND mk >= 2 * sz THEN ['code', '0.95'] WHEN words >= 2 AND mk >= 3 * sz THEN ['code', '0.85'] WHEN words >= 3 THEN ['code', '0.75']
+  WHEN words >= 1 AND mk >= 5 * sz AND 10 * indented >= 3 * n THEN ['code', '0.7'] ELSE ['prose', '0.4'] END AS f FROM j)"""
+_CASE = lambda values: " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in values.items())
 _LNSQL = f"WITH {BLOCKS_SQL}, {_LN}"
+_DEPTH = r"""list_max(list_prepend(0, list_transform(range(1, length(br) + 1), lambda i: length(regexp_replace(substr(br, 1, i), '[\]}]', '', 'g')) - length(regexp_replace(substr(br, 1, i), '[\[{]', '', 'g')))))"""
+_LEVEL = f"""CASE WHEN score >= 3 THEN 'critical' WHEN t <> '' AND (score > 0 OR regexp_matches(t, '^(#|==|--)|:$')
+ OR regexp_matches({_LOW.replace("(line", "(t")}, '^({"|".join(T.SUMMARY_STARTS)})')) THEN 'notable' ELSE 'routine' END"""
+ANCHOR_SQL = r"""CASE WHEN starts_with(line, '@@') THEN 'hunk_header' WHEN starts_with(t, '```') THEN 'fence' WHEN regexp_matches(t, '^(#+ .+|={3,}|-{3,})$') THEN 'heading'
+ WHEN starts_with(t, 'at ') OR starts_with(t, 'File "') OR regexp_matches(t, '[A-Za-z0-9_]\.[A-Za-z]+:[0-9]+') THEN 'stack_frame' WHEN regexp_matches(t, '[\[{(]$') THEN 'structure_open' WHEN line_no IN (0, n - 1) THEN 'boundary' END"""
 
 QUERIES = {
-    "token_estimate": q_token_estimate, "detect_content": q_detect, "route_blocks": q_route, "line_importance": q_line_importance, "line_anchors": q_line_anchors,
-    "protected_lines": q_protected_lines, "safety_hazards": q_hazards, "volatile_tokens": q_volatile_tokens,
+    "token_estimate": q_token_estimate, "detect_content": q_detect, "route_blocks": q_route, "line_importance": q_line_importance, "line_anchors": q_line_anchors, "line_flags": q_line_flags,
+    "protected_lines": q_protected_lines, "safety_hazards": q_hazards, "volatile_tokens": q_volatile_tokens, "policies": q_policies, "counters": q_counters,
 }
 ORACLES = {
     "token_estimate": f"WITH {BLOCKS_SQL}, {TOKENS_SQL} SELECT block_id, {_EST} AS tokens FROM measured",
     "detect_content": f"WITH {BLOCKS_SQL}, {DETECT_SQL} SELECT block_id, f[1] AS content_type, f[2]::DOUBLE AS confidence FROM det",
-    "route_blocks": f"""WITH {BLOCKS_SQL}, {DETECT_SQL}, m AS (SELECT *, f[1] AS ct, ['payg', 'oauth', 'subscription'][(length(block_id) % 3 + 1)::INT] AS mode, CASE f[1] {_GATE} END AS gate FROM det)
- SELECT block_id, ct AS content_type, CASE WHEN strlen(content) > {MAX_BYTES} THEN 'unsafe' WHEN mode = 'oauth' THEN 'lossless' WHEN mode = 'subscription' THEN 'policy_forbids' WHEN gate IS NULL OR (ct = 'prose' AND kind <> 'tool_result') THEN 'no_compressor'
- WHEN strlen(content) <= gate THEN 'below_size' ELSE 'compress' END AS reason FROM m""",
+    "route_blocks": f"""WITH {BLOCKS_SQL}, {DETECT_SQL}, m AS (SELECT *, f[1] AS ct, ['payg', 'oauth', 'subscription'][(length(block_id) % 3 + 1)::INT] AS mode, CASE f[1] {_CASE(THRESHOLDS)} END AS gate FROM det),
+ x AS (SELECT block_id, ct, CASE WHEN strlen(content) > 60000 OR len(string_split(content, chr(10))) > 400 THEN 'unsafe' WHEN mode = 'oauth' THEN 'lossless' WHEN mode = 'subscription' THEN 'policy_forbids'
+  WHEN gate IS NULL OR (ct = 'prose' AND kind = 'text') THEN 'no_compressor' WHEN strlen(content) <= gate THEN 'below_size' WHEN ct = 'search' THEN 'measured_useless' ELSE 'compress' END AS reason FROM m)
+ SELECT block_id, ct AS content_type, CASE reason WHEN 'lossless' THEN 'reformat' WHEN 'compress' THEN CASE ct {_CASE(TRANSFORMS)} END END AS transform, reason FROM x""",
     "line_importance": rf"""{_LNSQL}, s AS (SELECT block_id, line, {_STRIP("line")} AS t, {_SCORE} AS score FROM ln)
- SELECT block_id, CASE WHEN score >= 3 THEN 'critical' WHEN t <> '' AND (score > 0 OR regexp_matches(t, '^(#|==|--)|:$') OR regexp_matches({_LOW.replace("(line", "(t")}, '^({"|".join(T.SUMMARY_STARTS)})')) THEN 'notable' ELSE 'routine' END AS importance, count(*) AS n_lines, sum(score)::BIGINT AS score FROM s GROUP BY 1, 2""",
-    "line_anchors": rf"""{_LNSQL}, s AS (SELECT *, {_STRIP("line")} AS t, max(line_no) OVER (PARTITION BY block_id) AS last FROM ln), a AS (SELECT block_id, line_no, CASE WHEN starts_with(line, '@@') THEN 'hunk_header' WHEN starts_with(t, '```') THEN 'fence'
- WHEN regexp_matches(t, '^(#+ .+|={{3,}}|-{{3,}})$') THEN 'heading' WHEN starts_with(t, 'at ') OR starts_with(t, 'File "') OR regexp_matches(t, '[A-Za-z0-9_]\.[A-Za-z]+:[0-9]+') THEN 'stack_frame' WHEN regexp_matches(t, '[\[{{(]$') THEN 'structure_open' WHEN line_no IN (0, last) THEN 'boundary' END AS anchor FROM s)
+ SELECT block_id, {_LEVEL} AS importance, count(*) AS n_lines, sum(score)::BIGINT AS score FROM s GROUP BY 1, 2""",
+    "line_anchors": rf"""{_LNSQL}, s AS (SELECT *, {_STRIP("line")} AS t FROM ln), a AS (SELECT block_id, line_no, {ANCHOR_SQL} AS anchor FROM s)
  SELECT block_id, anchor, count(*) AS n, min(line_no)::BIGINT AS first_line FROM a WHERE anchor IS NOT NULL GROUP BY 1, 2""",
-    "protected_lines": rf"""WITH p AS (SELECT page_id, unnest(string_split(replace(html, '<', chr(10) || '<'), chr(10))) AS line FROM pages),
- t AS (SELECT page_id, len(list_filter(regexp_extract_all(line, '<([^>]*)>', 1), lambda x: NOT ends_with(x, '/') AND regexp_matches(x, '^/?[A-Za-z][A-Za-z0-9_-]*([{_W}]|$)'))) AS k FROM p)
+    "line_flags": rf"""{_LNSQL}, s AS (SELECT *, {_STRIP("line")} AS t, {_SCORE} AS score, {_TAGS} AS tags FROM ln)
+ SELECT block_id, count(*) FILTER (tags > 0) AS breaks_markup, count(*) FILTER (({ANCHOR_SQL}) IS NULL) AS removable, count(*) FILTER (score >= 3) AS is_error FROM s GROUP BY 1""",
+    "protected_lines": rf"""WITH p AS (SELECT page_id, unnest(string_split(replace(html, '<', chr(10) || '<'), chr(10))) AS line FROM pages), t AS (SELECT page_id, {_TAGS} AS k FROM p)
  SELECT page_id, count(*) AS n_lines, sum((k > 0)::INT)::BIGINT AS n_protected, sum(k)::BIGINT AS n_tags FROM t GROUP BY 1""",
-    "safety_hazards": f"WITH {BLOCKS_SQL} SELECT block_id, CASE WHEN length(content) % 130 > {MAX_DEPTH} THEN 'too_deep' ELSE 'none' END AS hazard FROM blocks",
-    "volatile_tokens": rf"""WITH t AS (SELECT doc_id, regexp_replace(unnest(regexp_split_to_array(text, '[{_W},;"]+')), '^[()\[\].]+|[()\[\].]+$', '', 'g') AS t FROM documents),
- k AS (SELECT doc_id, t, CASE WHEN regexp_matches(t, '^[0-9A-Fa-f]{{8}}(-[0-9A-Fa-f]{{4}}){{3}}-[0-9A-Fa-f]{{12}}$') THEN 'uuid' WHEN regexp_matches(t, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'timestamp' WHEN regexp_matches(t, '^[0-9A-Fa-f]{{16,}}$') THEN 'hex' END AS kind FROM t WHERE strlen(t) >= 8)
+    "safety_hazards": rf"""WITH {BLOCKS_SQL}, s AS (SELECT block_id, content, string_split(content, chr(10)) AS rows_, regexp_replace(regexp_replace(content, '"(?:\\.|[^"\\])*"', '', 'g'), '[^\[\]{{}}]+', '', 'g') AS br FROM blocks)
+ SELECT block_id, CASE WHEN strlen(content) > {TIGHT.max_bytes} THEN 'too_large' WHEN len(list_filter(rows_, lambda r: strlen(r) > {TIGHT.max_line})) > 0 THEN 'line_too_long'
+ WHEN len(rows_) > {TIGHT.max_lines} THEN 'too_many_lines' WHEN regexp_matches(content, '^[{_WS}]*[\[{{]') AND {_DEPTH} > {TIGHT.max_depth} THEN 'too_deep' ELSE 'none' END AS hazard FROM s""",
+    "volatile_tokens": rf"""WITH t AS (SELECT doc_id, regexp_replace(unnest(regexp_split_to_array(text, '[{_WS},;"]+')), '^[()\[\].]+|[()\[\].]+$', '', 'g') AS t FROM documents),
+ k AS (SELECT doc_id, t, CASE WHEN regexp_matches(t, '^[0-9A-Fa-f]{{8}}(-[0-9A-Fa-f]{{4}}){{3}}-[0-9A-Fa-f]{{12}}$') THEN 'uuid' WHEN regexp_matches(t, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'timestamp'
+  WHEN regexp_matches(t, '^[0-9A-Fa-f]{{16,}}$') THEN 'hex' END AS kind FROM t WHERE strlen(t) >= 8)
  SELECT DISTINCT doc_id, kind, CASE WHEN length(t) > 24 THEN substr(t, 1, 24) || '…' ELSE t END AS sample FROM k WHERE kind IS NOT NULL""",
+    "policies": f"""SELECT * FROM (VALUES {", ".join(str((m, *p)) for m, p in POLICIES.items())}) t(mode, {", ".join(POLICY_COLUMNS)})""",
+    "counters": """SELECT event_id, 'k' AS name, false AS counter FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL UNION ALL SELECT event_id, 'turn_no', true FROM events UNION ALL SELECT event_id, 'Sequence', false FROM events""",
 }

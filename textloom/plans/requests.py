@@ -64,7 +64,7 @@ def block_edits(blocks: DataFrame) -> DataFrame:
     live = live_zone(m, frozen_floor(m)).where("category = 'tool_result'").select("request_id", F.col("msg_idx").cast("int").alias("msg_idx"))
     name = F.concat_ws("/", F.col("request_id").cast("string"), "msg_idx", "block_idx").alias("block_id")
     b = blocks.where("kind NOT IN ('text', 'tool_use', 'thinking', 'redacted_thinking', 'reasoning', 'compaction', 'attachment') AND content IS NOT NULL").join(live, ["request_id", "msg_idx"], "left_semi").select(name, "request_id", "msg_idx", "block_idx", "content")
-    typed = b.join(detect(b.select("block_id", "content")).select("block_id", "content_type"), "block_id")
+    typed = detect(b)
     ln = lambda kind: block_lines(typed.where(F.col("content_type") == kind).select("block_id", "content")).withColumnRenamed("block_id", "doc_id")
     digest = log_digest(ln("log")).union(search_digest(ln("search"))).union(summarise(ln("prose").withColumnRenamed("doc_id", "block_id"))).toDF("block_id", "digest").where("digest IS NOT NULL")
     full = F.concat("digest", F.lit("\nfull content: "), T.marker(F.col("content")))

@@ -1,69 +1,84 @@
-"""Tables of lines, blocks, messages and records, made from the driver tables."""
+"""Tables of lines, blocks, messages and records, made from the driver tables; every row and every whole text of them.
+
+Groups follow keys whose number grows with the data (a user's log, a document's hits), so that no group does.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import lines
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_order(value: Column, *order: Column, by: str = "\n") -> Column:
+    """Values of a group joined (by line feeds), in a total order."""
+    key = F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], value.alias("v"))
+    return F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda s: s["v"]), by)
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line_no, line: one log of each 40th of the users, a line for each event."""
+    """doc_id, line_no, line: one log of each user, a line for each event."""
     e = read(spark, sf_dir, "events")
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "purchase", "WARN").otherwise("INFO")
+    text = lambda c: c.cast("string")
     line = F.concat(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), level, F.lit(" worker "), (F.col("event_id") % 7).cast("string"), F.lit(" handled "), "event_type",
-        F.lit(" user="), F.col("user_id").cast("string"), F.lit(" in "), (F.col("event_id") % 900).cast("string"), F.lit("ms /api/"), "event_type", F.lit("/"), F.col("event_id").cast("string"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), level, F.lit(" worker "), text(F.col("event_id") % 7), F.lit(" handled "), "event_type",
+        F.lit(" user="), text(F.col("user_id")), F.lit(" in "), text(F.col("event_id") % 900), F.lit("ms /api/"), "event_type", F.lit("/"), text(F.col("event_id")),
     )
     no = F.row_number().over(Window.partitionBy("doc_id").orderBy("event_id")) - 1
-    return e.select((F.col("user_id") % 40).alias("doc_id"), "event_id", line.alias("line")).select("doc_id", no.alias("line_no"), "line")
+    return e.select(F.col("user_id").alias("doc_id"), "event_id", line.alias("line")).select("doc_id", no.alias("line_no"), "line")
 
 
-LOG_SQL = """log_lines AS (SELECT user_id % 40 AS doc_id, (row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) - 1)::INT AS line_no,
- strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' ELSE 'INFO' END || ' worker ' || (event_id % 7) || ' handled ' || event_type || ' user=' || user_id || ' in ' || (event_id % 900) || 'ms /api/' || event_type || '/' || event_id AS line FROM events)"""
+LOG_SQL = """log_lines AS (
+ SELECT user_id AS doc_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS line_no,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' ELSE 'INFO' END
+  || ' worker ' || (event_id % 7) || ' handled ' || event_type || ' user=' || user_id || ' in ' || (event_id % 900) || 'ms /api/' || event_type || '/' || event_id AS line
+ FROM events)"""
 
 
 def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line_no, line: search hits `path:line:text`, one for each line of the documents of a source."""
-    from ..functions.text import lines
-
+    """doc_id, line_no, line: search hits `path:line:text`, one for each line of a document, seven lines to a file."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(lines(F.col("text"))).alias("pos", "hit"))
-    w = F.regexp_replace("hit", r"[\n\r:]", " ")
-    line = F.concat(F.lit("src/"), "lang", F.lit("/"), "source", F.lit(".txt:"), (F.col("doc_id") + 1).cast("string"), F.lit(":"), w)
-    no = F.row_number().over(Window.partitionBy("q").orderBy("doc_id", "pos")) - 1
-    return d.select((F.col("doc_id") % 12).alias("q"), "doc_id", "pos", line.alias("line")).select(F.col("q").alias("doc_id"), no.alias("line_no"), "line")
+    folder = F.concat(F.lit("src/"), F.coalesce("lang", F.lit("none")), F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"))
+    file = F.concat(F.floor(F.col("pos") / 7).cast("string"), F.lit(".txt:"), (F.col("pos") + 1).cast("string"), F.lit(":"))
+    return d.select("doc_id", F.col("pos").alias("line_no"), F.concat(folder, file, F.regexp_replace("hit", r"[\n\r:]", " ")).alias("line"))
 
 
-SEARCH_SQL = r"""search_lines AS (SELECT doc_id % 12 AS doc_id, (row_number() OVER (PARTITION BY doc_id % 12 ORDER BY doc_id) - 1)::INT AS line_no,
- 'src/' || lang || '/' || source || '.txt:' || (doc_id + 1) || ':' || regexp_replace(substr(text, 1, 40), '[\n\r:]', ' ', 'g') AS line FROM documents)"""
+LINES_SQL = r"CASE WHEN content = '' THEN [] ELSE regexp_split_to_array(regexp_replace(content, '\r?\n$', ''), '\r?\n') END"
+SEARCH_SQL = rf"""search_lines AS (
+ SELECT doc_id, pos::INT AS line_no, 'src/' || coalesce(lang, 'none') || '/' || coalesce(source, 'none') || '/' || (pos // 7) || '.txt:' || (pos + 1) || ':' || regexp_replace(hit, '[\n\r:]', ' ', 'g') AS line
+ FROM (SELECT doc_id, lang, source, unnest(range(0, len(a))) AS pos, unnest(a) AS hit FROM (SELECT doc_id, lang, source, {LINES_SQL.replace("content", "text")} AS a FROM documents)))"""
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """block_id, kind, content: documents as text, pages and logs and order lists as tool results."""
-    doc = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("block_id"), F.lit("text").alias("kind"), F.col("text").alias("content"))
-    page = read(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")), F.lit("tool_result"), "html")
-    joined = lambda df, name: df.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("content")).select(F.concat(F.lit(f"{name}-"), F.col("doc_id").cast("string")), F.lit("tool_result"), "content")
+    """block_id, kind, content: documents as text; pages, logs, search hits and order lists as tool results."""
+    named = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string")).alias("block_id")
+    tool = F.lit("tool_result").alias("kind")
+    doc = read(spark, sf_dir, "documents").select(named("doc-", "doc_id"), F.lit("text").alias("kind"), F.col("text").alias("content"))
+    page = read(spark, sf_dir, "pages").select(named("page-", "page_id"), tool, "html")
+    logs = log_lines(spark, sf_dir).groupBy("doc_id").agg(in_order(F.col("line"), F.col("line_no")).alias("content"))
+    hits = search_lines(spark, sf_dir).groupBy("doc_id").agg(in_order(F.col("line"), F.col("line_no")).alias("content"))
     o = read(spark, sf_dir, "orders")
     item = F.concat(F.lit('{"id":'), F.col("o_orderkey").cast("string"), F.lit(',"status":"'), "o_orderstatus", F.lit('","priority":"'), "o_orderpriority", F.lit('"}'))
-    rec = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("j")))), lambda s: s["j"]), ",").alias("j"))
-    json = rec.select(F.concat(F.lit("json-"), F.col("o_custkey").cast("string")), F.lit("tool_result"), F.concat(F.lit("["), "j", F.lit("]")))
-    return doc.union(page).union(joined(log_lines(spark, sf_dir), "log")).union(joined(search_lines(spark, sf_dir), "search")).union(json)
+    lists = o.groupBy("o_custkey").agg(in_order(item, F.col("o_orderkey"), by=",").alias("j"))
+    json = lists.select(named("json-", "o_custkey"), tool, F.concat(F.lit("["), "j", F.lit("]")))
+    return doc.union(page).union(logs.select(named("log-", "doc_id"), tool, "content")).union(hits.select(named("search-", "doc_id"), tool, "content")).union(json)
 
 
 BLOCKS_SQL = f"""{LOG_SQL}, {SEARCH_SQL}, blocks AS (
- SELECT 'doc-' || doc_id AS block_id, 'text' AS kind, text AS content FROM documents UNION ALL SELECT 'page-' || page_id, 'tool_result', html FROM pages
+ SELECT 'doc-' || doc_id AS block_id, 'text' AS kind, text AS content FROM documents
+ UNION ALL SELECT 'page-' || page_id, 'tool_result', html FROM pages
  UNION ALL SELECT 'log-' || doc_id, 'tool_result', string_agg(line, chr(10) ORDER BY line_no) FROM log_lines GROUP BY doc_id
  UNION ALL SELECT 'search-' || doc_id, 'tool_result', string_agg(line, chr(10) ORDER BY line_no) FROM search_lines GROUP BY doc_id
- UNION ALL SELECT 'json-' || o_custkey, 'tool_result', '[' || string_agg('{{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '","priority":"' || o_orderpriority || '"}}', ',' ORDER BY o_orderkey) || ']' FROM orders WHERE o_custkey % 20 = 0 GROUP BY o_custkey)"""
-
-LINES_SQL = r"CASE WHEN content = '' THEN [] ELSE regexp_split_to_array(regexp_replace(content, '\r?\n$', ''), '\r?\n') END"
+ UNION ALL SELECT 'json-' || o_custkey, 'tool_result', '[' || string_agg('{{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '","priority":"' || o_orderpriority || '"}}', ',' ORDER BY o_orderkey) || ']'
+  FROM orders GROUP BY o_custkey)"""
 
 
 def block_lines(b: DataFrame) -> DataFrame:
-    """block_id, line_no, line of each block."""
-    from ..functions.text import lines
-
-    return b.select("block_id", F.posexplode(lines(F.col("content"))).alias("line_no", "line"))
+    """block_id, n, line_no, line of each block; n: its number of lines."""
+    return b.select("block_id", lines(F.col("content")).alias("a")).select("block_id", F.size("a").alias("n"), F.posexplode("a").alias("line_no", "line"))

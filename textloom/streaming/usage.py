@@ -41,7 +41,7 @@ def observed(events: DataFrame) -> DataFrame:
     use = F.when((F.col("kind").isin("usage", "error")) & F.col("reads").isNotNull(), F.col("seq"))
     return e.groupBy("stream_id", "dialect").agg(
         F.count_if(F.col("kind") == "delta").alias("deltas"), F.min_by("reads", use).alias("reads"), F.min_by("writes", use).alias("writes"), F.max_by("out", F.when(F.col("out").isNotNull(), F.col("seq"))).alias("output_tokens"),
-        F.max((F.col("kind") == "end") | F.col("name").isin("response.completed")).alias("completed"), F.max(F.col("kind") == "error").alias("failed"),
+        F.max((F.col("kind") == "end") | F.coalesce(F.col("name") == "response.completed", F.lit(False))).alias("completed"), F.max(F.col("kind") == "error").alias("failed"),
     )
 
 
@@ -55,7 +55,7 @@ def model_streams(spark: SparkSession, d: str) -> DataFrame:
     """Invented streams of all three vocabularies from the events table."""
     e = read(spark, d, "events")
     n, m = (F.col("event_id") % 97).cast("string"), (F.col("event_id") % 31).cast("string")
-    s = F.col("user_id") % 60
+    s = F.col("user_id")
     dialect = F.when(s % 3 == 0, "messages").when(s % 3 == 1, "chat").otherwise("responses")
     t = F.col("event_type")
     name = F.when(s % 3 == 0, F.when(t == "view", "content_block_delta").when(t == "signup", "message_start").when(t == "purchase", "message_delta").when(t == "error", "error").otherwise("message_stop")).when(s % 3 == 2, F.when(t == "view", "response.output_text.delta").when(t == "signup", "response.completed").when(t == "error", "response.failed").otherwise("response.created"))
@@ -67,7 +67,7 @@ def model_streams(spark: SparkSession, d: str) -> DataFrame:
         .when((s % 3 == 2) & t.isin("signup", "error"), two('{"response":{"usage":{"input_tokens_details":{"cached_tokens":', ',"cache_write_tokens":', "}}}}")).otherwise(F.lit("{}"))
     )
     seq = F.row_number().over(Window.partitionBy("stream_id").orderBy("event_id")) - 1
-    return e.select(s.alias("stream_id"), "event_id", dialect.alias("dialect"), name.alias("name"), data.alias("data")).select("stream_id", "dialect", seq.alias("seq"), "name", "data")
+    return e.select((s * 100 + F.dayofmonth("ts")).alias("stream_id"), "event_id", dialect.alias("dialect"), name.alias("name"), data.alias("data")).select("stream_id", "dialect", seq.alias("seq"), "name", "data")
 
 
 def q_stream_usage(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +78,7 @@ def q_cache_hit_rate(spark: SparkSession, d: str) -> DataFrame:
     return cache_hit_rate(observed(model_streams(spark, d)))
 
 
-_U = """e AS (SELECT user_id % 60 AS stream_id, ['messages', 'chat', 'responses'][user_id % 60 % 3 + 1] AS dialect, event_id, event_type AS t, event_id % 97 AS n, event_id % 31 AS m FROM events),
+_U = """e AS (SELECT user_id * 100 + day(ts) AS stream_id, ['messages', 'chat', 'responses'][user_id % 3 + 1] AS dialect, event_id, event_type AS t, event_id % 97 AS n, event_id % 31 AS m FROM events),
  o AS (SELECT stream_id, dialect, count(*) FILTER (t = 'view') AS deltas, arg_min(n, event_id) FILTER (t = 'signup' OR (t = 'error' AND dialect = 'responses')) AS reads, arg_min(m, event_id) FILTER (t = 'signup' OR (t = 'error' AND dialect = 'responses')) AS writes,
  arg_max(n, event_id) FILTER (t = 'purchase' AND dialect = 'messages') AS output_tokens, bool_or(CASE dialect WHEN 'responses' THEN t = 'signup' ELSE t = 'click' END) AS completed, bool_or(t = 'error') AS failed FROM e GROUP BY 1, 2)"""
 QUERIES = {"stream_usage": q_stream_usage, "cache_hit_rate": q_cache_hit_rate}
