@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import settle
 from ..sources.tables import in_order, read
 
 # Scales and cuts of the ranking, and field-name hints.
 SCALE, MAD_CUT, SIZE_CUT, LOW_CARDINALITY, MIN_RECORDS = 1000, 3.5, 3, 8, 5
 ERROR_FIELDS = ("error", "err", "errors", "exception", "failure", "failed", "stderr", "traceback", "panic", "fault")
 SCORE_HINTS = ("score", "rank", "relevance", "similarity", "confidence", "weight", "rating", "priority")
+RELEVANT, RELEVANCE = 5, 0.5
 ID_SUFFIX = "(id|uuid|guid|hash|seq)$"
 
 
@@ -48,12 +50,13 @@ def field_roles(r: DataFrame) -> DataFrame:
     return s.select("doc_id", "field", role.alias("role"))
 
 
-def outliers(r: DataFrame) -> DataFrame:
+def outliers(r: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """doc_id, rec_idx, weight, reasons: records that stand out by a rare value, a rare field, a number or their size.
 
-    Constant and unique fields say nothing; a numeric outlier is over MAD_CUT median deviations from the median.
+    Constant and unique fields say nothing; a numeric outlier is over MAD_CUT median deviations from the median. stats: the
+    field statistics of r, where they are at hand.
     """
-    s = field_stats(r)
+    s = field_stats(r) if stats is None else stats
     error = F.lower("field").isin(*ERROR_FIELDS)
     usual = r.join(s.select("doc_id", "field", "kind", "records", "n_distinct", "present"), ["doc_id", "field"])
     by_value = Window.partitionBy("doc_id", "field", "value")
@@ -76,38 +79,68 @@ def outliers(r: DataFrame) -> DataFrame:
     return parts.groupBy("doc_id", "rec_idx").agg(F.sum("w").alias("weight"), F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 
-def anchors(r: DataFrame, sample: int = 3, ranked: int = 5) -> DataFrame:
-    """doc_id, rec_idx of the records a digest shows: the first ones, the outliers, and the best by a score field."""
+def record_json(r: DataFrame) -> DataFrame:
+    """doc_id, rec_idx, json: each record as a JSON object, fields in order, values as written."""
+    member = F.concat(F.lit('"'), "field", F.lit('":'), "value")
+    return r.groupBy("doc_id", "rec_idx").agg(F.concat(F.lit("{"), in_order(member, F.col("field_ord"), by=","), F.lit("}")).alias("json"))
+
+
+def relevant_records(r: DataFrame, queries: DataFrame, k: int = RELEVANT, least: float = RELEVANCE) -> DataFrame:
+    """doc_id, rec_idx of the records whose text answers their set's query best: at most k, of a score of `least` or more.
+
+    queries: doc_id, query. A record is scored as its JSON, among the records of its own set."""
+    from .relevance import bm25_within, top_k
+
+    items = record_json(r).select(F.col("doc_id").alias("group_id"), F.col("rec_idx").alias("item_id"), F.col("json").alias("text"))
+    scored = bm25_within(items, queries.select(F.col("doc_id").alias("group_id"), F.col("query").alias("text")))
+    return top_k(scored.withColumnRenamed("group_id", "query_id"), k, least).select(F.col("query_id").alias("doc_id"), F.col("item_id").alias("rec_idx"))
+
+
+def anchors(r: DataFrame, sample: int = 3, ranked: int = 5, stats: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """doc_id, rec_idx of the records a digest shows: the first ones, the outliers, the best by a score field, and those
+    that answer the query, where there is one."""
+    s = field_stats(r) if stats is None else stats
     head = r.select("doc_id", "rec_idx").where(F.col("rec_idx") < sample)
-    score = field_roles(r).where("role = 'score'").join(field_stats(r).select("doc_id", "field", "field_ord"), ["doc_id", "field"]).groupBy("doc_id").agg(F.min_by("field", "field_ord").alias("field"))
+    score = field_roles(r).where("role = 'score'").join(s.select("doc_id", "field", "field_ord"), ["doc_id", "field"]).groupBy("doc_id").agg(F.min_by("field", "field_ord").alias("field"))
     top = r.join(score, ["doc_id", "field"]).withColumn("p", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("num"), "rec_idx"))).where(F.col("p") <= ranked)
-    return head.union(outliers(r).select("doc_id", "rec_idx")).union(top.select("doc_id", "rec_idx")).distinct()
+    every = head.union(outliers(r, s).select("doc_id", "rec_idx")).union(top.select("doc_id", "rec_idx"))
+    if queries is not None:
+        every = every.union(relevant_records(r, queries))
+    return every.distinct()
 
 
-def plan(r: DataFrame) -> DataFrame:
-    """doc_id, records, shown, elided, constants: null counts where a digest would not pay."""
-    n = r.groupBy("doc_id").agg((F.max("rec_idx") + 1).alias("records"))
-    a = anchors(r).groupBy("doc_id").agg(F.count(F.lit(1)).alias("shown"))
-    const = field_stats(r).where("kind = 'constant' AND present = records").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("field", F.lit("="), "first_value"))), ",").alias("constants"))
+def plan(r: DataFrame, stats: DataFrame | None = None, shown: DataFrame | None = None) -> DataFrame:
+    """doc_id, records, shown, elided, constants: null counts where a digest would not pay.
+
+    stats, shown: field statistics and anchors of r, where they are at hand; else r is written once and both come from that.
+    """
+    if stats is None or shown is None:
+        r = settle(r, "records")
+        stats = settle(field_stats(r), "stats")
+        shown = anchors(r, stats=stats)
+    n = stats.groupBy("doc_id").agg(F.max("records").alias("records"))
+    a = shown.groupBy("doc_id").agg(F.count(F.lit(1)).alias("shown"))
+    const = stats.where("kind = 'constant' AND present = records").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("field", F.lit("="), "first_value"))), ",").alias("constants"))
     j = n.join(a, "doc_id").join(const, "doc_id", "left")
     ok = (F.col("records") >= MIN_RECORDS) & (F.col("shown") < F.col("records")) & (F.col("constants").isNotNull() | (2 * F.col("shown") < F.col("records")))
     return j.select("doc_id", "records", F.when(ok, F.col("shown")).alias("shown"), F.when(ok, F.col("records") - F.col("shown")).alias("elided"), F.when(ok, F.col("constants")).alias("constants"))
 
 
-def record_digest(r: DataFrame) -> DataFrame:
+def record_digest(r: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """doc_id, digest: counts, then fields that are constant or of few values in every record, then the anchors as JSON.
 
-    Null where a digest would not pay.
+    Null where a digest would not pay. queries: doc_id, query, for anchors that answer it.
     """
-    stats = field_stats(r).where("present = records AND kind IN ('constant', 'low_cardinality')")
+    r = settle(r, "records")
+    stats = settle(field_stats(r), "stats")
+    shown = settle(anchors(r, stats=stats, queries=queries), "anchors")
     first = r.groupBy("doc_id", "field", "value").agg(F.min("rec_idx").alias("at"))
-    values = first.groupBy("doc_id", "field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda v: v["value"]), " | ").alias("values"))
+    told = stats.where("present = records AND kind IN ('constant', 'low_cardinality')")
+    values = first.join(told.select("doc_id", "field"), ["doc_id", "field"]).groupBy("doc_id", "field").agg(in_order(F.col("value"), F.col("at"), by=" | ").alias("values"))
     line = F.when(F.col("kind") == "constant", F.concat(F.lit("all: "), "field", F.lit("="), "values")).otherwise(F.concat("field", F.lit(" one of: "), "values"))
-    fields = stats.join(values, ["doc_id", "field"]).groupBy("doc_id").agg(in_order(line, F.col("field_ord")).alias("fields"))
-    member = F.concat(F.lit('"'), "field", F.lit('":'), "value")
-    json = r.groupBy("doc_id", "rec_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("field_ord", member.alias("m")))), lambda v: v["m"]), ",").alias("j"))
-    shown = json.join(anchors(r), ["doc_id", "rec_idx"]).groupBy("doc_id").agg(in_order(F.concat(F.col("rec_idx").cast("string"), F.lit(": {"), "j", F.lit("}")), F.col("rec_idx")).alias("rows"))
-    p = plan(r).join(fields, "doc_id", "left").join(shown, "doc_id")
+    fields = told.join(values, ["doc_id", "field"]).groupBy("doc_id").agg(in_order(line, F.col("field_ord")).alias("fields"))
+    rows = record_json(r.join(shown, ["doc_id", "rec_idx"])).groupBy("doc_id").agg(in_order(F.concat(F.col("rec_idx").cast("string"), F.lit(": "), "json"), F.col("rec_idx")).alias("rows"))
+    p = plan(r, stats, shown).join(fields, "doc_id", "left").join(rows, "doc_id")
     head = F.concat(F.lit("["), F.col("records").cast("string"), F.lit(" records, "), F.col("shown").cast("string"), F.lit(" shown, "), F.col("elided").cast("string"), F.lit(" elided]\n"))
     return p.select("doc_id", F.concat(head, F.coalesce(F.concat("fields", F.lit("\n")), F.lit("")), "rows").alias("digest"))
 
@@ -142,11 +175,19 @@ def q_field_roles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_record_outliers(spark: SparkSession, d: str) -> DataFrame:
-    return outliers(order_records(spark, d))
+    r = settle(order_records(spark, d), "records")
+    return outliers(r, settle(field_stats(r), "stats"))
+
+
+def q_relevant_records(spark: SparkSession, d: str) -> DataFrame:
+    """The orders of each customer that answer a question about urgent ones over the limit."""
+    r = settle(order_records(spark, d), "records")
+    return relevant_records(r, r.select("doc_id").distinct().withColumn("query", F.lit("which URGENT order broke the limit")))
 
 
 def q_record_anchors(spark: SparkSession, d: str) -> DataFrame:
-    return anchors(order_records(spark, d))
+    r = settle(order_records(spark, d), "records")
+    return anchors(r, stats=settle(field_stats(r), "stats"))
 
 
 def q_record_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -159,10 +200,16 @@ def q_record_digest(spark: SparkSession, d: str) -> DataFrame:
 
 _PLAN = """c AS (SELECT doc_id, array_to_string(list_sort(list(field || '=' || first_value)), ',') AS constants FROM fs WHERE kind = 'constant' AND present = records GROUP BY 1),
  j AS (SELECT * FROM n JOIN (SELECT doc_id, count(*) AS shown FROM an GROUP BY 1) USING (doc_id) LEFT JOIN c USING (doc_id)), k AS (SELECT *, records >= 5 AND shown < records AND (constants IS NOT NULL OR 2 * shown < records) AS ok FROM j)"""
-QUERIES = {"record_digest": q_record_digest, "field_stats": q_field_stats, "field_roles": q_field_roles, "record_outliers": q_record_outliers, "record_anchors": q_record_anchors, "record_plan": q_record_plan}
+QUERIES = {"record_digest": q_record_digest, "field_stats": q_field_stats, "field_roles": q_field_roles, "record_outliers": q_record_outliers, "relevant_records": q_relevant_records, "record_anchors": q_record_anchors, "record_plan": q_record_plan}
 ORACLES = {
     "field_stats": f"WITH {_R} SELECT doc_id, field, n_distinct, present, records, kind FROM fs",
     "field_roles": f"WITH {_R}, {_ROLE} SELECT * FROM ro",
+    "relevant_records": rf"""WITH {_R}, js AS (SELECT doc_id, rec_idx, '{{' || string_agg('"' || field || '":' || value, ',' ORDER BY field_ord) || '}}' AS j FROM r GROUP BY 1, 2),
+ it AS (SELECT doc_id, rec_idx, list_filter(regexp_split_to_array(lower(j), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM js), tot AS (SELECT doc_id, count(*) AS n, avg(len(t)) AS a FROM it GROUP BY 1),
+ tf AS (SELECT doc_id, rec_idx, len(t) AS l, w.term, len(list_filter(t, lambda x: x = w.term)) AS tf FROM it, (VALUES ('which'), ('urgent'), ('order'), ('broke'), ('the'), ('limit')) w(term)),
+ dfr AS (SELECT doc_id, term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY 1, 2),
+ sc AS (SELECT doc_id, rec_idx, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS score FROM tf JOIN dfr USING (doc_id, term) JOIN tot USING (doc_id) WHERE tf > 0 GROUP BY 1, 2)
+ SELECT doc_id, rec_idx FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, rec_idx) AS p FROM sc WHERE score >= 0.5) WHERE p <= 5""",
     "record_outliers": f"WITH {_R}, {_OUT} SELECT * FROM ou",
     "record_anchors": f"WITH {_R}, {_ROLE}, {_OUT}, {_ANC} SELECT * FROM an",
     "record_digest": f"""WITH {_R}, {_ROLE}, {_OUT}, {_ANC}, {_PLAN}, v AS (SELECT doc_id, field, string_agg(value, ' | ' ORDER BY fst) AS vals FROM (SELECT doc_id, field, value, min(rec_idx) AS fst FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2),

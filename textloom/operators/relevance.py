@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import read
+from ..sources.io import settle
+from ..sources.tables import BLOCKS_SQL, block_lines, blocks, read
+from .signals import _LN
 
 K1, B = 1.2, 0.75
 #: Items whose query terms are broadcast at most; a larger query table joins by shuffle.
@@ -16,32 +18,58 @@ def terms(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def bm25_within(items: DataFrame, queries: DataFrame) -> DataFrame:
+    """group_id, item_id, score of every item that shares a term with its group's query; repeated query terms count each time.
+
+    items: group_id, item_id, text; queries: group_id, text. Document frequencies and the mean length are those of the
+    item's own group, empty items included. Only terms of the query leave the item's row.
+    """
+    q = queries.select("group_id", terms(F.col("text")).alias("q"))
+    asked = items.join(q, "group_id").select("group_id", "item_id", terms(F.col("text")).alias("t"), "q").withColumn("len", F.size("t"))
+    held = asked.select("group_id", "item_id", "len", "q", F.explode(F.array_intersect("q", "t")).alias("term"), "t")
+    count = lambda c: F.size(F.filter(c, lambda x: x == F.col("term")))
+    hits = held.select("group_id", "item_id", "len", "term", count("t").alias("tf"), count("q").alias("qf"))
+    total = asked.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
+    df = hits.groupBy("group_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    scored = hits.join(df, ["group_id", "term"]).join(total, "group_id")
+    part = _part(F.col("n"), F.col("df"), F.col("qf"), F.col("tf"), F.col("len"), F.col("avg"))
+    return scored.groupBy("group_id", "item_id").agg(F.sum(part).alias("score"))
+
+
+def _part(n: Column, df: Column, qf: Column, tf: Column, length: Column, avg: Column) -> Column:
+    idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
+    return qf * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))
+
+
 def bm25(items: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, item_id, score of every item that shares a term with a query; repeated query terms count each time.
 
     items: item_id, text; queries: query_id, text. Document frequencies and the mean length are over all items, empty
-    ones included.
+    ones included. Items are read twice, once for their lengths; of their terms only those that a query has are grouped.
     """
-    t = items.select("item_id", terms(F.col("text")).alias("t")).select("item_id", "t", F.size("t").alias("len"))
-    total = t.agg(F.count(F.lit(1)).alias("total"), F.avg("len").alias("avg_len"))
-    tf = t.select("item_id", "len", F.explode("t").alias("term")).groupBy("item_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     q = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
     wanted = q.select("term").distinct()
     if wanted.count() <= BROADCAST_QUERY_TERMS:
         wanted = F.broadcast(wanted)
-    hits = tf.join(wanted, "term", "left_semi")  # only query terms go on
+    length = F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"))
+    row = items.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(length, F.lit(0))).alias("avg")).first()
+    t = items.select("item_id", terms(F.col("text")).alias("t")).select("item_id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    hits = settle(t.join(wanted, "term", "left_semi").groupBy("item_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "hits")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    row = total.first()
-    n, avg = float(row["total"]), float(row["avg_len"] or 1)
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("qf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))
+    part = _part(F.lit(float(row["n"])), F.col("df"), F.col("qf"), F.col("tf"), F.col("len"), F.lit(float(row["avg"] or 1)))
     return hits.join(df, "term").join(q, "term").groupBy("query_id", "item_id").agg(F.sum(part).alias("score"))
 
 
+def clears(score: Column, least: float) -> Column:
+    """Whether a score counts: over 0 and at least `least`; NaN and negative scores are 0."""
+    fine = F.when(F.isnan(score) | (score < 0), F.lit(0.0)).otherwise(score)
+    return (fine > 0) & (fine >= least)
+
+
 def top_k(scored: DataFrame, k: int, least: float = 0.5) -> DataFrame:
     """The k best items of each query with a score of at least `least`; ties to the smaller item."""
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item_id")
-    return scored.where(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.where(clears(F.col("score"), least)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def fuse(rankings: list[DataFrame], k: int = 60) -> DataFrame:
@@ -69,6 +97,39 @@ def recall(memories: DataFrame, k: int = 8) -> DataFrame:
     return memories.orderBy(F.desc(F.size("sources")), F.desc("occurrences"), "key").limit(k)
 
 
+def recall_for_query(memories: DataFrame, query: str | None, k: int = 8) -> DataFrame:
+    """The k memories that answer a query best, ties as in `recall`; without a query, or where no memory shares a term with
+    it, as `recall`."""
+    if not (query or "").strip():
+        return recall(memories, k)
+    asked = memories.sparkSession.createDataFrame([(0, query)], "query_id int, text string")
+    scored = bm25(memories.select(F.col("key").alias("item_id"), F.col("content").alias("text")), asked)
+    ranked = memories.join(scored.select(F.col("item_id").alias("key"), "score"), "key", "left")
+    first = F.desc(F.round(F.coalesce("score", F.lit(0.0)), 9))
+    return ranked.orderBy(first, F.desc(F.size("sources")), F.desc("occurrences"), "key").limit(k).drop("score")
+
+
+def memory_block(ranked: DataFrame, *order, corroborate: bool = True) -> DataFrame:
+    """One row, block: memories as a list to append to a message, in the given order; no row without memories.
+
+    corroborate: whether memories of several sources say so."""
+    from ..sources.tables import in_order
+
+    said = F.when(F.lit(corroborate) & (F.size("sources") > 1), " (corroborated)").otherwise("") if corroborate else F.lit("")
+    line = F.concat(F.lit("- "), F.trim("content"), said)
+    block = ranked.agg(in_order(line, *order).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    return block.select(F.concat(F.lit("\n\n<memory>\n"), "b", F.lit("\n</memory>")).alias("block"))
+
+
+def relevant_lines(ln: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.5) -> DataFrame:
+    """block_id, line_no of the lines that answer their block's query best: at most k, of a score of `least` or more.
+
+    ln: block_id, line_no, line; queries: block_id, query. Lines are scored among the lines of their own block."""
+    items = ln.select(F.col("block_id").alias("group_id"), F.col("line_no").alias("item_id"), F.col("line").alias("text"))
+    scored = bm25_within(items, queries.select(F.col("block_id").alias("group_id"), F.col("query").alias("text")))
+    return top_k(scored.withColumnRenamed("group_id", "query_id"), k, least).select(F.col("query_id").alias("block_id"), F.col("item_id").alias("line_no"))
+
+
 def _message_memories(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations")
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("text").alias("content"), "role").withColumnRenamed("role", "source")
@@ -96,17 +157,43 @@ def q_recall(spark: SparkSession, d: str) -> DataFrame:
     return recall(remember(_message_memories(spark, d))).select("key", "content", "occurrences", F.array_join("sources", ",").alias("sources"))
 
 
+def q_recall_for_query(spark: SparkSession, d: str) -> DataFrame:
+    m = remember(_message_memories(spark, d))
+    return recall_for_query(m, "the und les que").select("key", "occurrences")
+
+
+def q_memory_block(spark: SparkSession, d: str) -> DataFrame:
+    best = recall(remember(_message_memories(spark, d)), 3)
+    return memory_block(best, -F.size("sources"), -F.col("occurrences"), F.col("key"))
+
+
+def q_relevant_lines(spark: SparkSession, d: str) -> DataFrame:
+    ln = block_lines(blocks(spark, d).where("kind = 'tool_result'"))
+    return relevant_lines(ln, ln.select("block_id").distinct().withColumn("query", F.lit("ERROR in signup, license die version")))
+
+
 _BM = r"""it AS (SELECT doc_id AS item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents), tot AS (SELECT count(*) AS n, avg(len(t)) AS a FROM it),
  tf AS (SELECT item_id, l, term, count(*) AS tf FROM (SELECT item_id, len(t) AS l, unnest(t) AS term FROM it) GROUP BY ALL), dfr AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
  q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
  sc AS (SELECT query_id, item_id, sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS score FROM tf JOIN dfr USING (term) JOIN q USING (term), tot GROUP BY 1, 2),
  rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM sc WHERE score >= 0.5)"""
 _MEM = """m AS (SELECT sha256(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')))[:32] AS key, min_by(text, conv_id * 1000 + turn) AS content, count(*) AS occurrences, list_sort(list(DISTINCT role)) AS s FROM conversations GROUP BY 1)"""
-QUERIES = {"bm25_top": q_bm25_top, "rank_fusion": q_rank_fusion, "memories": q_memories, "recall": q_recall}
+QUERIES = {"bm25_top": q_bm25_top, "rank_fusion": q_rank_fusion, "memories": q_memories, "recall": q_recall, "recall_for_query": q_recall_for_query, "memory_block": q_memory_block, "relevant_lines": q_relevant_lines}
 ORACLES = {
     "bm25_top": f"WITH {_BM} SELECT query_id, item_id, rank::INT AS rank, round(score, 6) AS score FROM rk WHERE rank <= 5",
     "rank_fusion": f"""WITH {_BM}, a AS (SELECT query_id, item_id, rank FROM rk WHERE rank <= 10), b AS (SELECT query_id, a.item_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars, a.item_id) AS rank FROM a JOIN documents ON doc_id = a.item_id)
  SELECT query_id, item_id, round(sum(1.0 / (rank + 60)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2""",
     "memories": f"WITH {_MEM} SELECT key, content, occurrences, array_to_string(s, ',') AS sources FROM m",
+    "recall_for_query": rf"""WITH {_MEM}, it AS (SELECT key, len(s) AS srcs, occurrences, list_filter(regexp_split_to_array(lower(content), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM m), tot AS (SELECT count(*) AS n, avg(len(t)) AS a FROM it),
+ tf AS (SELECT key, len(t) AS l, w.term, len(list_filter(t, lambda x: x = w.term)) AS tf FROM it, (VALUES ('the'), ('und'), ('les'), ('que')) w(term)), dfr AS (SELECT term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY 1),
+ sc AS (SELECT key, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS score FROM tf JOIN dfr USING (term), tot WHERE tf > 0 GROUP BY 1)
+ SELECT key, occurrences FROM it LEFT JOIN sc USING (key) ORDER BY round(coalesce(score, 0), 9) DESC, srcs DESC, occurrences DESC, key LIMIT 8""",
+    "memory_block": f"""WITH {_MEM}, b AS (SELECT *, row_number() OVER (ORDER BY len(s) DESC, occurrences DESC, key) AS p FROM m)
+ SELECT chr(10) || chr(10) || '<memory>' || chr(10) || string_agg('- ' || trim(content) || CASE WHEN len(s) > 1 THEN ' (corroborated)' ELSE '' END, chr(10) ORDER BY p) || chr(10) || '</memory>' AS block FROM b WHERE p <= 3""",
+    "relevant_lines": rf"""WITH {BLOCKS_SQL}, {_LN}, it AS (SELECT block_id, line_no, list_filter(regexp_split_to_array(lower(line), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM ln WHERE NOT starts_with(block_id, 'doc-')),
+ tot AS (SELECT block_id, count(*) AS n, avg(len(t)) AS a FROM it GROUP BY 1), tf AS (SELECT block_id, line_no, len(t) AS l, w.term, len(list_filter(t, lambda x: x = w.term)) AS tf FROM it, (VALUES ('error'), ('in'), ('signup'), ('license'), ('die'), ('version')) w(term)),
+ dfr AS (SELECT block_id, term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY 1, 2), sc AS (SELECT block_id, line_no, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS score
+  FROM tf JOIN dfr USING (block_id, term) JOIN tot USING (block_id) WHERE tf > 0 GROUP BY 1, 2)
+ SELECT block_id, line_no FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY round(score, 9) DESC, line_no) AS p FROM sc WHERE score >= 0.5) WHERE p <= 10""",
     "recall": f"WITH {_MEM} SELECT key, content, occurrences, array_to_string(s, ',') AS sources FROM m ORDER BY len(s) DESC, occurrences DESC, key LIMIT 8",
 }

@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
+def new_folder(spark: SparkSession, name: str = "work") -> str:
+    """A new folder under the cluster's shared spark.checkpoint.dir; where that is unset on one machine (tests), one is made
+    and set, and on a cluster it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: worked out once, however often it is read."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
     """ord, line of a text file; ord follows a file's order."""
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"))
@@ -57,10 +81,28 @@ class ContentStore:
         return self.spark.read.schema(self.SCHEMA).parquet(to).count()
 
 
+LEDGER = "hour timestamp, family string, content_type string, compressions long, passthroughs long, tokens_before long, tokens_after long"
+RECOMMENDATIONS = "mode string, family string, content_type string, samples long, mean_ratio double, worth boolean"
+
+
 def save_ledger(ledger: DataFrame, path: str) -> None:
     ledger.write.mode("overwrite").parquet(path)
 
 
+def load_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """A saved ledger; an empty one where there is nothing at the path that can be read."""
+    return _load(spark, path, LEDGER, "parquet")
+
+
+def _load(spark: SparkSession, path: str, schema: str, kind: str) -> DataFrame:
+    empty = spark.createDataFrame([], schema)
+    try:
+        found = spark.read.format(kind).load(path)
+    except AnalysisException:  # no such path, or nothing whose columns can be told
+        return empty
+    return spark.read.schema(schema).format(kind).load(path) if set(empty.columns) <= set(found.columns) else empty
+
+
 def merge_ledgers(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of two ledgers (or telemetry tables) by key; merging in any order gives the same table."""
     sums = [c for c in a.columns if c not in keys]
@@ -69,3 +111,8 @@ def merge_ledgers(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def save_recommendations(r: DataFrame, path: str) -> None:
     r.write.mode("overwrite").json(path)
+
+
+def load_recommendations(spark: SparkSession, path: str) -> DataFrame:
+    """Saved recommendations; none where there is nothing at the path, or nothing of theirs."""
+    return _load(spark, path, RECOMMENDATIONS, "json")

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def new_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared spark.checkpoint.dir; where that is unset (tests), one is made and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.io import new_folder
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process what is available and return it as a table. mode complete: the last full result."""
     spark = stream.sparkSession
-    at = new_folder(spark)
+    at = new_folder(spark, "stream")
     writer = stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         writer.format("parquet").option("path", f"{at}/out").start().awaitTermination()
