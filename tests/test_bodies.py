@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from textloom.functions import sql
 from textloom.functions import text as T
 from textloom.operators import bodies as B
-from textloom.operators import diffs, relevance
+from textloom.operators import relevance
 from textloom.sources import io
 
 
@@ -35,12 +35,6 @@ def test_minify(spark):
     assert [r[0] for r in df.select(B.minify_json(F.col("t"))).collect()] == ['{"a":[1,2],"b":"x , y"}', "not : json ,"]
 
 
-def test_code_digest():
-    src = "import x\ndef f():\n" + "    y = 1\n" * 6 + "z = 2"
-    assert diffs.elide_bodies(src) == "import x\ndef f():\n    ... 6 lines ...\nz = 2"
-    assert diffs.elide_bodies("def f():\n    return 1") is None
-
-
 def test_content_store(spark, tmp_path):
     store = io.ContentStore(spark, str(tmp_path / "ccr"))
     t0 = F.lit("2026-01-01 00:00:00").cast("timestamp")

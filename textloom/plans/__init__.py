@@ -4,7 +4,13 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("textloom.operators.signals", "textloom.operators.condense", "textloom.operators.records", "textloom.operators.relevance", "textloom.operators.accounting", "textloom.operators.conversation", "textloom.operators.bodies", "textloom.operators.diffs", "textloom.streaming.sse", "textloom.streaming.ledger", "textloom.streaming.usage", "textloom.plans.requests")
+MODULES = tuple(
+    f"textloom.{m}"
+    for m in (
+        "operators.signals", "operators.condense", "operators.records", "operators.jsonsets", "operators.relevance", "operators.accounting", "operators.conversation", "operators.bodies",
+        "operators.diffs", "operators.code", "operators.shaping", "streaming.sse", "streaming.ledger", "streaming.usage", "plans.requests",
+    )
+)
 
 
 def queries() -> dict:
