@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import freed, small_batches, table
 from .tokens import encode
 
 SEQ_LEN = 2048
@@ -111,7 +111,7 @@ def packed_matrices(docs: DataFrame, seq_len: int = SEQ_LEN, vocab: str = "byte_
             yield emit(shard, block, held)
 
     # ids travel as text: pandas would turn whole numbers beside a null into doubles
-    return small_batches(docs).select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).mapInPandas(run, ROWS)
+    return small_batches(docs).select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).mapInPandas(freed(run), ROWS)
 
 
 def write_matrices(packed: DataFrame, path: str) -> None:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import SLICE, as_sent, components, cuts, in_sift, join_counted, materialize, mix, sent_type, sift_of, slices, small_batches, table, text_bytes, word_hashes
+from .shared import SLICE, as_sent, components, cuts, freed, freed_group, in_sift, join_counted, materialize, mix, sent_type, sift_of, slices, small_batches, table, text_bytes, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 #: Text bytes for each bucket of shingles and for each group of sets, shingles that a task gathers before it deals them.
@@ -86,7 +86,7 @@ def document_sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFr
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(src.dtypes)["id"]
     named = as_sent(src).withColumn("name", row_name(F.col("id"), F.col("text")))
-    return named.mapInPandas(run, f"id {sent_type(src, 'id')}, n_shingles long, key long, name string").withColumn("id", F.col("id").cast(kind))
+    return named.mapInPandas(freed(run), f"id {sent_type(src, 'id')}, n_shingles long, key long, name string").withColumn("id", F.col("id").cast(kind))
 
 
 def row_name(id_: Column, text: Column) -> Column:
@@ -209,9 +209,9 @@ def candidates(docs: DataFrame, k: int, percent: int, text_col: str) -> DataFram
         return pd.DataFrame(out, columns=["key", "n", "cells"])
 
     src = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    packed = src.mapInPandas(deal, "bucket int, packed binary")
-    counted = packed.groupBy("bucket").applyInPandas(count, "grp int, keys binary, sizes binary, shared binary, ids binary, codes binary")
-    return counted.groupBy("grp").applyInPandas(gather, "key long, n long, cells array<long>")
+    packed = src.mapInPandas(freed(deal), "bucket int, packed binary")
+    counted = packed.groupBy("bucket").applyInPandas(freed_group(count), "grp int, keys binary, sizes binary, shared binary, ids binary, codes binary")
+    return counted.groupBy("grp").applyInPandas(freed_group(gather), "key long, n long, cells array<long>")
 
 
 def candidate_sets(docs: DataFrame, cand: DataFrame, k: int, text_col: str) -> DataFrame:
@@ -229,7 +229,7 @@ def candidate_sets(docs: DataFrame, cand: DataFrame, k: int, text_col: str) -> D
                 yield pd.DataFrame({"key": key[pick].view(np.int64), "ids": [h[cut[i] : cut[i + 1]].tobytes() for i in pick]})
 
     src = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    return src.mapInPandas(run, "key long, ids binary").dropDuplicates(["key"])
+    return src.mapInPandas(freed(run), "key long, ids binary").dropDuplicates(["key"])
 
 
 def key_signed(u: np.uint64) -> np.int64:
@@ -375,7 +375,7 @@ def links(cand: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def found(rows: DataFrame, cell: Column) -> DataFrame:
         own = rows.withColumn("cell", cell).select("key", "n", "ids", "component", "band", "block", "side", "cell")
-        return materialize(own.groupBy("cell").applyInPandas(_compare(percent), "a long, b long"), "links")
+        return materialize(own.groupBy("cell").applyInPandas(freed_group(_compare(percent)), "a long, b long"), "links")
 
     home = part.join(F.broadcast(blocks), ["component", "band"], "left") if blocks.count() <= 100_000 else part.join(blocks, ["component", "band"], "left")
     home = home.withColumn("side", F.lit(0)).withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("key"), F.col("blocks"))).otherwise(0).cast("int"))

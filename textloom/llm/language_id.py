@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import as_sent, fold, hash_sample, sent_type, slices, small_batches, table
+from .shared import as_sent, fold, freed, hash_sample, sent_type, slices, small_batches, table
 
 HIDDEN = 8
 CORE, CONTEXT = 448, 24
@@ -227,7 +227,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     src = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     src = src.withColumn("letters", F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)))
-    out = as_sent(src).mapInPandas(run, f"id {sent_type(src, 'id')}, lang_pred string, score double, positions long, agree double")
+    out = as_sent(src).mapInPandas(freed(run), f"id {sent_type(src, 'id')}, lang_pred string, score double, positions long, agree double")
     return out.withColumn("id", F.col("id").cast(dict(src.dtypes)["id"])).withColumnRenamed("id", id_col)
 
 
@@ -262,7 +262,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float | None = None) -
             keep = [np.ones(hi - lo, bool) if not model.langs else pooled(model, texts[lo:hi])[0].max(1) >= bound for lo, hi in slices([len(t) for t in texts], 4_000_000)]
             yield b.filter(pa.array(np.concatenate(keep))) if keep else b
 
-    return small_batches(docs).where(F.regexp_like("text", F.lit(r"\p{L}"))).mapInArrow(run, docs.schema)
+    return small_batches(docs).where(F.regexp_like("text", F.lit(r"\p{L}"))).mapInArrow(freed(run), docs.schema)
 
 
 def fit(docs: DataFrame) -> Model:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SLICE, FOLDS, cuts, fold, materialize, mix, slices, small_batches, table, text_bytes, word_hashes
+from .shared import FOLDS, SLICE, cuts, fold, freed, freed_group, materialize, mix, slices, small_batches, table, text_bytes, word_hashes
 
 #: Text bytes of a batch; there are as many buckets as batches.
 BATCH_BYTES = 5_000_000
@@ -130,7 +130,7 @@ def batched(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
         if held:
             yield blobs(pd.concat(held))
 
-    return src.mapInPandas(pack, "batch long, part int, blob binary"), n
+    return src.mapInPandas(freed(pack), "batch long, part int, blob binary"), n
 
 
 def unpacked(rows: pd.DataFrame) -> tuple[list, list[str]]:
@@ -166,8 +166,8 @@ def answers(src: DataFrame, buckets: int) -> DataFrame:
         out = [(b, int(rows["bucket"].iat[0]), _varint(main[i]), _varint(held[i]), sums if k == 0 else [0, 0, 0]) for k, b in enumerate(rows["batch"]) for i in [inv[at[k] : at[k + 1]]]]
         return pd.DataFrame(out, columns=["batch", "bucket", "main", "held", "sums"])
 
-    asked = src.groupBy("batch").applyInPandas(ask, "bucket int, batch long, part int, hashes binary, counts binary")
-    return asked.groupBy("bucket").applyInPandas(answer, "batch long, bucket int, main binary, held binary, sums array<long>")
+    asked = src.groupBy("batch").applyInPandas(freed_group(ask), "bucket int, batch long, part int, hashes binary, counts binary")
+    return asked.groupBy("bucket").applyInPandas(freed_group(answer), "batch long, bucket int, main binary, held binary, sums array<long>")
 
 
 class Counts:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, small_batches, table
+from .shared import freed, materialize, small_batches, table
 
 K, DIMS, MISS = 5, 8, 0.02
 #: Vectors of a leaf that the tree aims at, of a part of a leaf at most, greatest depth, rows of the sample it is cut from.
@@ -103,7 +103,7 @@ def indexed(rows: DataFrame, k: int, leaf_rows: int) -> DataFrame:
                 p = project(units(own["v"]))
                 yield own.assign(dim=dim, leaf=tree.leaf(p), p=list(p))
 
-    return materialize(held.mapInPandas(place, "h long, v array<double>, ids array<long>, dim int, leaf int, p array<double>"), "index")
+    return materialize(held.mapInPandas(freed(place), "h long, v array<double>, ids array<long>, dim int, leaf int, p array<double>"), "index")
 
 
 class Boxes:
@@ -221,7 +221,7 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "emb
         if best is not None:
             kth = best.groupBy("query_id", "h").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
             live = asked.join(kth, ["query_id", "h"], "left")
-        sent = live.mapInPandas(visits(boxes, since, until, miss), CELL)
+        sent = live.mapInPandas(freed(visits(boxes, since, until, miss)), CELL)
         if best is not None:
             sent = materialize(sent, "visits")
             if sent.isEmpty():
@@ -232,7 +232,7 @@ def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "emb
             vectors_now = vectors
         order = [F.col("dim"), F.col("leaf"), F.col("part"), F.col("ids").isNull()]
         met = vectors_now.unionByName(sent).repartition(min(cells, 100_000), "dim", "leaf", "part").sortWithinPartitions(*order)
-        hits = met.mapInPandas(verified(k), "query_id long, h long, vec_id long, score double")
+        hits = met.mapInPandas(freed(verified(k)), "query_id long, h long, vec_id long, score double")
         if best is not None:
             hits = hits.unionByName(best)
         hits = hits.groupBy("query_id", "h", "vec_id").agg(F.max("score").alias("score"))  # an id with several vectors

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, small_batches, table
+from .shared import freed, materialize, small_batches, table
 from .tokens import encode
 
 MAX_LEN = 1024
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, max_len: int = MAX_LEN, vocab: str = "byte_bpe_50k")
                 rows += [(doc_id, s, min(max_len, n - s), zlib.crc32(ids[s : s + max_len]), n) for s in range(0, n, max_len)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    cut_up = small_batches(docs).select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInPandas(cut, PIECES.replace("doc_id long", "doc_id string"))
+    cut_up = small_batches(docs).select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInPandas(freed(cut), PIECES.replace("doc_id long", "doc_id string"))
     return cut_up.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

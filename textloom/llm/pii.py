@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import as_sent, fold, hash_sample, slices, small_batches, table
+from .shared import as_sent, fold, freed, hash_sample, slices, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("out", *KINDS)
@@ -337,7 +337,7 @@ def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
     kinds = dict(src.dtypes)
     for c in (id_col, *keep):
         src = as_sent(src, c)
-    found = src.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in src.dtypes if c != "__text") + f", {RESULT}")
+    found = src.mapInPandas(freed(run), ", ".join(f"`{c}` {t}" for c, t in src.dtypes if c != "__text") + f", {RESULT}")
     return found.select(*[F.col(c).cast(kinds[c]) for c in (id_col, *keep)], "spans")
 
 
@@ -371,7 +371,7 @@ def redact_texts(docs: DataFrame, field: Field) -> DataFrame:
                 new += [redact(t, [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(p + q)]) if p or q else t for t, p, q in zip(own, base, more, strict=True)]
             yield b.set_column(at, b.schema.field(at), pa.array([None if t is None else n for n, t in zip(new, held, strict=True)], b.schema.field(at).type))
 
-    out = small_batches(docs).mapInArrow(run, docs.schema)
+    out = small_batches(docs).mapInArrow(freed(run), docs.schema)
     if "n_chars" not in docs.columns:
         return out
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

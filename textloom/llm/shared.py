@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,36 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def _release() -> None:
+    """Give back what the C heap and Arrow hold free: workers live on between tasks, and would keep their largest size."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def freed(run):
+    """run, a function for mapInPandas or mapInArrow, that releases memory at its end."""
+
+    def task(batches):
+        yield from run(batches)
+        _release()
+
+    return task
+
+
+def freed_group(run):
+    """run, a function of one group for applyInPandas, that releases memory at its end."""
+
+    def task(rows: pd.DataFrame) -> pd.DataFrame:
+        out = run(rows)
+        _release()
+        return out
+
+    return task
+
+
 def fold(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
@@ -263,16 +297,57 @@ def join_counted(rows: DataFrame, table_: DataFrame, key: str, total: int) -> Da
     return marked.where("__hot").drop("__hot").unionByName(rest)
 
 
+#: Edges that a task gathers before it contracts them.
+CONTRACT_EDGES = 500_000
+
+
+def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node linked to it) over some edges, for all nodes but the smallest ones."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    own = label != np.arange(len(names))
+    return names[own], names[label[own]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(u, v) with fewer edges and the same components: what each task holds becomes stars round its smallest nodes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, waiting = [], 0
+        for b in batches:
+            held.append(b.to_numpy())
+            waiting += len(b)
+            if waiting >= CONTRACT_EDGES:
+                yield pd.DataFrame(dict(zip("uv", star(*np.concatenate(held).T), strict=True)))
+                held, waiting = [], 0
+        if held:
+            yield pd.DataFrame(dict(zip("uv", star(*np.concatenate(held).T), strict=True)))
+
+    return edges.where("u IS NOT NULL AND v IS NOT NULL").mapInPandas(freed(run), "u long, v long")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node reachable over undirected edges, for nodes with an edge to another node.
+    """(node, component): the smallest node (whole numbers) reachable over undirected edges, for nodes with an edge to
+    another node.
 
-    Alternates large-star and small-star steps; each step is a grouped minimum, and every round is a written table, the
+    Edges are contracted where they lie, which settles most of them. The rest alternates large-star and small-star steps; each step is a grouped minimum, and every round is a written table, the
     one before it deleted. A node's neighbours never meet in one task: minima are combined before they are shuffled, and
     the minima of hubs, whose number is bounded, are broadcast to their edges. Null nodes are left out.
     """
 
     def written(df: DataFrame) -> tuple[DataFrame, tuple]:
-        t = materialize(df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+        t = contracted(df).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+        t = materialize(contracted(t).distinct(), "edges")
         return t, tuple(t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     e, before = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")))

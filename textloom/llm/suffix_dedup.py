@@ -30,14 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import HOT_ROWS, SLICE, as_sent, cuts, in_sift, join_counted, materialize, mix, sent_type, sift_of, slices, small_batches, span_hashes, table
+from .shared import HOT_ROWS, SLICE, as_sent, cuts, freed, freed_group, in_sift, join_counted, materialize, mix, sent_type, sift_of, slices, small_batches, span_hashes, table
 
 LENGTH, NAME = 200, 68
 #: A perfect difference set, every residue modulo 31 is a difference of two members.
 COVER_MOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Text bytes for each bucket of names, for each block of windows and for each group of texts; names, and bytes of windows,
 #: that a task gathers before it deals them; bytes of windows sorted at a time.
-BUCKET_BYTES, BLOCK_BYTES, GROUP_BYTES, DEAL_NAMES, DEAL_BYTES, SORT_BYTES = 32_000_000, 16_000_000, 8_000_000, 300_000, 6_000_000, 3_000_000
+BUCKET_BYTES, BLOCK_BYTES, GROUP_BYTES, DEAL_NAMES, DEAL_BYTES, SORT_BYTES = 32_000_000, 8_000_000, 8_000_000, 300_000, 6_000_000, 2_000_000
 
 
 def raw_of(text) -> bytes:
@@ -423,11 +423,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield deal_names(*map(np.concatenate, zip(*held, strict=True)), buckets, groups)
 
-    about = materialize(as_sent(src).mapInPandas(describe, f"id {sent}, key long, n_bytes long, sha string"), "texts")
+    about = materialize(as_sent(src).mapInPandas(freed(describe), f"id {sent}, key long, n_bytes long, sha string"), "texts")
     total = about.agg(F.sum("n_bytes")).first()[0] or 0
     buckets, blocks, groups = (max(1, -(-total // n)) for n in (BUCKET_BYTES, BLOCK_BYTES, GROUP_BYTES))
-    marked = src.select("text").where(F.octet_length("text") >= length).mapInPandas(names, DEALT).groupBy("bucket").applyInPandas(repeated_names(groups), ANSWER)
-    marks = materialize(marked.groupBy("grp").applyInPandas(gathered(0), RUNS), "marks")
+    marked = src.select("text").where(F.octet_length("text") >= length).mapInPandas(freed(names), DEALT).groupBy("bucket").applyInPandas(freed_group(repeated_names(groups)), ANSWER)
+    marks = materialize(marked.groupBy("grp").applyInPandas(freed_group(gathered(0)), RUNS), "marks")
     sift = sift_of(marks)
 
     def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -458,9 +458,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield deal_windows(held, blocks, groups)
 
-    texts = src.select("text").where(F.octet_length("text") >= length).mapInPandas(needed, "key long, raw binary").dropDuplicates(["key"]).join(marks, "key")
-    runs = texts.mapInPandas(windows, DEALT).groupBy("bucket").applyInPandas(sorted_block(groups, length), ANSWER)
-    cut = runs.groupBy("grp").applyInPandas(gathered(length - 1), RUNS)
+    texts = src.select("text").where(F.octet_length("text") >= length).mapInPandas(freed(needed), "key long, raw binary").dropDuplicates(["key"]).join(marks, "key")
+    runs = texts.mapInPandas(freed(windows), DEALT).groupBy("bucket").applyInPandas(freed_group(sorted_block(groups, length)), ANSWER)
+    cut = runs.groupBy("grp").applyInPandas(freed_group(gathered(length - 1)), RUNS)
     # texts that occur more than once go whole: no look at their bytes
     short, long_ = about.where(F.col("n_bytes") < length), about.where(F.col("n_bytes") >= length)
     n_long = long_.count()
@@ -495,8 +495,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield frame
 
     schema = f"id {sent}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>"
-    whole = as_sent(src.where(F.octet_length("text") >= length)).mapInPandas(touched, f"id {sent}, key long, raw binary")
-    out = whole.join(cut_up, "key").mapInPandas(finish, schema).unionByName(untouched).unionByName(gone)
+    whole = as_sent(src.where(F.octet_length("text") >= length)).mapInPandas(freed(touched), f"id {sent}, key long, raw binary")
+    out = whole.join(cut_up, "key").mapInPandas(freed(finish), schema).unionByName(untouched).unionByName(gone)
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
