@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import freed, materialize, small_batches, table
 
 K, DIMS, MISS = 5, 8, 0.02
-#: Vectors of a leaf that the tree aims at, of a part of a leaf at most, greatest depth, rows of the sample it is cut from.
+#: Vectors of a leaf that the tree aims at, of a part of a leaf at most, greatest depth, vectors expected in the sample it is cut from.
 LEAF_ROWS, PART_ROWS, DEPTH, SAMPLE_ROWS = 2_048, 16_384, 12, 16_384
 #: Leaves that a query visits in the first round, and how many times as many in each further one.
 FIRST, MORE = 4, 8
@@ -92,10 +92,17 @@ def indexed(rows: DataFrame, k: int, leaf_rows: int) -> DataFrame:
     ids = first.groupBy("h", "g").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     held = rows.groupBy("h", "g").agg(F.first("v").alias("v")).join(ids, ["h", "g"]).select("h", "v", "ids")
     n = rows.count()
-    near = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 30)) < min(1 << 30, 2 * SAMPLE_ROWS * (1 << 30) // max(1, n) + 1)
-    sample = rows.where(near).select("h", "v").orderBy("h").limit(SAMPLE_ROWS).toPandas()
-    points = np.concatenate([project(units(own["v"])) for _, own in by_length(sample)]) if len(sample) else np.zeros((0, DIMS))
-    tree = Tree(np.unique(points, axis=0), min(DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / leaf_rows))))))
+
+    def projections(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, own in by_length(b):
+                yield pd.DataFrame({"h": own["h"], "p": list(project(units(own["v"])))})
+
+    # each sampled vector once, and only its projection reaches the driver
+    near = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 30)) < min(1 << 30, SAMPLE_ROWS * (1 << 30) // max(1, n) + 1)
+    sample = rows.where(near).groupBy("h", "g").agg(F.first("v").alias("v")).mapInPandas(freed(projections), "h long, p array<double>").collect()
+    points = np.array([r["p"] for r in sorted(sample)]).reshape(-1, DIMS)
+    tree = Tree(points, min(DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / leaf_rows))))))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
