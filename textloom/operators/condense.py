@@ -67,15 +67,22 @@ def search_digest(ln: DataFrame) -> DataFrame:
     return total.join(body, "doc_id").select("doc_id", F.when((F.col("hits") >= MIN_HITS) & (F.col("files") < F.col("hits")), F.concat(head, "body", more, gone)).alias("digest"))
 
 
-def summarise(ln: DataFrame, budget: int = 60, min_lines: int = 60) -> DataFrame:
+def summarise(ln: DataFrame, budget: int = 60, min_lines: int = 60, queries: DataFrame | None = None) -> DataFrame:
     """block_id, digest: the most important lines of a text with gaps counted between them.
 
-    Anchors and lines with markup are always kept, even beyond the budget; others by importance, then place. Null where
-    the text has at most min_lines lines. ln: as block_lines gives them.
+    Anchors, lines with markup and, where there is a query, the lines that answer it best are always kept, even beyond the
+    budget; others by importance, then place. Texts of at most min_lines lines give no row. ln: as block_lines gives them;
+    queries: block_id, query.
     """
+    from .relevance import relevant_lines
+
     whole = Window.partitionBy("block_id")
     required = anchor(F.col("line"), is_boundary()).isNotNull() | (F.size(T.tags(F.col("line"))) > 0)
-    ln = ln.where(F.col("n") > min_lines).withColumn("required", required).withColumn("level", T.importance(F.col("line")))
+    ln = ln.where(F.col("n") > min_lines).withColumn("required", required)
+    if queries is not None:
+        answers = relevant_lines(ln, queries).withColumn("answers", F.lit(True))
+        ln = ln.join(answers, ["block_id", "line_no"], "left").withColumn("required", F.col("required") | F.coalesce("answers", F.lit(False)))
+    ln = ln.withColumn("level", T.importance(F.col("line")))
     ln = ln.withColumn("level", F.when(F.col("level") == "critical", 2).when(F.col("level") == "notable", 1).otherwise(0))
     ln = ln.withColumn("must", F.sum(F.col("required").cast("int")).over(whole)).withColumn("r", F.row_number().over(whole.orderBy(F.desc("required"), F.desc("level"), "line_no")))
     kept = ln.where(F.col("r") <= F.greatest(F.lit(budget), F.col("must"))).withColumn("before", F.lag("line_no").over(whole.orderBy("line_no")))
