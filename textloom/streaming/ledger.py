@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
 from ..sources.tables import read
@@ -31,6 +35,29 @@ def calls_per_window(events: DataFrame, seconds: int = 60) -> DataFrame:
     return events.withWatermark("ts", "5 minutes").groupBy("user_id", F.window("ts", f"{seconds} seconds")).agg(F.count(F.lit(1)).alias("calls")).select("user_id", F.col("window.start").alias("start"), "calls")
 
 
+def limited(events: DataFrame, limit: int, seconds: int = 60, late: str = "5 minutes") -> DataFrame:
+    """event_id, user_id, allowed: the first `limit` calls of a user in each fixed window, in the order they arrive (within a
+    batch by time and id). A window's count is forgotten once the watermark has passed it."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        seen = state.get[0] if state.exists else 0
+        state.update((seen + len(rows),))
+        end = (int(key[1]) + 1) * seconds * 1000
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "allowed": [seen + i < limit for i in range(len(rows))]})
+
+    e = events.withWatermark("ts", late).select("event_id", "user_id", "ts", F.floor(F.unix_timestamp("ts") / seconds).alias("slot"))
+    return e.groupBy("user_id", "slot").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "seen long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def q_stream_limited(spark: SparkSession, d: str) -> DataFrame:
+    return run_to_table(limited(event_stream(spark, d), 2, 3600 * 24)).select("event_id", "allowed")
+
+
 def q_stream_ledger(spark: SparkSession, d: str) -> DataFrame:
     return run_to_table(hourly_ledger(event_stream(spark, d)), "complete")
 
@@ -44,9 +71,10 @@ def q_stream_new_contents(spark: SparkSession, d: str) -> DataFrame:
     return run_to_table(new_contents(event_stream(spark, d), "3650 days")).select("hash").distinct()
 
 
-QUERIES = {"stream_hourly_ledger": q_stream_ledger, "stream_limiter": q_stream_limiter, "stream_new_contents": q_stream_new_contents}
+QUERIES = {"stream_hourly_ledger": q_stream_ledger, "stream_limiter": q_stream_limiter, "stream_new_contents": q_stream_new_contents, "stream_limited": q_stream_limited}
 ORACLES = {
     "stream_hourly_ledger": "SELECT date_trunc('hour', ts) AS hour, event_type AS content_type, count(*) AS n, sum(floor(value)::BIGINT)::BIGINT AS total FROM events GROUP BY 1, 2",
     "stream_limiter": "SELECT user_id, date_trunc('hour', ts) AS start, count(*) AS calls FROM events GROUP BY 1, 2 HAVING count(*) > 1",
+    "stream_limited": "SELECT event_id, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 86400) ORDER BY ts, event_id) <= 2 AS allowed FROM events",
     "stream_new_contents": "SELECT DISTINCT left(sha256(props), 32) AS hash FROM events",
 }

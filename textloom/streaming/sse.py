@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.tables import read
+from ..sources.tables import in_order, read
 from .base import run_to_table
 
 #: An unfinished frame longer than this ends the parsing of its stream.
@@ -24,29 +24,52 @@ def fields(frame: Column) -> tuple[Column, Column]:
     return F.try_element_at(value("event"), F.lit(-1)), F.when(F.size(data) > 0, F.array_join(data, "\n"))
 
 
-def frames(chunks: DataFrame) -> DataFrame:
-    """stream_id, seq, name, data from chunks (stream_id, chunk_no, chunk) at rest. An unclosed last frame is left out."""
-    whole = chunks.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))), lambda s: s["chunk"]), "").alias("t"))
-    cut = whole.select("stream_id", F.posexplode(F.split("t", "\r?\n\r?\n")).alias("seq", "frame"), F.regexp_count("t", F.lit("\r?\n\r?\n")).alias("closed")).where("seq < closed")
+def render(name: Column, data: Column, event_id: Column | None = None) -> Column:
+    """Wire text of an event: its name and id where there are any, a data line for each line of its data."""
+    part = lambda key, c: F.coalesce(F.concat(F.lit(f"{key}: "), c, F.lit("\n")), F.lit(""))
+    rows = F.transform(F.split(F.coalesce(data, F.lit("")), "\n"), lambda r: F.concat(F.lit("data: "), r, F.lit("\n")))
+    return F.concat(part("event", name), F.lit("") if event_id is None else part("id", event_id), F.array_join(rows, ""), F.lit("\n"))
+
+
+def frames(chunks: DataFrame, flush: bool = False) -> DataFrame:
+    """stream_id, seq, name, data from chunks (stream_id, chunk_no, chunk) at rest.
+
+    An unclosed last frame is left out, unless flush; a frame of more than MAX_FRAME bytes ends the parsing of its stream."""
+    whole = chunks.groupBy("stream_id").agg(in_order(F.col("chunk"), F.col("chunk_no"), by="").alias("t"))
+    cut = whole.select("stream_id", F.split(F.regexp_replace("t", "\r\n", "\n"), "\n\n").alias("a"))
+    over = F.array_position(F.transform("a", lambda f: F.octet_length(f) > MAX_FRAME), True)
+    told = F.size("a") - (0 if flush else 1)
+    cut = cut.select("stream_id", F.posexplode(F.slice("a", F.lit(1), F.when(over > 0, F.least(told, over - 1)).otherwise(told).cast("int"))).alias("seq", "frame"))
     name, data = fields(F.col("frame"))
     return cut.select("stream_id", F.col("seq").cast("long").alias("seq"), name.alias("name"), data.alias("data")).where("data IS NOT NULL OR name IS NOT NULL")
 
 
-def frames_stream(chunks: DataFrame) -> DataFrame:
-    """The same over a stream of chunks: state is each stream's next number and unfinished text."""
+def frames_stream(chunks: DataFrame, idle: str | None = None) -> DataFrame:
+    """The same over a stream of chunks: state is each stream's next number and unfinished text.
+
+    idle: milliseconds of processing time without a chunk after which a stream counts as finished: its unfinished frame is
+    given out and its state removed. Without it, streams stay open.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seq, rest = state.get if state.exists else (0, "")
-        rows = pd.concat(list(batches)).sort_values("chunk_no")
-        done = []
-        if seq >= 0:
-            parts = (rest + "".join(rows["chunk"])).replace("\r\n", "\n").split("\n\n")
-            done, rest = parts[:-1], parts[-1]
-        out = pd.DataFrame({"stream_id": [key[0]] * len(done), "seq": range(seq, seq + len(done)), "frame": done})
-        state.update((-1, "") if len(rest) > MAX_FRAME else (seq + len(done), rest))
-        yield out
-
-    cut = chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, seq long, frame string", "seq long, rest string", "append", GroupStateTimeout.NoTimeout)
+        done: list[str] = []
+        if state.hasTimedOut:
+            done = [rest] if seq >= 0 and rest else []
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values("chunk_no")
+            if seq >= 0:
+                parts = (rest + "".join(rows["chunk"])).replace("\r\n", "\n").split("\n\n")
+                over = next((i for i, p in enumerate(parts) if len(p.encode("utf-8", "surrogatepass")) > MAX_FRAME), len(parts))
+                done, rest = parts[: min(over, len(parts) - 1)], parts[-1]
+                state.update((-1, "") if over < len(parts) else (seq + len(done), rest))
+            if idle:
+                state.setTimeoutDuration(int(idle))
+        yield pd.DataFrame({"stream_id": [key[0]] * len(done), "seq": range(seq, seq + len(done)), "frame": done})
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    cut = chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, seq long, frame string", "seq long, rest string", "append", timeout)
     name, data = fields(F.col("frame"))
     return cut.select("stream_id", "seq", name.alias("name"), data.alias("data")).where("data IS NOT NULL OR name IS NOT NULL")
 
@@ -60,7 +83,7 @@ def conversation_chunks(spark: SparkSession, d: str, size: int = 16) -> DataFram
     """Each conversation as one event stream, cut into chunks of `size` characters."""
     c = read(spark, d, "conversations")
     frame = F.concat(F.lit("event: "), "role", F.lit("\ndata: "), F.regexp_replace(F.regexp_replace("text", r"\n{2,}", "\n"), "\n", "\ndata: "), F.lit("\n\n"))
-    whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", frame.alias("f")))), lambda s: s["f"]), "").alias("t"))
+    whole = c.groupBy("conv_id").agg(in_order(frame, F.col("turn"), by="").alias("t"))
     at = F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / size).cast("int"))).alias("chunk_no")
     return whole.select(F.col("conv_id").alias("stream_id"), "t", at).select("stream_id", "chunk_no", F.substring(F.col("t"), F.col("chunk_no") * size + 1, F.lit(size)).alias("chunk"))
 
@@ -82,10 +105,17 @@ def q_sse_frames_streamed(spark: SparkSession, d: str) -> DataFrame:
     return run_to_table(frames_stream(source))
 
 
+def q_sse_rendered(spark: SparkSession, d: str) -> DataFrame:
+    """Frames back as wire text."""
+    f = frames(conversation_chunks(spark, d))
+    return f.groupBy("stream_id").agg(F.sha2(in_order(render(F.col("name"), F.col("data"), F.col("seq").cast("string")), F.col("seq"), by=""), 256).alias("sha"))
+
+
 _F = "fr AS (SELECT conv_id AS stream_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, role AS name, regexp_replace(text, '\\n{2,}', chr(10), 'g') AS data FROM conversations)"
-QUERIES = {"sse_frames": q_sse_frames, "sse_totals": q_sse_totals, "sse_frames_streamed": q_sse_frames_streamed}
+QUERIES = {"sse_frames": q_sse_frames, "sse_totals": q_sse_totals, "sse_frames_streamed": q_sse_frames_streamed, "sse_rendered": q_sse_rendered}
 ORACLES = {
     "sse_frames": f"WITH {_F} SELECT * FROM fr",
     "sse_totals": f"WITH {_F} SELECT stream_id, count(*) FILTER (name = 'assistant') AS deltas, sum(strlen(data))::BIGINT AS bytes, arg_max(name, seq) AS last_name FROM fr GROUP BY 1",
+    "sse_rendered": f"WITH {_F} SELECT stream_id, sha256(string_agg('event: ' || name || chr(10) || 'id: ' || seq || chr(10) || 'data: ' || replace(data, chr(10), chr(10) || 'data: ') || chr(10) || chr(10), '' ORDER BY seq)) AS sha FROM fr GROUP BY 1",
     "sse_frames_streamed": f"WITH {_F} SELECT * FROM fr",
 }
