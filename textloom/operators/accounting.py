@@ -21,7 +21,7 @@ def outcomes(spark: SparkSession, d: str) -> DataFrame:
     before = (F.floor("value") + 50).cast("long")
     return e.select(
         "event_id", "ts", pick(MODES, F.col("user_id")).alias("mode"), T.model_family(pick(MODELS, F.col("event_id"))).alias("family"), F.col("event_type").alias("content_type"),
-        before.alias("before"), F.when(F.col("event_id") % 3 == 0, before).otherwise(F.floor(before / (1 + F.col("event_id") % 7)).cast("long")).alias("after"),
+        before.alias("before"), F.when(F.col("event_id") % 11 == 0, before + 3).when(F.col("event_id") % 3 == 0, before).otherwise(F.floor(before / (1 + F.col("event_id") % 7)).cast("long")).alias("after"),
     )
 
 
@@ -122,24 +122,51 @@ def q_shape_stats(spark: SparkSession, d: str) -> DataFrame:
     return o.agg(F.count(F.lit(1)).alias("shapes"), F.sum("samples").alias("samples"), F.sum("declines").alias("declines"), F.round(1 - F.sum("tokens_after") / F.sum("tokens_before"), 9).alias("mean_ratio"))
 
 
+COUNTERS = ("compressed_total", "expanded_total", "passthrough_total", "tokens_before_total", "tokens_after_total")
+
+
+def counters(o: DataFrame) -> DataFrame:
+    """One row: rewrites that shrank, that grew, and that changed nothing, and the tokens before and after."""
+    return o.agg(
+        F.count_if(F.col("after") < F.col("before")).alias("compressed_total"), F.count_if(F.col("after") > F.col("before")).alias("expanded_total"),
+        F.count_if(F.col("after") == F.col("before")).alias("passthrough_total"), F.coalesce(F.sum("before"), F.lit(0)).alias("tokens_before_total"), F.coalesce(F.sum("after"), F.lit(0)).alias("tokens_after_total"),
+    )
+
+
+def retrieve_batch(batches: DataFrame, stored: DataFrame, now) -> DataFrame:
+    """batch_id, pos, status, content: one row for each name of a batch, numbered in the order it was asked in.
+
+    batches: batch_id, names (an array)."""
+    asks = batches.select(F.col("batch_id"), F.posexplode("names").alias("pos", "name")).select(F.struct("batch_id", "pos").alias("ask_id"), "name")
+    return retrieve(asks, stored, now).select("ask_id.batch_id", "ask_id.pos", "status", "content")
+
+
+def q_retrieve_batch(spark: SparkSession, d: str) -> DataFrame:
+    """What each user asks for, a name for each of their events, in order."""
+    puts = _puts(spark, d)
+    e = read(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 10 == 0, F.lit("bad")).otherwise(T.marker(F.col("props"))).alias("name"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "name"))), lambda x: x["name"])
+    now = puts.agg(F.min("stored_at").alias("m")).first()["m"]
+    return retrieve_batch(e.groupBy(F.col("user_id").alias("batch_id")).agg(names.alias("names")), store(puts), F.lit(now))
+
+
 def q_metrics_text(spark: SparkSession, d: str) -> DataFrame:
     """Counters as exposition lines."""
-    o = outcomes(spark, d).agg(F.count_if(F.col("after") < F.col("before")).alias("compressed_total"), F.count_if(F.col("after") >= F.col("before")).alias("passthrough_total"), F.sum("before").alias("tokens_before_total"), F.sum("after").alias("tokens_after_total"))
-    long = o.unpivot([], ["compressed_total", "passthrough_total", "tokens_before_total", "tokens_after_total"], "name", "value")
+    long = counters(outcomes(spark, d)).unpivot([], list(COUNTERS), "name", "value")
     return long.select(F.concat(F.lit("textloom_"), "name", F.lit(" "), F.col("value").cast("string")).alias("line"))
 
 
 _A = lambda names, c: "[" + ", ".join(f"'{n}'" for n in names) + f"][({c} % {len(names)} + 1)::INT]"
 _FAM = "regexp_extract(model, '^([^-.:0-9][^-.:]*([-.:][^-.:0-9][^-.:]*)?)', 1)"
 _O = f"""ev AS (SELECT event_id, ts, {_A(MODES, 'user_id')} AS mode, {_A(MODELS, 'event_id')} AS model, event_type AS content_type, floor(value)::BIGINT + 50 AS before FROM events),
- o AS (SELECT *, CASE WHEN coalesce({_FAM}, '') = '' THEN 'unknown' ELSE regexp_replace({_FAM}, '[.:]', '-', 'g') END AS family, CASE WHEN event_id % 3 = 0 THEN before ELSE floor(before / (1 + event_id % 7))::BIGINT END AS after FROM ev),
+ o AS (SELECT *, CASE WHEN coalesce({_FAM}, '') = '' THEN 'unknown' ELSE regexp_replace({_FAM}, '[.:]', '-', 'g') END AS family, CASE WHEN event_id % 11 = 0 THEN before + 3 WHEN event_id % 3 = 0 THEN before ELSE floor(before / (1 + event_id % 7))::BIGINT END AS after FROM ev),
  ob AS (SELECT mode, family, content_type, count(*) AS samples, sum(before)::BIGINT AS tokens_before, sum(after)::BIGINT AS tokens_after, sum((after >= before)::INT)::BIGINT AS declines FROM o GROUP BY 1, 2, 3),
  re AS (SELECT *, CASE WHEN tokens_before > 0 THEN 1 - tokens_after / tokens_before ELSE 0 END AS ratio FROM ob WHERE samples >= {MIN_SAMPLES}),
  ho AS (SELECT date_trunc('hour', ts) AS hour, family, content_type, sum((after < before)::INT)::BIGINT AS compressions, sum((after >= before)::INT)::BIGINT AS passthroughs, sum(before)::BIGINT AS tokens_before, sum(after)::BIGINT AS tokens_after FROM o GROUP BY 1, 2, 3)"""
 _ST = f"st AS (SELECT left(sha256(props), 32) AS hash, max_by(props, (ts, props)) AS content, max(ts) + INTERVAL {TTL_HOURS} HOUR AS expires_at FROM events GROUP BY 1)"
 QUERIES = {
     "telemetry": q_telemetry, "recommendations": q_recommendations, "hourly_savings": q_hourly_savings, "savings_totals": q_savings_totals, "audit": q_audit, "rate_limit": q_rate_limit, "content_store": q_content_store,
-    "retrieve": q_retrieve, "routed_by_recommendation": q_routed_by_recommendation, "shape_stats": q_shape_stats, "metrics_text": q_metrics_text,
+    "retrieve": q_retrieve, "retrieve_batch": q_retrieve_batch, "routed_by_recommendation": q_routed_by_recommendation, "shape_stats": q_shape_stats, "metrics_text": q_metrics_text,
 }
 ORACLES = {
     "telemetry": f"WITH {_O} SELECT * FROM ob",
@@ -154,6 +181,9 @@ ORACLES = {
  SELECT ask_id, status, CASE WHEN status = 'found' THEN content END AS content FROM j""",
     "routed_by_recommendation": f"WITH {_O} SELECT o.mode, CASE WHEN coalesce(ratio > {WORTH_RATIO} AND 2 * declines < samples, true) THEN 'compress' ELSE 'measured_useless' END AS reason, count(*) AS n FROM o LEFT JOIN re USING (mode, family, content_type) GROUP BY 1, 2",
     "shape_stats": f"WITH {_O} SELECT count(*) AS shapes, sum(samples)::BIGINT AS samples, sum(declines)::BIGINT AS declines, round(1 - sum(tokens_after) / sum(tokens_before), 9) AS mean_ratio FROM ob",
-    "metrics_text": f"""WITH {_O}, c AS (SELECT sum((after < before)::INT)::BIGINT AS compressed_total, sum((after >= before)::INT)::BIGINT AS passthrough_total, sum(before)::BIGINT AS tokens_before_total, sum(after)::BIGINT AS tokens_after_total FROM o)
- SELECT 'textloom_' || name || ' ' || value AS line FROM (UNPIVOT c ON compressed_total, passthrough_total, tokens_before_total, tokens_after_total INTO NAME name VALUE value)""",
+    "metrics_text": f"""WITH {_O}, c AS (SELECT count(*) FILTER (after < before) AS compressed_total, count(*) FILTER (after > before) AS expanded_total, count(*) FILTER (after = before) AS passthrough_total,
+  sum(before)::BIGINT AS tokens_before_total, sum(after)::BIGINT AS tokens_after_total FROM o)
+ SELECT 'textloom_' || name || ' ' || value AS line FROM (UNPIVOT c ON {", ".join(COUNTERS)} INTO NAME name VALUE value)""",
+    "retrieve_batch": f"""WITH {_ST}, e AS (SELECT user_id AS batch_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS pos, event_id, left(sha256(props), 32) AS hash FROM events)
+ SELECT batch_id, pos, CASE WHEN event_id % 10 = 0 THEN 'malformed' ELSE 'found' END AS status, CASE WHEN event_id % 10 <> 0 THEN content END AS content FROM e LEFT JOIN st USING (hash)""",
 }
