@@ -485,4 +485,13 @@ ORACLES = {
     "pooled_embeddings": """WITH e AS (SELECT label, unnest(range(0, len(embedding)))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, dim, avg(x) AS m FROM e GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) AS norm FROM m GROUP BY 1)
  SELECT label, dim, round(CASE WHEN norm > 0 THEN m / norm ELSE m END, 6) AS value FROM m JOIN n USING (label)""",
     "jsonl_memories": "SELECT conv_id * 1000 + turn AS ord, text AS content, CASE WHEN turn % 2 = 0 THEN role ELSE 'unknown' END AS source, 'unknown' AS context FROM conversations WHERE turn % 5 <> 4 AND conv_id % 7 <> 0",
+    "cache_key_member": f"WITH {_BODY} SELECT request_id, '{{\"prompt_cache_key\":\"k\",' || substr(body, 2) AS body FROM jb",
+    "sorted_keys": f"""WITH s AS (SELECT conv_id AS request_id, turn, CASE WHEN turn % 4 = 0 THEN '{{"content":[{{"content":' || to_json(text) || CASE WHEN turn > 0 THEN ',"tool_use_id":"t' || (turn - 1) || '"' ELSE '' END || ',"type":' || CASE WHEN conv_id % 2 = 0 THEN '"tool_result"' ELSE '"image"' END || '}}],"role":' || to_json(role) || '}}'
+  WHEN turn % 4 = 3 THEN '{{"content":[{{"text":' || to_json(text) || ',"type":"text"}},{{"id":"t' || turn || '","input":{{"q":' || to_json(role) || '}},"name":"search","type":"tool_use"}}],"role":' || to_json(role) || '}}'
+  ELSE '{{' || CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN '"cache_control":{{"type":"ephemeral"}},' ELSE '' END || '"content":' || to_json(text) || ',"role":' || to_json(role) || '}}' END AS j FROM conversations)
+ SELECT request_id, '{{"messages":[' || string_agg(j, ',' ORDER BY turn) || '],"model":"' || {_SQL_PICK(MODELS, "request_id")} || '","system":"' || {_SQL_PICK(SYSTEM, "request_id")}
+  || '","tools":[{{"input":{{"a":[2.0],"z":1}},"name":"write"}},{{"name":"read","turn_count":7}},{{"a":2,"b":1,"name":"read"}}]}}' AS body FROM s GROUP BY 1""",
+    "structure_hash": f"""WITH {BLOCKS_SQL}, t AS (SELECT block_id, CASE WHEN starts_with(block_id, 'json-') THEN '[{{id:#,priority:s,status:s,}}]' ELSE regexp_extract(block_id, '^[a-z]+') END AS s FROM blocks),
+ h AS (SELECT s, list_reduce(list_prepend({FNV_BASIS}::HUGEINT, list_transform(range(1, length(s) + 1), lambda i: ord(substr(s, i, 1))::HUGEINT)), lambda h, b: (xor(h, b) * {FNV_PRIME}::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM (SELECT DISTINCT s FROM t))
+ SELECT block_id, lower(lpad(to_hex(h::UBIGINT), 16, '0')) AS shape FROM t JOIN h USING (s)""",
 }
