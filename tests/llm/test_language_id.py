@@ -52,3 +52,43 @@ def test_long_text_does_not_depend_on_windows():
     alone, _ = L.pooled(model, [text])
     mixed, _ = L.pooled(model, ["le", text, None, "x" * 5000])
     assert np.allclose(alone[0], mixed[1], atol=1e-5) and abs(alone.sum() - 1) < 1e-4
+
+
+def test_predictions_match_a_plain_forward_pass():
+    """One byte at a time, one window after the other."""
+    model = L.train([("en", b"the and of with"), ("fr", "le été où les".encode())] * 20, hidden=4, steps=30)
+    hidden = model.u.shape[1]
+
+    def states(raw, d):
+        h, out = np.zeros(hidden), []
+        for b in raw if d == 0 else raw[::-1]:
+            a, u = model.t[d, b], h @ model.u[d]
+            z, r = np.clip(0.25 * (a + u)[:hidden] + 0.5, 0, 1), np.clip(0.25 * (a + u)[hidden : 2 * hidden] + 0.5, 0, 1)
+            c = a[2 * hidden :] + r * u[2 * hidden :]
+            h = z * h + (1 - z) * c / (1 + np.abs(c))
+            out.append(h)
+        return out if d == 0 else out[::-1]
+
+    for text in ("the été with les", "of", "où " * 300):
+        raw, total = text.encode(), np.zeros(2)
+        for s in range(0, len(raw), L.CORE):
+            lo, hi = max(0, s - L.CONTEXT), min(len(raw), s + L.CORE + L.CONTEXT)
+            f, b = states(raw[lo:hi], 0), states(raw[lo:hi], 1)
+            for i in range(s - lo, min(s + L.CORE, len(raw)) - lo):
+                e = np.exp(f[i] @ model.wo[0] + b[i] @ model.wo[1] + model.bo)
+                total += e / e.sum()
+        assert np.allclose(L.pooled(model, [text])[0][0], total / len(raw), atol=1e-4)
+
+
+def test_text_in_no_language_goes_and_clean_texts_stay(spark, sf_dir):
+    import random
+
+    rng = random.Random(1)
+    docs = spark.read.parquet(sf_dir + "/documents.parquet")
+    model = L.fit(docs, noise=True)
+    junk = ["".join(rng.choice("bcdfghjklmnpqrstvwxzäéñ") + " " * (rng.random() < 0.2) for _ in range(2000)) for _ in range(5)]
+    judged = spark.createDataFrame([(i, t) for i, t in enumerate(junk)], "doc_id long, text string")
+    bound = L.least_score(docs, model)
+    assert 0 < bound < 0.8 and L.keep_identified(judged, model, bound).count() <= 1  # on 200 documents; the bound is that of some 40
+    lettered = docs.where("lang IS NOT NULL AND text IS NOT NULL")
+    assert L.keep_identified(docs, model).where("lang IS NOT NULL").count() >= 0.99 * lettered.count()

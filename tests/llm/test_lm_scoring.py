@@ -1,4 +1,5 @@
 import collections
+import itertools
 import math
 import re
 import zlib
@@ -29,12 +30,43 @@ def test_expectation_maximisation_finds_the_better_estimate():
     assert np.allclose(w.sum(1), 1) and w[3, 0] > 0.9 and w[5, 1] > 0.9 and w[0, 2] > 0.9
 
 
-def test_probabilities_sum_to_one(spark):
-    """Scores of all one-word texts and the empty one, given the end, cover at most the whole mass."""
+def test_probabilities_sum_to_at_most_one(spark):
+    """All one-word texts and the empty one, each an outcome of its own."""
     rows = [(i, f"a b c d a b {'xyz'[i % 3]}") for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = M.score_documents(df).toPandas()
-    assert (out.score > out.base_score).all()
+    asked = [(1000 + i, t) for i, t in enumerate(["", *"abcdxyz", "never", "seen"])]
+    out = M.score_documents(spark.createDataFrame(rows + asked * 1, "doc_id long, text string")).toPandas().set_index("doc_id")
+    mass = sum(10 ** out.score[i] for i, _ in asked)
+    assert 0 < mass <= 1 + 1e-9 and (out.score < 0).all()
+
+
+def test_scores_match_plain_counts(spark, sf_dir):
+    """Counts by dictionaries, weights from every held-out occurrence by itself."""
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet(sf_dir + "/documents.parquet").select("doc_id", "text").limit(120)
+    part = {r["doc_id"]: r["h"] == 0 for r in df.select("doc_id", F.expr(f"pmod(xxhash64(cast(doc_id AS string), 17), {M.DELETED})").alias("h")).collect()}
+    docs = {r["doc_id"]: r["text"] for r in df.collect()}
+    toks = {i: [None, *re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for i, t in docs.items()}
+    train = [i for i in docs if zlib.crc32(str(i).encode()) % 5 != 1]
+    main = [i for i in train if not part[i]]
+
+    def counts(ids):
+        return collections.Counter(w for i in ids for w in toks[i][1:]), collections.Counter(p for i in ids for p in itertools.pairwise(toks[i]))
+
+    one, two = counts(main)
+    n = sum(one.values())
+    cells = [(M.context_bucket(np.array([one[a]]))[0], two[a, b] / max(one[a], 1), one[b] / n, 1) for i in train if part[i] for a, b in itertools.pairwise(toks[i])]
+    every, pairs = counts(train)
+    total, vocab = sum(every.values()), len(every)
+    w = M.expectation_maximisation(np.array(cells, float), -math.log10(vocab + 1))
+    got = {r["doc_id"]: r["score"] for r in M.score_documents(df).collect()}
+    for i, t in toks.items():
+        want = 0.0
+        for a, b in itertools.pairwise(t):
+            k = w[M.context_bucket(np.array([every[a]]))[0]]
+            p = k[0] * pairs[a, b] / max(every[a], 1) + k[1] * every[b] / total + k[2] / (vocab + 1)
+            want += math.log10(p / (1 - k[0]) if every[a] == 0 and k[0] > 0 else p)
+        assert math.isclose(got[i], want, rel_tol=2e-3), (i, got[i], want)
 
 
 def test_edges(spark, edge_docs, no_docs):

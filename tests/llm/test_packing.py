@@ -97,3 +97,24 @@ def test_matrices_round_trip(spark, edge_docs, no_docs, edge_rows, tmp_path):
         if i not in (None, 7):
             assert np.concatenate([x for _, x in sorted(seg[i], key=lambda p: p[0])]).tolist() == T.encode(t).tolist()
     assert B.packed_matrices(no_docs).count() == 0
+
+
+def test_matrix_query(spark, sf_dir):
+    """Every document comes back whole; segments, resets and checksums fit the ids."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(sf_dir + "/documents.parquet").collect()}
+    found = {}
+    for r in B.op8_binary_output(spark, sf_dir).collect():
+        ids = np.frombuffer(r["input_ids"], "<u2")
+        cu = r["cu_seqlens"]
+        assert len(ids) == B.SEQ_LEN and cu[0] == 0 and cu == sorted(cu) and cu[-1] == r["n_tokens"] <= B.SEQ_LEN
+        assert r["position_resets"] == cu[:-1] and len(r["doc_ids"]) == len(r["doc_starts"]) == len(cu) - 1
+        assert not ids[r["n_tokens"] :].any() and r["ids_crc32"] == zlib.crc32(bytes(r["input_ids"]))
+        for d, s, a, b in zip(r["doc_ids"], r["doc_starts"], cu, cu[1:]):
+            found.setdefault(d, {})[s] = ids[a:b]
+    assert set(found) == set(docs)
+    for d, parts in found.items():
+        at = 0
+        for s in sorted(parts):
+            assert s == at
+            at += len(parts[s])
+        assert np.concatenate([parts[s] for s in sorted(parts)]).tolist() == T.encode(docs[d]).tolist()

@@ -20,6 +20,56 @@ def test_stages_take_effect(spark, sf_dir):
     check_pieces(C.pack(spark, safe, sf_dir).collect(), {r["doc_id"]: r["text"] for r in safe.collect()})
 
 
+def test_run_matches_plain_python(spark, sf_dir):
+    """All five stages over dictionaries, one document after the other."""
+    import math
+    import re
+    import zlib
+
+    import numpy as np
+
+    from textloom.llm import language_id
+    from textloom.llm import tokens as T
+
+    table = C.table(spark, sf_dir, "documents")
+    docs = {r["doc_id"]: r["text"] for r in table.collect()}
+    model = language_id.fit(table, noise=True)
+    bound = language_id.least_score(table, model)
+    lettered = {i: t for i, t in docs.items() if t and re.search(r"[^\W\d_]", t)}
+    best = language_id.language_scores(model, list(lettered.values()))
+    kept = {i: t for (i, t), p in zip(lettered.items(), best, strict=True) if p >= bound}
+    one = {i: kept[i] for i, _, c in brute(list(kept.items()), 5, 80) if i == c}
+
+    words = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    items = [words(r["text"]) for r in C.table(spark, sf_dir, "benchmark").collect()]
+
+    def holds(text):
+        own = np.array(words(text))
+        for item in items:
+            span = min(13, len(item))
+            need = math.ceil(span * 0.8 - 1e-9)
+            for j in range(len(item) - span + 1):
+                if len(own) >= span:
+                    hits = sum((own[k : len(own) - span + 1 + k] == w).astype(int) for k, w in enumerate(item[j : j + span]))
+                    if hits.max() >= need:
+                        return True
+        return False
+
+    clean = {i: t for i, t in one.items() if not holds(t)}
+    stage = table.where(table.doc_id.isin(list(clean)))
+    field = pii.fit(stage)
+    base = [pii.base_spans(t) for t in clean.values()]
+    more = pii.added_spans(list(clean.values()), field, base)
+    safe = {i: pii.redact(t, [{"kind": pii.KINDS[k], "start": s, "end": e} for s, k, e in sorted(p + q)]) for (i, t), p, q in zip(clean.items(), base, more, strict=True)}
+    want = set()
+    for i, t in safe.items():
+        ids = T.encode(t)
+        want |= {(i, s, min(1024, len(ids) - s), zlib.crc32(ids[s : s + 1024])) for s in range(0, len(ids), 1024)}
+    rows = C.run(spark, sf_dir).collect()
+    assert {(r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
+    check_pieces(rows, safe)
+
+
 def test_registered():
     import __spark_entry__
 

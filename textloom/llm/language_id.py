@@ -232,24 +232,31 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 #: Sample that `least_score` reads (documents, and characters of the longest of them), its quantile and share.
-SCORED_DOCS, SCORED_CHARS, LOW_QUANTILE, LOW_SHARE = 1_000, 4_000, 0.005, 0.75
+SCORED_DOCS, SCORED_CHARS, LOW_QUANTILE, LOW_SHARE = 1_000, 4_000, 0.005, 0.6
+#: Label of text in no language, which a model with `noise` learns from sampled windows with their characters shuffled.
+NOISE = ""
+
+
+def language_scores(model: Model, texts: list[str]) -> np.ndarray:
+    """The probability of each text's best language; one that only looks like noise has a low one."""
+    own = [k for k, lang in enumerate(model.langs) if lang != NOISE]
+    return pooled(model, texts)[0][:, own].max(1) if own else np.ones(len(texts))
 
 
 def least_score(docs: DataFrame, model: Model) -> float:
     """Score under which a text counts as in no language: LOW_SHARE of the LOW_QUANTILE of the scores of labelled documents
     that the model has not learned from. It follows the data, not the number of languages; without such documents it is
-    the probability of a guess."""
+    half the probability of a guess."""
     if not model.langs:
         return 0.0
     held = docs.where(fold() == 0).where("lang IS NOT NULL").where(F.regexp_like("text", F.lit(r"\p{L}")) & (F.length("text") <= SCORED_CHARS))
     texts = [r["text"] for r in hash_sample(held.select("doc_id", "text"), SCORED_DOCS, "doc_id", "text").collect()]
-    guess = 1 / len(model.langs)
-    return max(guess, LOW_SHARE * float(np.quantile(pooled(model, texts)[0].max(1), LOW_QUANTILE))) if texts else guess
+    return LOW_SHARE * float(np.quantile(language_scores(model, texts), LOW_QUANTILE)) if texts else 0.5 / len(model.langs)
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float | None = None) -> DataFrame:
     """The rows of docs, with all their columns untouched, whose text has a letter and a best language with a score of at
-    least `least` (by default `least_score`).
+    least `least` (by default `least_score`). model: best one with `noise`, else any text looks like some language.
 
     Null and empty texts go. With a model that knows no language, every text with a letter stays. Repeated rows are judged
     alike; null ids stay null; an empty table gives no rows.
@@ -259,15 +266,22 @@ def keep_identified(docs: DataFrame, model: Model, least: float | None = None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            keep = [np.ones(hi - lo, bool) if not model.langs else pooled(model, texts[lo:hi])[0].max(1) >= bound for lo, hi in slices([len(t) for t in texts], 4_000_000)]
+            keep = [np.ones(hi - lo, bool) if not model.langs else language_scores(model, texts[lo:hi]) >= bound for lo, hi in slices([len(t) for t in texts], 4_000_000)]
             yield b.filter(pa.array(np.concatenate(keep))) if keep else b
 
     return small_batches(docs).where(F.regexp_like("text", F.lit(r"\p{L}"))).mapInArrow(freed(run), docs.schema)
 
 
-def fit(docs: DataFrame) -> Model:
-    """Learns from the labelled documents whose crc32(doc_id) mod 5 is not 0."""
-    return train(training_windows(docs.where(fold() != 0)))
+def fit(docs: DataFrame, noise: bool = False) -> Model:
+    """Learns from the labelled documents whose crc32(doc_id) mod 5 is not 0; noise: also what no language looks like."""
+    windows = training_windows(docs.where(fold() != 0))
+    if noise and windows:
+        rng = np.random.default_rng(5)
+        for _, b in windows[:: max(1, len({lang for lang, _ in windows}) // 2 + 1)]:
+            letters = list(b.decode("utf-8", "replace"))
+            rng.shuffle(letters)
+            windows.append((NOISE, "".join(letters).encode()))
+    return train(windows)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
