@@ -27,7 +27,7 @@ def ascii_lower(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.regexp_replace(c, rf"^[{WS}]++|(?<![{WS}])[{WS}]++\z", "")
 
 
 def lines(c: Column) -> Column:
@@ -40,6 +40,29 @@ def has_word(c: Column, *words: str) -> Column:
     return F.regexp_like(c, F.lit(f"(^|[^0-9A-Za-z_])({'|'.join(words)})($|[^0-9A-Za-z_])"))
 
 
+def without_strings(c: Column) -> Column:
+    """JSON text less its strings. Escapes go first, so that a string is one run of a class: alternatives in a loop would
+    take Java's stack a level for each character."""
+    return F.regexp_replace(F.regexp_replace(c, r"(?s)\\.", ""), r'"[^"\x00-\x1F]*+"', "")
+
+
+#: Stand for escaped backslashes and quotes while a text is cut at its other quotes.
+_ESCAPES = (("\\\\", "\ue000"), ('\\"', "\ue001"))
+
+
+def outside_strings(c: Column, change) -> Column:
+    """JSON text with change(part) in place of each part outside its strings; a text that holds one of two private-use
+    characters stays as it is."""
+    held = c
+    for escape, mark in _ESCAPES:
+        held = F.replace(held, F.lit(escape), F.lit(mark))
+    parts = F.transform(F.split(held, '"'), lambda p, i: F.when(i % 2 == 0, change(p)).otherwise(p))
+    out = F.array_join(parts, '"')
+    for escape, mark in _ESCAPES:
+        out = F.replace(out, F.lit(mark), F.lit(escape))
+    return F.when(F.regexp_like(c, F.lit("[\ue000\ue001]")), c).otherwise(out)
+
+
 def is_json(c: Column) -> Column:
     """The whole text, less white space at its ends, is one JSON object or array; false for null.
 
@@ -47,7 +70,7 @@ def is_json(c: Column) -> Column:
     stands outside strings must be JSON's own characters, which rules out the reader's leniencies.
     """
     t = strip(c)
-    bare = F.regexp_replace(t, r'"(?:\\.|[^"\\\x00-\x1F])*"', "")
+    bare = without_strings(t)
     one = (F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1) & (F.size(F.json_object_keys(F.concat(F.lit('{"a":'), t, F.lit("}")))) == 1)
     strict = F.regexp_like(bare, F.lit(r"^[\[\]{},:0-9eE+\-.aflnrstu \t\r\n]*\z"))
     return F.when(F.regexp_like(t, F.lit(r"(?s)^(\{.*\}|\[.*\])\z")), F.coalesce(one & strict, F.lit(False))).otherwise(F.lit(False))
@@ -69,10 +92,8 @@ def estimated_tokens(c: Column) -> Column:
     wide = F.length(foreign)
     punct = F.length(signs) - wide
 
-    def changes(run: Column) -> Column:
-        differ = lambda i: F.substring(run, i, F.lit(1)) != F.substring(run, i + 1, F.lit(1))
-        return F.size(F.filter(F.sequence(F.lit(1), F.length(run) - 1), differ))
-
+    # in one pass: each stretch of one character becomes a mark
+    changes = lambda run: F.length(F.regexp_replace(run, r"(?s)(.)\1*+", "x")) - 1
     of_run = lambda a, r: a + F.floor(F.length(r) / 8).cast("int") + F.ceil(changes(r) / 2).cast("int")
     space = F.length(spaced) - F.length(dark) + F.aggregate(F.regexp_extract_all(c, F.lit(f"([{WS}]{{2,}})")), F.lit(0), of_run)
     of_letters = lambda a, s: a + F.when(F.length(without(s, "^A-Za-z")) > 12, F.length(without(s, "^A-Za-z"))).otherwise(0)

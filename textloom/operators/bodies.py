@@ -185,14 +185,14 @@ def cache_key(body: Column) -> Column:
 
 
 def model_of(body: Column) -> Column:
-    """Text of the first "model" member written in a body; null if there is none."""
-    m = F.regexp_extract(body, r'"model"\s*:\s*"((?:\\.|[^"\\])*)"', 1)
+    """Text of the first "model" member written in a body; null if there is none. Names with escapes are not read."""
+    m = F.regexp_extract(body, r'"model"\s*+:\s*+"([^"\\]*+)"', 1)
     return F.when(m != "", m)
 
 
 def minify_json(c: Column) -> Column:
     """White space outside strings dropped, for text that parses as JSON; other text as it is."""
-    return F.when(T.is_json(c), F.regexp_replace(c, r'("(?:\\.|[^"\\])*")|[ \t\r\n]+', "$1")).otherwise(c)
+    return F.when(T.is_json(c), T.outside_strings(c, lambda p: F.regexp_replace(p, r"[ \t\r\n]+", ""))).otherwise(c)
 
 
 def auth_mode(headers: Column) -> Column:
@@ -334,7 +334,7 @@ def volatile_findings(b: DataFrame) -> DataFrame:
     # in JSON text quotes, commas and white space part the strings; brackets and colons stand outside them
     words = parts.select(F.struct("request_id", "location").alias("at"), F.regexp_replace("text", r'[\[\]{}]|":', '"').alias("text"))
     found = volatile_tokens(words, "at", "text")
-    pair = r'"((?:\\.|[^"\\])*)"\s*:\s*([0-9]+)'
+    pair = r'"([^"\\]*+)"\s*+:\s*+([0-9]++)'
     member = parts.select("request_id", "location", F.explode(F.regexp_extract_all("text", F.lit(pair + r"(?![0-9.eE])"), F.lit(0))).alias("m"))
     name, value = F.regexp_extract("m", pair, 1), F.regexp_extract("m", pair, 2)
     counters = member.where(names_a_counter(name, value)).select("request_id", "location", F.lit("counter").alias("kind"), name.alias("sample"))

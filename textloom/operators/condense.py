@@ -38,7 +38,7 @@ def log_digest(ln: DataFrame) -> DataFrame:
 
 def parse_hits(ln: DataFrame) -> DataFrame:
     """doc_id, line_no, path, number, hit of lines shaped path:line:text or path:line:column:text."""
-    p = r"^([^:]*[/.\\][^:]*):([0-9]+):(?:[0-9]+:)?(.*)$"
+    p = r"^(?=[^:]*[/.\\])([^:]*+):([0-9]++):(?:[0-9]++:)?(.*)$"
     return ln.where(F.regexp_like("line", F.lit(p))).select("doc_id", "line_no", F.regexp_extract("line", p, 1).alias("path"), F.regexp_extract("line", p, 2).cast("long").alias("number"), F.regexp_extract("line", p, 3).alias("hit"))
 
 
@@ -94,7 +94,7 @@ def summarise(ln: DataFrame, budget: int = 60, min_lines: int = 60, queries: Dat
 
 def tidy(c: Column) -> Column:
     """Lines without trailing spaces and tabs, blank runs of one line at most."""
-    return F.regexp_replace(F.regexp_replace(c, r"[ \t\r]+(\n|\z)", "$1"), r"\n{3,}", "\n\n")
+    return F.regexp_replace(F.regexp_replace(c, r"(?<![ \t\r])[ \t\r]++(\n|\z)", "$1"), r"\n{3,}", "\n\n")
 
 
 def stored(b: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def reformat(c: Column) -> Column:
 def normalize_whitespace(c: Column) -> Column:
     """Lines without white space at their ends, one blank line in a row at most, each closed by a line feed; leading space
     stays. Empty text stays empty."""
-    rows = F.transform(T.lines(c), lambda r: F.regexp_replace(r, rf"[{T.WS}]+\z", ""))
+    rows = F.transform(T.lines(c), lambda r: F.regexp_replace(r, rf"(?<![{T.WS}])[{T.WS}]++\z", ""))
     kept = F.filter(F.transform(rows, lambda r, i: F.struct(r.alias("r"), ((r == "") & (i > 0) & (F.get(rows, i - 1) == "")).alias("again"))), lambda x: ~x["again"])
     return F.array_join(F.transform(kept, lambda x: F.concat(x["r"], F.lit("\n"))), "")
 

@@ -43,7 +43,7 @@ _DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}:[0-9]{2}:[0-9]{2}"
 #: What detection counts or looks for, line by line of the stripped text ((?md): only a line feed ends a line).
 LINE_PATTERNS = {
     "n": rf"(?md)^[{_SP}]*[^{_WS}]",
-    "hits": r"(?md)^[^:\n]*[/.\\][^:\n]*:[0-9]+(:|\r?$)",
+    "hits": r"(?md)^(?=[^:\n]*[/.\\])[^:\n]++:[0-9]++(:|\r?$)",
     "stamps": rf"(?md)^[{_SP}]*[\[(]*({_DATE})",
     "levels": rf"(?md)^(?:.*[^0-9A-Za-z_\n])?(?:{'|'.join(T.LOG_LEVELS)})(?![0-9A-Za-z_]).*$",
     "indented": rf"(?md)^(?:  |\t)[{_SP}]*[^{_WS}]",
@@ -88,7 +88,7 @@ def detect(b: DataFrame) -> DataFrame:
 
 def bracket_depth(c: Column) -> Column:
     """Greatest depth of [ and { outside strings."""
-    plain = F.regexp_replace(F.regexp_replace(c, r'"(?:\\.|[^"\\])*"', ""), r"[^\[\]{}]+", "")
+    plain = F.regexp_replace(T.without_strings(c), r"[^\[\]{}]+", "")
     step = lambda x: F.when(x.isin("[", "{"), 1).when(x.isin("]", "}"), -1).otherwise(0)
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
     walked = F.aggregate(F.split(plain, ""), start, lambda a, x: F.struct((a["now"] + step(x)).alias("now"), F.greatest(a["most"], a["now"] + step(x)).alias("most")))
