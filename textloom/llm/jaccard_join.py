@@ -371,7 +371,7 @@ def links(cand: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     whole = groups.groupBy("component").agg(F.sum("members").alias("all"))
     blocks = groups.join(whole.where(F.col("all") > BLOCK_SETS), "component").select("component", "band", F.ceil(F.col("members") / BLOCK_SETS).cast("int").alias("blocks"))
     blocks = materialize(blocks, "blocks")  # a row for each band of a large group
-    tasks = max(1, (part.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // CELL_BYTES)
+    tasks = max(int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions")), (part.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // CELL_BYTES)
 
     def found(rows: DataFrame, cell: Column) -> DataFrame:
         own = rows.withColumn("cell", cell).select("key", "n", "ids", "component", "band", "block", "side", "cell")

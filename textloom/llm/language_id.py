@@ -210,7 +210,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["text"].tolist()
-            for lo, hi in slices([len(t or "") for t in texts], 4_000_000):
+            for lo, hi in slices([len(t or "") for t in texts], 1_000_000):
                 own = texts[lo:hi]
                 prob, wins = pooled(model, own) if model.langs else (None, np.zeros((len(own), 1), np.int64))
                 rows = []
@@ -266,7 +266,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float | None = None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            keep = [np.ones(hi - lo, bool) if not model.langs else language_scores(model, texts[lo:hi]) >= bound for lo, hi in slices([len(t) for t in texts], 4_000_000)]
+            keep = [np.ones(hi - lo, bool) if not model.langs else language_scores(model, texts[lo:hi]) >= bound for lo, hi in slices([len(t) for t in texts], 1_000_000)]
             yield b.filter(pa.array(np.concatenate(keep))) if keep else b
 
     return small_batches(docs).where(F.regexp_like("text", F.lit(r"\p{L}"))).mapInArrow(freed(run), docs.schema)
