@@ -17,6 +17,21 @@ def test_components_match_union_find(spark):
         assert got == {i: low[i] for i in range(200) if low[i] != i}
 
 
+def test_components_of_more_edges_than_a_task_holds(spark, monkeypatch):
+    """Several tasks contract, and star rounds join what they leave."""
+    rng = random.Random(11)
+    pairs = [(rng.randrange(150), rng.randrange(150)) for _ in range(120)] + [(i, i + 1) for i in range(200, 260)] + [(300, i) for i in range(301, 340)]
+    link = Linked(400)
+    for a, b in pairs:
+        link.join(a, b)
+    want = {i: link.find(i) for i in range(400) if link.find(i) != i}
+    for edges, hot in ((7, 1_000), (40, 3)):
+        monkeypatch.setattr(S, "CONTRACT_EDGES", edges)
+        monkeypatch.setattr(S, "HOT_ROWS", hot)
+        df = spark.createDataFrame([*pairs, (None, 1), (2, None)], "a long, b long").repartition(6)
+        assert {r["node"]: r["component"] for r in S.components(df).collect()} == want
+
+
 def test_span_hashes_depend_on_bytes_only():
     a = np.frombuffer(b"xxabcabcyy abc", np.uint8)
     h = S.span_hashes(a, np.array([2, 5, 11, 0]), np.array([5, 8, 14, 2]))

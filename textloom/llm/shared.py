@@ -340,17 +340,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     """(node, component): the smallest node (whole numbers) reachable over undirected edges, for nodes with an edge to
     another node.
 
-    Edges are contracted where they lie, which settles most of them. The rest alternates large-star and small-star steps; each step is a grouped minimum, and every round is a written table, the
-    one before it deleted. A node's neighbours never meet in one task: minima are combined before they are shuffled, and
+    Edges are contracted, CONTRACT_EDGES to a task, again and again while that makes them fewer. What is left alternates
+    large-star and small-star steps; each step is a grouped minimum, and every round is a written table, the one before it
+    deleted. A node's neighbours never meet in one task: minima are combined before they are shuffled, and
     the minima of hubs, whose number is bounded, are broadcast to their edges. Null nodes are left out.
     """
 
     def written(df: DataFrame) -> tuple[DataFrame, tuple]:
-        t = contracted(df).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-        t = materialize(contracted(t).distinct(), "edges")
+        t = materialize(df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
         return t, tuple(t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     e, before = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")))
+    while before[0]:
+        tasks = -(-before[0] // CONTRACT_EDGES)
+        last = e
+        e, now = written(contracted(e.coalesce(tasks)))
+        discard(last)
+        if tasks == 1:  # one task has seen every edge: these are the stars
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        shrunk = now[0] <= 0.7 * before[0]
+        before = now
+        if not shrunk:
+            break
     for _ in range(rounds if before[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
