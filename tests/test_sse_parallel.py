@@ -9,7 +9,7 @@ from textloom.streaming import base
 
 def test_chunks_in_many_files(spark, duck, sf_dir, monkeypatch):
     made, new = [], base.new_folder
-    monkeypatch.setattr(base, "new_folder", lambda s: made.append(new(s)) or made[-1])
+    monkeypatch.setattr(base, "new_folder", lambda *a: made.append(new(*a)) or made[-1])
     was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
