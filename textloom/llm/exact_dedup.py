@@ -19,10 +19,10 @@ from .shared import join_counted, materialize, table, work_dir
 SLOTS_LEAST, SLOTS_MOST = 1 << 16, 1 << 22
 #: Cells over which the texts of one digest are compared before the cells' extremes are.
 CELLS = 64
-#: Memory of the state's store in an executor.
+#: The state's store: bounded memory in an executor, and no disk taken before it is needed (some 4 MB for each partition).
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
