@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("url_filters", "packing", "binary_output", "language_id", "neighbours", "decontamination", "pii", "jaccard_join", "suffix_dedup", "lm_scoring", "exact_dedup", "resampling")
+_MODULES = ("url_filters", "packing", "binary_output", "language_id", "neighbours", "decontamination", "pii", "jaccard_join", "suffix_dedup", "lm_scoring", "exact_dedup", "resampling", "vector_codes")
 
 
 def queries() -> dict:
