@@ -86,9 +86,19 @@ def test_text_in_no_language_goes_and_clean_texts_stay(spark, sf_dir):
     rng = random.Random(1)
     docs = spark.read.parquet(sf_dir + "/documents.parquet")
     model = L.fit(docs, noise=True)
-    junk = ["".join(rng.choice("bcdfghjklmnpqrstvwxzäéñ") + " " * (rng.random() < 0.2) for _ in range(2000)) for _ in range(5)]
-    judged = spark.createDataFrame([(i, t) for i, t in enumerate(junk)], "doc_id long, text string")
-    bound = L.least_score(docs, model)
-    assert 0 < bound < 0.8 and L.keep_identified(judged, model, bound).count() <= 1  # on 200 documents; the bound is that of some 40
+    bound = L.noise_bound(docs, model)
+    assert 0 <= bound < 1
+    of = lambda letters, n, gap: ["".join(rng.choice(letters) + " " * (rng.random() < gap) for _ in range(n)) for _ in range(20)]
+    for junk in (of("bcdfghjklmnpqrstvwxzäéñ", 2000, 0.2), of("abcdefghijklmnopqrstuvwxyz", 1000, 0.15), of("ABCDEFGHabcdefgh0123456789+/", 1500, 0), of("qzxwvk", 800, 0.1)):
+        judged = spark.createDataFrame([(i, t) for i, t in enumerate(junk)], "doc_id long, text string")
+        assert L.keep_identified(judged, model, bound).count() <= 1  # of 20
     lettered = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    assert L.keep_identified(docs, model).where("lang IS NOT NULL").count() >= 0.99 * lettered.count()
+    assert L.keep_identified(docs, model, bound).where("lang IS NOT NULL").count() >= 0.995 * lettered.count()
+
+
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    monkeypatch.setattr(L, "DOCS", 40)
+    rows = [(3 * i + j, f"l{i:03d}", f"text {chr(97 + i % 26) * 9} {i}") for i in range(60) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert {lang for lang, _ in L.training_windows(docs)} == {r[1] for r in rows}
+    assert L.noise_bound(docs.where("1 = 0"), L.train([])) == L.TOWARDS

@@ -34,10 +34,10 @@ def test_run_matches_plain_python(spark, sf_dir):
     table = C.table(spark, sf_dir, "documents")
     docs = {r["doc_id"]: r["text"] for r in table.collect()}
     model = language_id.fit(table, noise=True)
-    bound = language_id.least_score(table, model)
+    bound = language_id.noise_bound(table, model)
     lettered = {i: t for i, t in docs.items() if t and re.search(r"[^\W\d_]", t)}
-    best = language_id.language_scores(model, list(lettered.values()))
-    kept = {i: t for (i, t), p in zip(lettered.items(), best, strict=True) if p >= bound}
+    margins = language_id.noise_margins(model, list(lettered.values()))
+    kept = {i: t for (i, t), m in zip(lettered.items(), margins, strict=True) if m <= bound}
     one = {i: kept[i] for i, _, c in brute(list(kept.items()), 5, 80) if i == c}
 
     words = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
@@ -70,9 +70,26 @@ def test_run_matches_plain_python(spark, sf_dir):
     check_pieces(rows, safe)
 
 
+def test_stages_on_edges(spark, sf_dir, edge_docs, no_docs):
+    """Nulls, repeated rows, clashing names and empty tables in every stage."""
+    for name, stage in C.STAGES:
+        assert C.materialize(stage(spark, no_docs, sf_dir)).count() == 0, name
+    ids = lambda df: sorted(str(r["doc_id"]) for r in df.collect())
+    kept = C.materialize(C.identify_language(spark, edge_docs, sf_dir))
+    assert kept.columns == edge_docs.columns and set(ids(kept)) <= set(ids(edge_docs)) - {"4", "5", "6", "10"}
+    one = C.materialize(C.drop_near_duplicates(spark, edge_docs, sf_dir))
+    assert one.columns == edge_docs.columns and "2" not in ids(one) and {"1", "None", "4", "9"} <= set(ids(one)) and ids(one).count("7") == 1
+    clean = C.materialize(C.decontaminate(spark, edge_docs, sf_dir))
+    assert clean.columns == edge_docs.columns and ids(clean) == ids(edge_docs)
+    safe = C.materialize(C.redact(spark, edge_docs, sf_dir))
+    assert safe.columns == edge_docs.columns and ids(safe) == ids(edge_docs)
+    packed = C.pack(spark, edge_docs, sf_dir)
+    assert packed.where("start = 0").count() == edge_docs.count()
+
+
 def test_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert len(C.STAGES) == 5

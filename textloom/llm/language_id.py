@@ -11,6 +11,7 @@ neighbouring text.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,16 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import as_sent, fold, freed, hash_sample, sent_type, slices, small_batches, table
+from .shared import as_sent, fold, freed, hash_sample, materialize, sent_type, slices, small_batches, table
 
 HIDDEN = 8
 CORE, CONTEXT = 448, 24
 #: Windows labelled at a time: as many as keep their probabilities at BATCH_CELLS numbers a byte position.
 BATCH_CELLS = 4096
 PAD = 256
-#: Bound of the training sample: documents of each language, windows of a document, characters of a window, languages
-#: (those with most documents; ties by name).
-DOCS_PER_LANG, WINDOWS_PER_DOC, WINDOW_CHARS, MAX_LANGS = 300, 3, 64, 200
+#: Bound of the training sample: documents of each language, windows of a document, characters of a window, documents of all
+#: languages together (with more than DOCS / DOCS_PER_LANG languages each has fewer, but at least one).
+DOCS_PER_LANG, WINDOWS_PER_DOC, WINDOW_CHARS, DOCS = 300, 3, 64, 60_000
+#: Languages up to which their shares of the sample are broadcast; beyond, they join by shuffle.
+BROADCAST_LANGS = 100_000
 STEPS, BATCH, RATE = 220, 128, 0.02
 UNDETERMINED = "und"
 
@@ -187,11 +190,15 @@ def pooled(m: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_windows(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> list[tuple[str, bytes]]:
-    """A bounded sample: at most docs_per_lang documents of each language by hash order, WINDOWS_PER_DOC windows of each."""
+    """A bounded sample: at most docs_per_lang documents of each language by hash order (fewer where languages are very many,
+    see DOCS), WINDOWS_PER_DOC windows of each."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    share = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).select("lang", (F.lit(2.0 * docs_per_lang) / F.col("n")).alias("share"))
+    sizes = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    langs = sizes.count()
+    docs_per_lang = max(1, min(docs_per_lang, DOCS // max(1, langs)))
+    share = sizes.select("lang", (F.lit(2.0 * docs_per_lang) / F.col("n")).alias("share"))
     u = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / (1 << 20)).alias("u")
-    near = known.select("doc_id", "lang", "text", u).join(F.broadcast(share), "lang").where("u < share")
+    near = known.select("doc_id", "lang", "text", u).join(F.broadcast(share) if langs <= BROADCAST_LANGS else share, "lang").where("u < share")
     parts = [F.expr(f"substring(text, 1 + cast(pmod(xxhash64(doc_id, {i}), greatest(1, length(text) - {WINDOW_CHARS})) as int), {WINDOW_CHARS})") for i in range(WINDOWS_PER_DOC)]
     near = near.select("doc_id", "lang", "u", F.xxhash64("text").alias("t"), F.array_distinct(F.array(*parts)).alias("parts"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", "t"))
@@ -231,42 +238,71 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return out.withColumn("id", F.col("id").cast(dict(src.dtypes)["id"])).withColumnRenamed("id", id_col)
 
 
-#: Sample that `least_score` reads (documents, and characters of the longest of them), its quantile and share.
-SCORED_DOCS, SCORED_CHARS, LOW_QUANTILE, LOW_SHARE = 1_000, 4_000, 0.005, 0.6
-#: Label of text in no language, which a model with `noise` learns from sampled windows with their characters shuffled.
+#: Label of text in no language, which a model with `noise` learns from made-up windows (see `noise_windows`).
 NOISE = ""
+#: Sample that `noise_bound` reads (documents, and characters of the longest of them), made-up texts beside it and their
+#: length, the quantiles of both, and how far from the documents' towards the noise's the bound lies.
+SCORED_DOCS, SCORED_CHARS, MADE_UP, MADE_UP_CHARS, HIGH_QUANTILE, LOW_QUANTILE, TOWARDS = 1_000, 4_000, 200, 1_000, 0.995, 0.05, 0.7
 
 
-def language_scores(model: Model, texts: list[str]) -> np.ndarray:
-    """The probability of each text's best language; one that only looks like noise has a low one."""
-    own = [k for k, lang in enumerate(model.langs) if lang != NOISE]
-    return pooled(model, texts)[0][:, own].max(1) if own else np.ones(len(texts))
+def random_letters(letters: str, length: int, rng: np.random.Generator, few: bool = False) -> str:
+    """Letters drawn at random, of all or of only a few, with spaces at a rate of up to 30 %."""
+    own = rng.choice(list(letters), rng.integers(3, 12)) if few else np.array(list(letters))
+    return "".join(np.where(rng.random(length) < rng.uniform(0, 0.3), " ", rng.choice(own, length)))
 
 
-def least_score(docs: DataFrame, model: Model) -> float:
-    """Score under which a text counts as in no language: LOW_SHARE of the LOW_QUANTILE of the scores of labelled documents
-    that the model has not learned from. It follows the data, not the number of languages; without such documents it is
-    half the probability of a guess."""
-    if not model.langs:
-        return 0.0
+def _letters(texts: list[str]) -> str:
+    """The letters that occur, and those and the digits of ASCII."""
+    return "".join(sorted({c for t in texts for c in t if c.isalpha()} | set(string.ascii_letters + string.digits)))
+
+
+def noise_windows(windows: list[tuple[str, bytes]], seed: int = 5) -> list[tuple[str, bytes]]:
+    """Windows in no language, one for each so many as a language has on average: in turn a window with its characters
+    shuffled, random letters of those that occur, and random ones of a few of them."""
+    rng, out = np.random.default_rng(seed), []
+    letters = _letters([b.decode("utf-8", "replace") for _, b in windows])
+    for i, (_, b) in enumerate(windows[:: max(1, len({lang for lang, _ in windows}) // 2 + 1)]):
+        text = "".join(rng.permutation(list(b.decode("utf-8", "replace")))) if i % 3 == 0 else random_letters(letters, WINDOW_CHARS, rng, i % 3 == 2)
+        out.append((NOISE, text.encode()))
+    return out
+
+
+def noise_margins(model: Model, texts: list[str]) -> np.ndarray:
+    """How much likelier each text is to be noise than of its best language, from -1 to 1."""
+    noise = np.array([lang == NOISE for lang in model.langs])
+    if not noise.any() or noise.all():
+        return np.full(len(texts), -1.0)
+    prob = pooled(model, texts)[0]
+    return prob[:, noise].sum(1) - prob[:, ~noise].max(1)
+
+
+def noise_bound(docs: DataFrame, model: Model) -> float:
+    """Margin from which a text counts as in no language: between the margins of labelled documents that the model has not
+    learned from (HIGH_QUANTILE) and those of made-up texts (LOW_QUANTILE), TOWARDS of the way; never below 0, so that a text
+    whose best language beats noise stays. Without such documents it is TOWARDS."""
     held = docs.where(fold() == 0).where("lang IS NOT NULL").where(F.regexp_like("text", F.lit(r"\p{L}")) & (F.length("text") <= SCORED_CHARS))
     texts = [r["text"] for r in hash_sample(held.select("doc_id", "text"), SCORED_DOCS, "doc_id", "text").collect()]
-    return LOW_SHARE * float(np.quantile(language_scores(model, texts), LOW_QUANTILE)) if texts else 0.5 / len(model.langs)
+    if not texts:
+        return TOWARDS
+    rng, letters = np.random.default_rng(9), _letters(texts)
+    made_up = [random_letters(letters, MADE_UP_CHARS, rng, i % 2 == 1) for i in range(MADE_UP)]
+    low, high = float(np.quantile(noise_margins(model, texts), HIGH_QUANTILE)), float(np.quantile(noise_margins(model, made_up), LOW_QUANTILE))
+    return max(0.0, low + TOWARDS * (high - low), low)
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float | None = None) -> DataFrame:
-    """The rows of docs, with all their columns untouched, whose text has a letter and a best language with a score of at
-    least `least` (by default `least_score`). model: best one with `noise`, else any text looks like some language.
+def keep_identified(docs: DataFrame, model: Model, bound: float | None = None) -> DataFrame:
+    """The rows of docs, with all their columns untouched, whose text has a letter and is not more like noise than like its
+    best language by more than `bound` (by default `noise_bound`). model: one with `noise`; with another, all texts with a
+    letter stay.
 
-    Null and empty texts go. With a model that knows no language, every text with a letter stays. Repeated rows are judged
-    alike; null ids stay null; an empty table gives no rows.
+    Null and empty texts go. Repeated rows are judged alike; null ids stay null; an empty table gives no rows.
     """
-    bound = least_score(docs, model) if least is None else least
+    bound = noise_bound(docs, model) if bound is None else bound
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            keep = [np.ones(hi - lo, bool) if not model.langs else language_scores(model, texts[lo:hi]) >= bound for lo, hi in slices([len(t) for t in texts], 1_000_000)]
+            keep = [noise_margins(model, texts[lo:hi]) <= bound for lo, hi in slices([len(t) for t in texts], 1_000_000)]
             yield b.filter(pa.array(np.concatenate(keep))) if keep else b
 
     return small_batches(docs).where(F.regexp_like("text", F.lit(r"\p{L}"))).mapInArrow(freed(run), docs.schema)
@@ -275,13 +311,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float | None = None) -
 def fit(docs: DataFrame, noise: bool = False) -> Model:
     """Learns from the labelled documents whose crc32(doc_id) mod 5 is not 0; noise: also what no language looks like."""
     windows = training_windows(docs.where(fold() != 0))
-    if noise and windows:
-        rng = np.random.default_rng(5)
-        for _, b in windows[:: max(1, len({lang for lang, _ in windows}) // 2 + 1)]:
-            letters = list(b.decode("utf-8", "replace"))
-            rng.shuffle(letters)
-            windows.append((NOISE, "".join(letters).encode()))
-    return train(windows)
+    return train(windows + noise_windows(windows) if noise else windows)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
