@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 #: feed, for patterns that look at one line of a text.
 WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WS_IN_LINE = WS.replace(r"\t-\r", r"\t\x0B-\r")
+#: The same white space, each character once.
+WS_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 # The word lists that line signals and detection look for.
 LOG_LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "WARNING", "ERROR", "FATAL")
@@ -27,7 +29,12 @@ def ascii_lower(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, rf"^[{WS}]++|(?<![{WS}])[{WS}]++\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once for a row, wherever the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def lines(c: Column) -> Column:
@@ -83,26 +90,25 @@ def estimated_tokens(c: Column) -> Column:
     are long enough to count otherwise become arrays.
     """
     without = lambda text, chars: F.regexp_replace(text, f"[{chars}]+", "")
-    spaced = F.regexp_replace(c, f"[{WS}]+", " ")
-    dark = F.replace(spaced, F.lit(" "), F.lit(""))
-    plain = without(dark, "A-Za-z")
-    signs = without(plain, "0-9")
-    foreign = without(signs, r"\x00-\x7F")
-    letters, digits = F.length(dark) - F.length(plain), F.length(plain) - F.length(signs)
-    wide = F.length(foreign)
-    punct = F.length(signs) - wide
-
     # in one pass: each stretch of one character becomes a mark
     changes = lambda run: F.length(F.regexp_replace(run, r"(?s)(.)\1*+", "x")) - 1
     of_run = lambda a, r: a + F.floor(F.length(r) / 8).cast("int") + F.ceil(changes(r) / 2).cast("int")
-    space = F.length(spaced) - F.length(dark) + F.aggregate(F.regexp_extract_all(c, F.lit(f"([{WS}]{{2,}})")), F.lit(0), of_run)
-    of_letters = lambda a, s: a + F.when(F.length(without(s, "^A-Za-z")) > 12, F.length(without(s, "^A-Za-z"))).otherwise(0)
+    runs = F.aggregate(F.regexp_extract_all(c, F.lit(f"([{WS}]{{2,}})")), F.lit(0), of_run)
+    of_letters = lambda a, s: a + let(F.length(without(s, "^A-Za-z")), lambda n: F.when(n > 12, n).otherwise(0))
     dense = F.aggregate(F.regexp_extract_all(c, F.lit(f"([^{WS}0-9]{{13,}})")), F.lit(0), of_letters)
 
-    total = lambda x: F.ceil(2 * (x["letters"] - x["dense"]) / 7) + F.ceil(x["digits"] / 2) + F.ceil(2 * x["dense"] / 3) + x["punct"] + 2 * x["wide"] + x["space"]
-    parts = F.struct(*[v.alias(k) for k, v in (("letters", letters), ("digits", digits), ("punct", punct), ("wide", wide), ("space", space), ("dense", dense))])
-    summed = F.element_at(F.transform(F.array(parts), total), 1)  # dense is worked out once
-    return F.when(c.isNull(), F.lit(None)).when(c == "", F.lit(0)).otherwise(F.greatest(F.lit(1), summed)).cast("long")
+    def total(x: Column) -> Column:
+        letters, digits, punct = x["dark"] - x["plain"], x["plain"] - x["signs"], x["signs"] - x["wide"]
+        summed = F.ceil(2 * (letters - x["dense"]) / 7) + F.ceil(digits / 2) + F.ceil(2 * x["dense"] / 3) + punct + 2 * x["wide"] + x["space"]
+        return F.greatest(F.lit(1), summed)
+
+    def measured(spaced: Column, dark: Column, plain: Column, signs: Column) -> Column:
+        sizes = {"dark": F.length(dark), "plain": F.length(plain), "signs": F.length(signs), "wide": F.length(without(signs, r"\x00-\x7F")), "space": F.length(spaced) - F.length(dark) + runs, "dense": dense}
+        return let(F.struct(*[v.alias(k) for k, v in sizes.items()]), total)
+
+    # each text is what the one before leaves, and is worked out once
+    found = let(F.regexp_replace(c, f"[{WS}]+", " "), lambda spaced: let(F.replace(spaced, F.lit(" "), F.lit("")), lambda dark: let(without(dark, "A-Za-z"), lambda plain: let(without(plain, "0-9"), lambda signs: measured(spaced, dark, plain, signs)))))
+    return F.when(c.isNull(), F.lit(None)).when(c == "", F.lit(0)).otherwise(found).cast("long")
 
 
 def template(line: Column) -> Column:
@@ -126,20 +132,22 @@ def template(line: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(line, F.lit(f"([^{WS}]+|[{WS}]+)")), token), "")
 
 
+#: Beginnings of which every keyword holds one; looked for without regard to the case of ASCII letters.
+_KEYWORD_PARTS = ("err", "fail", "fatal", "panic", "exception", "traceback", "assert", "refused", "denied", "time", "unreach", "corrupt", "invalid", "unauth", "forbid", "warn", "deprec", "retry", "slow")
+
+
 def keyword_score(line: Column) -> Column:
     """3 for each error word and 1 for each warning word that a line holds as a whole word."""
-    low = ascii_lower(line)
-    words = F.split(low, "[^0-9a-z_]+")
-    held = lambda names: F.size(F.array_intersect(words, F.array(*[F.lit(n) for n in names])))
-    any_word = F.regexp_like(low, F.lit("|".join(("err", "fail", "fatal", "panic", "exception", "traceback", "assert", "refused", "denied", "time", "unreach", "corrupt", "invalid", "unauth", "forbid", "warn", "deprec", "retry", "slow"))))
-    return F.when(any_word, 3 * held(ERROR_WORDS) + held(WARNING_WORDS)).when(line.isNotNull(), F.lit(0))
+    held = lambda words, names: F.size(F.array_intersect(words, F.array(*[F.lit(n) for n in names])))
+    scored = let(F.split(ascii_lower(line), "[^0-9a-z_]+"), lambda words: 3 * held(words, ERROR_WORDS) + held(words, WARNING_WORDS))
+    return F.when(F.regexp_like(line, F.lit(f"(?i){'|'.join(_KEYWORD_PARTS)}")), scored).when(line.isNotNull(), F.lit(0))
 
 
 def importance(line: Column, score: Column | None = None) -> Column:
     """critical, notable or routine; score: the line's keyword score, where a column already holds it."""
     t = strip(line)
     score = keyword_score(line) if score is None else score
-    notable = (score > 0) | F.regexp_like(t, F.lit("^(#|==|--)|:$")) | F.regexp_like(ascii_lower(t), F.lit(f"^({'|'.join(SUMMARY_STARTS)})"))
+    notable = (score > 0) | F.regexp_like(t, F.lit("^(#|==|--)|:$")) | F.regexp_like(t, F.lit(f"(?i)^({'|'.join(SUMMARY_STARTS)})"))
     return F.when(score >= 3, "critical").when((t != "") & notable, "notable").otherwise("routine")
 
 

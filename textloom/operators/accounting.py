@@ -16,7 +16,11 @@ MODES = ("payg", "oauth", "subscription")
 
 def outcomes(spark: SparkSession, d: str) -> DataFrame:
     """One condensation outcome for each event: ts, mode, family, content_type, shape, tokens before and after."""
-    e = read(spark, d, "events")
+    return outcomes_of(read(spark, d, "events"))
+
+
+def outcomes_of(e: DataFrame) -> DataFrame:
+    """The outcomes of a table or a batch of events."""
     pick = lambda names, c: F.element_at(F.array(*[F.lit(n) for n in names]), (c % len(names) + 1).cast("int"))
     before = (F.floor("value") + 50).cast("long")
     return e.select(

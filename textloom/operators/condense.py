@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.tables import BLOCKS_SQL, LOG_SQL, SEARCH_SQL, block_lines, blocks, in_order, log_lines, search_lines
-from .signals import _EST, _LEVEL, _LN, _SCORE, _STRIP, _TAGS, ANCHOR_SQL, TOKENS_SQL, anchor, is_boundary
+from ..sources.tables import BLOCKS_SQL, LOG_SQL, SEARCH_SQL, blocks, in_order, log_lines, search_lines
+from .signals import _EST, _LEVEL, _LN, _SCORE, _STRIP, _TAGS, ANCHOR_SQL, TOKENS_SQL, anchor
 
 # Budgets of the digests.
 MIN_LOG_LINES, MAX_SEVERITY = 8, 50
@@ -67,29 +67,37 @@ def search_digest(ln: DataFrame) -> DataFrame:
     return total.join(body, "doc_id").select("doc_id", F.when((F.col("hits") >= MIN_HITS) & (F.col("files") < F.col("hits")), F.concat(head, "body", more, gone)).alias("digest"))
 
 
-def summarise(ln: DataFrame, budget: int = 60, min_lines: int = 60, queries: DataFrame | None = None) -> DataFrame:
+def summarise(b: DataFrame, budget: int = 60, min_lines: int = 60, queries: DataFrame | None = None) -> DataFrame:
     """block_id, digest: the most important lines of a text with gaps counted between them.
 
     Anchors, lines with markup and, where there is a query, the lines that answer it best are always kept, even beyond the
-    budget; others by importance, then place. Texts of at most min_lines lines give no row. ln: as block_lines gives them;
-    queries: block_id, query.
+    budget; others by importance, then place. Texts of at most min_lines lines give no row. b: block_id, content; queries:
+    block_id, query. A block's lines are ranked in its own row; without queries nothing is shuffled.
     """
     from .relevance import relevant_lines
 
-    whole = Window.partitionBy("block_id")
-    required = anchor(F.col("line"), is_boundary()).isNotNull() | (F.size(T.tags(F.col("line"))) > 0)
-    ln = ln.where(F.col("n") > min_lines).withColumn("required", required)
+    held = b.select("block_id", T.lines(F.col("content")).alias("a")).where(F.size("a") > min_lines)
+    answers = F.array().cast("array<int>")
     if queries is not None:
-        answers = relevant_lines(ln, queries).withColumn("answers", F.lit(True))
-        ln = ln.join(answers, ["block_id", "line_no"], "left").withColumn("required", F.col("required") | F.coalesce("answers", F.lit(False)))
-    ln = ln.withColumn("level", T.importance(F.col("line")))
-    ln = ln.withColumn("level", F.when(F.col("level") == "critical", 2).when(F.col("level") == "notable", 1).otherwise(0))
-    ln = ln.withColumn("must", F.sum(F.col("required").cast("int")).over(whole)).withColumn("r", F.row_number().over(whole.orderBy(F.desc("required"), F.desc("level"), "line_no")))
-    kept = ln.where(F.col("r") <= F.greatest(F.lit(budget), F.col("must"))).withColumn("before", F.lag("line_no").over(whole.orderBy("line_no")))
-    gap = F.col("line_no") - F.col("before") - 1
-    text = F.concat(F.when(gap > 0, F.concat(F.lit("... "), gap.cast("string"), F.lit(" lines ...\n"))).otherwise(""), "line")
-    out = kept.groupBy("block_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"), in_order(text, F.col("line_no")).alias("body"))
-    return out.select("block_id", F.concat(F.lit("["), F.col("n").cast("string"), F.lit(" lines, "), F.col("k").cast("string"), F.lit(" shown]\n"), "body").alias("digest"))
+        ln = held.select("block_id", F.posexplode("a").alias("line_no", "line"))
+        found = relevant_lines(ln, queries).groupBy("block_id").agg(F.collect_list(F.col("line_no").cast("int")).alias("answers"))  # a few lines a block
+        held = held.join(found, "block_id", "left")
+        answers = F.coalesce("answers", answers)
+
+    def ranked(line: Column, at: Column) -> Column:
+        """Sorts what is required first, then by importance, then by place."""
+        required = anchor(line, (at == 0) | (at == F.size("a") - 1)).isNotNull() | (F.size(T.tags(line)) > 0) | F.array_contains(answers, at)
+        level = F.when(required, F.lit(-3)).otherwise(T.let(T.importance(line), lambda i: F.when(i == "critical", -2).when(i == "notable", -1).otherwise(0)))
+        return F.struct(level.alias("level"), at.alias("at"))
+
+    held = held.withColumn("r", F.array_sort(F.transform("a", ranked)))
+    # lines that are required rank alike below importance, as they do above it
+    must = F.size(F.filter("r", lambda x: x["level"] == -3))
+    held = held.withColumn("kept", F.array_sort(F.transform(F.slice("r", F.lit(1), F.greatest(F.lit(budget), must)), lambda x: x["at"])))
+    gap = lambda at, i: at - F.when(i > 0, F.get("kept", i - 1)).otherwise(at - 1) - 1
+    shown = lambda at, i: F.concat(F.when(gap(at, i) > 0, F.concat(F.lit("... "), gap(at, i).cast("string"), F.lit(" lines ...\n"))).otherwise(""), F.get("a", at))
+    head = F.concat(F.lit("["), F.size("a").cast("string"), F.lit(" lines, "), F.size("kept").cast("string"), F.lit(" shown]\n"))
+    return held.select("block_id", F.concat(head, F.array_join(F.transform("kept", shown), "\n")).alias("digest"))
 
 
 def tidy(c: Column) -> Column:
@@ -123,7 +131,7 @@ def q_search_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_prose_summary(spark: SparkSession, d: str) -> DataFrame:
-    return summarise(block_lines(blocks(spark, d)), budget=12, min_lines=15)
+    return summarise(blocks(spark, d), budget=12, min_lines=15)
 
 
 def q_tidy_lines(spark: SparkSession, d: str) -> DataFrame:

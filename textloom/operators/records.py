@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.io import settle
 from ..sources.tables import in_order, read
+from .selection import BIG, medians
 
 # Scales and cuts of the ranking, and field-name hints.
 SCALE, MAD_CUT, SIZE_CUT, LOW_CARDINALITY, MIN_RECORDS = 1000, 3.5, 3, 8, 5
@@ -50,11 +51,12 @@ def field_roles(r: DataFrame) -> DataFrame:
     return s.select("doc_id", "field", role.alias("role"))
 
 
-def outliers(r: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+def outliers(r: DataFrame, stats: DataFrame | None = None, big: int = BIG) -> DataFrame:
     """doc_id, rec_idx, weight, reasons: records that stand out by a rare value, a rare field, a number or their size.
 
     Constant and unique fields say nothing; a numeric outlier is over MAD_CUT median deviations from the median. stats: the
-    field statistics of r, where they are at hand.
+    field statistics of r, where they are at hand. big: values of a field from which its medians are narrowed down rather
+    than sorted.
     """
     s = field_stats(r) if stats is None else stats
     error = F.lower("field").isin(*ERROR_FIELDS)
@@ -68,14 +70,14 @@ def outliers(r: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     absent = usual.where(F.col("present") * 2 <= F.col("records"))
     parts = parts.union(absent.select("doc_id", "rec_idx", (weight(F.col("present")) * F.when(error, 2).otherwise(1)).alias("w"), F.when(error, "error_field").otherwise("rare_field").alias("reason")))
     numeric = usual.where(telling & F.col("num").isNotNull()).select("doc_id", "field", "rec_idx", "num")
-    mid = numeric.groupBy("doc_id", "field").agg(F.median("num").alias("m"), F.count(F.lit(1)).alias("n")).where("n >= 4")
+    mid = medians(numeric, ["doc_id", "field"], "num", big).select("doc_id", "field", F.col("median").alias("m"), "n").where("n >= 4")
     dev = numeric.join(mid, ["doc_id", "field"]).withColumn("dev", F.abs(F.col("num") - F.col("m")))
-    mad = dev.groupBy("doc_id", "field").agg(F.median("dev").alias("mad"))
+    mad = medians(dev, ["doc_id", "field"], "dev", big).select("doc_id", "field", F.col("median").alias("mad"))
     far = dev.join(mad, ["doc_id", "field"]).where(F.when(F.col("mad") > 0, F.col("dev") > MAD_CUT * F.col("mad")).otherwise(F.col("dev") > 0))
     parts = parts.union(far.select("doc_id", "rec_idx", F.lit(SCALE).cast("long"), F.lit("numeric")))
     size = r.groupBy("doc_id", "rec_idx").agg(F.sum(F.octet_length("value") + F.length("field") + 4).alias("size"))
-    big = size.join(size.groupBy("doc_id").agg(F.median("size").alias("m")), "doc_id").where(F.col("size") > SIZE_CUT * F.col("m"))
-    parts = parts.union(big.select("doc_id", "rec_idx", F.lit(SCALE).cast("long"), F.lit("size")))
+    wide = size.join(medians(size, ["doc_id"], "size", big).select("doc_id", F.col("median").alias("m")), "doc_id").where(F.col("size") > SIZE_CUT * F.col("m"))
+    parts = parts.union(wide.select("doc_id", "rec_idx", F.lit(SCALE).cast("long"), F.lit("size")))
     return parts.groupBy("doc_id", "rec_idx").agg(F.sum("w").alias("weight"), F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 

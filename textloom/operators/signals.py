@@ -5,12 +5,14 @@ A block is one row: what its lines tell is counted by patterns over the whole te
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.sql import IS_JSON, let, raw
 from ..sources.tables import BLOCKS_SQL, LINES_SQL, block_lines, blocks, read
 
 # Size gates in bytes, and what each authentication mode allows.
@@ -55,35 +57,56 @@ DIFF_PATTERNS = {
 }
 
 
+#: Content type and confidence by a condition over what is counted; the first that holds. Conditions read alike in SQL and
+#: in Python. A stage's counts are only made where no earlier stage has found a type.
+STAGES = (
+    (("json",), (("json", 1.0, "json"),)),
+    (("diff_mark", "hunk", "change"), (("diff", 1.0, "diff_mark and hunk"), ("diff", 0.85, "diff_mark and change"), ("diff", 0.8, "hunk and change"))),
+    (("n", "hits"), (("search", 0.9, "n >= 2 and 5 * hits >= 4 * n"), ("search", 0.7, "n >= 2 and 5 * hits >= 3 * n"))),
+    (
+        ("stamps", "levels"),
+        (("log", 0.95, "n >= 2 and 5 * stamps >= 4 * n"), ("log", 0.8, "n >= 2 and (2 * stamps >= n or 5 * levels >= 4 * n)"), ("log", 0.65, "n >= 2 and 2 * levels >= n")),
+    ),
+    (
+        ("words", "marks", "size", "indented"),
+        (
+            ("code", 0.95, "words >= 3 and marks >= 2 * size"), ("code", 0.85, "words >= 2 and marks >= 3 * size"), ("code", 0.75, "words >= 3"),
+            ("code", 0.7, "words >= 1 and marks >= 5 * size and 10 * indented >= 3 * n"),
+        ),
+    ),
+)
+#: What a text must hold for a pattern to be looked for: the plain search is many times cheaper.
+NEEDED = {"diff_mark": ("--- ", "diff --git "), "hunk": ("@@",), "change": ("@@", "--- ", "diff --git "), "hits": (":",), "stamps": ("-", ":"), "levels": T.LOG_LEVELS}
+BRACKETS = r"[{}()\[\];]+"
+UNKNOWN, PROSE = ("unknown", 1.0), ("prose", 0.4)
+
+
+def detection(content: str) -> str:
+    """SQL text of the struct (t: content type, c: confidence) of a text: one expression in which the stripped text is worked
+    out once, and a stage's counts once where it is reached."""
+    held = lambda name: " OR ".join(f"contains(t, '{w}')" for w in NEEDED[name])
+    counts = {k: (f"regexp_count(t, {raw(p)})", "0") for k, p in LINE_PATTERNS.items()} | {k: (f"t RLIKE {raw(p)}", "false") for k, p in DIFF_PATTERNS.items()}
+    counts = {k: f"CASE WHEN {held(k)} THEN {c} ELSE {none} END" if k in NEEDED else c for k, (c, none) in counts.items()}
+    counts |= {"json": IS_JSON, "words": " + ".join(f"cast(contains(t, '{w}') AS int)" for w in T.CODE_WORDS), "size": "octet_length(t)"}
+    counts["marks"] = f"100 * (length(t) - length(regexp_replace(t, {raw(BRACKETS)}, '')))"
+    stage = {n: i for i, (names, _) in enumerate(STAGES) for n in names}
+    found = lambda name, score: f"named_struct('t', '{name}', 'c', {score}D)"
+    # a condition may also look at what earlier stages have counted
+    placed = lambda condition: re.sub("[a-z_]+", lambda m: f"s{stage[m[0]]}.{m[0]}" if m[0] in stage else m[0], condition)
+    out = found(*PROSE)
+    for i, (names, rules) in reversed(list(enumerate(STAGES))):
+        cases = " ".join(f"WHEN {placed(condition)} THEN {found(name, score)}" for name, score, condition in rules)
+        out = let(f"named_struct({', '.join(f"'{n}', {counts[n]}" for n in names)})", f"s{i}", f"CASE {cases} ELSE {out} END")
+    return let(f"btrim(coalesce({content}, ''), '{T.WS_CHARS}')", "t", f"CASE WHEN t = '' THEN {found(*UNKNOWN)} ELSE {out} END")
+
+
 def detect(b: DataFrame) -> DataFrame:
     """The columns of b with content_type and confidence: JSON, diff, search hits, log, code, else prose; blank is unknown.
 
     Null contents are unknown. Ratios over a block's lines are compared by whole numbers. JSON is what parses as an object or
     array to its end. Other columns stay; every row is judged by itself, so repeated rows are judged alike.
     """
-    t = F.col("__t")
-    counts = [F.regexp_count(t, F.lit(p)).alias(f"__{k}") for k, p in LINE_PATTERNS.items()]
-    marks = [F.regexp_like(t, F.lit(p)).alias(f"__{k}") for k, p in DIFF_PATTERNS.items()]
-    signs = F.regexp_replace(t, r"[{}()\[\];]+", "")
-    words = sum((F.contains(t, F.lit(w)).cast("int") for w in T.CODE_WORDS), F.lit(0))
-    s = b.withColumn("__t", T.strip(F.coalesce("content", F.lit(""))))
-    s = s.select(*b.columns, "__t", *counts, *marks, words.alias("__words"), (100 * (F.length(t) - F.length(signs))).alias("__marks"), F.octet_length(t).alias("__size"))
-
-    n, hits, stamps, levels, indented, words, marks_, size = (F.col(f"__{c}") for c in ("n", "hits", "stamps", "levels", "indented", "words", "marks", "size"))
-    dense = lambda per_cent: marks_ >= per_cent * size
-    scores = {
-        "json": F.when(T.is_json(t), 1.0),
-        "diff": F.when(F.col("__diff_mark") & F.col("__hunk"), 1.0).when(F.col("__diff_mark") & F.col("__change"), 0.85).when(F.col("__hunk") & F.col("__change"), 0.8),
-        "search": F.when((n >= 2) & (5 * hits >= 4 * n), 0.9).when((n >= 2) & (5 * hits >= 3 * n), 0.7),
-        "log": F.when(n < 2, None).when(5 * stamps >= 4 * n, 0.95).when((2 * stamps >= n) | (5 * levels >= 4 * n), 0.8).when(2 * levels >= n, 0.65),
-        "code": F.when((words >= 3) & dense(2), 0.95).when((words >= 2) & dense(3), 0.85).when(words >= 3, 0.75).when((words >= 1) & dense(5) & (10 * indented >= 3 * n), 0.7),
-    }
-    kind = lambda name, score: F.struct(F.lit(name).alias("t"), score.cast("double").alias("c"))
-    found = F.when(t == "", kind("unknown", F.lit(1.0)))
-    for name, score in scores.items():
-        found = found.when(score.isNotNull(), kind(name, score))
-    s = s.withColumn("__f", found.otherwise(kind("prose", F.lit(0.4))))
-    return s.select(*b.columns, F.col("__f.t").alias("content_type"), F.col("__f.c").alias("confidence"))
+    return b.select("*", F.expr(detection("content")).alias("__f")).select(*b.columns, F.col("__f.t").alias("content_type"), F.col("__f.c").alias("confidence"))
 
 
 def bracket_depth(c: Column) -> Column:
@@ -196,9 +219,22 @@ def q_route(spark: SparkSession, d: str) -> DataFrame:
     return route(b, advice, Limits(max_bytes=60_000, max_lines=400)).select("block_id", "content_type", "transform", "reason")
 
 
+LEVELS = ("critical", "notable", "routine")
+
+
+def line_importance(b: DataFrame) -> DataFrame:
+    """block_id, importance, n_lines, score: the lines of each block by importance, counted in the block's own row."""
+    def scored(line: Column) -> Column:
+        return T.let(T.keyword_score(line), lambda s: F.struct(T.importance(line, s).alias("importance"), s.alias("score")))
+
+    own = b.select("block_id", F.transform(T.lines(F.col("content")), scored).alias("a"))
+    level = lambda name: F.transform(F.filter("a", lambda x: x["importance"] == name), lambda x: x["score"])
+    sums = lambda name: T.let(level(name), lambda s: F.struct(F.lit(name).alias("importance"), F.size(s).cast("long").alias("n_lines"), F.aggregate(s, F.lit(0).cast("long"), lambda x, y: x + y).alias("score")))
+    return own.select("block_id", F.explode(F.array(*[sums(n) for n in LEVELS])).alias("s")).select("block_id", "s.*").where("n_lines > 0")
+
+
 def q_line_importance(spark: SparkSession, d: str) -> DataFrame:
-    ln = block_lines(blocks(spark, d)).withColumn("score", T.keyword_score(F.col("line")))
-    return ln.groupBy("block_id", T.importance(F.col("line"), F.col("score")).alias("importance")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum("score").alias("score"))
+    return line_importance(blocks(spark, d))
 
 
 def q_line_anchors(spark: SparkSession, d: str) -> DataFrame:

@@ -7,8 +7,8 @@ import importlib
 MODULES = tuple(
     f"textloom.{m}"
     for m in (
-        "operators.signals", "operators.condense", "operators.records", "operators.jsonsets", "operators.relevance", "operators.accounting", "operators.conversation", "operators.bodies",
-        "operators.diffs", "operators.code", "operators.shaping", "streaming.sse", "streaming.ledger", "streaming.usage", "plans.requests", "plans.reports",
+        "operators.signals", "operators.condense", "operators.records", "operators.jsonsets", "operators.relevance", "operators.search_index", "operators.accounting", "operators.conversation", "operators.bodies",
+        "operators.diffs", "operators.code", "operators.shaping", "streaming.sse", "streaming.ledger", "streaming.contents", "streaming.rollups", "streaming.usage", "plans.requests", "plans.reports", "plans.table_functions",
     )
 )
 

@@ -92,7 +92,7 @@ def _records(b: DataFrame, queries: DataFrame | None) -> DataFrame:
 
 for _name, _apply in (
     ("log_digest", _by_lines(log_digest)), ("search_digest", _by_lines(search_digest)), ("diff_digest", _by_lines(diff_digest)), ("code_digest", lambda b, queries: code_digest(b)),
-    ("prose_summary", lambda b, queries: summarise(block_lines(b), queries=queries)), ("record_set", _records),
+    ("prose_summary", lambda b, queries: summarise(b, queries=queries)), ("record_set", _records),
 ):
     registry.register_transform(registry.BlockTransform(_name, lossy=True, apply=_apply))
 registry.register_transform(registry.BlockTransform("reformat", lossy=False, apply=lambda b, queries: b.select("block_id", reformat(F.col("content")).alias("digest"))))
@@ -109,7 +109,7 @@ def shrunk_leaves(sets: DataFrame, queries: DataFrame | None = None) -> tuple[Da
     named = leaves.withColumn("leaf_id", F.concat_ws("#", "block_id", F.col("leaf").cast("string")))
     prose = settle(detect(named).where("content_type = 'prose'").select("block_id", "leaf", "leaf_id", "content"), "leaves")
     asked = None if queries is None else prose.join(queries, "block_id").select(F.col("leaf_id").alias("block_id"), "query")
-    short = summarise(block_lines(prose.select(F.col("leaf_id").alias("block_id"), "content")), queries=asked)
+    short = summarise(prose.select(F.col("leaf_id").alias("block_id"), "content"), queries=asked)
     j = prose.join(short.withColumnRenamed("block_id", "leaf_id"), "leaf_id").withColumn("text", _marked("digest", "content"))
     j = j.where(T.estimated_tokens(F.col("text")) < T.estimated_tokens(F.col("content")))
     return with_leaves(sets, j.select("block_id", "leaf", "text")), j.select(T.content_hash(F.col("content")).alias("hash"), "content")

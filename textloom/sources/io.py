@@ -32,6 +32,23 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders at a path whose write is complete; none where there is no such path."""
+    fs, at = _file_system(spark, path)
+    found = [s.getPath() for s in fs.listStatus(at) if s.isDirectory()] if fs.exists(at) else []
+    return sorted(p.getName() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
 def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
     """ord, line of a text file; ord follows a file's order."""
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"))
