@@ -126,8 +126,9 @@ def template(line: Column) -> Column:
     part = r"""^([(\[{"'<]*)(.*?)([)\]}"'>,;:.]*)\z"""
 
     def token(run: Column) -> Column:
-        core = F.regexp_extract(run, part, 2)
-        return F.when(F.regexp_like(run, F.lit(f"^[{WS}]")) | (core == ""), run).otherwise(F.concat(F.regexp_extract(run, part, 1), shape(core), F.regexp_extract(run, part, 3)))
+        shaped = let(F.regexp_extract(run, part, 2), lambda core: F.when(core == "", run).otherwise(F.concat(F.regexp_extract(run, part, 1), shape(core), F.regexp_extract(run, part, 3))))
+        # what varies has a digit or a slash, or is a name of twelve characters or more
+        return F.when(F.regexp_like(run, F.lit(rf"[0-9/\\]|^[^{WS}]{{12}}")), shaped).otherwise(run)
 
     return F.array_join(F.transform(F.regexp_extract_all(line, F.lit(f"([^{WS}]+|[{WS}]+)")), token), "")
 

@@ -24,7 +24,7 @@ def outcomes_of(e: DataFrame) -> DataFrame:
     pick = lambda names, c: F.element_at(F.array(*[F.lit(n) for n in names]), (c % len(names) + 1).cast("int"))
     before = (F.floor("value") + 50).cast("long")
     return e.select(
-        "event_id", "ts", pick(MODES, F.col("user_id")).alias("mode"), T.model_family(pick(MODELS, F.col("event_id"))).alias("family"), F.col("event_type").alias("content_type"),
+        "event_id", "ts", "user_id", pick(MODES, F.col("user_id")).alias("mode"), T.model_family(pick(MODELS, F.col("event_id"))).alias("family"), F.col("event_type").alias("content_type"),
         before.alias("before"), F.when(F.col("event_id") % 11 == 0, before + 3).when(F.col("event_id") % 3 == 0, before).otherwise(F.floor(before / (1 + F.col("event_id") % 7)).cast("long")).alias("after"),
     )
 
@@ -48,8 +48,8 @@ def hourly(o: DataFrame) -> DataFrame:
 
 
 def rate_limit(o: DataFrame, limit: int = LIMIT, seconds: int = LIMIT_SECONDS) -> DataFrame:
-    """event_id, allowed: the first `limit` calls of a mode in each fixed window."""
-    w = Window.partitionBy("mode", F.floor(F.unix_timestamp("ts") / seconds)).orderBy("ts", "event_id")
+    """event_id, allowed: the first `limit` calls of a caller in each fixed window."""
+    w = Window.partitionBy("user_id", F.floor(F.unix_timestamp("ts") / seconds)).orderBy("ts", "event_id")
     return o.select("event_id", (F.row_number().over(w) <= limit).alias("allowed"))
 
 
@@ -98,7 +98,7 @@ def q_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_rate_limit(spark: SparkSession, d: str) -> DataFrame:
-    return rate_limit(outcomes(spark, d), limit=1, seconds=3600)
+    return rate_limit(outcomes(spark, d), limit=2, seconds=24 * 3600)
 
 
 def q_content_store(spark: SparkSession, d: str) -> DataFrame:
@@ -178,7 +178,7 @@ ORACLES = {
     "hourly_savings": f"WITH {_O} SELECT * FROM ho",
     "savings_totals": f"WITH {_O} SELECT family, sum(tokens_before)::BIGINT AS tokens_before, sum(tokens_after)::BIGINT AS tokens_after, count(DISTINCT hour) AS hours FROM ho WHERE hour >= (SELECT max(hour) FROM ho) - INTERVAL 7 DAY GROUP BY 1",
     "audit": f"WITH {_O} SELECT mode || '|' || family || '|' || content_type AS key, samples, declines FROM ob WHERE samples >= {MIN_SAMPLES} AND declines > 0 ORDER BY declines DESC, key",
-    "rate_limit": f"WITH {_O} SELECT event_id, row_number() OVER (PARTITION BY mode, floor(epoch(ts) / 3600) ORDER BY ts, event_id) <= 1 AS allowed FROM o",
+    "rate_limit": f"WITH {_O} SELECT event_id, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 86400) ORDER BY ts, event_id) <= 2 AS allowed FROM events",
     "content_store": f"WITH {_ST} SELECT * FROM st",
     "retrieve": f"""WITH {_ST}, a AS (SELECT event_id AS ask_id, CASE WHEN event_id % 15 = 0 THEN upper(left(sha256(props), 32)) WHEN event_id % 10 = 0 THEN left(sha256(event_type), 32) ELSE left(sha256(props), 32) END AS hash FROM events),
  j AS (SELECT ask_id, content, CASE WHEN NOT regexp_matches(a.hash, '^[0-9a-f]{{32}}$') THEN 'malformed' WHEN expires_at IS NULL THEN 'missing' WHEN expires_at <= (SELECT max(ts) FROM events) THEN 'expired' ELSE 'found' END AS status FROM a LEFT JOIN st USING (hash))

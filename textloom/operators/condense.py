@@ -38,8 +38,9 @@ def log_digest(ln: DataFrame) -> DataFrame:
 
 def parse_hits(ln: DataFrame) -> DataFrame:
     """doc_id, line_no, path, number, hit of lines shaped path:line:text or path:line:column:text."""
-    p = r"^(?=[^:]*[/.\\])([^:]*+):([0-9]++):(?:[0-9]++:)?(.*)$"
-    return ln.where(F.regexp_like("line", F.lit(p))).select("doc_id", "line_no", F.regexp_extract("line", p, 1).alias("path"), F.regexp_extract("line", p, 2).cast("long").alias("number"), F.regexp_extract("line", p, 3).alias("hit"))
+    parts = F.split("line", ":", 3)
+    h = ln.select("doc_id", "line_no", parts.alias("p")).where((F.size("p") == 3) & F.regexp_like(F.get("p", F.lit(0)), F.lit(r"[/.\\]")) & F.regexp_like(F.get("p", F.lit(1)), F.lit("^[0-9]{1,18}$")))
+    return h.select("doc_id", "line_no", F.get("p", F.lit(0)).alias("path"), F.get("p", F.lit(1)).cast("long").alias("number"), F.regexp_replace(F.get("p", F.lit(2)), "^[0-9]+:", "").alias("hit"))
 
 
 def search_files(ln: DataFrame) -> DataFrame:
@@ -67,6 +68,13 @@ def search_digest(ln: DataFrame) -> DataFrame:
     return total.join(body, "doc_id").select("doc_id", F.when((F.col("hits") >= MIN_HITS) & (F.col("files") < F.col("hits")), F.concat(head, "body", more, gone)).alias("digest"))
 
 
+def most_important(b: DataFrame, budget: int) -> DataFrame:
+    """block_id, line_no of the `budget` most important lines of each text, equal ones by place; null texts have no lines."""
+    level = lambda line: T.let(T.importance(line), lambda i: F.when(i == "critical", -2).when(i == "notable", -1).otherwise(0))
+    ranked = F.array_sort(F.transform(T.lines(F.col("content")), lambda line, at: F.struct(level(line).alias("level"), at.alias("at"))))
+    return b.select("block_id", F.explode(F.slice(ranked, 1, budget)).alias("r")).select("block_id", F.col("r.at").alias("line_no"))
+
+
 def summarise(b: DataFrame, budget: int = 60, min_lines: int = 60, queries: DataFrame | None = None) -> DataFrame:
     """block_id, digest: the most important lines of a text with gaps counted between them.
 
@@ -134,6 +142,10 @@ def q_prose_summary(spark: SparkSession, d: str) -> DataFrame:
     return summarise(blocks(spark, d), budget=12, min_lines=15)
 
 
+def q_most_important_lines(spark: SparkSession, d: str) -> DataFrame:
+    return most_important(blocks(spark, d), 5)
+
+
 def q_tidy_lines(spark: SparkSession, d: str) -> DataFrame:
     b = blocks(spark, d)
     return b.select("block_id", F.octet_length(tidy(F.col("content"))).cast("long").alias("bytes_after"), F.sha2(tidy(F.col("content")).cast("binary"), 256).alias("sha"))
@@ -179,7 +191,7 @@ _OUTCOMES = f"""WITH {BLOCKS_SQL}, {_LOGD.replace(LOG_SQL + ', ', '')}, {_SEAD.r
  CASE WHEN a < tokens_before THEN a ELSE tokens_before END AS tokens_after FROM b LEFT JOIN a USING (block_id)"""
 
 
-QUERIES = {"log_templates": q_log_templates, "log_digest": q_log_digest, "search_digest": q_search_digest, "prose_summary": q_prose_summary, "tidy_lines": q_tidy_lines, "content_markers": q_content_markers, "digest_outcomes": q_digest_outcomes}
+QUERIES = {"log_templates": q_log_templates, "log_digest": q_log_digest, "search_digest": q_search_digest, "prose_summary": q_prose_summary, "most_important_lines": q_most_important_lines, "tidy_lines": q_tidy_lines, "content_markers": q_content_markers, "digest_outcomes": q_digest_outcomes}
 ORACLES = {
     "log_templates": f"WITH {_TPL} SELECT * FROM tp",
     "log_digest": f"WITH {_LOGD} SELECT * FROM logd",
@@ -189,6 +201,8 @@ ORACLES = {
  l3 AS (SELECT *, sum(req::INT) OVER (PARTITION BY block_id) AS must, row_number() OVER (PARTITION BY block_id ORDER BY req DESC, lv DESC, line_no) AS r FROM l2),
  l4 AS (SELECT *, line_no - lag(line_no) OVER (PARTITION BY block_id ORDER BY line_no) - 1 AS gap FROM l3 WHERE r <= greatest(12, must))
  SELECT block_id, '[' || max(n) || ' lines, ' || count(*) || ' shown]' || chr(10) || string_agg(CASE WHEN gap > 0 THEN '... ' || gap || ' lines ...' || chr(10) ELSE '' END || line, chr(10) ORDER BY line_no) AS digest FROM l4 GROUP BY 1""",
+    "most_important_lines": rf"""WITH {BLOCKS_SQL}, {_LN}, l1 AS (SELECT *, {_STRIP("line")} AS t, {_SCORE} AS score FROM ln), l2 AS (SELECT *, CASE {_LEVEL} WHEN 'critical' THEN 2 WHEN 'notable' THEN 1 ELSE 0 END AS lv FROM l1)
+ SELECT block_id, line_no FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY lv DESC, line_no) AS r FROM l2) WHERE r <= 5""",
     "tidy_lines": rf"WITH {BLOCKS_SQL} SELECT block_id, strlen({_TIDY})::BIGINT AS bytes_after, sha256({_TIDY}) AS sha FROM blocks",
     "content_markers": f"WITH {BLOCKS_SQL} SELECT block_id, left(sha256(content), 32) AS hash, '<<ccr:' || left(sha256(content), 32) || '>>' AS marker FROM blocks",
     "digest_outcomes": _OUTCOMES,

@@ -112,9 +112,13 @@ def detect(b: DataFrame) -> DataFrame:
 def bracket_depth(c: Column) -> Column:
     """Greatest depth of [ and { outside strings."""
     plain = F.regexp_replace(T.without_strings(c), r"[^\[\]{}]+", "")
-    step = lambda x: F.when(x.isin("[", "{"), 1).when(x.isin("]", "}"), -1).otherwise(0)
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    walked = F.aggregate(F.split(plain, ""), start, lambda a, x: F.struct((a["now"] + step(x)).alias("now"), F.greatest(a["most"], a["now"] + step(x)).alias("most")))
+    runs = F.regexp_extract_all(plain, F.lit(r"([\[{]+|[\]}]+)"))  # of openings or of closings: depth is greatest behind openings
+
+    def step(a: Column, run: Column) -> Column:
+        now = a["now"] + F.when(F.substring(run, 1, 1).isin("[", "{"), F.length(run)).otherwise(-F.length(run))
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    walked = F.aggregate(runs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)
     return walked["most"]
 
 

@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.bodies import compressible, members, model_of, read_blocks
-from ..operators.code import code_digest, part_sources
+from ..operators.code import MODULE_SQL, code_digest, module_sources, part_sources
 from ..operators.condense import _LOGD, _SEAD, log_digest, search_digest, summarise
 from ..operators.conversation import call_arguments, frozen_floor, live_zone, request_query
-from ..operators.diffs import diff_digest
+from ..operators.diffs import _DIFF, diff_digest, order_diffs
 from ..operators.jsonsets import DIGEST_SQL, LISTS_SQL, long_leaves, order_lists, records_of, with_leaves
 from ..operators.records import _R, record_digest
 from ..operators.shaping import reformat
-from ..operators.signals import _EST, THRESHOLDS, TOKENS_SQL, Limits, route
+from ..operators.signals import _EST, _LEVEL, _LN, _SCORE, _STRIP, _TAGS, ANCHOR_SQL, DETECT_SQL, THRESHOLDS, TOKENS_SQL, TRANSFORMS, Limits, route
 from ..sources.io import settle
 from . import registry
-from ..sources.tables import block_lines, in_order, log_lines, search_lines
+from ..sources.tables import block_lines, in_order, log_lines, read, search_lines
 
 
 def rewrite(body: str, edits: list[tuple[int, int, str]]) -> str:
@@ -184,18 +184,34 @@ def condense_requests(requests: DataFrame, dialect: str = "messages", recommende
 MODES = ("payg", "payg", "oauth", "subscription")
 
 
+#: Content types of `typed_blocks`, by number.
+TYPES = ("log", "search", "json", "code", "diff", "prose")
+
+
+def typed_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, k, content: a log of each user, each document's search hits, record lists of customers, modules of parts, diffs
+    of suppliers and each document with a line for each sentence; k: the number of its type."""
+    whole = lambda ln: ln.groupBy("doc_id").agg(in_order(F.col("line"), F.col("line_no")).alias("content"))
+    named = lambda df: df.select(F.col("block_id").alias("doc_id"), "content")
+    prose = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n")).alias("content"))
+    every = (whole(log_lines(spark, d)), whole(search_lines(spark, d)), named(order_lists(spark, d)), named(module_sources(spark, d)), whole(order_diffs(spark, d)), prose)
+    out = None
+    for k, own in enumerate(every):
+        own = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(k).alias("k"), "content")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def typed_requests(spark: SparkSession, d: str) -> DataFrame:
-    """request_id, body, mode: a question about a log, search hits or a JSON list of records; the same text once below a
-    cache mark and once in the live zone. Modes in turn."""
-    whole = lambda ln: ln.groupBy("doc_id").agg(in_order(F.col("line"), F.col("line_no")).alias("c"))
-    log, hits, lists = whole(log_lines(spark, d)), whole(search_lines(spark, d)), order_lists(spark, d).select(F.col("block_id").alias("doc_id"), F.col("content").alias("c"))
-    t = log.withColumn("k", F.lit(0)).unionByName(hits.withColumn("k", F.lit(1))).unionByName(lists.withColumn("k", F.lit(2)))
+    """request_id, body, mode: a question about a block of any type; the same text once below a cache mark and once in the
+    live zone. Modes in turn."""
+    t = typed_blocks(spark, d).withColumnRenamed("content", "c")
     msg = lambda role, content: F.to_json(F.struct(F.lit(role).alias("role"), content.alias("content")))
     tool = F.array(F.struct(F.lit("tool_result").alias("type"), F.col("c").alias("content")))
     old = F.array(F.struct(F.lit("tool_result").alias("type"), F.col("c").alias("content"), F.struct(F.lit("ephemeral").alias("type")).alias("cache_control")))
     body = F.concat(F.lit('{"model": "m-1", "messages": ['), msg("user", F.lit("what is it?")), F.lit(" , "), msg("user", old), F.lit(","), msg("assistant", F.lit("looking")), F.lit(","), msg("user", tool), F.lit('], "stream" : true}'))
     mode = F.element_at(F.array(*[F.lit(m) for m in MODES]), (F.pmod(F.col("doc_id"), F.lit(len(MODES))) + 1).cast("int"))
-    return t.select((F.col("doc_id") * 3 + F.col("k")).alias("request_id"), body.alias("body"), mode.alias("mode"))
+    return t.select((F.col("doc_id") * len(TYPES) + F.col("k")).alias("request_id"), body.alias("body"), mode.alias("mode"))
 
 
 def q_condense_requests(spark: SparkSession, d: str) -> DataFrame:
@@ -223,30 +239,55 @@ def q_code_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MODE = "['" + "', '".join(MODES) + "'][doc_id % 4 + 1]"
-_DIGESTED = f"""{_LOGD}, {_SEAD}, {_R}, {LISTS_SQL}, {DIGEST_SQL},
+#: Digests of prose with the question in view: its words in a line, lines in their order, what the question asks for kept.
+_PROSE = rf"""WITH blocks AS (SELECT doc_id AS block_id, replace(text, '. ', '.' || chr(10)) AS content FROM documents WHERE text IS NOT NULL), {_LN},
+ it AS (SELECT block_id, line_no, list_filter(regexp_split_to_array(lower(line), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM ln WHERE n > 60), tot AS (SELECT block_id, count(*) AS n, avg(len(t)) AS a FROM it GROUP BY 1),
+ tf AS (SELECT block_id, line_no, len(t) AS l, w.term, len(list_filter(t, lambda x: x = w.term)) AS tf FROM it, (VALUES ('what'), ('is'), ('it')) w(term)), dfr AS (SELECT block_id, term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY 1, 2),
+ sc AS (SELECT block_id, line_no, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS score FROM tf JOIN dfr USING (block_id, term) JOIN tot USING (block_id) WHERE tf > 0 GROUP BY 1, 2),
+ an AS (SELECT block_id, line_no FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY round(score, 9) DESC, line_no) AS p FROM sc WHERE score >= 0.5) WHERE p <= 10),
+ l1 AS (SELECT ln.*, an.line_no IS NOT NULL AS asked, {_STRIP("line")} AS t, {_SCORE} AS score FROM ln LEFT JOIN an USING (block_id, line_no) WHERE n > 60),
+ l2 AS (SELECT *, asked OR ({ANCHOR_SQL}) IS NOT NULL OR {_TAGS} > 0 AS req, CASE {_LEVEL} WHEN 'critical' THEN 2 WHEN 'notable' THEN 1 ELSE 0 END AS lv FROM l1),
+ l3 AS (SELECT *, sum(req::INT) OVER (PARTITION BY block_id) AS must, row_number() OVER (PARTITION BY block_id ORDER BY req DESC, lv DESC, line_no) AS r FROM l2),
+ l4 AS (SELECT *, line_no - lag(line_no) OVER (PARTITION BY block_id ORDER BY line_no) - 1 AS gap FROM l3 WHERE r <= greatest(60, must))
+ SELECT block_id AS doc_id, '[' || max(n) || ' lines, ' || count(*) || ' shown]' || chr(10) || string_agg(CASE WHEN gap > 0 THEN '... ' || gap || ' lines ...' || chr(10) ELSE '' END || line, chr(10) ORDER BY line_no) AS digest FROM l4 GROUP BY 1"""
+_DIFFS = f"""WITH {_DIFF}, x AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY line_no, text) AS digest FROM t GROUP BY 1), dr AS (SELECT doc_id, bool_or(NOT keep) AS dropped FROM r GROUP BY 1), w AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS content FROM ln GROUP BY 1)
+ SELECT doc_id, content, CASE WHEN dropped THEN digest END AS digest FROM x JOIN dr USING (doc_id) JOIN w USING (doc_id)"""
+_DIGESTED = f"""{_LOGD}, {_SEAD}, {_R}, {LISTS_SQL}, {DIGEST_SQL}, mods AS MATERIALIZED ({MODULE_SQL}), dfs AS MATERIALIZED ({_DIFFS}), prs AS MATERIALIZED ({_PROSE}),
  tx0 AS (SELECT doc_id, 0 AS k, string_agg(line, chr(10) ORDER BY line_no) AS content FROM log_lines GROUP BY 1 UNION ALL SELECT doc_id, 1, string_agg(line, chr(10) ORDER BY line_no) FROM search_lines GROUP BY 1
-  UNION ALL SELECT doc_id, 2, content FROM lists),
- dg0 AS (SELECT doc_id, 0 AS k, digest FROM logd UNION ALL SELECT doc_id, 1, digest FROM sead UNION ALL SELECT recd.doc_id, 2, digest FROM recd JOIN n USING (doc_id) WHERE records >= 2)"""
-
+  UNION ALL SELECT doc_id, 2, content FROM lists UNION ALL SELECT block_id, 3, content FROM mods UNION ALL SELECT doc_id, 4, content FROM dfs UNION ALL SELECT doc_id, 5, replace(text, '. ', '.' || chr(10)) FROM documents WHERE text IS NOT NULL),
+ dg0 AS (SELECT doc_id, 0 AS k, digest FROM logd UNION ALL SELECT doc_id, 1, digest FROM sead UNION ALL SELECT recd.doc_id, 2, digest FROM recd JOIN n USING (doc_id) WHERE records >= 2
+  UNION ALL SELECT block_id, 3, digest FROM mods UNION ALL SELECT doc_id, 4, digest FROM dfs UNION ALL SELECT doc_id, 5, digest FROM prs)"""
+_TYPE = "['" + "', '".join(TYPES) + f"'][(block_id % {len(TYPES)} + 1)::INT]"
 
-def _transform_sql(last: str) -> str:
-    """Requests whose blocks detection finds to be what they were made as; the rest of their kinds declines or is too short."""
-    from ..operators.signals import DETECT_SQL
 
+def transform_sql(last: str, mode: str = _MODE) -> str:
+    """Blocks whose type detection finds to be what they were made as; the rest of their kinds declines or is too short."""
     gate = " ".join(f"WHEN '{k}' THEN {v}" for k, v in THRESHOLDS.items())
-    return f"""WITH {_DIGESTED}, blocks AS (SELECT doc_id * 3 + k AS block_id, 'tool_result' AS kind, content FROM tx0), dt AS (WITH {DETECT_SQL} SELECT * FROM det),
- rt AS (SELECT dt.block_id, dt.content, doc_id, dg0.k, f[1] AS ct, digest, {_MODE} AS mode FROM dt JOIN tx0 ON tx0.doc_id * 3 + tx0.k = dt.block_id LEFT JOIN dg0 USING (doc_id, k)),
- rr AS (SELECT *, CASE WHEN mode = 'oauth' THEN 'lossless' WHEN mode = 'subscription' THEN 'policy_forbids' WHEN strlen(content) <= CASE ct {gate} ELSE 1e18 END THEN 'below_size' ELSE 'compress' END AS reason FROM rt),
- mk AS (SELECT block_id, CASE WHEN reason = 'compress' AND ct = ['log', 'search', 'json'][block_id % 3 + 1] THEN digest || chr(10) || 'full content: <<ccr:' || left(sha256(content), 32) || '>>' END AS text FROM rr),
+    return f"""WITH {_DIGESTED}, blocks AS (SELECT doc_id * {len(TYPES)} + k AS block_id, 'tool_result' AS kind, content FROM tx0), dt AS (WITH {DETECT_SQL} SELECT * FROM det),
+ rt AS (SELECT dt.block_id, dt.content, doc_id, k, f[1] AS ct, digest, {mode} AS mode FROM dt JOIN tx0 ON tx0.doc_id * {len(TYPES)} + tx0.k = dt.block_id LEFT JOIN dg0 USING (doc_id, k)),
+ rr AS (SELECT *, CASE WHEN mode = 'oauth' THEN 'lossless' WHEN mode = 'subscription' THEN 'policy_forbids' WHEN ct = 'unknown' THEN 'no_compressor' WHEN strlen(content) <= CASE ct {gate} ELSE 1e18 END THEN 'below_size' ELSE 'compress' END AS reason FROM rt),
+ mk AS (SELECT block_id, CASE WHEN reason = 'compress' AND ct = {_TYPE} THEN digest || chr(10) || 'full content: <<ccr:' || left(sha256(content), 32) || '>>' END AS text FROM rr),
  t1 AS (WITH blocks AS (SELECT block_id, content FROM rr), {TOKENS_SQL} SELECT block_id, {_EST} AS tokens_before FROM measured), t2 AS (WITH blocks AS (SELECT block_id, text AS content FROM mk WHERE text IS NOT NULL), {TOKENS_SQL} SELECT block_id, {_EST} AS offered FROM measured),
  jd AS (SELECT rr.*, text, tokens_before, CASE WHEN reason NOT IN ('compress', 'lossless') THEN 'passed' WHEN text IS NULL THEN 'declined' WHEN offered < tokens_before THEN 'compressed' ELSE 'not_smaller' END AS outcome,
   CASE WHEN offered < tokens_before THEN offered ELSE tokens_before END AS tokens_after FROM rr JOIN mk USING (block_id) JOIN t1 USING (block_id) LEFT JOIN t2 USING (block_id)) {last}"""
 
 
+_EXPECTED = "CASE " + _TYPE + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TRANSFORMS.items()) + " END"
+_ROUTED = "CASE WHEN reason = 'compress' THEN CASE ct " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TRANSFORMS.items()) + " END END"
 QUERIES = {"condense_requests": q_condense_requests, "condense_originals": q_condense_originals, "condense_outcomes": q_condense_outcomes, "code_requests": q_code_requests}
 ORACLES = {
-    "condense_requests": _transform_sql("""SELECT block_id AS request_id, 0 AS msg_idx, 'text' AS kind, sha256('what is it?') AS sha FROM jd UNION ALL SELECT block_id, 1, 'tool_result', sha256(content) FROM jd
+    "condense_requests": transform_sql("""SELECT block_id AS request_id, 0 AS msg_idx, 'text' AS kind, sha256('what is it?') AS sha FROM jd UNION ALL SELECT block_id, 1, 'tool_result', sha256(content) FROM jd
  UNION ALL SELECT block_id, 2, 'text', sha256('looking') FROM jd UNION ALL SELECT block_id, 3, 'tool_result', sha256(CASE WHEN outcome = 'compressed' THEN text ELSE content END) FROM jd"""),
-    "condense_originals": _transform_sql("SELECT DISTINCT left(sha256(content), 32) AS hash, content FROM jd WHERE outcome = 'compressed'"),
-    "condense_outcomes": _transform_sql("SELECT mode, ct AS content_type, reason, outcome, count(*) AS n, sum(tokens_before)::BIGINT AS tokens_before, sum(tokens_after)::BIGINT AS tokens_after FROM jd GROUP BY 1, 2, 3, 4"),
+    "condense_originals": transform_sql("SELECT DISTINCT left(sha256(content), 32) AS hash, content FROM jd WHERE outcome = 'compressed'"),
+    "condense_outcomes": transform_sql("SELECT mode, ct AS content_type, reason, outcome, count(*) AS n, sum(tokens_before)::BIGINT AS tokens_before, sum(tokens_after)::BIGINT AS tokens_after FROM jd GROUP BY 1, 2, 3, 4"),
+    "code_requests": f"""WITH f AS (SELECT p_partkey, p_size % 2 = 0 AS py, i, (i * 3 + p_partkey) % 9 AS m FROM part, range(1, 7) t(i) WHERE i <= p_size % 6 + 1),
+ blocks AS (SELECT p_partkey AS block_id, 'tool_result' AS kind, CASE WHEN py THEN 'import x' ELSE 'var a int' END || chr(10) || string_agg(CASE WHEN py THEN 'def f' || i || '():' || chr(10) || repeat('    y = 1' || chr(10), m)
+  ELSE 'func f' || i || '() {{' || chr(10) || repeat(chr(9) || 'y := nil' || chr(10), m) || '}}' || chr(10) END, chr(10) ORDER BY i) AS content FROM f GROUP BY p_partkey, py), {DETECT_SQL}
+ SELECT f[1] AS content_type, CASE WHEN f[1] = 'unknown' THEN 'no_compressor' WHEN strlen(content) <= CASE f[1] {" ".join(f"WHEN '{k}' THEN {v}" for k, v in THRESHOLDS.items())} END THEN 'below_size' ELSE 'compress' END AS reason, count(*) AS n FROM det GROUP BY 1, 2""",
 }
+#: What `reports.parity` finds of every typed block, without a question in view.
+PARITY_SQL = transform_sql(
+    f"""SELECT content_type, CASE WHEN detail IS NULL THEN 'covered' ELSE 'failed' END AS outcome, detail, count(*) AS n FROM (SELECT {_TYPE} AS content_type,
+ CASE WHEN {_ROUTED} IS NULL THEN 'nothing routed to it; expected ' || {_EXPECTED} WHEN {_ROUTED} <> {_EXPECTED} THEN 'routed to ' || {_ROUTED} || ' rather than ' || {_EXPECTED} WHEN digest IS NULL THEN {_EXPECTED} || ' declined'
+ WHEN strlen(digest) >= strlen(content) THEN 'did not shrink' END AS detail FROM rr WHERE k <> 5) GROUP BY 1, 2, 3""", "'payg'"
+)

@@ -87,9 +87,15 @@ class ContentStore:
         t = self.spark.read.schema(self.SCHEMA).parquet(self.path)
         return t.groupBy("shard", "hash").agg(F.max_by("content", "stored_at").alias("content"), F.max("expires_at").alias("expires_at"))
 
-    def get(self, hashes: list[str], now) -> DataFrame:
-        """hash, content of the live ones among a few hashes."""
-        return self.read().where(F.col("shard").isin(sorted({h[:2] for h in hashes})) & F.col("hash").isin(hashes) & (F.col("expires_at") > now)).select("hash", "content")
+    def get(self, names: DataFrame | list[str], now) -> DataFrame:
+        """hash, content of the live ones among the names: a table with a column hash, or a few of them.
+
+        Names join on shard and hash, so that a small table prunes the folders that are read and a large one is shuffled;
+        repeated names give a row each, null ones none."""
+        if isinstance(names, list):
+            names = self.spark.createDataFrame([(n,) for n in names], "hash string").distinct()
+        asked = names.where("hash IS NOT NULL").withColumn("shard", F.substring("hash", 1, 2))
+        return asked.join(self.read().where(F.col("expires_at") > now).select("shard", "hash", "content"), ["shard", "hash"]).drop("shard")
 
     def purge(self, now, to: str) -> int:
         """Write the live entries as a new table; returns their number."""
