@@ -92,20 +92,29 @@ def summarise(b: DataFrame, budget: int = 60, min_lines: int = 60, queries: Data
         held = held.join(found, "block_id", "left")
         answers = F.coalesce("answers", answers)
 
-    def ranked(line: Column, at: Column) -> Column:
-        """Sorts what is required first, then by importance, then by place."""
-        required = anchor(line, (at == 0) | (at == F.size("a") - 1)).isNotNull() | (F.size(T.tags(line)) > 0) | F.array_contains(answers, at)
-        level = F.when(required, F.lit(-3)).otherwise(T.let(T.importance(line), lambda i: F.when(i == "critical", -2).when(i == "notable", -1).otherwise(0)))
-        return F.struct(level.alias("level"), at.alias("at"))
-
-    held = held.withColumn("r", F.array_sort(F.transform("a", ranked)))
-    # lines that are required rank alike below importance, as they do above it
-    must = F.size(F.filter("r", lambda x: x["level"] == -3))
-    held = held.withColumn("kept", F.array_sort(F.transform(F.slice("r", F.lit(1), F.greatest(F.lit(budget), must)), lambda x: x["at"])))
-    gap = lambda at, i: at - F.when(i > 0, F.get("kept", i - 1)).otherwise(at - 1) - 1
-    shown = lambda at, i: F.concat(F.when(gap(at, i) > 0, F.concat(F.lit("... "), gap(at, i).cast("string"), F.lit(" lines ...\n"))).otherwise(""), F.get("a", at))
-    head = F.concat(F.lit("["), F.size("a").cast("string"), F.lit(" lines, "), F.size("kept").cast("string"), F.lit(" shown]\n"))
-    return held.select("block_id", F.concat(head, F.array_join(F.transform("kept", shown), "\n")).alias("digest"))
+    # one expression over names of its own: a filter on the digest that moves below it repeats no step for each line
+    def ranked(a: Column) -> Column:
+        """Lines by what sorts first: what is required (by importance alike), then the others by importance, then by place."""
+
+        def rank(line: Column, at: Column) -> Column:
+            required = anchor(line, (at == 0) | (at == F.size(a) - 1)).isNotNull() | (F.size(T.tags(line)) > 0) | F.array_contains(answers, at)
+            level = F.when(required, F.lit(-3)).otherwise(T.let(T.importance(line), lambda i: F.when(i == "critical", -2).when(i == "notable", -1).otherwise(0)))
+            return F.struct(level.alias("level"), at.alias("at"))
+
+        return F.array_sort(F.transform(a, rank))
+
+    def places(r: Column) -> Column:
+        must = F.size(F.filter(r, lambda x: x["level"] == -3))
+        return F.array_sort(F.transform(F.slice(r, F.lit(1), F.greatest(F.lit(budget), must)), lambda x: x["at"]))
+
+    def written(a: Column, kept: Column) -> Column:
+        gap = lambda at, i: at - F.when(i > 0, F.get(kept, i - 1)).otherwise(at - 1) - 1
+        shown = lambda at, i: F.concat(T.let(gap(at, i), lambda n: F.when(n > 0, F.concat(F.lit("... "), n.cast("string"), F.lit(" lines ...\n"))).otherwise("")), F.get(a, at))
+        head = F.concat(F.lit("["), F.size(a).cast("string"), F.lit(" lines, "), F.size(kept).cast("string"), F.lit(" shown]\n"))
+        return F.concat(head, F.array_join(F.transform(kept, shown), "\n"))
+
+    digest = T.let(F.col("a"), lambda a: T.let(ranked(a), lambda r: T.let(places(r), lambda kept: written(a, kept))))
+    return held.select("block_id", digest.alias("digest"))
 
 
 def tidy(c: Column) -> Column:
