@@ -17,7 +17,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions import sql
 from ..functions import text as T
-from ..operators.signals import _EST, BRACKETS, DETECT_SQL, DIFF_PATTERNS, LINE_PATTERNS, PROSE, STAGES, THRESHOLDS, TOKENS_SQL, TOOL_OUTPUT_ONLY, TRANSFORMS, UNKNOWN, POLICIES
+from ..operators.signals import _EST, BRACKETS, DETECT_SQL, DIFF_PATTERNS, LINE_PATTERNS, PROSE, STAGES, THRESHOLDS, TOKENS_SQL, TOOL_OUTPUT_ONLY, TRANSFORMS, UNKNOWN, POLICIES, Limits
 from ..sources.tables import BLOCKS_SQL, blocks
 
 _struct = lambda **fields: StructType([StructField(k, t) for k, t in fields.items()])
@@ -31,12 +31,33 @@ _BRACKETS = re.compile(BRACKETS)
 _RULES = [(names, [(name, score, compile(condition, name, "eval")) for name, score, condition in rules]) for names, rules in STAGES]
 
 
+#: JSON nested deeper than this is not read as JSON (the built-in reader's own limit).
+DEEPEST = 999
+
+
+def depth(t: str) -> int:
+    """Greatest depth of [ and { outside strings."""
+    now = most = 0
+    for run in re.findall(r"[\[{]+|[\]}]+", re.sub(r'"[^"\x00-\x1F]*"', "", re.sub(r"(?s)\\.", "", t))):
+        now += len(run) if run[0] in "[{" else -len(run)
+        most = max(most, now)
+    return most
+
+
+def unsafe(content: str, limits: Limits = Limits()) -> bool:
+    """Whether a text breaks one of the limits of signals.hazard."""
+    rows = content.split("\n")
+    if len(content.encode()) > limits.max_bytes or max(len(r.encode()) for r in rows) > limits.max_line or len(rows) > limits.max_lines:
+        return True
+    return content.lstrip(T.WS_CHARS)[:1] in ("[", "{") and depth(content) > limits.max_depth
+
+
 def _refuse(name: str) -> None:
     raise ValueError(name)
 
 
 def _is_json(t: str) -> bool:
-    if t[:1] + t[-1:] not in ("{}", "[]"):
+    if t[:1] + t[-1:] not in ("{}", "[]") or depth(t) > DEEPEST:
         return False
     try:
         json.loads(t, parse_constant=_refuse, parse_int=len, parse_float=len)
@@ -72,11 +93,13 @@ def what(content: str | None) -> tuple[str, float]:
 
 
 def block_row(content: str | None, kind: str | None, auth: str | None) -> tuple:
-    """content_type, confidence, threshold, transform, reason; the reasons of signals.route, but for its limits."""
+    """content_type, confidence, threshold, transform, reason; the reasons of signals.route."""
     name, score = what(content)
     _, lossy, lossless = ("", *POLICIES[auth][:2]) if auth in POLICIES else ("", False, False)
     gate = THRESHOLDS.get(name)
-    if not lossy:
+    if unsafe(content or ""):
+        reason = "unsafe"
+    elif not lossy:
         reason = "lossless" if lossless else "policy_forbids"
     elif name not in TRANSFORMS or (name in TOOL_OUTPUT_ONLY and kind == "text"):
         reason = "no_compressor"

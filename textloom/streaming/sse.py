@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.io import new_folder
 from ..sources.tables import in_order, read
+from . import base
 from .base import run_keeping_state, run_to_table
 
 #: An unfinished frame longer than this ends the parsing of its stream.
@@ -179,7 +180,7 @@ def q_sse_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_sse_frames_streamed(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{new_folder(spark)}/chunks"
+    path = f"{base.new_folder(spark)}/chunks"
     conversation_chunks(spark, d).repartition("stream_id").sortWithinPartitions("stream_id", "chunk_no").write.parquet(path)
     source = spark.readStream.schema("stream_id long, chunk_no int, chunk string").parquet(path)
     return run_to_table(frames_stream(source))
