@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from textloom.llm import language_id as L
@@ -102,3 +104,16 @@ def test_many_languages_are_all_learned(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     assert {lang for lang, _ in L.training_windows(docs)} == {r[1] for r in rows}
     assert L.noise_bound(docs.where("1 = 0"), L.train([])) == L.TOWARDS
+
+
+def test_bound_counts_every_document_whole(spark):
+    """Few of many held-out documents are long and doubtful: neither a cap on length nor a sample may leave them out."""
+    model = L.train([("en", b"the and of with")] * 20 + [(L.NOISE, b"qzxj kvqz jjxq")] * 20, steps=60)
+    held = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 5 == 0]
+    doubtful = {i for n, i in enumerate(held) if n % 125 == 0}  # 8 in 1,000, so the 99.5 % quantile is theirs
+    rows = [(i, "qzxj kvqz jjxq " * 300 if i in doubtful else "the and of with", "en") for i in held]
+    assert len(rows[0][1]) > 4_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    least = float(L.noise_margins(model, [rows[0][1]])[0])
+    assert least > 0 and L.noise_bound(docs, model) >= least
+    assert L.keep_identified(docs, model).count() == len(rows)

@@ -20,13 +20,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import as_sent, fold, freed, hash_sample, materialize, sent_type, slices, small_batches, table
+from .shared import as_sent, fold, freed, materialize, sent_type, slices, small_batches, table
 
 HIDDEN = 8
 CORE, CONTEXT = 448, 24
 #: Windows labelled at a time: as many as keep their probabilities at BATCH_CELLS numbers a byte position.
-BATCH_CELLS = 4096
+BATCH_CELLS = 2048
 PAD = 256
 #: Bound of the training sample: documents of each language, windows of a document, characters of a window, documents of all
 #: languages together (with more than DOCS / DOCS_PER_LANG languages each has fewer, but at least one).
@@ -158,7 +159,9 @@ def _probabilities(m: Model, x: np.ndarray) -> np.ndarray:
             h += n
             np.matmul(h, m.wo[d], out=out)
             logits[s] += out
-    prob = np.ascontiguousarray(np.moveaxis(logits, -1, 0)) + m.bo[:, None, None]
+    prob = np.ascontiguousarray(np.moveaxis(logits, -1, 0))
+    del logits
+    prob += m.bo[:, None, None]
     prob -= prob.max(0)
     np.exp(prob, out=prob)
     prob /= prob.sum(0)
@@ -240,9 +243,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 #: Label of text in no language, which a model with `noise` learns from made-up windows (see `noise_windows`).
 NOISE = ""
-#: Sample that `noise_bound` reads (documents, and characters of the longest of them), made-up texts beside it and their
-#: length, the quantiles of both, and how far from the documents' towards the noise's the bound lies.
-SCORED_DOCS, SCORED_CHARS, MADE_UP, MADE_UP_CHARS, HIGH_QUANTILE, LOW_QUANTILE, TOWARDS = 1_000, 4_000, 200, 1_000, 0.995, 0.05, 0.7
+#: Made-up texts beside the documents that `noise_bound` reads and their length, the quantiles of both, how far from the
+#: documents' towards the noise's the bound lies, and the fractions of 1 in which margins are counted.
+MADE_UP, MADE_UP_CHARS, HIGH_QUANTILE, LOW_QUANTILE, TOWARDS, FRACTIONS = 200, 1_000, 0.995, 0.05, 0.7, 10_000
+#: Column of `with_margins`.
+MARGIN = "__margin"
 
 
 def random_letters(letters: str, length: int, rng: np.random.Generator, few: bool = False) -> str:
@@ -276,20 +281,52 @@ def noise_margins(model: Model, texts: list[str]) -> np.ndarray:
     return prob[:, noise].sum(1) - prob[:, ~noise].max(1)
 
 
-def noise_bound(docs: DataFrame, model: Model) -> float:
-    """Margin from which a text counts as in no language: between the margins of labelled documents that the model has not
-    learned from (HIGH_QUANTILE) and those of made-up texts (LOW_QUANTILE), TOWARDS of the way; never below 0, so that a text
-    whose best language beats noise stays. Without such documents it is TOWARDS."""
-    held = docs.where(fold() == 0).where("lang IS NOT NULL").where(F.regexp_like("text", F.lit(r"\p{L}")) & (F.length("text") <= SCORED_CHARS))
-    texts = [r["text"] for r in hash_sample(held.select("doc_id", "text"), SCORED_DOCS, "doc_id", "text").collect()]
-    if not texts:
+def with_margins(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose text has a letter, with their noise margin (see `noise_margins`) in a column MARGIN."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            margins = [noise_margins(model, texts[lo:hi]) for lo, hi in slices([len(t) for t in texts], 1_000_000)]
+            if margins:
+                yield b.append_column(MARGIN, pa.array(np.concatenate(margins)))
+
+    lettered = small_batches(docs).where(F.regexp_like("text", F.lit(r"\p{L}")))
+    return lettered.mapInArrow(freed(run), StructType([*docs.schema.fields, StructField(MARGIN, DoubleType())]))
+
+
+def _occurring(docs: DataFrame) -> str:
+    """The letters that occur in any text of docs, and those and the digits of ASCII."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"letter": sorted({c for t in b.column("text").to_pylist() for c in set(t) if c.isalpha()})}, pa.schema([("letter", pa.string())]))
+
+    return _letters([r["letter"] for r in docs.select("text").mapInArrow(freed(run), "letter string").distinct().collect()])  # letters there are
+
+
+def _bound(judged: DataFrame, model: Model) -> float:
+    """noise_bound of documents that have their margins."""
+    held = judged.where(fold() == 0).where("lang IS NOT NULL")
+    # at most 2 * FRACTIONS + 1 rows; every document is counted
+    counts = held.groupBy(F.ceil(F.col(MARGIN) * FRACTIONS).alias("margin")).agg(F.count(F.lit(1)).alias("n")).orderBy("margin").collect()
+    if not counts:
         return TOWARDS
-    rng, letters = np.random.default_rng(9), _letters(texts)
+    upto = np.cumsum([r["n"] for r in counts])
+    low = counts[int(np.searchsorted(upto, HIGH_QUANTILE * upto[-1]))]["margin"] / FRACTIONS
+    rng, letters = np.random.default_rng(9), _occurring(held)
     made_up = [random_letters(letters, MADE_UP_CHARS, rng, i % 2 == 1) for i in range(MADE_UP)]
-    low, high = float(np.quantile(noise_margins(model, texts), HIGH_QUANTILE)), float(np.quantile(noise_margins(model, made_up), LOW_QUANTILE))
+    high = float(np.quantile(noise_margins(model, made_up), LOW_QUANTILE))
     return max(0.0, low + TOWARDS * (high - low), low)
 
 
+def noise_bound(docs: DataFrame, model: Model) -> float:
+    """Margin from which a text counts as in no language: between the margins of all labelled documents that the model has not
+    learned from (HIGH_QUANTILE, in steps of 1 / FRACTIONS) and those of made-up texts (LOW_QUANTILE), TOWARDS of the way; never
+    below 0, so that a text whose best language beats noise stays. Without such documents it is TOWARDS."""
+    return _bound(with_margins(docs.where(fold() == 0).where("lang IS NOT NULL"), model).select("doc_id", "lang", "text", MARGIN), model)
+
+
 def keep_identified(docs: DataFrame, model: Model, bound: float | None = None) -> DataFrame:
     """The rows of docs, with all their columns untouched, whose text has a letter and is not more like noise than like its
     best language by more than `bound` (by default `noise_bound`). model: one with `noise`; with another, all texts with a
@@ -297,15 +334,11 @@ def keep_identified(docs: DataFrame, model: Model, bound: float | None = None) -
 
     Null and empty texts go. Repeated rows are judged alike; null ids stay null; an empty table gives no rows.
     """
-    bound = noise_bound(docs, model) if bound is None else bound
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            keep = [noise_margins(model, texts[lo:hi]) <= bound for lo, hi in slices([len(t) for t in texts], 1_000_000)]
-            yield b.filter(pa.array(np.concatenate(keep))) if keep else b
-
-    return small_batches(docs).where(F.regexp_like("text", F.lit(r"\p{L}"))).mapInArrow(freed(run), docs.schema)
+    judged = with_margins(docs, model)
+    if bound is None:  # every text is judged once, for the bound and by it
+        judged = materialize(judged, "margins")
+        bound = _bound(judged, model)
+    return judged.where(F.col(MARGIN) <= bound).select(*docs.columns)
 
 
 def fit(docs: DataFrame, noise: bool = False) -> Model:
