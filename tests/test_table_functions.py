@@ -57,3 +57,23 @@ def test_nothing_in_the_plan_runs_python_for_sql_functions(spark):
     X.register(spark)
     plan = spark.range(1).select(F.expr("condense_detect(cast(id AS string))"), F.expr("condense_tokens(cast(id AS string))"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_a_block_under_three_kinds_of_authentication_is_looked_at_once(monkeypatch):
+    seen, looked_at = [], X.what
+    monkeypatch.setattr(X, "what", lambda content: seen.append(content) or looked_at(content))
+    X._looked_at.cache_clear()
+    rows = [X.block_row(t, "text", auth) for t in ("a line", None, "a line") for auth in ("payg", "oauth", "subscription")]
+    assert seen == ["a line", None, "a line"] and [r[-1] for r in rows[:3]] == ["no_compressor", "lossless", "policy_forbids"]
+
+
+def test_patterns_are_not_run_over_texts_that_cannot_hold_them(monkeypatch):
+    class Never:
+        def finditer(self, t):
+            raise AssertionError
+
+        search = finditer
+
+    monkeypatch.setattr(X, "_COUNTED", X._COUNTED | {k: Never() for k in ("hits", "stamps", "levels")})
+    monkeypatch.setattr(X, "_LOOKED_FOR", {k: Never() for k in X._LOOKED_FOR})
+    assert X.what("words of prose and no more\n" * 9) == X.PROSE

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions import sql
 from ..functions import text as T
-from ..operators.signals import _EST, BRACKETS, DETECT_SQL, DIFF_PATTERNS, LINE_PATTERNS, PROSE, STAGES, THRESHOLDS, TOKENS_SQL, TOOL_OUTPUT_ONLY, TRANSFORMS, UNKNOWN, POLICIES, Limits
+from ..operators.signals import _EST, BRACKETS, DETECT_SQL, DIFF_PATTERNS, LINE_PATTERNS, NEEDED, PROSE, STAGES, THRESHOLDS, TOKENS_SQL, TOOL_OUTPUT_ONLY, TRANSFORMS, UNKNOWN, POLICIES, Limits
 from ..sources.tables import BLOCKS_SQL, blocks
 
 _struct = lambda **fields: StructType([StructField(k, t) for k, t in fields.items()])
@@ -67,6 +68,8 @@ def _is_json(t: str) -> bool:
 
 
 def _count(name: str, t: str):
+    if name in NEEDED and not any(w in t for w in NEEDED[name]):
+        return 0 if name in _COUNTED else False
     if name in _COUNTED:
         return sum(1 for _ in _COUNTED[name].finditer(t))
     if name in _LOOKED_FOR:
@@ -92,19 +95,26 @@ def what(content: str | None) -> tuple[str, float]:
     return PROSE
 
 
+@lru_cache(maxsize=1)
+def _looked_at(content: str | None) -> tuple[str, float, bool, int]:
+    """Content type, confidence, whether a limit is broken, bytes; of a text that comes again next, as under another kind of
+    authentication, only once."""
+    return (*what(content), unsafe(content or ""), len((content or "").encode()))
+
+
 def block_row(content: str | None, kind: str | None, auth: str | None) -> tuple:
     """content_type, confidence, threshold, transform, reason; the reasons of signals.route."""
-    name, score = what(content)
+    name, score, broken, size = _looked_at(content)
     _, lossy, lossless = ("", *POLICIES[auth][:2]) if auth in POLICIES else ("", False, False)
     gate = THRESHOLDS.get(name)
-    if unsafe(content or ""):
+    if broken:
         reason = "unsafe"
     elif not lossy:
         reason = "lossless" if lossless else "policy_forbids"
     elif name not in TRANSFORMS or (name in TOOL_OUTPUT_ONLY and kind == "text"):
         reason = "no_compressor"
     else:
-        reason = "below_size" if len((content or "").encode()) <= gate else "compress"
+        reason = "below_size" if size <= gate else "compress"
     return name, score, gate, {"compress": TRANSFORMS.get(name), "lossless": "reformat"}.get(reason), reason
 
 
