@@ -63,3 +63,13 @@ def test_bytes_are_compared_on_hits(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = X.op12_exact_dedup(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
+
+
+def test_the_plan_does_not_grow_with_the_hits(spark, monkeypatch):
+    """What tells hits from the rest is a table of the plan, not a text in it: the driver keeps every plan's description."""
+    monkeypatch.setattr(X, "SLOTS_LEAST", X.SLOTS_MOST)
+    at = work_dir(spark)
+    spark.createDataFrame([(i, f"text {i % 300}") for i in range(1000)], "doc_id long, text string").write.parquet(at)
+    docs = spark.read.parquet(at)
+    clash = X.unequal(docs, X.observed(spark.readStream.schema(docs.schema).parquet(at), work_dir(spark)))
+    assert len(clash._jdf.queryExecution().toString()) < 100_000 and clash.count() == 0
