@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators.accounting import outcomes_of
 from textloom.sources.io import folders, new_folder
-from textloom.streaming import base, contents, rollups, sse
+from textloom.streaming import base, contents, ledger, rollups, sse
 
 START = datetime(2026, 1, 1)
 
@@ -116,3 +116,22 @@ def test_periodic_jobs(spark):
     clock, ran = iter([0, 100, 299, 300, 350, 601]), []
     job = rollups.Periodic(300, lambda: ran.append(1), lambda: next(clock))
     assert [job.ask() for _ in range(5)] == [False, False, True, False, True] and len(ran) == 2
+
+
+CALLS = "event_id long, user_id long, ts timestamp"
+
+
+def test_limits_over_batches_and_runs(spark, tmp_path):
+    """Windows go on over batches and runs; what comes too late is dropped; a null user is one user; no Python at all."""
+    at = lambda *minutes: [START + timedelta(minutes=m) for m in minutes]
+    a, b, c, late, n1, n2, n3, far = at(1, 2, 3, 1, 4, 5, 6, 500)
+    batches = [[(1, 7, a), (3, 7, c), (9, None, n1)], [(2, 7, b), (10, None, n2), (11, None, n3), (20, 8, far)], [(4, 7, late), (21, 8, far)]]
+    path, folder = str(tmp_path / "in"), new_folder(spark, "limited")
+    files(spark, path, batches[:2], CALLS)
+    run = lambda: ledger.run_limited(source(spark, path, CALLS), 2, 3600, "10 minutes", folder)
+    want = {1: True, 3: True, 2: False, 9: True, 10: True, 11: False, 20: True}
+    assert {r["event_id"]: r["allowed"] for r in run().collect()} == want
+    spark.createDataFrame(batches[2], CALLS).coalesce(1).write.mode("append").parquet(path)
+    assert {r["event_id"]: r["allowed"] for r in run().collect()} == want | {21: True}
+    e = spark.createDataFrame(batches[0], CALLS)
+    assert "Python" not in ledger.limit_batch(e, spark.createDataFrame([], ledger.COUNTS), 2, 3600)._jdf.queryExecution().executedPlan().toString()

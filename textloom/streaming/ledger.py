@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
+from ..sources.io import folders, new_folder
 from ..sources.tables import read
 from .base import run_to_table
 
@@ -35,27 +32,45 @@ def calls_per_window(events: DataFrame, seconds: int = 60) -> DataFrame:
     return events.withWatermark("ts", "5 minutes").groupBy("user_id", F.window("ts", f"{seconds} seconds")).agg(F.count(F.lit(1)).alias("calls")).select("user_id", F.col("window.start").alias("start"), "calls")
 
 
-def limited(events: DataFrame, limit: int, seconds: int = 60, late: str = "5 minutes") -> DataFrame:
-    """event_id, user_id, allowed: the first `limit` calls of a user in each fixed window, in the order they arrive (within a
-    batch by time and id). A window's count is forgotten once the watermark has passed it."""
+COUNTS = "user_id long, slot long, n long, newest timestamp, batch long"
+
+
+def limit_batch(events: DataFrame, counts: DataFrame, limit: int, seconds: int) -> DataFrame:
+    """event_id, user_id, allowed of a batch of events, by time and id, behind what `counts` (user_id, slot, n) has seen."""
+    e = events.select("event_id", "user_id", "ts", F.floor(F.unix_timestamp("ts") / seconds).alias("slot"))
+    at = F.row_number().over(Window.partitionBy("user_id", "slot").orderBy("ts", "event_id"))
+    seen = counts.groupBy(F.col("user_id").alias("u"), F.col("slot").alias("s")).agg(F.sum("n").alias("seen"))
+    j = e.withColumn("at", at).join(seen, F.col("user_id").eqNullSafe(F.col("u")) & F.col("slot").eqNullSafe(F.col("s")), "left")
+    return j.select("event_id", "user_id", (F.coalesce("seen", F.lit(0)) + F.col("at") <= limit).alias("allowed"))
+
+
+def run_limited(events: DataFrame, limit: int, seconds: int = 60, late: str = "5 minutes", folder: str | None = None) -> DataFrame:
+    """Process what is available of a stream; event_id, user_id, allowed of all so far: the first `limit` calls of a user in
+    each fixed window, in the order they arrive (within a batch by time and id).
+
+    Each batch writes what it allows and, for each user and window, how many calls it had; the next ones count on from there.
+    Events `late` or more behind the newest of earlier batches are dropped, and counts of windows that have ended by then
+    are not read. A batch that is run again overwrites its own. Given the same folder again, it goes on.
+    """
+    spark, at = events.sparkSession, folder or new_folder(events.sparkSession, "limited")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        seen = state.get[0] if state.exists else 0
-        state.update((seen + len(rows),))
-        end = (int(key[1]) + 1) * seconds * 1000
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "allowed": [seen + i < limit for i in range(len(rows))]})
+    def step(df: DataFrame, batch: int) -> None:
+        before = [f"{at}/counts/{p}" for p in folders(spark, f"{at}/counts") if int(p.removeprefix("batch=")) < batch]
+        counts = spark.read.schema(COUNTS).option("basePath", f"{at}/counts").parquet(*before) if before else spark.createDataFrame([], COUNTS)
+        past = counts.agg((F.max("newest") - F.expr(f"INTERVAL {late}")).alias("past")).first()["past"]
+        if past is not None:
+            df = df.where(~F.coalesce(F.col("ts") <= F.lit(past), F.lit(False)))
+            counts = counts.where((F.col("slot") >= F.floor(F.unix_timestamp(F.lit(past)) / seconds)) | F.col("slot").isNull())
+        limit_batch(df, counts, limit, seconds).write.mode("overwrite").parquet(f"{at}/out/batch={batch}")
+        own = df.groupBy("user_id", F.floor(F.unix_timestamp("ts") / seconds).alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("newest"))
+        own.write.mode("overwrite").parquet(f"{at}/counts/batch={batch}")
 
-    e = events.withWatermark("ts", late).select("event_id", "user_id", "ts", F.floor(F.unix_timestamp("ts") / seconds).alias("slot"))
-    return e.groupBy("user_id", "slot").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "seen long", "append", GroupStateTimeout.EventTimeTimeout)
+    events.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return spark.read.schema("event_id long, user_id long, allowed boolean").parquet(f"{at}/out/*")
 
 
 def q_stream_limited(spark: SparkSession, d: str) -> DataFrame:
-    return run_to_table(limited(event_stream(spark, d), 2, 3600 * 24)).select("event_id", "allowed")
+    return run_limited(event_stream(spark, d), 2, 3600 * 24).select("event_id", "allowed")
 
 
 def q_stream_ledger(spark: SparkSession, d: str) -> DataFrame:
