@@ -189,3 +189,16 @@ def test_long_strings_and_runs(spark):
     small = {r["id"]: r for r in df.select("id", F.length(bodies.minify_json(c)).alias("m"), F.length(tidy(c)).alias("t"), T.estimated_tokens(c).alias("e"), shaping.reformat(c).isNull().alias("r")).collect()}
     assert small[1]["m"] == len(texts[1]) - 2 and small[0]["m"] == len(texts[0]) and not small[1]["r"] and small[6]["t"] == 1
     assert parse_hits(df.select(F.col("id").alias("doc_id"), F.lit(0).alias("line_no"), F.col("content").alias("line"))).count() == 0
+
+
+def test_white_space_of_many_lines(spark):
+    """Lines are not gone through again for each line: seconds, not minutes, for a text of many."""
+    import time
+
+    from textloom.operators.shaping import normalize_whitespace
+
+    cases = {"a \t\r\n\r\n \n\n b": "a\n\n b\n", "\n\n": "\n", "": "", None: None, "x  ": "x\n", "a\r\rb\n": "a\r\rb\n", "z  \n" * 8000 + "\n" * 8000: "z\n" * 8000 + "\n"}
+    df = spark.createDataFrame([(k,) for k in cases], "c string")
+    began = time.time()
+    assert {r["c"]: r["n"] for r in df.select("c", normalize_whitespace(F.col("c")).alias("n")).collect()} == cases
+    assert time.time() - began < 15
