@@ -202,3 +202,20 @@ def test_white_space_of_many_lines(spark):
     began = time.time()
     assert {r["c"]: r["n"] for r in df.select("c", normalize_whitespace(F.col("c")).alias("n")).collect()} == cases
     assert time.time() - began < 15
+
+
+def test_scores_are_added_up_where_an_item_is(spark, monkeypatch):
+    """A frequent term's hits go to no task of their own, and pairs of queries and items are not shuffled."""
+    items = spark.createDataFrame([(i, "the " * (i % 3 + 1) + f"w{i % 5}") for i in range(40)], "item_id long, text string")
+    queries = spark.createDataFrame([(q, f"the the w{q}") for q in range(4)], "query_id long, text string")
+    want = {(r["query_id"], r["item_id"]): round(r["score"], 9) for r in relevance.bm25(items, queries).collect()}
+    monkeypatch.setattr(relevance, "PAIRS_A_TASK", 20)
+    monkeypatch.setattr(relevance, "settle", lambda df, name: df.localCheckpoint())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = relevance.bm25(items, queries)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert {(r["query_id"], r["item_id"]): round(r["score"], 9) for r in scored.collect()} == want and len(want) == 160
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "hashpartitioning(query_id" not in plan and "hashpartitioning(item_id" in plan
