@@ -219,3 +219,13 @@ def test_scores_are_added_up_where_an_item_is(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in plan and "hashpartitioning(query_id" not in plan and "hashpartitioning(item_id" in plan
+
+
+def test_ranked_lines_are_sorted_by_spark_itself(spark):
+    """Without a comparing function that is called for each pair of lines."""
+    from textloom.operators.condense import most_important
+
+    b = spark.createDataFrame([(1, "plain\nerror: x\n# head\nplain\nfatal y"), (2, None)], "block_id long, content string")
+    out = most_important(b, 3)
+    assert sorted((r["block_id"], r["line_no"]) for r in out.collect()) == [(1, 1), (1, 2), (1, 4)]
+    assert "array_sort(" not in out._jdf.queryExecution().optimizedPlan().toString()
