@@ -22,3 +22,57 @@ def test_a_diff_without_a_hunk_and_one_of_several(spark):
     want = "plain\n-a\nx1\nx2\nx3\nx4\n+b\n--- a/x\n+++ b/x\n... 4 lines of whitespace-only changes elided ...\n--- a/z/Cargo.lock\n+++ b/z/Cargo.lock\n"
     want += "... 3 lines of lockfile churn elided ...\n... 2 lines of lockfile churn elided ...\n--- a/w\n+++ b/w\n@@ -1 +1 @@\n+c\nd\ne\n... 2 unchanged lines ..."
     assert got == {1: want, 2: "... 1 unchanged lines ...", 3: None}
+
+
+def _sets(spark):
+    """A set whose fields come and go, one with a score, one of equal records, one record, and one with an outlier."""
+    import json
+
+    own = {"a": [{"id": i, "v": i % 3, **({"error": "x"} if i == 7 else {}), "n": 10_000 if i == 5 else i} for i in range(12)], "b": [{"score": (i * 7 % 10) / 10, "name": f"n{i}", "k": 1} for i in range(20)]}
+    own |= {"c": [{"k": 1, "t": None}] * 6, "d": [{"x": 1}, {"y": "z" * 400}], "e": [{"q": i, "s": "u"} for i in range(9)] + [{"q": "long" * 90, "s": "w"}], "f": [{"k": 1}]}
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in own.items()], "block_id string, content string")
+
+
+def test_records_come_out_the_same_the_longer_way(spark):
+    from textloom.operators import records as R
+    from textloom.operators.jsonsets import records_of
+    from textloom.sources.io import settle
+
+    r = settle(records_of(_sets(spark)), "records")
+    asked = spark.createDataFrame([("a", "v 2 id 11"), ("e", "u 6")], "doc_id string, query string")
+    for queries in (None, asked):
+        want = rows(R.record_digest(r, queries, big=3).toPandas())
+        assert rows(R.record_digest(r, queries).toPandas()) == want and len(want[1]) == 5
+    j = R.judged(r)
+    assert rows(j.where("shown").select("doc_id", "rec_idx").toPandas()) == rows(R.anchors(r).toPandas())
+    assert rows(j.where("reasons <> ''").select("doc_id", "rec_idx", "weight", "reasons").toPandas()) == rows(R.outliers(r).toPandas())
+
+
+def test_records_are_dealt_by_their_set_once(spark):
+    from textloom.operators import records as R
+    from textloom.operators.jsonsets import records_of
+    from textloom.sources.io import settle
+
+    r = settle(records_of(_sets(spark)), "records")
+    assert exchanges(R.record_digest(r)) == 1 and exchanges(R.plan(r)) == 1
+
+
+def test_batches_of_records_are_small(spark, monkeypatch):
+    from textloom.operators import jsonsets as J
+
+    text = "[" + ",".join(f'{{"a":{i},"b":"{i}"}}' for i in range(300)) + "]"
+    sizes = []
+
+    class Df:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_arrays([pa.array(["x", "y", None]), pa.array([text, text, text])], ["doc_id", "content"])
+            sizes.extend(b.num_rows for b in run(iter([batch])))
+
+    monkeypatch.setattr(J, "ROWS_A_BATCH", 100)
+    J.records_of(Df())
+    assert max(sizes) == 100 and sum(sizes) == 1800
