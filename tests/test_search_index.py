@@ -43,3 +43,17 @@ def test_an_add_counts_once(spark):
     before = told(index.search(asked))
     index.add(first, 0)
     assert told(index.search(asked)) == before and index.totals() == (2.0, 2.0)
+
+
+def test_an_add_writes_no_texts_and_scores_lie_by_segment(spark, monkeypatch):
+    from textloom.operators import search_index as S
+
+    seen = []
+    monkeypatch.setattr(S, "settle", lambda df, name="table", own=S.settle: seen.append(set(df.columns)) or own(df, name))
+    index = SearchIndex(spark, new_folder(spark, "index"), segment_items=100)
+    index.add(spark.createDataFrame(items(700, 1), "item_id long, text string"))
+    assert not any({"t", "text"} & c for c in seen)
+    sizes = spark.read.parquet(f"{index.path}/segments").agg(F.sum("items").alias("n"), F.max("items").alias("most"), F.count(F.lit(1)).alias("k")).first()
+    assert sizes["n"] == 700 and sizes["most"] <= 300 and sizes["k"] >= 5
+    q, pairs = index.bounds(spark.createDataFrame([(1, "w390 w3 w398")], "query_id long, text string"))
+    assert "hashpartitioning(query_id" not in index._scored(q, pairs)._jdf.queryExecution().executedPlan().toString()

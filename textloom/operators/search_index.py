@@ -39,15 +39,20 @@ class SearchIndex:
     def add(self, items: DataFrame, number: int | None = None) -> int:
         """Index items (item_id, text; null and empty texts count as items without terms); returns the add's number."""
         number = max(self.adds(), default=-1) + 1 if number is None else number
-        own = settle(items.select("item_id", terms(F.coalesce("text", F.lit(""))).alias("t")).withColumn("len", F.size("t")), "items")
-        parts = max(1, -(-own.count() // self.segment_items))
-        segment = (F.lit(number << 32).cast("long") + F.spark_partition_id()).alias("segment")
-        dealt = settle(own.repartitionByRange(parts, "len", "item_id").select(segment, "item_id", "len", "t"), "dealt")
+        text = F.coalesce("text", F.lit(""))
+        own = items.select("item_id", text.alias("text"), F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}]+")).alias("len"))
+        lengths = settle(own.groupBy("len").agg(F.count(F.lit(1)).alias("n")), "lengths")  # a row for each length
+        to = F.sum("n").over(Window.orderBy("len"))
+        cell = lambda place: F.floor(place / self.segment_items).cast("long")
+        first = lengths.select("len", cell(to - F.col("n")).alias("from"), cell(to - 1).alias("to"))
+        segment = F.lit(number << 32).cast("long") + F.col("from") + F.pmod(F.xxhash64("item_id"), F.col("to") - F.col("from") + 1)
+        dealt = own.join(F.broadcast(first), "len").select(segment.alias("segment"), "item_id", "len", "text")
         remove_folder(self.spark, f"{self.path}/segments/add={number}")
-        held = dealt.select("segment", "item_id", "len", F.explode("t").alias("term")).groupBy("segment", "term", "item_id", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        # texts are dealt by segment once; their terms are counted and put together where they are
+        held = dealt.repartition("segment").select("segment", "item_id", "len", F.explode(terms(F.col("text"))).alias("term")).groupBy("segment", "term", "item_id", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
         block = held.groupBy("segment", "term").agg(
             F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("len").alias("least_len"), F.collect_list(F.struct("item_id", "tf", "len")).alias("items")
-        )  # at most segment_items
+        )  # some segment_items at most
         block.withColumn("slot", _slot("term")).repartition("slot").write.mode("overwrite").partitionBy("slot").parquet(f"{self.path}/postings/add={number}")
         dealt.groupBy("segment").agg(F.count(F.lit(1)).alias("items"), F.sum("len").alias("words")).write.mode("overwrite").parquet(f"{self.path}/segments/add={number}")
         return number
@@ -78,11 +83,17 @@ class SearchIndex:
         """query_id, item_id, score of all items in some (query_id, segment) that hold a term of the query."""
         n, avg = self.totals()
         slots = [r["slot"] for r in q.select(_slot("term").alias("slot")).distinct().collect()]
-        asked = pairs.select("query_id", "segment").join(q, "query_id")
-        held = self.postings().where(F.col("slot").isin(slots)).select("segment", "term", "items").join(asked, ["segment", "term"])
-        row = held.select("query_id", "qf", "df", F.explode("items").alias("i")).select("query_id", "qf", "df", "i.*")
+        held = self.postings().where(F.col("slot").isin(slots)).select("segment", "term", "items")
+        by = ["query_id", "item_id"]
+        if q.count() <= BROADCAST_QUERY_TERMS:  # blocks are dealt by segment, and an item's scores are added up where it is
+            wanted = pairs.groupBy("segment").agg(F.collect_set("query_id").alias("wanted"))
+            held = held.join(F.broadcast(q.select("term").distinct()), "term", "left_semi").repartition("segment").join(wanted.hint("shuffle_merge"), "segment")
+            held, by = held.join(F.broadcast(q), "term").where(F.array_contains("wanted", F.col("query_id"))), ["segment", *by]
+        else:
+            held = held.join(pairs.select("query_id", "segment").join(q, "query_id"), ["segment", "term"])
+        row = held.select("segment", "query_id", "qf", "df", F.explode("items").alias("i")).select("segment", "query_id", "qf", "df", "i.*")
         part = _part(F.lit(n), F.col("df"), F.col("qf"), F.col("tf"), F.col("len"), F.lit(avg or 1.0))
-        return row.groupBy("query_id", "item_id").agg(F.sum(part).alias("score"))
+        return row.groupBy(*by).agg(F.sum(part).alias("score")).drop("segment")
 
     def plan(self, queries: DataFrame, k: int, first: int = FIRST) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(terms, scores of the first segments, all (query_id, segment, bound, postings, turn)): turn is 1 for the segments
