@@ -76,3 +76,21 @@ def test_batches_of_records_are_small(spark, monkeypatch):
     monkeypatch.setattr(J, "ROWS_A_BATCH", 100)
     J.records_of(Df())
     assert max(sizes) == 100 and sum(sizes) == 1800
+
+
+def test_parity_writes_contents_once(spark, monkeypatch):
+    from textloom.plans import reports
+
+    seen = []
+    monkeypatch.setattr(reports, "settle", lambda df, name="table", own=reports.settle: seen.append(set(df.columns)) or own(df, name))
+    f = spark.createDataFrame([("a", "log", "log_digest", "2024-01-01 00:00:00 x\n" * 60, None)], "block_id string, content_type string, transform string, content string, skipped string")
+    assert [(r["content_type"], r["outcome"]) for r in reports.parity(f).collect()] == [("log", "covered")]
+    assert sum("content" in c for c in seen) == 1 and not any("digest" in c for c in seen)
+
+
+def test_search_hits_of_repeated_ids_are_one_block(spark, tmp_path):
+    from textloom.sources.tables import in_order, search_lines, search_texts
+
+    spark.createDataFrame([(1, "de", "a", "x: y\r\nz\n"), (1, None, None, "b"), (2, "fr", "s", None), (3, "fr", "s", ""), (4, "fr", "s", "1\r2\n\n3")], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = search_lines(spark, str(tmp_path)).groupBy("doc_id").agg(in_order(F.col("line"), F.col("line_no")).alias("content"))
+    assert rows(search_texts(spark, str(tmp_path)).toPandas()) == rows(want.toPandas())
