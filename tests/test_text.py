@@ -60,3 +60,34 @@ def test_model_family(spark):
 
 def test_markers(spark):
     assert one(spark, T.find_markers, ["see <<ccr:" + "ab" * 16 + ">> and <<ccr:" + "AB" * 16 + ">>", "none"]) == [["ab" * 16], []]
+
+
+def test_line_signals_by_plain_search_agree_with_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.functions import text as T
+    from textloom.operators.signals import anchor
+
+    lines = ["", " ", "　x ", "x:", " x: ", "## a", "#", "#x", "====", "== a", "--", "----", "---x", "at z", "at", 'File "q', "see a.py:3 ok", "a.py:", "f(", " [ ", "} {", "ERROR", "a tIMEOUT b", "İerr", "err", "SLOWly slow", "<a><b/>", "x > y", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    t = F.btrim("line", F.lit(T.WS_CHARS))
+    frame = F.regexp_like(t, F.lit(r"""^(at |File ")|[A-Za-z0-9_]\.[A-Za-z]+:[0-9]+"""))
+    slow = F.when(F.startswith("line", F.lit("@@")), "hunk_header").when(F.startswith(t, F.lit("```")), "fence").when(F.regexp_like(t, F.lit(r"^(#+ .+|={3,}|-{3,})$")), "heading").when(frame, "stack_frame").when(F.regexp_like(t, F.lit(r"[\[{(]$")), "structure_open")
+    score = F.size(F.array_intersect(F.split(T.ascii_lower(F.col("line")), "[^0-9a-z_]+"), F.array(*map(F.lit, T.ERROR_WORDS)))) * 3 + F.size(F.array_intersect(F.split(T.ascii_lower(F.col("line")), "[^0-9a-z_]+"), F.array(*map(F.lit, T.WARNING_WORDS))))
+    pairs = {"strip": (T.strip(F.col("line")), t), "anchor": (anchor(F.col("line"), F.lit(False)), slow), "score": (T.keyword_score(F.col("line")), score), "tags": (F.size(T.tags(F.col("line"))), F.when(F.col("line") == "<a><b/>", 1).when(F.col("line").isNotNull(), 0))}
+    for name, (quick, plain) in pairs.items():
+        assert df.where(~quick.eqNullSafe(plain)).collect() == [], name
+
+
+def test_keywords_are_looked_for_by_plain_search(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.functions import text as T
+
+    assert "RLIKE" not in str(T.keyword_score(F.col("x"))._jc.toString()).upper()
+
+
+def test_a_vocabulary_is_read_once_a_process():
+    from textloom.operators import bodies
+
+    assert bodies._counting("byte_bpe_50k") is bodies._counting("byte_bpe_50k")
