@@ -1,75 +1,60 @@
 """The content store on a stream: contents under their hashes, whose entries expire, and whose expiry a new put extends.
 
-State is one entry a hash with a timer of event time. What is live is read from the state itself.
+State is an entry a hash, held by buckets of hashes with a timeout of event time each. What is live is read from the state itself.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
 from .base import read_state, run_keeping_state
 from .ledger import event_stream
 
 LIFETIME = "hash string, content string, stored_at long, expires_at long, puts long"
-
-
-class Lifetimes(StatefulProcessor):
-    """Rows (content, at) of one hash, at in microseconds: puts, which wait until the watermark has passed them and then count
-    in the order of their times. Gives out each lifetime once it has ended."""
-
-    def __init__(self, ttl: int):
-        self.ttl = ttl
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.entry = handle.getValueState("entry", "content string, stored_at long, expires_at long, puts long")
-        self.waiting = handle.getListState("waiting", "at long, content string")
-
-    def _wake(self, at: int) -> None:
-        self.handle.registerTimer(-(-at // 1000))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        puts = [(int(a), c) for b in rows for a, c in zip(b["at"], b["content"], strict=True)]
-        self.waiting.appendList(puts)
-        self._wake(min(puts)[0])
-        yield self._ended(key, [])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
-        entry = before = tuple(self.entry.get()) if self.entry.exists() else None
-        due, ended = [p for p in waiting if p[0] <= now], []
-        for at, content in due:
-            if entry is not None and at < entry[2]:
-                entry = (entry[0], entry[1], at + self.ttl, entry[3] + 1)
-            else:
-                ended += [entry] if entry is not None else []
-                entry = (content, at, at + self.ttl, 1)
-        if entry is not None and entry[2] <= now:
-            ended.append(entry)
-            entry = None
-        if entry is None and before is not None:
-            self.entry.clear()
-        elif entry is not None and entry != before:
-            self.entry.update(entry)
-        later = waiting[len(due) :]
-        if due:
-            self.waiting.put(later) if later else self.waiting.clear()
-        if after := [p[0] for p in later[:1]] + ([entry[2]] if entry is not None else []):
-            self._wake(min(after))
-        yield self._ended(key, ended)
-
-    def _ended(self, key: tuple, entries: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *e) for e in entries], columns=["hash", "content", "stored_at", "expires_at", "puts"]).astype({"hash": object, "content": object})
-
-    def close(self) -> None:
-        pass
+#: Of each hash of a bucket: its content, its entry (nulls if it has none), and the times of puts that the watermark has not passed.
+STATE = "hash array<string>, content array<string>, stored_at array<long>, expires_at array<long>, puts array<long>, waiting array<array<long>>"
+#: Groups of hashes whose state comes and goes together; more hashes than some millions want more of them.
+BUCKETS = 4096
+
+
+def _lifetimes(ttl: int, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Frames of (hash, content, at) of one bucket, at in microseconds: puts, which wait until the watermark has passed them and
+    then count in the order of their times. Gives out each lifetime once it has ended."""
+    now = state.getCurrentWatermarkMs() * 1000
+    held = {h: (c, s, e, n, list(w)) for h, c, s, e, n, w in zip(*state.get, strict=True)} if state.exists else {}
+    for f in frames:
+        for h, c, at in zip(f["hash"], f["content"], f["at"].tolist(), strict=True):
+            held.setdefault(h, (c, None, None, 0, []))[4].append(at)
+    ended, left, wake = [], [], []
+    for h, (content, stored_at, expires_at, puts, waiting) in held.items():
+        waiting.sort()
+        due = bisect_right(waiting, now)
+        for at in waiting[:due]:
+            if stored_at is None or at >= expires_at:
+                ended += [] if stored_at is None else [(h, content, stored_at, expires_at, puts)]
+                stored_at, puts = at, 0
+            expires_at, puts = at + ttl, puts + 1
+        if stored_at is not None and expires_at <= now:
+            ended.append((h, content, stored_at, expires_at, puts))
+            stored_at, expires_at, puts = None, None, 0
+        if after := waiting[due : due + 1] + ([] if stored_at is None else [expires_at]):
+            left.append((h, content, stored_at, expires_at, puts, waiting[due:]))
+            wake.append(min(after))
+    if left:
+        state.update(tuple(map(list, zip(*left, strict=True))))
+        state.setTimeoutTimestamp(max(1, -(-min(wake) // 1000) - 1))  # comes once the watermark is over this, that is at `wake`
+    elif state.exists:
+        state.remove()
+    if ended:
+        yield pd.DataFrame(ended, columns=["hash", "content", "stored_at", "expires_at", "puts"])
 
 
 def _times(df: DataFrame) -> DataFrame:
@@ -81,18 +66,21 @@ def keep(puts: DataFrame, ttl_seconds: int = 24 * 3600, late: str = "1 hour") ->
 
     An entry lives for ttl_seconds after its last put; a put at or after that begins a new one. Everything is as of the
     watermark, `late` behind the newest put, so that batches and their order make no difference; puts later than that are
-    dropped. Null contents are not stored.
+    dropped. Null contents are not stored. Hashes are kept by the bucket, so that
+    Python is called for a bucket and not for each hash.
     """
     p = puts.where("content IS NOT NULL").withWatermark("ts", late).select("ts", T.content_hash(F.col("content")).alias("hash"), "content", F.unix_micros("ts").alias("at"))
-    out = p.groupBy("hash").transformWithStateInPandas(Lifetimes(ttl_seconds * 1_000_000), LIFETIME, "append", "eventTime")
+    out = p.withColumn("bucket", F.pmod(F.crc32("hash"), F.lit(BUCKETS))).groupBy("bucket").applyInPandasWithState(partial(_lifetimes, ttl_seconds * 1_000_000), LIFETIME, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return _times(out)
 
 
 def live(spark: SparkSession, folder: str) -> DataFrame:
     """hash, content, stored_at, expires_at, puts of the entries that a stream of `keep` in this folder holds, as of its
     watermark."""
-    s = read_state(spark, folder, "entry")
-    return _times(s.select(F.col("key.hash").alias("hash"), "value.content", "value.stored_at", "value.expires_at", "value.puts"))
+    s = read_state(spark, folder)
+    names = ("hash", "content", "stored_at", "expires_at", "puts")
+    held = s.select(F.explode(F.arrays_zip(*[F.col(f"value.groupState.{n}").alias(n) for n in names])).alias("s")).select("s.*").toDF(*names)
+    return _times(held.where("stored_at IS NOT NULL"))
 
 
 def _puts(events: DataFrame) -> DataFrame:
